@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pulseframe import constants as C
+from pulseframe.functions.rounding import message
 
 
 def first_failure(rules: list[tuple[Column, Column | str]], ok: Column | str | None = None) -> Column:
@@ -23,8 +24,8 @@ def sqi_verdict(n: Column, fs: Column, variance: Column, kurt: Column, skew: Col
     reasons = F.concat_ws(
         "; ",
         F.when(kurt < C.KURTOSIS_MIN, C.REASON_LOW_KURTOSIS).when(kurt > C.KURTOSIS_MAX, C.REASON_HIGH_KURTOSIS),
-        F.when(baseline > C.BASELINE_RATIO_MAX, F.format_string(C.REASON_BASELINE, baseline * 100)),
-        F.when(emg > C.EMG_RATIO_MAX, F.format_string(C.REASON_EMG, emg * 100)),
+        F.when(baseline > C.BASELINE_RATIO_MAX, message(C.REASON_BASELINE, baseline * 100)),
+        F.when(emg > C.EMG_RATIO_MAX, message(C.REASON_EMG, emg * 100)),
     )
     kurt_score = F.when(kurt >= 2.0, F.least(F.greatest((kurt - 2.0) / 8.0, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     clean_score = F.greatest(F.lit(0.0), 1.0 - (baseline * 1.2 + emg * 1.5))
@@ -57,7 +58,7 @@ def signal_range(kind: str, n: Column, n_inf: Column, n_nan: Column, low: Column
     rules.append((n_nan == n, "Signal consists entirely of NaNs."))
     limits = C.RANGE_RULES.get(kind.upper().replace("HEART_RATE", "HR"))
     if limits:
-        rules.append(((low < limits[0]) | (high > limits[1]), F.format_string(limits[2], low, high)))
+        rules.append(((low < limits[0]) | (high > limits[1]), message(limits[2], low, high)))
     return first_failure(rules, "Valid signal")
 
 
@@ -91,7 +92,7 @@ def request_error(
         (has_signal & F.exists(signal, lambda x: F.abs(x) == float("inf")), "Signal contains invalid infinite (Inf) values."),
         (has_signal & (F.size(valid) == 0), "Signal consists entirely of NaN values."),
         (has_signal & ((low < -C.REQUEST_MV_LIMIT) | (high > C.REQUEST_MV_LIMIT)),
-         F.format_string("Signal amplitude [%.2f, %.2f] mV exceeds physical ECG range.", low, high)),
+         message("Signal amplitude [%.2f, %.2f] mV exceeds physical ECG range.", low, high)),
         (fs.isNull(), "Sampling frequency 'fs' must be a numeric float."),
         ((fs < C.REQUEST_FS_RANGE[0]) | (fs > C.REQUEST_FS_RANGE[1]),
          F.concat(F.lit("Sampling frequency "), fs.cast("string"),
