@@ -7,51 +7,69 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pulseframe.functions.binding import let
+
 
 def total(x: Column, f: Callable[[Column], Column] = lambda v: v) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + f(v))
 
 
 def mean(x: Column) -> Column:
-    return total(x) / F.size(x)
+    return let(x, lambda v: total(v) / F.size(v))
+
+
+def against(x: Column, value: Callable[[Column], Column], f: Callable[[Column, Column], Column]) -> Column:
+    """``f(element, value(x))`` for each element, with ``value(x)`` evaluated once per row.
+
+    A value captured by a lambda would be evaluated once per element.
+    """
+    return let(x, lambda v: F.zip_with(v, F.array_repeat(value(v), F.size(v)), f))
 
 
-def central_moment(x: Column, mu: Column, k: int) -> Column:
+def centred(x: Column) -> Column:
+    return against(x, mean, lambda v, mu: v - mu)
+
+
+def moment(d: Column, k: int) -> Column:
+    """k-th moment of an already centred array."""
+
     def power(v: Column) -> Column:
-        d = v - mu
-        out = d
+        out = v
         for _ in range(k - 1):
-            out = out * d
+            out = out * v
         return out
 
-    return total(x, power) / F.size(x)
+    return let(d, lambda v: total(v, power) / F.size(v))
+
+
+def moments(x: Column) -> Column:
+    """Struct of the mean and the central moments m2, m3, m4."""
+    return let(
+        x,
+        lambda v: let(
+            centred(v),
+            lambda d: F.struct(mean(v).alias("mean"), *[moment(d, k).alias(f"m{k}") for k in (2, 3, 4)]),
+        ),
+    )
 
 
 def peak_to_peak(x: Column) -> Column:
-    return F.array_max(x) - F.array_min(x)
+    return let(x, lambda v: F.array_max(v) - F.array_min(v))
 
 
 def successive(x: Column, f: Callable[[Column, Column], Column]) -> Column:
-    """``[f(x[0], x[1]), f(x[1], x[2]), ...]``"""
-    n = F.size(x)
-    return F.when(n > 1, F.zip_with(F.slice(x, 1, n - 1), F.slice(x, 2, n - 1), f)).otherwise(F.slice(x, 1, 0))
+    """``[f(x[0], x[1]), f(x[1], x[2]), ...]``, empty for fewer than two elements."""
 
+    def pairs(v: Column) -> Column:
+        n = F.greatest(F.size(v) - 1, F.lit(0))
+        return F.zip_with(F.slice(v, F.lit(1), n), F.slice(v, F.lit(2), n), f)
 
-def zero_crossing_rate(x: Column) -> Column:
-    positive = F.transform(x, lambda v: v > 0)
-    flips = F.filter(
-        F.zip_with(F.slice(positive, 1, F.size(x) - 1), F.slice(positive, 2, F.size(x) - 1), lambda a, b: a != b),
-        lambda changed: changed,
-    )
-    return F.size(flips) / F.size(x)
+    return let(x, pairs)
 
 
-def sorted_quantile(ordered: Column, p: float) -> Column:
-    """Linear-interpolation quantile of an already sorted array."""
-    at = F.lit(p) * (F.size(ordered) - 1)
-    lo = F.get(ordered, F.floor(at).cast("int"))
-    hi = F.get(ordered, F.ceil(at).cast("int"))
-    return lo + (hi - lo) * (at - F.floor(at))
+def zero_crossing_rate(x: Column) -> Column:
+    flips = successive(F.transform(x, lambda v: v > 0), lambda a, b: a != b)
+    return F.size(F.filter(flips, lambda changed: changed)) / F.size(x)
 
 
 def windows(x: Column, n: int, step: int) -> Column:
@@ -69,10 +87,14 @@ def windows(x: Column, n: int, step: int) -> Column:
 
 def proportional_slice(x: Column, start: Column, end: Column, length: Column) -> Column:
     """Part of a channel of another rate that lies under ``[start, end)`` of a main channel."""
-    n = F.size(x)
-    lo = F.least(n - 1, F.floor(start * n / length)).cast("int")
-    hi = F.least(n, F.floor(end * n / length)).cast("int")
-    return F.slice(x, lo + 1, F.greatest(hi - lo, F.lit(0)))
+
+    def cut(v: Column) -> Column:
+        n = F.size(v)
+        lo = F.least(n - 1, F.floor(start * n / length)).cast("int")
+        hi = F.least(n, F.floor(end * n / length)).cast("int")
+        return F.slice(v, lo + 1, F.greatest(hi - lo, F.lit(0)))
+
+    return let(x, cut)
 
 
 def tail(x: Column, n: int) -> Column:

@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pulseframe import constants as C
+from pulseframe.functions.binding import let
 from pulseframe.functions.rounding import message
 
 
 def first_failure(rules: list[tuple[Column, Column | str]], ok: Column | str | None = None) -> Column:
     out = None
-    for failed, message in rules:
-        message = F.lit(message) if isinstance(message, str) else message
-        out = F.when(failed, message) if out is None else out.when(failed, message)
+    for failed, text in rules:
+        text = F.lit(text) if isinstance(text, str) else text
+        out = F.when(failed, text) if out is None else out.when(failed, text)
     return out.otherwise(F.lit(ok) if isinstance(ok, str) else ok) if ok is not None else out
 
 
@@ -27,11 +28,14 @@ def sqi_verdict(n: Column, fs: Column, variance: Column, kurt: Column, skew: Col
         F.when(baseline > C.BASELINE_RATIO_MAX, message(C.REASON_BASELINE, baseline * 100)),
         F.when(emg > C.EMG_RATIO_MAX, message(C.REASON_EMG, emg * 100)),
     )
+    reason = let(
+        F.when(short, C.REASON_SHORT).when(flat, C.REASON_FLAT).otherwise(reasons),
+        lambda text: F.when(text == "", C.REASON_OK).otherwise(text),
+    )
     kurt_score = F.when(kurt >= 2.0, F.least(F.greatest((kurt - 2.0) / 8.0, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     clean_score = F.greatest(F.lit(0.0), 1.0 - (baseline * 1.2 + emg * 1.5))
-    return F.struct(
-        (~short & ~flat & (reasons == "")).alias("is_acceptable"),
-        F.when(short | flat, 0.0).otherwise(0.5 * kurt_score + 0.5 * clean_score).alias("quality_score"),
+    score = F.when(short | flat, 0.0).otherwise(0.5 * kurt_score + 0.5 * clean_score)
+    metrics = (
         F.when(short, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")))
         .when(flat, F.create_map(F.lit("variance"), variance))
         .otherwise(
@@ -41,9 +45,13 @@ def sqi_verdict(n: Column, fs: Column, variance: Column, kurt: Column, skew: Col
                 F.lit("variance"), variance,
             )
         )
-        .alias("metrics"),
-        F.when(short, C.REASON_SHORT).when(flat, C.REASON_FLAT)
-        .when(reasons == "", C.REASON_OK).otherwise(reasons).alias("rejection_reason"),
+    )
+    return let(
+        reason,
+        lambda text: F.struct(
+            (text == C.REASON_OK).alias("is_acceptable"), score.alias("quality_score"),
+            metrics.alias("metrics"), text.alias("rejection_reason"),
+        ),
     )
 
 

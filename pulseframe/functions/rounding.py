@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pulseframe.functions.binding import let
+
 
 def round_exact(x: Column, digits: int) -> Column:
     """Nearest multiple of ``10^-digits``, true ties to even.
@@ -15,21 +17,31 @@ def round_exact(x: Column, digits: int) -> Column:
     rounding error of ``x * 10^digits`` decides such cases.
     """
     scale = float(10**digits)
-    p = x * scale
-    c = x * 134217729.0  # splits x into two halves whose products are exact
-    high = c - (c - x)
-    err = (high * scale - p) + (x - high) * scale
-    n = F.floor(p).cast("double")
-    past = (p - n - 0.5) + err
-    up = (past > 0) | ((past == 0) & (n % 2 != 0))
-    return (n + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    def halves(x: Column) -> Column:
+        c = x * 134217729.0  # splits x into two halves whose products are exact
+        return F.struct(x.alias("x"), (x * scale).alias("p"), (c - (c - x)).alias("high"))
+
+    def excess(s: Column) -> Column:
+        n = F.floor(s["p"]).cast("double")
+        err = (s["high"] * scale - s["p"]) + (s["x"] - s["high"]) * scale
+        return F.struct(n.alias("n"), ((s["p"] - n - 0.5) + err).alias("past"))
+
+    def nearest(e: Column) -> Column:
+        up = (e["past"] > 0) | ((e["past"] == 0) & (e["n"] % 2 != 0))
+        return (e["n"] + F.when(up, 1.0).otherwise(0.0)) / scale
+
+    return let(x.cast("double"), lambda v: let(halves(v), lambda s: let(excess(s), nearest)))
 
 
 def fixed_text(x: Column, digits: int) -> Column:
     """``x`` printed with a fixed number of decimals."""
-    rounded = round_exact(x, digits)
-    sign = F.when((x < 0) & (rounded == 0), "-").otherwise("")
-    return F.concat(sign, F.format_string(f"%.{digits}f", rounded))
+
+    def show(pair: Column) -> Column:
+        sign = F.when((pair["x"] < 0) & (pair["r"] == 0), "-").otherwise("")
+        return F.concat(sign, F.format_string(f"%.{digits}f", pair["r"]))
+
+    return let(x.cast("double"), lambda v: let(F.struct(v.alias("x"), round_exact(v, digits).alias("r")), show))
 
 
 def message(template: str, *values: Column) -> Column:

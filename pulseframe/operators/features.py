@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseframe import constants as C
 from pulseframe.functions import arrays as A
+from pulseframe.functions.binding import let
 from pulseframe.operators.series import last_valid, neighbourhood, previous, scan
 
 
@@ -89,14 +90,19 @@ def hrv_time_domain(
     )
 
 
-def morphology(x: Column, entropy: Column | None = None) -> list[Column]:
-    """Shape statistics of an array column, in feature order."""
-    mu = A.mean(x)
-    m2, m3, m4 = (A.central_moment(x, mu, k) for k in (2, 3, 4))
-    cols = [mu, F.sqrt(m2), m2, m3 / F.pow(m2, 1.5), m4 / (m2 * m2) - 3.0, A.peak_to_peak(x), A.zero_crossing_rate(x)]
-    if entropy is not None:
-        cols.append(entropy)
-    return [c.alias(n) for c, n in zip(cols, C.FEATURES_STAT)]
+def morphology(x: Column, entropy: Column | None = None) -> Column:
+    """Struct of the shape statistics of an array column, in feature order."""
+
+    def shape(v: Column, m: Column) -> Column:
+        cols = [
+            m["mean"], F.sqrt(m["m2"]), m["m2"], m["m3"] / F.pow(m["m2"], 1.5), m["m4"] / (m["m2"] * m["m2"]) - 3.0,
+            A.peak_to_peak(v), A.zero_crossing_rate(v),
+        ]
+        if entropy is not None:
+            cols.append(entropy)
+        return F.struct(*[c.alias(n) for c, n in zip(cols, C.FEATURES_STAT)])
+
+    return let(x, lambda v: let(A.moments(v), lambda m: shape(v, m)))
 
 
 def oximetry(df: DataFrame, key: list[str], spo2: Column, ppg: Column, threshold: float = C.DESATURATION) -> DataFrame:

@@ -20,6 +20,26 @@ def tumbling(df: DataFrame, n: int, pos: str = "idx") -> DataFrame:
     return df.withColumn("packet", F.floor(F.col(pos) / n))
 
 
+def blocks(df: DataFrame, key: list[str], step: int, channels: list[str], pos: str = "idx") -> DataFrame:
+    """Long rows to blocks of ``step`` samples: one array per channel, at most ``step`` long."""
+    sample = F.struct(pos, *channels)
+    out = df.groupBy(*key, F.floor(F.col(pos) / step).alias("block_idx")).agg(F.sort_array(F.collect_list(sample)).alias("_b"))
+    return out.select(*key, "block_idx", *[F.col(f"_b.{c}").alias(c) for c in channels])
+
+
+def from_blocks(df: DataFrame, key: list[str], step: int, channels: list[str]) -> DataFrame:
+    """Half-overlapping windows of ``2 * step`` samples: a block joins the window it opens and the one before.
+
+    Grouping on (key, window) keeps a long record spread out; ``lead`` over the record would not.
+    """
+    b = F.col("block_idx")
+    member = F.struct("block_idx", *channels)
+    spread = df.select(*key, member.alias("_b"), F.explode(F.sequence(F.greatest(b - 1, F.lit(0)), b)).alias("w_idx"))
+    pairs = spread.groupBy(*key, "w_idx").agg(F.sort_array(F.collect_list("_b")).alias("_p"))
+    joined = pairs.select(*key, "w_idx", *[F.flatten(F.col(f"_p.{c}")).alias(c) for c in channels])
+    return joined.where(F.size(channels[0]) == 2 * step)
+
+
 def event_time_counts(df: DataFrame, ts: str, keys: list[str], length: str, slide: str) -> DataFrame:
     """Counts per event-time window; the same expression serves batch and stream."""
     return (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import quality, triage
 from pulseframe.operators import conditioning, features, windows
+from pulseframe.operators.beats import hrv_from_times
 from pulseframe.operators.quantiles import exact_quantiles
 from pulseframe.operators.series import indexed, time_chunk
 from pulseframe.plans.registry import EMB, SIG, WIN, query, with_
@@ -265,7 +266,7 @@ SELECT vec_id, round(mu, 6) + 0.0 AS stat_mean, round(sqrt(v2), 6) AS stat_std,
 FROM c""")
 def morphology(spark, folder):
     df = embeddings(spark, folder)
-    stats = df.select("vec_id", *features.morphology(F.col("x")))
+    stats = df.select("vec_id", features.morphology(F.col("x")).alias("m")).select("vec_id", "m.*")
     return stats.select("vec_id", *[r(F.col(c)).alias(c) for c in stats.columns[1:]])
 
 
@@ -286,9 +287,6 @@ def window_triage(spark, folder):
     A window holds 20 rows, so all of its work happens on one collected, bounded array: a
     single shuffle after the indexing one, and no second pass for the beat intervals.
     """
-    from pulseframe.functions import arrays as A
-    from pulseframe.operators.beats import hrv_from_times
-
     rows = windowed(spark, folder)
     stats = rows.groupBy("user_id", "w").agg(
         F.count(F.lit(1)).alias("n"), F.var_pop("v").alias("variance"), F.kurtosis("v").alias("kurt"), F.skewness("v").alias("skew"),
@@ -297,7 +295,7 @@ def window_triage(spark, folder):
     )
     verdict = quality.sqi_verdict(F.col("n"), F.lit(20.0), F.col("variance"), F.col("kurt"), F.col("skew"), F.col("baseline"), F.col("emg"))
     stats = stats.withColumn("ok", verdict["is_acceptable"])
-    hrv = hrv_from_times(stats, "beats", unit=60e6, valid=(1.0, 2000.0), nn_step=50.0, per_minute=60.0)
+    hrv = hrv_from_times(stats, "beats", lambda a, b: (b - a) / 60e6, valid=(1.0, 2000.0), nn_step=50.0, per_minute=60.0)
     out = hrv.withColumn("p", triage.hrv_rule(F.col("mean_hr_bpm"), F.col("rmssd_ms"), 0.1, 2.0, 400.0))
     return out.select(
         "user_id", "w", "n", r(F.col("variance")).alias("variance"), r(F.col("kurt")).alias("kurt"), F.col("ok").alias("is_acceptable"),

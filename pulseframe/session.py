@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+ARROW_ROWS = 2000
+
+
 def build(app: str = "pulseframe", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings the operators rely on. On a cluster leave ``master`` unset."""
     builder = (
@@ -30,6 +33,9 @@ def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings a caller's session must share: all event times are UTC."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # windows are wide rows: 2000 x 3600 doubles is 58 MB per Arrow batch
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
