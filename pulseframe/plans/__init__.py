@@ -1,4 +1,4 @@
 """Runnable queries over the driver tables."""
 
-from pulseframe.plans import deidentify, evaluation, rules, signals, waveforms  # noqa: F401
+from pulseframe.plans import deidentify, evaluation, files, rules, signals, waveforms  # noqa: F401
 from pulseframe.plans.registry import ORACLES, QUERIES  # noqa: F401
