@@ -22,12 +22,12 @@ from pulseframe import constants as C
 SLAB = 256  # windows handled at once: bounds the working memory of a task
 
 
-def _batched(x: pd.Series, fs: pd.Series, fn: Callable[[np.ndarray, float], np.ndarray]) -> list:
-    """Apply ``fn`` to slabs of windows that share length and sampling rate."""
+def _batched(x: pd.Series, fs: pd.Series, fn: Callable[[np.ndarray, float], np.ndarray], shortest: int = 1) -> list:
+    """Apply ``fn`` to slabs of windows that share length and sampling rate; shorter ones give NULL."""
     out: list = [None] * len(x)
     groups: dict[tuple[int, float], list[int]] = {}
     for i, (v, f) in enumerate(zip(x, fs)):
-        if v is not None and len(v) and f == f:
+        if v is not None and len(v) >= shortest and f == f:
             groups.setdefault((len(v), float(f)), []).append(i)
     for (_, rate), rows in groups.items():
         for at in range(0, len(rows), SLAB):
@@ -38,10 +38,10 @@ def _batched(x: pd.Series, fs: pd.Series, fn: Callable[[np.ndarray, float], np.n
     return out
 
 
-def _array_udf(fn: Callable[[np.ndarray, float], np.ndarray], x: Column, fs: Column) -> Column:
+def _array_udf(fn: Callable[[np.ndarray, float], np.ndarray], x: Column, fs: Column, shortest: int = 1) -> Column:
     @pandas_udf("array<double>")
     def apply(x: pd.Series, fs: pd.Series) -> pd.Series:
-        return pd.Series(_batched(x, fs, fn))
+        return pd.Series(_batched(x, fs, fn, shortest))
 
     return apply(x, fs)
 
@@ -106,6 +106,7 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 Kernel = Callable[[np.ndarray, float], np.ndarray]
+SHORTEST = 3 * (2 * C.BANDPASS_ORDER + 1) + 1  # samples needed for the odd extension
 
 
 def bandpass_kernel(low: float, high: float, order: int = C.BANDPASS_ORDER) -> Kernel:
@@ -162,15 +163,18 @@ def scale_kernel() -> Kernel:
     return scale
 
 
-def condition(x: Column, fs: Column, steps: list[Kernel]) -> Column:
-    """Run conditioning steps one after the other in a single Arrow pass."""
+def condition(x: Column, fs: Column, steps: list[Kernel], shortest: int = SHORTEST) -> Column:
+    """Run conditioning steps one after the other in a single Arrow pass.
+
+    Windows too short to be filtered become NULL, which the quality gate rejects.
+    """
 
     def run(m: np.ndarray, rate: float) -> np.ndarray:
         for step in steps:
             m = step(m, rate)
         return m
 
-    return _array_udf(run, x, fs)
+    return _array_udf(run, x, fs, shortest)
 
 
 def bandpass(x: Column, fs: Column, low: float = C.ECG_BAND[0], high: float = C.ECG_BAND[1], order: int = C.BANDPASS_ORDER) -> Column:
@@ -182,11 +186,11 @@ def notch(x: Column, fs: Column, freq: float = C.NOTCH_HZ, q: float = C.NOTCH_Q)
 
 
 def detrend(x: Column, fs: Column, seconds: float = C.BASELINE_SECONDS) -> Column:
-    return condition(x, fs, [detrend_kernel(seconds)])
+    return condition(x, fs, [detrend_kernel(seconds)], 1)
 
 
 def fill_gaps(x: Column, method: str = "interpolate") -> Column:
-    return condition(x, F.lit(1.0), [fill_kernel(method)])
+    return condition(x, F.lit(1.0), [fill_kernel(method)], 1)
 
 
 # --- spectra ------------------------------------------------------------------------

@@ -26,7 +26,7 @@ def clean_ppg(df: DataFrame, x: str, fs: str, out: str) -> DataFrame:
 
 def assess(df: DataFrame, x: str, fs: str, out: str = "sqi") -> DataFrame:
     """Quality verdict of each (cleaned) window."""
-    n, rate = F.size(x), F.col(fs)
+    n, rate = F.coalesce(F.size(x), F.lit(0)), F.col(fs)
 
     def verdict(m: Column, q: Column) -> Column:
         m2, m3, m4 = m["m2"], m["m3"], m["m4"]
