@@ -139,7 +139,8 @@ def fill_kernel(method: str = "interpolate") -> Kernel:
     def fill(m: np.ndarray, _fs: float) -> np.ndarray:
         m = m.copy()
         at = np.arange(m.shape[1])
-        for v in m[np.isnan(m).any(axis=1)]:
+        for i in np.flatnonzero(np.isnan(m).any(axis=1)):
+            v = m[i]  # a view: filled in place
             bad = np.isnan(v)
             if bad.all() or method == "zero":
                 v[bad] = 0.0

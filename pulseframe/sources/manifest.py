@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.sources.files import listing, pieces
+from pulseframe.sources.files import listing, locate, pieces
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,10 +32,25 @@ def manifest(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return hashed.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "length", "sha256")
 
 
-def verify(actual: DataFrame, expected: DataFrame) -> DataFrame:
-    """Status per file of ``expected(file, expected_sha256)``; the digest compares in any case."""
-    return expected.join(actual, "file", "left").withColumn(
+def verify(actual: DataFrame, expected: DataFrame, folder: str) -> DataFrame:
+    """Status per file of ``expected(file, expected_sha256)``; the digest compares in any case.
+
+    Spark's file listing leaves out empty files, so names without a digest are looked up.
+    """
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for name in b["file"]:
+                fs, inner = locate(f"{folder}/{name}")
+                info = fs.get_file_info(inner)
+                found.append("EMPTY" if info.is_file and info.size == 0 else "MISSING")
+            yield b.assign(status=found)
+
+    joined = expected.select("file", "expected_sha256").join(actual, "file", "left")
+    known = joined.where(F.col("sha256").isNotNull()).withColumn(
         "status",
-        F.when(F.col("sha256").isNull(), "MISSING").when(F.col("length") == 0, "EMPTY")
-        .when(F.col("expected_sha256").isNull() | (F.lower("expected_sha256") == F.col("sha256")), "OK").otherwise("MISMATCH"),
-    )
+        F.when(F.col("expected_sha256").isNull() | (F.lower("expected_sha256") == F.col("sha256")), "OK").otherwise("MISMATCH"),
+    ).select("file", "length", "sha256", "status")
+    absent = joined.where(F.col("sha256").isNull()).select("file").mapInPandas(probe, "file string, status string")
+    return known.unionByName(absent, allowMissingColumns=True)
