@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.operators.lookup import lookup
 from pulseframe.operators.quantiles import exact_quantiles
 from pulseframe.operators.series import last_valid, neighbourhood, next_valid, scan
 
@@ -28,12 +29,9 @@ def impute_linear(df: DataFrame, key: list[str], order: list[str], chunk: Column
 
 
 def impute_median(df: DataFrame, key: list[str], value: str, out: str, width: float = 1.0) -> DataFrame:
-    medians = exact_quantiles(df, key, value, {"_median": 0.5}, width)
-    return (
-        df.join(medians, key, "left")
-        .withColumn(out, F.coalesce(F.col(value), F.col("_median"), F.lit(0.0)))
-        .drop("_median")
-    )
+    medians = exact_quantiles(df, key, value, {"_median": 0.5}, width, count="_valid")
+    filled = lookup(df, medians, key, "_valid", ["_median"])
+    return filled.withColumn(out, F.coalesce(F.col(value), F.col("_median"), F.lit(0.0))).drop("_median")
 
 
 def impute_zero(value: Column) -> Column:
@@ -42,13 +40,13 @@ def impute_zero(value: Column) -> Column:
 
 def robust_scale(df: DataFrame, key: list[str], value: str, out: str, width: float = 1.0) -> DataFrame:
     """(x - median) / IQR, or over the standard deviation when the IQR vanishes."""
-    q = exact_quantiles(df, key, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, width)
+    q = exact_quantiles(df, key, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, width, count="_valid")
     spread = df.groupBy(*key).agg(F.stddev_pop(value).alias("_std"))
     stats = q.join(spread, key)
     iqr = F.col("_q3") - F.col("_q1")
     centred = F.col(value) - F.col("_q2")
     return (
-        df.join(stats, key)
+        lookup(df, stats, key, "_valid", ["_q1", "_q2", "_q3", "_std"])
         .withColumn(out, F.when(iqr < 1e-6, centred / (F.col("_std") + 1e-6)).otherwise(centred / iqr))
         .drop("_q1", "_q2", "_q3", "_std")
     )

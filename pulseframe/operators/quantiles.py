@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pulseframe.operators.series import key_total, running_sum, scan, value_chunk
 
 
-def exact_quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str, float], width: float = 1.0) -> DataFrame:
+def exact_quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str, float], width: float = 1.0, count: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles of the non-null values, one row per key.
 
+    ``count`` adds the number of values.
+
     Equal values are merged first (sensor samples are quantised, so this is most of them);
     ranks then come from a chunked running count over value slices of ``width``.
     """
@@ -37,4 +39,6 @@ def exact_quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str,
         at = F.lit(p) * (F.col("_n") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    if count:
+        out.append(F.col("_n").alias(count))
     return picked.select(*key, *out)

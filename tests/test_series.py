@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.operators import conditioning, features, series, sessions, windows
+from pulseframe.operators.lookup import lookup
 from pulseframe.operators.quantiles import exact_quantiles
 
 
@@ -90,6 +91,15 @@ def test_exact_quantiles(df, rows):
         assert (got[c] - want[p]).abs().max() < 1e-9
 
 
+def test_lookup_splits_hot_keys(df, rows):
+    per_key = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s")).where("k <> 3")
+    want = rows[rows.k != 3].groupby("k")["id"].sum().to_dict()
+    for hot in (50, 10_000):  # with and without hot keys
+        got = lookup(df, per_key, ["k"], "n", ["s"], hot_rows=hot).collect()
+        assert len(got) == len(rows)
+        assert all(r["s"] == want.get(r["k"]) for r in got)
+
+
 def test_sliding_windows_whole_only(spark):
     df = spark.range(25).select(F.lit(1).alias("k"), F.col("id").alias("t"), "id")
     df = series.indexed(df, ["k"], ["t"], F.floor(F.col("t") / 4), total="total")
