@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pulseframe import constants as C
 from pulseframe.functions.binding import let
 
 
@@ -97,5 +98,13 @@ def proportional_slice(x: Column, start: Column, end: Column, length: Column) ->
     return let(x, cut)
 
 
+def lead_rank(channel: Column, preferred: list[str] = C.PRIMARY_LEADS) -> Column:
+    """Sort key of the primary channel: preferred names in order, then all others alike."""
+    rank = F.lit(len(preferred))
+    for i in reversed(range(len(preferred))):
+        rank = F.when(channel == preferred[i], i).otherwise(rank)
+    return rank
+
+
 def tail(x: Column, n: int) -> Column:
     return F.when(F.size(x) > n, F.slice(x, -n, n)).otherwise(x)

@@ -49,8 +49,11 @@ def _write(folder: str):
     return run
 
 
-def wfdb_folder(spark, folder: str) -> str:
-    """Write every device's samples as WFDB records of up to ``SEGMENT`` frames."""
+def wfdb_folder(spark, folder: str, broken: bool = False) -> str:
+    """Write every device's samples as WFDB records of up to ``SEGMENT`` frames.
+
+    ``broken`` leaves out the signal file of records that begin with a lost sample.
+    """
     out = scratch(spark, "wfdb")
     code = F.create_map(*[x for k, v in CODES.items() for x in (F.lit(k), F.lit(v))])
     rows = signal(spark, folder).select(
@@ -63,7 +66,7 @@ def wfdb_folder(spark, folder: str) -> str:
         "%s 2 360 %d\n%s.dat 212 200(1024)/mV 11 1024 0 0 0 MLII\n%s.dat 212 100 11 1024 0 0 0 V5\n# %d %s 1085 1629 x1\n# Aldomet, call 555-123-4567\n",
         "record_id", F.size("s"), "record_id", "record_id", (20 + u % 60).cast("int"), F.when(u % 2 == 0, "M").otherwise("F"))
     recs.select(
-        "record_id", header.alias("header"), (u % 10 != 3).alias("has_data"), F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.code").alias("codes"),
+        "record_id", header.alias("header"), (~F.lit(broken) | (F.col("s.code")[0] != CODES["error"])).alias("has_data"), F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.code").alias("codes"),
     ).mapInPandas(_write(out), "record_id string").write.format("noop").mode("overwrite").save()
     return out
 
@@ -83,8 +86,8 @@ def wfdb_headers(spark, folder):
 
 
 @query("wfdb_signals", _REC + """
-SELECT record_id, 'MLII' AS channel, i, round((a - 1024) / 200.0::DOUBLE, 6) AS mv FROM rec WHERE user_id % 10 <> 3
-UNION ALL SELECT record_id, 'V5', i, round((b - 1024) / 100.0::DOUBLE, 6) FROM rec WHERE user_id % 10 <> 3""")
+SELECT record_id, 'MLII' AS channel, i, round((a - 1024) / 200.0::DOUBLE, 6) AS mv FROM rec
+UNION ALL SELECT record_id, 'V5', i, round((b - 1024) / 100.0::DOUBLE, 6) FROM rec""")
 def wfdb_signals(spark, folder):
     blocks = wfdb.read_signals(spark, wfdb_folder(spark, folder), block=64)
     flat = blocks.select("record_id", "channel", "start", F.posexplode("samples").alias("k", "v"))
@@ -100,14 +103,14 @@ def wfdb_beats(spark, folder):
 @query("wfdb_records", _REC + f"""
 SELECT record_id, {_pseudonym_sql('record_id')} AS patient_pseudonym, 360.0::DOUBLE AS fs, count(*) AS frames, 2 AS n_channels, (20 + user_id % 60)::INT AS age,
   CASE WHEN user_id % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 'Aldomet, call [REDACTED_PHONE]' AS medications, 'WFDB_212' AS source_format
-FROM rec WHERE user_id % 10 <> 3 GROUP BY record_id, user_id""")
+FROM rec GROUP BY record_id, user_id HAVING arg_min(event_type, i) <> 'error'""")
 def wfdb_records(spark, folder):
-    return wfdb.read_records(spark, wfdb_folder(spark, folder), SALT)[0]
+    return wfdb.read_records(spark, wfdb_folder(spark, folder, broken=True), SALT)[0]
 
 
-@query("ingest_rejects", _REC + "SELECT DISTINCT record_id, 'WFDB binary data file not found' AS reason FROM rec WHERE user_id % 10 = 3")
+@query("ingest_rejects", _REC + "SELECT record_id, 'WFDB binary data file not found' AS reason FROM rec WHERE i = 0 AND event_type = 'error'")
 def ingest_rejects(spark, folder):
-    return wfdb.read_records(spark, wfdb_folder(spark, folder), SALT)[1]
+    return wfdb.read_records(spark, wfdb_folder(spark, folder, broken=True), SALT)[1]
 
 
 @query("csv_ingest", """

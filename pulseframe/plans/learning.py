@@ -76,7 +76,8 @@ def eval_report(spark, folder):
     df = scored(spark, folder).withColumn("cohort", F.lit("all"))
     rates = fairness.subgroup_rates(df, {"lang": "lang", "source": "source"}, "y", "yhat")
     doc = report({
-        "report_metadata": df.select(F.lit("Evaluation report").alias("title"), F.lit("de-identified").alias("privacy")).limit(1),
+        "report_metadata": df.groupBy().agg(F.count(F.lit(1)).alias("scored_rows")).select(
+            F.lit("Evaluation report").alias("title"), F.lit("de-identified").alias("privacy"), "scored_rows"),
         "clinical_metrics": metrics.clinical_metrics(df, ["cohort"], "y", "yhat", "p"),
         "fairness_audit": fairness.audit(rates), "fairness_groups": fairness.subgroup_report(rates),
     })

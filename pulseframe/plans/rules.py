@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseframe import constants as C
 from pulseframe.functions import quality, sensors, triage
+from pulseframe.functions.arrays import lead_rank
 from pulseframe.operators import validation
 from pulseframe.operators.series import last_valid, scan, time_chunk
 from pulseframe.plans.registry import SCORED, query, with_
@@ -168,15 +169,17 @@ def label_join(spark, folder):
 
 
 @query("primary_lead", """
-WITH c AS (SELECT user_id, event_type, min((ts, event_id)) AS seen FROM events WHERE user_id % 7 <> 0 OR event_type NOT IN ('purchase', 'view') GROUP BY 1, 2),
-k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, seen) AS rn FROM c)
-SELECT user_id, event_type AS lead FROM k WHERE rn = 1""")
+WITH c AS (SELECT user_id, CASE WHEN user_id % 7 = 0 AND event_type IN ('purchase', 'view') THEN 'aux' ELSE event_type END AS lead, min((ts, event_id)) AS seen FROM events GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE lead WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 ELSE 2 END, seen) AS rn FROM c)
+SELECT user_id, lead FROM k WHERE rn = 1""")
 def primary_lead(spark, folder):
-    """'purchase' plays the preferred lead and 'view' the second choice; else the first channel seen."""
-    df = events(spark, folder, "event_id", "ts", "user_id", "event_type").where(
-        (F.col("user_id") % 7 != 0) | ~F.col("event_type").isin("purchase", "view"))
-    rank = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "view", 1).otherwise(2)
-    return df.groupBy("user_id").agg(F.min_by("event_type", F.struct(rank.alias("k"), "ts", "event_id")).alias("lead"))
+    """'purchase' plays the preferred lead and 'view' the second choice; else the first channel seen.
+
+    On some devices both channels carry another name, so that every branch occurs.
+    """
+    renamed = (F.col("user_id") % 7 == 0) & F.col("event_type").isin("purchase", "view")
+    df = events(spark, folder, "event_id", "ts", "user_id", "event_type").withColumn("lead", F.when(renamed, "aux").otherwise(F.col("event_type")))
+    return df.groupBy("user_id").agg(F.min_by("lead", F.struct(lead_rank(F.col("lead"), ["purchase", "view"]).alias("k"), "ts", "event_id")).alias("lead"))
 
 
 @query("adc_to_mv", """

@@ -42,11 +42,13 @@ def _long(df: DataFrame, key: str, x: str, digits: int = 6) -> DataFrame:
     return df.select(key, F.posexplode(x).alias("i", "v")).select(key, "i", r(F.col("v"), digits).alias("v"))
 
 
-@query("record_windows", """
-WITH s AS (SELECT l_suppkey AS record_id, l_extendedprice / 10000.0::DOUBLE AS ecg, l_quantity AS ppg,
+_RECORDS = """s AS (SELECT l_suppkey AS record_id, l_extendedprice / 10000.0::DOUBLE AS ecg, l_quantity AS ppg, 88.0::DOUBLE + l_discount * 100 AS spo2,
    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount) - 1 AS idx FROM lineitem),
 t AS (SELECT record_id, count(*) AS total FROM s GROUP BY 1),
-w AS (SELECT s.*, u.w_idx FROM s JOIN t USING (record_id), LATERAL (SELECT unnest([idx // 125 - 1, idx // 125]) AS w_idx) u WHERE u.w_idx >= 0 AND u.w_idx * 125 + 250 <= total)
+w AS (SELECT s.*, u.w_idx FROM s JOIN t USING (record_id), LATERAL (SELECT unnest([idx // 125 - 1, idx // 125]) AS w_idx) u WHERE u.w_idx >= 0 AND u.w_idx * 125 + 250 <= total)"""
+
+
+@query("record_windows", with_(_RECORDS) + """
 SELECT record_id, w_idx::BIGINT AS w_idx, count(*)::INT AS n, round(arg_min(ecg, idx), 6) AS first_ecg, round(arg_max(ecg, idx), 6) AS last_ecg, round(avg(ppg), 6) AS mean_ppg FROM w GROUP BY 1, 2""")
 def record_windows_summary(spark, folder):
     return record_windows(spark, folder).select(
@@ -97,9 +99,57 @@ def scale_sql(source: str, name: str) -> str:
   SELECT vec_id, x, list_aggregate(x, 'quantile_cont', 0.25) AS q1, list_aggregate(x, 'quantile_cont', 0.5) AS q2, list_aggregate(x, 'quantile_cont', 0.75) AS q3, list_stddev_pop(x) AS sd FROM {source}))"""
 
 
-_K = dsp.baseline_width(FS)
-_DETREND_SQL = f"""det AS (SELECT vec_id, list_transform(range(1, 65), lambda i: x[i] - list_sort(
-   list_transform(range(i - {_K // 2}, i + {_K // 2} + 1), lambda j: CASE WHEN j BETWEEN 1 AND 64 THEN x[j] ELSE 0.0 END))[{_K // 2 + 1}]) AS x FROM nt)"""
+def detrend_sql(source: str, name: str, n: int, fs: float) -> str:
+    half = dsp.baseline_width(fs) // 2
+    return f"""{name} AS (SELECT vec_id, list_transform(range(1, {n + 1}), lambda i: x[i] - list_sort(
+   list_transform(range(i - {half}, i + {half} + 1), lambda j: CASE WHEN j BETWEEN 1 AND {n} THEN x[j] ELSE 0.0 END))[{half + 1}]) AS x FROM {source})"""
+
+
+def ratios_sql(source: str, name: str, n: int, fs: float) -> str:
+    """Single-segment spectrum (n <= 2 fs): baseline and muscle shares."""
+    return f"""
+{name}_t AS (SELECT vec_id, list_transform(range(0, {n}), lambda i: (x[i + 1] - list_avg(x)) * (0.5 - 0.5 * cos(2 * pi() * i / {n}))) AS s FROM {source}),
+{name}_p AS (SELECT vec_id, k, k * {fs} / {n} AS f, CASE WHEN k IN (0, {n // 2}) THEN 1 ELSE 2 END *
+   (pow(list_sum(list_transform(range(0, {n}), lambda i: s[i + 1] * cos(2 * pi() * k * i / {n}))), 2)
+  + pow(list_sum(list_transform(range(0, {n}), lambda i: s[i + 1] * sin(2 * pi() * k * i / {n}))), 2)) / ({fs} * {n * 3 / 8}) AS power
+  FROM {name}_t, LATERAL (SELECT unnest(range(0, {n // 2 + 1})) AS k) u),
+{name} AS (SELECT vec_id, sum(CASE WHEN f < 1 THEN power ELSE 0 END) / (sum(power) + 1e-9) AS baseline,
+   sum(CASE WHEN f > 45 THEN power ELSE 0 END) / (sum(power) + 1e-9) AS emg FROM {name}_p GROUP BY vec_id)"""
+
+
+def shape_sql(source: str, name: str) -> str:
+    return f"""
+{name}_m AS (SELECT vec_id, x, list_avg(x) AS mu, list_var_pop(x) AS v2 FROM {source}),
+{name} AS (SELECT vec_id, mu, v2, list_sum(list_transform(x, lambda e: pow(e - mu, 3))) / len(x) AS m3, list_sum(list_transform(x, lambda e: pow(e - mu, 4))) / len(x) AS m4,
+   list_max(x) - list_min(x) AS ptp, len(list_filter(range(1, len(x)), lambda i: (x[i] > 0) <> (x[i + 1] > 0))) / len(x)::DOUBLE AS zcr FROM {name}_m)"""
+
+
+def entropy_sql(source: str, name: str, n: int) -> str:
+    return f"""
+{name}_e AS (SELECT vec_id, x, 0.2 * (list_stddev_pop(x) + 1e-8) AS r FROM {source}),
+{name}_m AS (SELECT vec_id, i, j, abs(x[i] - x[j]) <= r AND abs(x[i + 1] - x[j + 1]) <= r AS m2,
+   i <= {n - 2} AND j <= {n - 2} AND abs(x[i] - x[j]) <= r AND abs(x[i + 1] - x[j + 1]) <= r AND abs(x[i + 2] - x[j + 2]) <= r AS m3
+  FROM {name}_e, LATERAL (SELECT unnest(range(1, {n})) AS i) a, LATERAL (SELECT unnest(range(1, {n})) AS j) b WHERE i <> j),
+{name}_c AS (SELECT vec_id, count(*) FILTER (m2) / ({n - 1} * {n - 2} + 1e-8) AS p2, count(*) FILTER (m3) / ({n - 2} * {n - 3} + 1e-8) AS p3 FROM {name}_m GROUP BY 1),
+{name} AS (SELECT vec_id, CASE WHEN p2 > 0 AND p3 > 0 THEN -ln(p3 / p2) ELSE 0.5 END AS sampen FROM {name}_c)"""
+
+
+def peaks_sql(source: str, name: str, n: int, fs: float) -> str:
+    """Greedy beat choice: candidates from the highest down, each kept unless too close to a kept one."""
+    length, reach, apart = max(int(0.15 * fs), 3), int(0.08 * fs), int(fs * 60 / 220)
+    back, ahead = length // 2, (length - 1) // 2
+    return f"""
+{name}_d AS (SELECT vec_id, x, list_transform(range(1, {n}), lambda i: pow(x[i + 1] - x[i], 2)) AS sq FROM {source}),
+{name}_v AS (SELECT vec_id, x, list_transform(range(1, {n}), lambda i: list_sum(sq[greatest(i - {back}, 1):least(i + {ahead}, {n - 1})]) / {length}) AS env FROM {name}_d),
+{name}_h AS (SELECT *, greatest(list_aggregate(env, 'quantile_cont', 0.9) * 0.30, 1e-4) AS th FROM {name}_v),
+{name}_c AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY env[i] DESC, i DESC) AS k
+  FROM {name}_h, LATERAL (SELECT unnest(range(2, {n - 1})) AS i) u WHERE env[i] > env[i - 1] AND env[i] > env[i + 1] AND env[i] >= th),
+{name}_k AS (SELECT vec_id, 1 AS k, [i] AS kept FROM {name}_c WHERE k = 1
+  UNION ALL SELECT p.vec_id, p.k + 1, CASE WHEN len(list_filter(kept, lambda q: abs(q - c.i) < {apart})) = 0 THEN list_append(kept, c.i) ELSE kept END
+  FROM {name}_k p JOIN {name}_c c ON c.vec_id = p.vec_id AND c.k = p.k + 1),
+{name}_f AS (SELECT vec_id, arg_max(kept, k) AS kept FROM {name}_k GROUP BY 1),
+{name} AS (SELECT DISTINCT vec_id, (lo - 1 + list_position(x[lo:hi], list_max(x[lo:hi])) - 1)::INT AS peak
+  FROM (SELECT f.vec_id, s.x, greatest(q - {reach}, 1) AS lo, least(q + {reach}, {n}) AS hi FROM {name}_f f JOIN {source} s USING (vec_id), LATERAL (SELECT unnest(kept) AS q) u))"""
 
 
 @query("bandpass_windows", _filter_oracle(filter_sql(*_BP, "emb", "bp", 64), last="bp"))
@@ -114,7 +164,7 @@ def notch_windows(spark, folder):
     return _long(df.select("vec_id", dsp.notch(F.col("x"), F.col("fs")).alias("y")), "vec_id", "y")
 
 
-@query("clean_ecg", _filter_oracle(filter_sql(*_BP, "emb", "bp", 64), filter_sql(*_NOTCH, "bp", "nt", 64), _DETREND_SQL, scale_sql("det", "cl"), last="cl"))
+@query("clean_ecg", _filter_oracle(filter_sql(*_BP, "emb", "bp", 64), filter_sql(*_NOTCH, "bp", "nt", 64), detrend_sql("nt", "det", 64, FS), scale_sql("det", "cl"), last="cl"))
 def clean_ecg(spark, folder):
     return _long(ecg.clean_ecg(emb(spark, folder), "x", "fs", "y"), "vec_id", "y")
 
@@ -124,46 +174,18 @@ def clean_ppg(spark, folder):
     return _long(ecg.clean_ppg(emb(spark, folder), "x", "fs", "y"), "vec_id", "y")
 
 
-@query("spectral_sqi", with_(EMB) + """,
-t AS (SELECT vec_id, list_transform(range(0, 64), lambda i: (x[i + 1] - list_avg(x)) * (0.5 - 0.5 * cos(2 * pi() * i / 64))) AS s FROM emb),
-p AS (SELECT vec_id, k, k * 125.0 / 64 AS f, CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END *
-   (pow(list_sum(list_transform(range(0, 64), lambda i: s[i + 1] * cos(2 * pi() * k * i / 64))), 2)
-  + pow(list_sum(list_transform(range(0, 64), lambda i: s[i + 1] * sin(2 * pi() * k * i / 64))), 2)) / (125.0 * 24) AS power
-  FROM t, LATERAL (SELECT unnest(range(0, 33)) AS k) u)
-SELECT vec_id, round(sum(CASE WHEN f < 1 THEN power ELSE 0 END) / (sum(power) + 1e-9), 6) + 0.0 AS baseline, round(sum(CASE WHEN f > 45 THEN power ELSE 0 END) / (sum(power) + 1e-9), 6) AS emg
-FROM p GROUP BY vec_id""")
+@query("spectral_sqi", with_(EMB, ratios_sql("emb", "q", 64, FS).strip()) + "SELECT vec_id, round(baseline, 6) + 0.0 AS baseline, round(emg, 6) AS emg FROM q")
 def spectral_sqi(spark, folder):
     ratios = emb(spark, folder).select("vec_id", dsp.noise_ratios(F.col("x"), F.col("fs")).alias("q"))
     return ratios.select("vec_id", r(F.col("q")[0]).alias("baseline"), r(F.col("q")[1]).alias("emg"))
 
 
-@query("sample_entropy", with_(EMB) + """,
-e AS (SELECT vec_id, x, 0.2 * (list_stddev_pop(x) + 1e-8) AS r FROM emb),
-m AS (SELECT vec_id, i, j, abs(x[i] - x[j]) <= r AND abs(x[i + 1] - x[j + 1]) <= r AS m2, i <= 62 AND j <= 62 AND abs(x[i] - x[j]) <= r AND abs(x[i + 1] - x[j + 1]) <= r AND abs(x[i + 2] - x[j + 2]) <= r AS m3
-  FROM e, LATERAL (SELECT unnest(range(1, 64)) AS i) a, LATERAL (SELECT unnest(range(1, 64)) AS j) b WHERE i <> j),
-c AS (SELECT vec_id, count(*) FILTER (m2) / (63 * 62 + 1e-8) AS p2, count(*) FILTER (m3) / (62 * 61 + 1e-8) AS p3 FROM m GROUP BY 1)
-SELECT vec_id, round(CASE WHEN p2 > 0 AND p3 > 0 THEN -ln(p3 / p2) ELSE 0.5 END, 6) + 0.0 AS sampen FROM c""")
+@query("sample_entropy", with_(EMB, entropy_sql("emb", "en", 64).strip()) + "SELECT vec_id, round(sampen, 6) + 0.0 AS sampen FROM en")
 def sample_entropy(spark, folder):
     return embeddings(spark, folder).select("vec_id", r(dsp.sample_entropy(F.col("x"))).alias("sampen"))
 
 
-# Window 18 samples, reach 10, beats at least 34 samples apart at 125 Hz.
-R_PEAKS_SQL = with_(EMB).replace("WITH ", "WITH RECURSIVE ") + """,
-d AS (SELECT vec_id, x, list_transform(range(1, 64), lambda i: pow(x[i + 1] - x[i], 2)) AS sq FROM emb),
-ev AS (SELECT vec_id, x, list_transform(range(1, 64), lambda i: coalesce(list_sum(sq[greatest(i - 9, 1):least(i + 8, 63)]), 0) / 18) AS env FROM d),
-th AS (SELECT *, greatest(list_aggregate(env, 'quantile_cont', 0.9) * 0.30, 1e-4) AS th FROM ev),
-cand AS (SELECT vec_id, i, env[i] AS h, row_number() OVER (PARTITION BY vec_id ORDER BY env[i] DESC, i DESC) AS k
-  FROM th, LATERAL (SELECT unnest(range(2, 63)) AS i) u WHERE env[i] > env[i - 1] AND env[i] > env[i + 1] AND env[i] >= th),
-pick AS (SELECT vec_id, 1 AS k, [i] AS kept FROM cand WHERE k = 1
-  UNION ALL SELECT p.vec_id, p.k + 1, CASE WHEN len(list_filter(kept, lambda q: abs(q - c.i) < 34)) = 0 THEN list_append(kept, c.i) ELSE kept END
-  FROM pick p JOIN cand c ON c.vec_id = p.vec_id AND c.k = p.k + 1),
-fin AS (SELECT vec_id, arg_max(kept, k) AS kept FROM pick GROUP BY 1),
-ref AS (SELECT f.vec_id, greatest(q - 10, 1) - 1 + list_position(x[greatest(q - 10, 1):least(q + 10, 64)], list_max(x[greatest(q - 10, 1):least(q + 10, 64)])) - 1 AS peak
-  FROM fin f JOIN emb USING (vec_id), LATERAL (SELECT unnest(kept) AS q) u)
-SELECT DISTINCT vec_id, peak::INT AS peak FROM ref"""
-
-
-@query("r_peaks", R_PEAKS_SQL)
+@query("r_peaks", "WITH RECURSIVE " + EMB + "," + peaks_sql("emb", "pk", 64, FS) + "\nSELECT vec_id, peak FROM pk")
 def r_peaks(spark, folder):
     df = emb(spark, folder)
     return df.select("vec_id", F.explode(dsp.r_peaks(F.col("x"), F.col("fs"))).alias("peak"))
@@ -177,7 +199,42 @@ def hrv_freq_domain(spark, folder):
     return bands.select("record_id", "w_idx", "n_beats", *[r(F.col("b")[i]).alias(n) for i, n in enumerate(C.FEATURES_FREQ)])
 
 
-@query("window_features")
+def hrv_arrays_sql(peaks: str, source: str, name: str, fs: float) -> str:
+    return f"""
+{name}_b AS (SELECT s.vec_id, list_sort(coalesce(list(p.peak) FILTER (p.peak IS NOT NULL), [])) AS b FROM {source} s LEFT JOIN {peaks} p USING (vec_id) GROUP BY s.vec_id),
+{name}_r AS (SELECT vec_id, len(b) AS nb, list_transform(range(1, len(b)), lambda i: (b[i + 1] - b[i]) / {fs}::DOUBLE * 1000) AS rr FROM {name}_b),
+{name}_u AS (SELECT vec_id, nb, CASE WHEN len(list_filter(rr, lambda v: v BETWEEN 250 AND 2000)) >= 2 THEN list_filter(rr, lambda v: v BETWEEN 250 AND 2000) ELSE rr END AS u FROM {name}_r),
+{name}_s AS (SELECT *, list_transform(range(1, len(u)), lambda i: u[i + 1] - u[i]) AS st, list_transform(u, lambda v: 60000 / v) AS hr FROM {name}_u),
+{name} AS (SELECT vec_id, CASE WHEN nb < 3 THEN 800.0 ELSE list_avg(u) END AS mean_rr_ms,
+   CASE WHEN nb < 3 OR len(u) < 2 THEN 0.0 ELSE list_stddev_samp(u) END AS sdnn_ms,
+   CASE WHEN nb < 3 OR len(st) = 0 THEN 0.0 ELSE sqrt(list_avg(list_transform(st, lambda d: d * d))) END AS rmssd_ms,
+   CASE WHEN nb < 3 OR len(st) = 0 THEN 0.0 ELSE len(list_filter(st, lambda d: abs(d) > 50)) / len(st)::DOUBLE * 100 END AS pnn50,
+   CASE WHEN nb < 3 THEN 75.0 ELSE list_avg(hr) END AS mean_hr_bpm, CASE WHEN nb < 3 THEN 75.0 ELSE list_min(hr) END AS min_hr_bpm,
+   CASE WHEN nb < 3 THEN 75.0 ELSE list_max(hr) END AS max_hr_bpm, CASE WHEN nb < 3 THEN 0.0 ELSE list_max(hr) - list_min(hr) END AS hr_range_bpm FROM {name}_s)"""
+
+
+# A two-second window is too short for a beat spectrum: fewer than 16 points at 4 Hz.
+_FEATURES_SQL = "WITH RECURSIVE " + ",\n".join(v.strip() for v in (
+    _RECORDS,
+    """raw AS (SELECT record_id * 100000 + w_idx AS vec_id, any_value(record_id) AS record_id, any_value(w_idx) AS w_idx, list(ecg ORDER BY idx) AS x,
+       avg(spo2) AS spo2_mean, min(spo2) AS spo2_min, stddev_pop(spo2) AS spo2_std, avg(CASE WHEN spo2 < 90 THEN 1.0 ELSE 0.0 END) AS spo2_desat_ratio,
+       (max(ppg) - min(ppg)) / abs(avg(ppg)) * 100 AS ppg_perfusion_index FROM w GROUP BY record_id, w_idx)""",
+    filter_sql(*_BP, "raw", "bp", PACKET), filter_sql(*_NOTCH, "bp", "nt", PACKET), detrend_sql("nt", "det", PACKET, FS),
+    scale_sql("det", "cl0"), "cl AS MATERIALIZED (SELECT * FROM cl0)", ratios_sql("cl", "q", PACKET, FS), shape_sql("cl", "sh"),
+    entropy_sql("cl", "en", PACKET), peaks_sql("cl", "pk", PACKET, FS), hrv_arrays_sql("pk", "cl", "hv", FS),
+    """k AS (SELECT sh.*, m4 / (v2 * v2) - 3 AS kurt, baseline, emg FROM sh JOIN q USING (vec_id))""",
+)) + """
+SELECT record_id, w_idx::BIGINT AS w_idx, v2 >= 1e-7 AND kurt BETWEEN 2 AND 60 AND baseline <= 0.60 AND emg <= 0.35 AS is_acceptable,
+  round(0.5 * (CASE WHEN kurt >= 2 THEN least(greatest((kurt - 2) / 8, 0.0), 1.0) ELSE 0.0 END) + 0.5 * greatest(0.0, 1.0 - (baseline * 1.2 + emg * 1.5)), 6) AS quality_score,
+  """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in C.FEATURES_TIME) + """,
+  0.0::DOUBLE AS vlf_power, 0.0::DOUBLE AS lf_power, 0.0::DOUBLE AS hf_power, 1.0::DOUBLE AS lf_hf_ratio, 0.0::DOUBLE AS total_power,
+  round(mu, 6) + 0.0 AS stat_mean, round(sqrt(v2), 6) AS stat_std, round(v2, 6) AS stat_var, round(m3 / pow(v2, 1.5), 6) + 0.0 AS stat_skewness, round(kurt, 6) + 0.0 AS stat_kurtosis,
+  round(ptp, 6) AS stat_p2p_amp, round(zcr, 6) AS stat_zcr, round(sampen, 6) + 0.0 AS stat_sample_entropy,
+  """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in C.FEATURES_OXI) + """
+FROM raw JOIN k USING (vec_id) JOIN en USING (vec_id) JOIN hv USING (vec_id)"""
+
+
+@query("window_features", _FEATURES_SQL)
 def window_features(spark, folder):
     out = ecg.window_features(record_windows(spark, folder), "ecg", "fs", "ppg", "spo2", gate=False)
     return out.select("record_id", "w_idx", "sqi.is_acceptable", r(F.col("sqi.quality_score")).alias("quality_score"),
