@@ -21,7 +21,7 @@ def _response(df: DataFrame, keep: list[str]) -> DataFrame:
     out = df.withColumn("_p", p)
 
     def vital(name: str, default: float, alias: str) -> Column:
-        return F.round(F.coalesce(F.col(name), F.lit(default)), 1).alias(alias)
+        return (F.round(F.coalesce(F.col(name), F.lit(default)), 1) + 0.0).alias(alias)
 
     return out.select(
         *keep, F.lit("SUCCESS").alias("status"), F.lit(None).cast("string").alias("message"), F.round("quality_score", 4).alias("quality_score"),

@@ -132,7 +132,8 @@ def calibration_bins(spark, folder):
 
 
 def _fair_sql(*attributes: str) -> str:
-    return SCORED + ",\n" + """a AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS attribute, {a} AS grp, y, yhat FROM scored" for a in attributes) + """),
+    return SCORED + """,
+a AS (""" + " UNION ALL ".join(f"SELECT '{a}' AS attribute, {a} AS grp, y, yhat FROM scored" for a in attributes) + """),
 g AS (SELECT attribute, grp, count(*) AS sample_count, avg(yhat) AS sel, coalesce(avg(yhat) FILTER (y = 1), 0.0) AS tpr, coalesce(avg(yhat) FILTER (y = 0), 0.0) AS fpr
       FROM a GROUP BY 1, 2),
 au AS (SELECT attribute, CASE WHEN max(sel) > 1e-6 THEN min(sel) / max(sel) ELSE 1.0 END AS di, max(tpr) - min(tpr) AS td, max(fpr) - min(fpr) AS fd FROM g GROUP BY 1)"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.operators import fairness, metrics, model, splits
+from pulseframe.plans.evaluation import _ALL, _fair_sql
 from pulseframe.plans.registry import query
 from pulseframe.plans.roles import r, scored
 from pulseframe.plans.signals import windowed
@@ -70,7 +71,13 @@ def score_batch(spark, folder):
                       r(F.col("pathology_probability")).alias("pathology_probability"), r(F.col("confidence")).alias("confidence"))
 
 
-@query("eval_report")
+_REPORT = """report_metadata array<struct<title string, scored_rows bigint>>, clinical_metrics array<struct<auc_roc double, brier_score double, tp bigint>>,
+ fairness_audit array<struct<attribute string, disparate_impact double>>, fairness_groups array<struct<grp string, sample_count bigint>>"""
+
+
+@query("eval_report", _ALL.rstrip() + ",\n" + _fair_sql("lang", "source").split("FROM labels l JOIN documents d USING (doc_id)),\n")[1] + """
+SELECT 'Evaluation report' AS title, any_value(n) AS scored_rows, round(any_value(auc_roc), 6) AS auc_roc, round(any_value(brier_score), 6) AS brier_score, any_value(tp) AS tp,
+  (SELECT count(*) FROM au)::INT AS n_attributes, (SELECT round_even(min(di), 4) FROM au) AS lowest_impact, (SELECT sum(sample_count) FROM g)::BIGINT AS group_rows FROM met""")
 def eval_report(spark, folder):
     """Metrics and fairness audit as one JSON document, written and read back."""
     df = scored(spark, folder).withColumn("cohort", F.lit("all"))
@@ -83,4 +90,10 @@ def eval_report(spark, folder):
     })
     path = scratch(spark, "report")
     write_report(doc, path)
-    return spark.read.text(path).withColumnRenamed("value", "report")
+    back = spark.read.schema(_REPORT).json(path)
+    m, audit, groups = F.col("clinical_metrics")[0], F.col("fairness_audit"), F.col("fairness_groups")
+    return back.select(
+        F.col("report_metadata")[0]["title"].alias("title"), F.col("report_metadata")[0]["scored_rows"].alias("scored_rows"),
+        r(m["auc_roc"]).alias("auc_roc"), r(m["brier_score"]).alias("brier_score"), m["tp"].alias("tp"),
+        F.size(audit).alias("n_attributes"), F.array_min(audit["disparate_impact"]).alias("lowest_impact"),
+        F.aggregate(groups["sample_count"], F.lit(0).cast("long"), lambda a, v: a + v).alias("group_rows"))

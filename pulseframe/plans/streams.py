@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from pulseframe.functions import triage
 from pulseframe.operators import sessions
+from pulseframe.plans import waveforms
 from pulseframe.plans.deidentify import SALT, _pseudonym_sql
 from pulseframe.plans.files import _TELEMETRY_FIELDS, parsed_packets
 from pulseframe.plans.registry import query
 from pulseframe.plans.roles import ORDER, events, stamp
+from pulseframe.sources.sinks import materialise
 from pulseframe.streaming import device
 
 HORIZON, LIMIT = 6 * 3600, 2
@@ -108,3 +110,17 @@ FROM packets WHERE {_LEVEL_SQL} <> 'NORMAL'""")
 def stream_alerts(spark, folder):
     df = device.respond(parsed_packets(device.table_stream(spark, folder, "events")), SALT)
     return device.drain(device.alerts(df)).select("event_id", "level", "action")
+
+
+@query("stream_features", waveforms._FEATURE_VIEWS + f"""
+SELECT record_id, w_idx::BIGINT AS w_idx, {_pseudonym_sql('record_id')} AS device_pseudonym, round(rmssd_ms, 1) AS rmssd_ms,
+  CASE WHEN 40 + record_id % 90 < 50 OR 40 + record_id % 90 > 115 THEN 'CRITICAL' ELSE 'LOW_RISK' END AS triage_risk_tier
+FROM raw JOIN hv USING (vec_id)""")
+def stream_features(spark, folder):
+    """Full-length packets through cleaning, beat detection and triage as a stream."""
+    packets = materialise(waveforms.record_windows(spark, folder).select(
+        "record_id", "w_idx", F.col("record_id").cast("string").alias("device_id"), F.lit(False).alias("leads_off"),
+        (40 + F.col("record_id") % 90).cast("double").alias("bpm"), F.lit(98.0).alias("spo2"), "fs", F.col("ecg").alias("signal")), "packets")
+    stream = spark.readStream.schema(packets.schema).parquet(packets.inputFiles()[0].rsplit("/", 1)[0])
+    out = device.drain(device.respond(device.rhythm(stream), SALT))
+    return out.select("record_id", "w_idx", "device_pseudonym", "rmssd_ms", "triage_risk_tier")

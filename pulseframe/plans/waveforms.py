@@ -191,7 +191,37 @@ def r_peaks(spark, folder):
     return df.select("vec_id", F.explode(dsp.r_peaks(F.col("x"), F.col("fs"))).alias("peak"))
 
 
-@query("hrv_freq_domain")
+_RAW_SQL = """raw AS (SELECT record_id * 100000 + w_idx AS vec_id, any_value(record_id) AS record_id, any_value(w_idx) AS w_idx, list(ecg ORDER BY idx) AS x,
+       avg(spo2) AS spo2_mean, min(spo2) AS spo2_min, stddev_pop(spo2) AS spo2_std, avg(CASE WHEN spo2 < 90 THEN 1.0 ELSE 0.0 END) AS spo2_desat_ratio,
+       (max(ppg) - min(ppg)) / abs(avg(ppg)) * 100 AS ppg_perfusion_index FROM w GROUP BY record_id, w_idx)"""
+
+
+def bands_sql(peaks: str, source: str, name: str, fs: float) -> str:
+    """Spectrum of the beat intervals on a 4 Hz grid (at most 256 points: one segment)."""
+    bands = ", ".join(
+        f"coalesce(sum((power + nx) / 2 * 4 / n) FILTER (4.0 * k / n >= {lo} AND 4.0 * k / n < {hi} AND 4.0 * (k + 1) / n < {hi}), 0.0) AS {b}"
+        for b, lo, hi in C.HRV_BANDS)
+    return f"""
+{name}_b AS (SELECT s.vec_id, list_sort(coalesce(list(p.peak) FILTER (p.peak IS NOT NULL), [])) AS b FROM {source} s LEFT JOIN {peaks} p USING (vec_id) GROUP BY s.vec_id),
+{name}_r AS (SELECT vec_id, len(b) AS nb, list_transform(range(1, len(b)), lambda i: (b[i + 1] - b[i]) / {fs}::DOUBLE) AS rr FROM {name}_b),
+{name}_t AS (SELECT *, list_transform(range(1, len(rr) + 1), lambda i: list_sum(rr[1:i])) AS tt FROM {name}_r),
+{name}_g AS (SELECT *, CASE WHEN nb < 6 THEN 0 ELSE ceil((tt[len(tt)] - tt[1]) / 0.25)::INT END AS n FROM {name}_t),
+{name}_e AS (SELECT vec_id, nb, n, list_transform(range(0, n), lambda j: (list_transform([len(list_filter(tt, lambda a: a <= tt[1] + j * 0.25))],
+    lambda i: CASE WHEN i >= len(tt) THEN rr[len(tt)] ELSE rr[i] + (rr[i + 1] - rr[i]) / (tt[i + 1] - tt[i]) * (tt[1] + j * 0.25 - tt[i]) END))[1]) AS e FROM {name}_g WHERE n >= 16),
+{name}_c AS (SELECT vec_id, n, list_transform(range(0, n), lambda j: (e[j + 1] - list_avg(e)) * (0.5 - 0.5 * cos(2 * pi() * j / n))) AS s FROM {name}_e),
+{name}_p AS (SELECT vec_id, n, k, CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END * (pow(list_sum(list_transform(range(0, n), lambda j: s[j + 1] * cos(2 * pi() * k * j / n))), 2)
+    + pow(list_sum(list_transform(range(0, n), lambda j: s[j + 1] * sin(2 * pi() * k * j / n))), 2)) / (4 * 0.375 * n) AS power FROM {name}_c, LATERAL (SELECT unnest(range(0, n // 2 + 1)) AS k) u),
+{name}_x AS (SELECT *, lead(power) OVER (PARTITION BY vec_id ORDER BY k) AS nx FROM {name}_p),
+{name}_w AS (SELECT vec_id, {bands} FROM {name}_x GROUP BY vec_id),
+{name} AS (SELECT vec_id, nb AS n_beats, coalesce(vlf, 0.0) AS vlf_power, coalesce(lf, 0.0) AS lf_power, coalesce(hf, 0.0) AS hf_power,
+   CASE WHEN hf > 1e-7 THEN least(lf / hf, 25.0) ELSE 1.0 END AS lf_hf_ratio, coalesce(vlf + lf + hf, 0.0) AS total_power FROM {name}_b LEFT JOIN {name}_w USING (vec_id) JOIN {name}_r USING (vec_id))"""
+
+
+_BANDS_OUT = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in C.FEATURES_FREQ)
+
+
+@query("hrv_freq_domain", "WITH RECURSIVE " + _RECORDS + ",\n" + _RAW_SQL + "," + peaks_sql("raw", "pk", PACKET, 30.0) + "," + bands_sql("pk", "raw", "bd", 30.0) + f"""
+SELECT record_id, w_idx::BIGINT AS w_idx, n_beats::INT AS n_beats, {_BANDS_OUT} FROM bd JOIN raw USING (vec_id)""")
 def hrv_freq_domain(spark, folder):
     """Beat intervals of every record window, at a rate that makes the series long enough for a spectrum."""
     w = record_windows(spark, folder).withColumn("beats", dsp.r_peaks(F.col("ecg"), F.lit(30.0)))
@@ -214,16 +244,15 @@ def hrv_arrays_sql(peaks: str, source: str, name: str, fs: float) -> str:
 
 
 # A two-second window is too short for a beat spectrum: fewer than 16 points at 4 Hz.
-_FEATURES_SQL = "WITH RECURSIVE " + ",\n".join(v.strip() for v in (
+_FEATURE_VIEWS = "WITH RECURSIVE " + ",\n".join(v.strip() for v in (
     _RECORDS,
-    """raw AS (SELECT record_id * 100000 + w_idx AS vec_id, any_value(record_id) AS record_id, any_value(w_idx) AS w_idx, list(ecg ORDER BY idx) AS x,
-       avg(spo2) AS spo2_mean, min(spo2) AS spo2_min, stddev_pop(spo2) AS spo2_std, avg(CASE WHEN spo2 < 90 THEN 1.0 ELSE 0.0 END) AS spo2_desat_ratio,
-       (max(ppg) - min(ppg)) / abs(avg(ppg)) * 100 AS ppg_perfusion_index FROM w GROUP BY record_id, w_idx)""",
+    _RAW_SQL,
     filter_sql(*_BP, "raw", "bp", PACKET), filter_sql(*_NOTCH, "bp", "nt", PACKET), detrend_sql("nt", "det", PACKET, FS),
     scale_sql("det", "cl0"), "cl AS MATERIALIZED (SELECT * FROM cl0)", ratios_sql("cl", "q", PACKET, FS), shape_sql("cl", "sh"),
     entropy_sql("cl", "en", PACKET), peaks_sql("cl", "pk", PACKET, FS), hrv_arrays_sql("pk", "cl", "hv", FS),
     """k AS (SELECT sh.*, m4 / (v2 * v2) - 3 AS kurt, baseline, emg FROM sh JOIN q USING (vec_id))""",
-)) + """
+))
+_FEATURES_SQL = _FEATURE_VIEWS + """
 SELECT record_id, w_idx::BIGINT AS w_idx, v2 >= 1e-7 AND kurt BETWEEN 2 AND 60 AND baseline <= 0.60 AND emg <= 0.35 AS is_acceptable,
   round(0.5 * (CASE WHEN kurt >= 2 THEN least(greatest((kurt - 2) / 8, 0.0), 1.0) ELSE 0.0 END) + 0.5 * greatest(0.0, 1.0 - (baseline * 1.2 + emg * 1.5)), 6) AS quality_score,
   """ + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in C.FEATURES_TIME) + """,

@@ -16,8 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pulseframe import constants as C
 from pulseframe.functions import arrays as A
-from pulseframe.functions import triage
+from pulseframe.functions import dsp, triage
 from pulseframe.functions.privacy import pseudonym
+from pulseframe.operators import ecg
+from pulseframe.operators.beats import variability
 from pulseframe.operators.sessions import admit
 from pulseframe.session import configure, scratch
 
@@ -83,6 +85,19 @@ def respond(packets: DataFrame, salt: str) -> DataFrame:
     )
 
 
+def rhythm(packets: DataFrame) -> DataFrame:
+    """Add ``rmssd_ms`` from the cleaned packet signal, without a quality gate.
+
+    Stateless: Arrow kernels inside the micro-batch. No signal counts as a flat line; a
+    signal too short to be filtered gives NULL.
+    """
+    signal = F.when(F.size("signal") == 0, F.array_repeat(F.lit(0.0), 100)).otherwise(F.col("signal"))
+    clean = ecg.clean_ecg(packets.withColumn("_x", signal), "_x", "fs", "_clean")
+    found = clean.withColumn("_peaks", dsp.r_peaks(F.col("_clean"), F.col("fs")))
+    beats = variability(F.col("_peaks"), lambda a, b: (b - a) / F.col("fs") * 1000.0)
+    return found.select(*packets.columns, F.round(F.when(F.col("_clean").isNotNull(), beats["rmssd_ms"]), 1).alias("rmssd_ms"))
+
+
 def alerts(responses: DataFrame) -> DataFrame:
     """Rows that raise an alarm, with the action to take."""
     alarm = {k: v for k, (on, v) in C.ALERT_ACTIONS.items() if on}
