@@ -306,3 +306,15 @@ def sample_entropy(x: Column, dim: int = 2, r_scale: float = 0.2) -> Column:
         return pd.Series(_batched(x.reset_index(drop=True), ones, lambda m, _: _entropy(m, dim, r_scale)), dtype="float64")
 
     return apply(x)
+
+
+def beats_and_entropy(x: Column, fs: Column) -> Column:
+    """Struct of ``peaks`` and ``entropy``: both kernels on one transfer of the window."""
+
+    @pandas_udf("struct<peaks: array<int>, entropy: double>")
+    def apply(x: pd.Series, fs: pd.Series) -> pd.DataFrame:
+        peaks = _batched(x, fs, _r_peaks)
+        entropy = _batched(x, fs, lambda m, _: _entropy(m, 2, 0.2))
+        return pd.DataFrame({"peaks": [None if p is None else p.astype(np.int32) for p in peaks], "entropy": entropy})
+
+    return apply(x, fs)

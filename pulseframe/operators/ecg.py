@@ -60,13 +60,13 @@ def oximetry_struct(spo2: Column | None, ppg: Column | None) -> Column:
 def extract(df: DataFrame, x: str, fs: str, ppg: str | None = None, spo2: str | None = None) -> DataFrame:
     """Add the 26 features, in vector order, to windows that are already cleaned."""
     rate = F.col(fs)
-    found = df.withColumn("_peaks", dsp.r_peaks(F.col(x), rate)).withColumn("_ent", dsp.sample_entropy(F.col(x)))
-    found = found.withColumn("_freq", dsp.band_powers(F.col("_peaks"), rate))
+    found = df.withColumn("_beats", dsp.beats_and_entropy(F.col(x), rate))
+    found = found.withColumn("_freq", dsp.band_powers(F.col("_beats.peaks"), rate))
     parts = found.select(
         *df.columns,
-        variability(F.col("_peaks"), lambda a, b: (b - a) / rate * 1000.0).alias("_time"),
+        variability(F.col("_beats.peaks"), lambda a, b: (b - a) / rate * 1000.0).alias("_time"),
         let(F.col("_freq"), lambda p: F.struct(*[p[i].alias(n) for i, n in enumerate(C.FEATURES_FREQ)])).alias("_band"),
-        morphology(F.col(x), F.col("_ent")).alias("_stat"),
+        morphology(F.col(x), F.col("_beats.entropy")).alias("_stat"),
         oximetry_struct(F.col(spo2) if spo2 else None, F.col(ppg) if ppg else None).alias("_oxi"),
     )
     return parts.select(*df.columns, "_time.*", "_band.*", "_stat.*", "_oxi.*")

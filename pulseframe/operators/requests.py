@@ -6,50 +6,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe import constants as C
-from pulseframe.functions import quality, triage
+from pulseframe.functions import dsp, quality, triage
 from pulseframe.operators import ecg
+from pulseframe.operators.beats import variability
 from pulseframe.sources.payloads import request
 
 
-def aligned_features(features: Column, feature_list: Column) -> list[Column]:
-    """Feature columns by name, or by position for the list form."""
-    return [F.coalesce(features[n], F.get(feature_list, F.lit(i))).alias(n) for i, n in enumerate(C.FEATURES)]
+def given_feature(name: str) -> Column:
+    """A feature sent by the client: by name, or by position in the list form."""
+    return F.coalesce(F.col("features")[name], F.get("feature_list", F.lit(C.FEATURES.index(name))))
 
 
-def _response(df: DataFrame, keep: list[str]) -> DataFrame:
-    p = triage.hrv_rule(F.col("mean_hr_bpm"), F.col("rmssd_ms"))
-    out = df.withColumn("_p", p)
-
-    def vital(name: str, default: float, alias: str) -> Column:
-        return (F.round(F.coalesce(F.col(name), F.lit(default)), 1) + 0.0).alias(alias)
-
-    return out.select(
-        *keep, F.lit("SUCCESS").alias("status"), F.lit(None).cast("string").alias("message"), F.round("quality_score", 4).alias("quality_score"),
-        F.col("_p.predicted_class").alias("class_code"), F.col("_p.class_label").alias("clinical_condition"),
-        F.round("_p.confidence_score", 4).alias("calibrated_confidence"),
-        F.round("_p.pathology_probability", 4).alias("pathology_probability"), F.col("_p.risk_tier").alias("triage_risk_tier"),
-        vital("mean_hr_bpm", 0.0, "heart_rate_bpm"), vital("rmssd_ms", 0.0, "rmssd_ms"), vital("sdnn_ms", 0.0, "sdnn_ms"),
-        vital("spo2_mean", 98.0, "spo2_percent"),
+def score(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
+    """INVALID, REJECTED_LOW_QUALITY or SUCCESS with the triage response, in one pass.
+
+    Invalid requests hand NULL to the kernels, which skip them.
+    """
+    parsed = df.select(*keep, request(F.col(payload)).alias("q")).select(*keep, "q.*")
+    error = quality.request_error(*[F.col(c) for c in ("signal", "fs", "ppg", "spo2", "features", "feature_list")])
+    checked = parsed.withColumn("_error", error)
+    checked = checked.withColumn("_x", F.when(F.col("_error").isNull(), F.col("signal"))).drop("signal")
+    cleaned = ecg.clean_ecg(checked, "_x", "fs", "_clean").withColumn("_peaks", dsp.r_peaks(F.col("_clean"), F.col("fs")))
+    beats = variability(F.col("_peaks"), lambda a, b: (b - a) / F.col("fs") * 1000.0)
+    oxygen = ecg.oximetry_struct(F.col("spo2"), F.col("ppg"))
+    assessed = ecg.assess(cleaned, "_clean", "fs").withColumn("_hrv", beats).withColumn("_oxi", oxygen)
+    found = assessed.withColumn("_passed", F.col("_x").isNotNull() & F.col("sqi.is_acceptable")).select("*", "_hrv.*", "_oxi.*")
+
+    invalid = F.col("_error").isNotNull()
+    rejected = F.col("_x").isNotNull() & ~F.col("_passed")
+    done = ~invalid & ~rejected
+    value = {
+        c: F.when(F.col("_passed"), F.col(c)).otherwise(given_feature(c))
+        for c in ("mean_hr_bpm", "rmssd_ms", "sdnn_ms", "spo2_mean")
+    }
+    slim = found.select(
+        *keep, F.when(invalid, "INVALID").when(rejected, "REJECTED_LOW_QUALITY").otherwise("SUCCESS").alias("status"),
+        F.when(invalid, F.col("_error")).when(rejected, F.col("sqi.rejection_reason")).alias("message"),
+        F.when(~invalid, F.round(F.when(F.col("_x").isNull(), 1.0).otherwise(F.col("sqi.quality_score")), 4)).alias("quality_score"),
+        *[F.when(done, v).alias(c) for c, v in value.items()],
     )
 
+    def answer(c: Column) -> Column:
+        return F.when(F.col("status") == "SUCCESS", c)
 
-def score(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
-    """INVALID, REJECTED_LOW_QUALITY or SUCCESS with the triage response."""
-    parsed = df.select(*keep, request(F.col(payload)).alias("q")).select(*keep, "q.*")
-    error = quality.request_error(
-        F.col("signal"), F.col("fs"), F.col("ppg"), F.col("spo2"), F.col("features"), F.col("feature_list"))
-    checked = parsed.withColumn("message", error)
-    invalid = checked.where(F.col("message").isNotNull()).select(*keep, F.lit("INVALID").alias("status"), "message")
-
-    signals = checked.where(F.col("message").isNull() & F.col("signal").isNotNull())
-    assessed = ecg.assess(ecg.clean_ecg(signals, "signal", "fs", "_clean"), "_clean", "fs")
-    poor = assessed.where(~F.col("sqi.is_acceptable")).select(
-        *keep, F.lit("REJECTED_LOW_QUALITY").alias("status"), F.col("sqi.rejection_reason").alias("message"),
-        F.round("sqi.quality_score", 4).alias("quality_score"))
-    good = ecg.extract(assessed.where("sqi.is_acceptable").drop("features", "feature_list"), "_clean", "fs", "ppg", "spo2")
-    good = good.withColumn("quality_score", F.col("sqi.quality_score"))
-
-    direct = checked.where(F.col("message").isNull() & F.col("signal").isNull()).select(
-        *keep, F.lit(1.0).alias("quality_score"), *aligned_features(F.col("features"), F.col("feature_list")))
-    done = _response(good, keep).unionByName(_response(direct, keep))
-    return done.unionByName(poor, allowMissingColumns=True).unionByName(invalid, allowMissingColumns=True)
+    def vital(name: str, default: float) -> Column:
+        return answer(F.round(F.coalesce(F.col(name), F.lit(default)), 1) + 0.0)
+
+    p = triage.hrv_rule(F.col("mean_hr_bpm"), F.col("rmssd_ms"))
+    return slim.withColumn("_p", p).select(
+        *keep, "status", "message", "quality_score",
+        answer(F.col("_p.predicted_class")).alias("class_code"), answer(F.col("_p.class_label")).alias("clinical_condition"),
+        answer(F.round("_p.confidence_score", 4)).alias("calibrated_confidence"),
+        answer(F.round("_p.pathology_probability", 4)).alias("pathology_probability"),
+        answer(F.col("_p.risk_tier")).alias("triage_risk_tier"),
+        vital("mean_hr_bpm", 0.0).alias("heart_rate_bpm"), vital("rmssd_ms", 0.0).alias("rmssd_ms"),
+        vital("sdnn_ms", 0.0).alias("sdnn_ms"), vital("spo2_mean", 98.0).alias("spo2_percent"),
+    )
