@@ -14,7 +14,7 @@ from pulseframe.operators import requests
 from pulseframe.plans.deidentify import SALT, _pseudonym_sql
 from pulseframe.plans.registry import EMB, SIG, query, with_
 from pulseframe.plans.roles import embeddings, events, r, signal
-from pulseframe.plans.waveforms import detrend_sql, filter_sql, ratios_sql, scale_sql, shape_sql
+from pulseframe.plans.waveforms import detrend_sql, filter_sql, hrv_arrays_sql, peaks_sql, ratios_sql, scale_sql, shape_sql
 from pulseframe.session import scratch
 from pulseframe.sources import manifest as manifests
 from pulseframe.sources import payloads, sensor_csv, wfdb
@@ -198,21 +198,22 @@ def _scoring_sql() -> str:
     chain = ",\n".join(v.strip() for v in (
         EMB, "req AS (SELECT vec_id, flatten([list_transform(x, lambda v: round(v, 6)), list_transform(x, lambda v: round(v, 6))]) AS x FROM emb WHERE vec_id % 5 >= 3)",
         filter_sql(*dsp.bandpass_coefficients(fs, *C.ECG_BAND), "req", "bp", n), detrend_sql("bp", "det", n, fs), scale_sql("det", "cl"),
-        ratios_sql("cl", "q", n, fs), shape_sql("cl", "sh"),
-        """k AS (SELECT sh.vec_id, m4 / (v2 * v2) - 3 AS kurt, baseline, emg FROM sh JOIN q USING (vec_id))""",
-        """d AS (SELECT vec_id, CASE vec_id % 5 WHEN 0 THEN 70.5 ELSE round(x[5], 6) END AS hr, CASE vec_id % 5 WHEN 0 THEN vec_id % 40 ELSE round(x[3], 6) END AS rmssd,
-             CASE vec_id % 5 WHEN 0 THEN 0.0 ELSE round(x[2], 6) END AS sdnn, CASE vec_id % 5 WHEN 0 THEN 98.0 ELSE round(x[22], 6) END AS spo2 FROM emb WHERE vec_id % 5 < 2)""",
+        ratios_sql("cl", "q", n, fs), shape_sql("cl", "sh"), peaks_sql("cl", "pk", n, fs), hrv_arrays_sql("pk", "cl", "hv", fs),
+        f"""k0 AS (SELECT sh.vec_id, m4 / (v2 * v2) - 3 AS kurt, baseline, emg FROM sh JOIN q USING (vec_id)),
+k AS (SELECT *, concat_ws('; ', CASE WHEN kurt < 2 THEN '{C.REASON_LOW_KURTOSIS}' WHEN kurt > 60 THEN '{C.REASON_HIGH_KURTOSIS}' END,
+   CASE WHEN baseline > 0.60 THEN printf('{C.REASON_BASELINE}', baseline * 100) END, CASE WHEN emg > 0.35 THEN printf('{C.REASON_EMG}', emg * 100) END) AS reasons,
+   round(0.5 * (CASE WHEN kurt >= 2 THEN least((kurt - 2) / 8, 1.0) ELSE 0.0 END) + 0.5 * greatest(0.0, 1.0 - (baseline * 1.2 + emg * 1.5)), 4) AS score FROM k0)""",
+        """d AS (SELECT vec_id, 1.0::DOUBLE AS score, CASE vec_id % 5 WHEN 0 THEN 70.5 ELSE round(x[5], 6) END AS hr, CASE vec_id % 5 WHEN 0 THEN vec_id % 40 ELSE round(x[3], 6) END AS rmssd,
+             CASE vec_id % 5 WHEN 0 THEN 0.0 ELSE round(x[2], 6) END AS sdnn, CASE vec_id % 5 WHEN 0 THEN 98.0 ELSE round(x[22], 6) END AS spo2 FROM emb WHERE vec_id % 5 < 2
+             UNION ALL SELECT vec_id, score, mean_hr_bpm, rmssd_ms, sdnn_ms, 97.75 FROM k JOIN hv USING (vec_id) WHERE reasons = '')""",
         "t AS (SELECT *, hr < 45 OR hr > 120 OR rmssd < 15 AS bad FROM d)"))
     none = ", ".join(f"NULL::{t} AS {c}" for c, t in (
         ("class_code", "INT"), ("clinical_condition", "VARCHAR"), ("calibrated_confidence", "DOUBLE"), ("pathology_probability", "DOUBLE"),
         ("triage_risk_tier", "VARCHAR"), ("heart_rate_bpm", "DOUBLE"), ("rmssd_ms", "DOUBLE"), ("sdnn_ms", "DOUBLE"), ("spo2_percent", "DOUBLE")))
     return f"""WITH RECURSIVE {chain}
 SELECT vec_id, 'INVALID' AS status, 'Signal is too short (65 samples). Minimum is 100.' AS message, NULL::DOUBLE AS quality_score, {none} FROM emb WHERE vec_id % 5 = 2
-UNION ALL SELECT vec_id, 'REJECTED_LOW_QUALITY', concat_ws('; ',
-   CASE WHEN kurt < 2 THEN '{C.REASON_LOW_KURTOSIS}' WHEN kurt > 60 THEN '{C.REASON_HIGH_KURTOSIS}' END,
-   CASE WHEN baseline > 0.60 THEN printf('{C.REASON_BASELINE}', baseline * 100) END, CASE WHEN emg > 0.35 THEN printf('{C.REASON_EMG}', emg * 100) END),
-   round(0.5 * (CASE WHEN kurt >= 2 THEN least((kurt - 2) / 8, 1.0) ELSE 0.0 END) + 0.5 * greatest(0.0, 1.0 - (baseline * 1.2 + emg * 1.5)), 4), {none} FROM k
-UNION ALL SELECT vec_id, 'SUCCESS', NULL, 1.0, bad::INT, CASE WHEN bad THEN '{C.CLASS_LABELS[1]}' ELSE '{C.CLASS_LABELS[0]}' END, 0.88, CASE WHEN bad THEN 0.85 ELSE 0.12 END,
+UNION ALL SELECT vec_id, 'REJECTED_LOW_QUALITY', reasons, score, {none} FROM k WHERE reasons <> ''
+UNION ALL SELECT vec_id, 'SUCCESS', NULL, score, bad::INT, CASE WHEN bad THEN '{C.CLASS_LABELS[1]}' ELSE '{C.CLASS_LABELS[0]}' END, 0.88, CASE WHEN bad THEN 0.85 ELSE 0.12 END,
    CASE WHEN bad THEN 'CRITICAL' ELSE 'LOW_RISK' END, round(hr, 1) + 0.0, round(rmssd, 1) + 0.0, round(sdnn, 1) + 0.0, round(spo2, 1) + 0.0 FROM t"""
 
 
