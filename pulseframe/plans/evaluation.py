@@ -72,7 +72,7 @@ cnt AS (SELECT {keys}, count(*) FILTER (y = 1 AND yhat = 1) AS tp, count(*) FILT
 thr AS (SELECT {keys}, p, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM {source} GROUP BY {keys}, p),
 cum AS (SELECT *, sum(pos) OVER d AS ctp, sum(neg) OVER d AS cfp, sum(pos) OVER k AS np, sum(neg) OVER k AS nn FROM thr
         WINDOW d AS (PARTITION BY {keys} ORDER BY p DESC ROWS UNBOUNDED PRECEDING), k AS (PARTITION BY {keys})),
-pt AS (SELECT *, ctp / np::DOUBLE AS rec, ctp / (ctp + cfp)::DOUBLE AS prec, cfp / nn::DOUBLE AS fpr FROM cum),
+pt AS (SELECT *, CASE WHEN np > 0 THEN ctp / np::DOUBLE ELSE 0.0 END AS rec, ctp / (ctp + cfp)::DOUBLE AS prec, CASE WHEN nn > 0 THEN cfp / nn::DOUBLE ELSE 0.0 END AS fpr FROM cum),
 st AS (SELECT *, lag(rec, 1, 0.0) OVER d AS rec0, lag(prec, 1, 1.0) OVER d AS prec0, lag(fpr, 1, 0.0) OVER d AS fpr0 FROM pt
        WINDOW d AS (PARTITION BY {keys} ORDER BY p DESC)),
 area AS (SELECT {keys}, CASE WHEN max(np) > 0 AND max(nn) > 0 THEN sum((fpr - fpr0) * (rec + rec0) / 2) ELSE 0.5 END AS auc_roc,
