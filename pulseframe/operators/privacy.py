@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from pulseframe import constants as C
 from pulseframe.functions import privacy as P
+from pulseframe.functions.binding import let
 
 
 def _is_id(name: str, extra: set[str], never: set[str]) -> bool:
@@ -65,16 +66,12 @@ def sanitize_map(entries: Column, salt: str, strict: bool = False) -> Column:
 
 def phi_audit(df: DataFrame, text: str) -> DataFrame:
     """Rows with residual hits per pattern, before and after scrubbing: one row per pattern."""
-    aggs = []
-    scrubbed = df.select(F.col(text).alias("_raw"), P.scrub(F.col(text)).alias("_clean"))
-    for name, pattern, _ in C.SCRUB_PATTERNS:
-        aggs += [
-            F.count_if(F.col("_raw").rlike(pattern)).alias(f"{name}_b"),
-            F.count_if(F.col("_clean").rlike(pattern)).alias(f"{name}_a"),
-        ]
-    wide = scrubbed.agg(*aggs)
-    rows = F.array(*[
-        F.struct(F.lit(n).alias("pattern"), F.col(f"{n}_b").alias("before"), F.col(f"{n}_a").alias("after"))
-        for n, _, _ in C.SCRUB_PATTERNS
-    ])
-    return wide.select(F.inline(rows))
+
+    def hits(clean: Column) -> Column:
+        return F.array(*[
+            F.struct(F.lit(name).alias("pattern"), F.col(text).rlike(p).alias("raw"), clean.rlike(p).alias("left"))
+            for name, p, _ in C.SCRUB_PATTERNS
+        ])
+
+    found = df.select(F.inline(let(P.scrub(F.col(text)), hits)))
+    return found.groupBy("pattern").agg(F.count_if("raw").alias("before"), F.count_if("left").alias("after"))
