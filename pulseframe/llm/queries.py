@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import secrets, simhash, url_filter
+from pulseframe.llm import line_dedup, mixing, packing, quality, secrets, simhash, url_filter
 from pulseframe.llm.common import read
 from pulseframe.llm.sql import ORACLES  # noqa: F401
 
@@ -32,4 +32,32 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_secret_scans)}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    places = F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["first"].cast("string"), r["size"].cast("string"))), ",")
+    return done.select("doc_id", "text", "removed_lines", "removed_words", places.alias("removed"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    docs = docs.select("doc_id", "lang", "source", mixing.document_levels()["domain"].alias("domain"), mixing.tokens_of(F.col("text")).alias("n_tokens"))
+    levels = {n: F.col(n) for n in mixing.LEVELS}
+    taken = mixing.mix(docs, levels, weights=mixing.WEIGHTS, tokens=F.col("n_tokens"))
+    return taken.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    rules = quality.learn(quality.labelled(docs, read(spark, sf_dir, "labels")))
+    return quality.judge(docs, rules).select("doc_id", *quality.STATS, "base_failed", "kept")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_url_filters, op2_simhash, op3_secret_scans, op4_line_dedup, op5_mixing, op6_packing, op8_quality_rules)
+}
