@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import line_dedup, mixing, packing, quality, secrets, simhash, url_filter
+from pulseframe.llm import ann, licenses, line_dedup, mixing, packing, quality, secrets, simhash, token_counts, url_filter
 from pulseframe.llm.common import read
 from pulseframe.llm.sql import ORACLES  # noqa: F401
 
@@ -51,13 +51,31 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     rules = quality.learn(quality.labelled(docs, read(spark, sf_dir, "labels")))
     return quality.judge(docs, rules).select("doc_id", *quality.STATS, "base_failed", "kept")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
+    return token_counts.section_tokens(docs, ["lang", "source"], rule="most")
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "lang", "source", "text")
+    found = licenses.scan(docs, licenses.document_path(), licenses.template_table(spark))
+    return found.select("doc_id", "path", "license", "cosine", "scope", "origin")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_url_filters, op2_simhash, op3_secret_scans, op4_line_dedup, op5_mixing, op6_packing, op8_quality_rules)
+    for f in (
+        op1_url_filters, op2_simhash, op3_secret_scans, op4_line_dedup, op5_mixing, op6_packing, op7_nearest_neighbours,
+        op8_quality_rules, op9_token_counts, op10_license_scans,
+    )
 }
