@@ -3,9 +3,10 @@
 A line with a licence cue is a notice. Notices and licence templates become sparse term
 vectors (term counts times inverse document frequency over all distinct notices of the corpus
 and all templates); a notice has the licence of its most similar template when their cosine
-reaches ``threshold``. A document with a notice is licensed by its best one. A document that
-opens with its notice is a licence file: it stands for its directory, and every document
-without a notice of its own inherits from the nearest ancestor directory that has one.
+reaches ``threshold``. A document with a notice is licensed by its best one. A document
+of at most ``FILE_LINES`` lines that opens or closes with a notice is a licence file: it stands
+for its directory, and every document without a notice of its own inherits from the nearest
+ancestor directory that has one.
 
 Scale: whole texts are scanned in place and never shuffled; what goes on are the notice lines,
 collapsed to distinct ones map-side, so a line that a third of all documents carry is compared
@@ -44,6 +45,7 @@ TEMPLATES = [
 ]
 CUE = r"(?i)licen[cs]e|permission is hereby granted|redistribution and use|spdx-"
 THRESHOLD = 0.7
+FILE_LINES = 10
 
 
 def terms(text: Column) -> Column:
@@ -98,7 +100,7 @@ def inherit(directories: DataFrame, files: DataFrame) -> DataFrame:
     return nearest.select("directory", "n.license", "n.origin")
 
 
-def scan(docs: DataFrame, path: Column, templates: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, path: Column, templates: DataFrame, text: str = "text", threshold: float = THRESHOLD, file_lines: int = FILE_LINES) -> DataFrame:
     """``docs`` without their text, each with ``path``, ``license``, ``cosine``, ``scope`` and ``origin``.
 
     ``scope`` is ``file``, ``header`` or ``directory``; ``origin`` the directory inherited from.
@@ -108,15 +110,16 @@ def scan(docs: DataFrame, path: Column, templates: DataFrame, text: str = "text"
     content = F.coalesce(F.col(text), F.lit(""))
     numbered = F.transform(F.split(content, "\n"), lambda line, i: F.struct(i.alias("line"), F.trim(line).alias("text")))
     notices = F.filter(numbered, lambda n: F.rlike(n["text"], F.lit(CUE)))
-    rows = docs.select(*kept, path.alias("path"), F.when(F.rlike(content, F.lit(CUE)), notices).otherwise(F.array().cast("array<struct<line:int,text:string>>")).alias("_notices"))
+    rows = docs.select(*kept, path.alias("path"), F.when(F.rlike(content, F.lit(CUE)), notices).otherwise(F.array().cast("array<struct<line:int,text:string>>")).alias("_notices"), F.size(F.split(content, "\n")).alias("_lines"))
     rows = rows.withColumn("_dir", F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)))
-    rows = written(rows.withColumn("_row", F.xxhash64(*kept, "path", "_notices")), "notice-lines")
-    found = rows.where(F.size("_notices") > 0).select("_row", "_dir", F.explode(F.array_distinct("_notices")).alias("n")).select("_row", "_dir", "n.line", "n.text")
+    rows = written(rows.withColumn("_row", F.xxhash64(*kept, "path", "_lines", "_notices")), "notice-lines")
+    found = rows.where(F.size("_notices") > 0).select("_row", "_dir", "_lines", F.explode("_notices").alias("n")).select("_row", "_dir", "_lines", "n.line", "n.text")
     known = classify(found, templates, threshold)
     headers = found.join(known, "text").groupBy("_row").agg(
-        F.min(F.struct((-F.col("cosine")).alias("far"), "line", "license")).alias("b"), F.first("_dir").alias("_dir"), F.min("line").alias("first"),
+        F.min(F.struct((-F.col("cosine")).alias("far"), "line", "license")).alias("b"), F.first("_dir").alias("_dir"),
+        F.max((F.col("_lines") <= file_lines) & ((F.col("line") == 0) | (F.col("line") == F.col("_lines") - 1))).alias("h_file"),
     )
-    headers = written(headers.select("_row", "_dir", F.col("b.license").alias("h_license"), (-F.col("b.far")).alias("h_cosine"), (F.col("first") == 0).alias("h_file")), "headers")
+    headers = written(headers.select("_row", "_dir", F.col("b.license").alias("h_license"), (-F.col("b.far")).alias("h_cosine"), "h_file"), "headers")
     files = headers.where("h_file AND _dir IS NOT NULL").select(F.col("_dir").alias("directory"), F.col("h_license").alias("license"), F.col("h_cosine").alias("cosine"))
     above = written(inherit(rows.select(F.col("_dir").alias("directory")), files), "directories")
     out = rows.join(headers.drop("_dir"), "_row", "left")
