@@ -110,9 +110,9 @@ def scan(docs: DataFrame, path: Column, templates: DataFrame, text: str = "text"
     content = F.coalesce(F.col(text), F.lit(""))
     numbered = F.transform(F.split(content, "\n"), lambda line, i: F.struct(i.alias("line"), F.trim(line).alias("text")))
     notices = F.filter(numbered, lambda n: F.rlike(n["text"], F.lit(CUE)))
-    rows = docs.select(*kept, path.alias("path"), F.when(F.rlike(content, F.lit(CUE)), notices).otherwise(F.array().cast("array<struct<line:int,text:string>>")).alias("_notices"), F.size(F.split(content, "\n")).alias("_lines"))
+    rows = docs.select(F.struct(*kept).alias("_doc"), path.alias("path"), F.when(F.rlike(content, F.lit(CUE)), notices).otherwise(F.array().cast("array<struct<line:int,text:string>>")).alias("_notices"), F.size(F.split(content, "\n")).alias("_lines"))
     rows = rows.withColumn("_dir", F.when(F.instr("path", "/") > 0, F.regexp_extract("path", r"^(.*)/[^/]*$", 1)))
-    rows = written(rows.withColumn("_row", F.xxhash64(*kept, "path", "_lines", "_notices")), "notice-lines")
+    rows = written(rows.withColumn("_row", F.xxhash64("_doc", "path", "_lines", "_notices")), "notice-lines")
     found = rows.where(F.size("_notices") > 0).select("_row", "_dir", "_lines", F.explode("_notices").alias("n")).select("_row", "_dir", "_lines", "n.line", "n.text")
     known = classify(found, templates, threshold)
     headers = found.join(known, "text").groupBy("_row").agg(
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, path: Column, templates: DataFrame, text: str = "text"
     out = out.join(above.withColumnsRenamed({"directory": "_dir", "license": "d_license"}), "_dir", "left")
     scope = F.when(F.col("h_file"), "file").when(F.col("h_license").isNotNull(), "header").when(F.col("d_license").isNotNull(), "directory")
     return out.select(
-        *kept, "path", F.coalesce("h_license", "d_license").alias("license"), F.col("h_cosine").alias("cosine"), scope.alias("scope"),
+        "_doc.*", "path", F.coalesce("h_license", "d_license").alias("license"), F.col("h_cosine").alias("cosine"), scope.alias("scope"),
         F.when(F.col("h_license").isNull(), F.col("origin")).alias("origin"),
     )
 

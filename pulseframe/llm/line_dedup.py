@@ -149,11 +149,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         F.sort_array(F.collect_list(F.struct("first", "size"))).alias("_gone"), F.sum("size").alias("_lines"), F.sum("w").alias("_words"),
     )
     per_doc = written(per_doc, "removed")
-    rows = docs.select(*kept, F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text_key"))
-    rows = rows.join(per_doc, rows[doc_id].eqNullSafe(per_doc["_doc"]) & (rows["_text_key"] == per_doc["_key"]), "left")
-    cut = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("_gone")))
+    rows = docs.select(F.struct(*kept).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
+    rows = rows.join(per_doc, rows["id"].eqNullSafe(per_doc["_doc"]) & (rows["text_key"] == per_doc["_key"]), "left")
+    cut = F.when(F.col("_gone").isNull(), F.col("row")[text]).otherwise(_without(F.col("row")[text], F.col("_gone")))
     return rows.select(
-        *[cut.alias(c) if c == text else rows[c] for c in kept],
+        *[cut.alias(c) if c == text else F.col("row")[c].alias(c) for c in kept],
         F.coalesce("_lines", F.lit(0)).cast("long").alias("removed_lines"), F.coalesce("_words", F.lit(0)).cast("long").alias("removed_words"),
         F.coalesce("_gone", F.array().cast(empty)).alias("removed"),
     )

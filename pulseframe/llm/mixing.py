@@ -128,15 +128,15 @@ def mix(
     ends = ends.join(last, _null_safe(ends, last, [(f"p{k}", f"l{k}") for k in keys]), "left")
     ends = written(ends.select(*[f"p{k}" for k in keys], "full", "rest", "c_slice", F.col("last.h").alias("l_h"), F.col("last._row").alias("l_row")), "leaf-cuts")
 
-    rows = docs.select(*columns, *[numbers[k].alias(k) for k in keys], numbers["_row"].alias("_row"))
+    rows = docs.select(F.struct(*columns).alias("_doc"), numbers["_id"].alias("_id"), *[numbers[k].alias(k) for k in keys], numbers["_row"].alias("_row"))
     rows = rows.join(ends, _null_safe(rows, ends, same))
-    h = _order(F.col("full") + 1, F.col(doc_id), seed)
+    h = _order(F.col("full") + 1, F.col("_id"), seed)
     before = F.substring(h, 1, SLICE_DIGITS) < F.col("c_slice")
     inside = (F.substring(h, 1, SLICE_DIGITS) == F.col("c_slice")) & ((h < F.col("l_h")) | ((h == F.col("l_h")) & (F.col("_row") <= F.col("l_row"))))
     taken = (F.col("rest") > 0) & (F.col("c_slice").isNull() | before | F.coalesce(inside, F.lit(False)))
     epochs = F.concat(F.sequence(F.lit(1), F.col("full")), F.when(taken, F.array(F.col("full") + 1)).otherwise(F.array().cast("array<int>")))
     epochs = F.when(F.col("full") > 0, epochs).otherwise(F.when(taken, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    return rows.select(*columns, F.explode(epochs).alias("epoch"))
+    return rows.select("_doc.*", F.explode(epochs).alias("epoch"))
 
 
 def document_levels() -> dict[str, Column]:

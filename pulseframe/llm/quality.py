@@ -207,6 +207,6 @@ def passes(rules: list[Rule], stats: str = "stats") -> Column:
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``docs`` with the statistics, ``base_failed`` and ``kept``."""
     results = [*STATS, "base_failed", "kept"]
-    others = [c for c in docs.columns if c not in results and c != "stats"]
-    rows = docs.select(*[c for c in docs.columns if c != "stats"], statistics(F.col(text)).alias("stats"))
-    return rows.select(*others, *[F.col(f"stats.{s}").alias(s) for s in STATS], base_failed().alias("base_failed"), passes(rules).alias("kept"))
+    others = [c for c in docs.columns if c not in results]
+    rows = docs.select(F.struct(*others).alias("doc"), statistics(F.col(text)).alias("stats"))
+    return rows.select("doc.*", *[F.col(f"stats.{s}").alias(s) for s in STATS], base_failed().alias("base_failed"), passes(rules).alias("kept"))

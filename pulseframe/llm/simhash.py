@@ -219,5 +219,6 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", siz
     narrow = near_duplicates(docs.select(F.col(doc_id).alias("_id"), row.alias("_row"), F.col(text).alias("_text")), "_text", "_id", size, radius)
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
     stay = narrow.groupBy("fp_root").agg(F.min(order).alias("m")).select(F.col("m.r").alias("_row"), F.col("m.i").alias("_stay"))
-    whole = docs.select("*", row.alias("_row")).groupBy("_row", doc_id).agg(*[F.first(c).alias(c) for c in columns if c != doc_id])
-    return whole.join(stay, (whole["_row"] == stay["_row"]) & whole[doc_id].eqNullSafe(stay["_stay"]), "left_semi").select(*columns)
+    whole = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("_id"), row.alias("_row"))
+    whole = whole.groupBy("_row", "_id").agg(F.first("doc").alias("doc"))  # rows equal in all columns are one
+    return whole.join(stay, (whole["_row"] == stay["_row"]) & whole["_id"].eqNullSafe(stay["_stay"]), "left_semi").select("doc.*")

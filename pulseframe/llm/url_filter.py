@@ -76,9 +76,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     filed = rule_table(rules)
     shapes = [(r[0], r[1]) for r in filed.select("r_labels", "r_slashes").distinct().sort("r_labels", "r_slashes").collect()]
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    rows = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))}).select(*kept, "host", "path")
+    rows = pages.select(F.struct(*kept).alias("page"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     if not shapes:
-        return rows.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return rows.select("page.*", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
     labels, slashes = _count(F.col("host"), ".") + 1, _count(F.col("path"), "/")
     emitted = [
@@ -102,7 +102,7 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     decided = hits.groupBy("host", "path").agg(best.alias("best"))
     out = rows.join(decided, ["host", "path"], "left")
     return out.select(
-        *kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
+        "page.*", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
 
 
