@@ -67,6 +67,22 @@ RANGE_RULES = {  # signal type -> (low, high, message format)
     "HR": (30.0, 240.0, "Heart rate [%.1f, %.1f] bpm outside physiological range [30, 240] bpm."),
 }
 FS_TOLERANCE = 0.5
+REQUEST_NO_PAYLOAD = "Payload must contain either 'signal' (array of floats) or 'features' (dict/array)."
+REQUEST_SHORT = "Signal is too short (%d samples). Minimum is 100."
+REQUEST_LONG = "Signal exceeds maximum allowed length (50000 samples)."
+REQUEST_NOT_NUMERIC = "Signal elements must be numeric floating-point values."
+REQUEST_INFINITE = "Signal contains invalid infinite (Inf) values."
+REQUEST_ALL_NAN = "Signal consists entirely of NaN values."
+REQUEST_AMPLITUDE = "Signal amplitude [%.2f, %.2f] mV exceeds physical ECG range."
+REQUEST_FS_TYPE = "Sampling frequency 'fs' must be a numeric float."
+REQUEST_FS = "Sampling frequency %s Hz is outside allowable medical device range [20, 2000] Hz."
+REQUEST_FEATURE_TYPE = "Feature '%s' must be numeric."
+REQUEST_FEATURE_FINITE = "Feature '%s' contains non-finite value."
+REQUEST_LIST_TYPE = "Features list must contain only numeric floats."
+REQUEST_LIST_FINITE = "Features vector contains NaN or infinite values."
+REQUEST_PPG = "Invalid ppg_signal format or length."
+REQUEST_SPO2_FORM = "Invalid spo2_signal format or length."
+REQUEST_SPO2 = "SpO2 values outside physiological range [40%, 100%]."
 REQUEST_MIN_SAMPLES = 100
 REQUEST_MAX_SAMPLES = 50000
 REQUEST_FS_RANGE = (20.0, 2000.0)

@@ -106,16 +106,26 @@ def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 Kernel = Callable[[np.ndarray, float], np.ndarray]
-SHORTEST = 3 * (2 * C.BANDPASS_ORDER + 1) + 1  # samples needed for the odd extension
+
+
+def _needs(samples: int, kernel: Kernel) -> Kernel:
+    """The fewest samples a step can work on."""
+    kernel.shortest = samples
+    return kernel
+
+
+def odd_extension(coefficients: int) -> int:
+    """Samples needed to extend a window at both ends of a filter."""
+    return 3 * coefficients + 1
 
 
 def bandpass_kernel(low: float, high: float, order: int = C.BANDPASS_ORDER) -> Kernel:
-    return lambda m, fs: zero_phase(*bandpass_coefficients(fs, low, high, order), m)
+    return _needs(odd_extension(2 * order + 1), lambda m, fs: zero_phase(*bandpass_coefficients(fs, low, high, order), m))
 
 
 def notch_kernel(freq: float = C.NOTCH_HZ, q: float = C.NOTCH_Q) -> Kernel:
     """A frequency at or above Nyquist leaves the window unchanged."""
-    return lambda m, fs: m if freq >= fs / 2 else zero_phase(*notch_coefficients(fs, freq, q), m)
+    return _needs(odd_extension(3), lambda m, fs: m if freq >= fs / 2 else zero_phase(*notch_coefficients(fs, freq, q), m))
 
 
 def running_median(m: np.ndarray, kernel: int) -> np.ndarray:
@@ -164,11 +174,12 @@ def scale_kernel() -> Kernel:
     return scale
 
 
-def condition(x: Column, fs: Column, steps: list[Kernel], shortest: int = SHORTEST) -> Column:
+def condition(x: Column, fs: Column, steps: list[Kernel]) -> Column:
     """Run conditioning steps one after the other in a single Arrow pass.
 
-    Windows too short to be filtered become NULL, which the quality gate rejects.
+    Windows shorter than a step needs become NULL, which the quality gate rejects.
     """
+    shortest = max(getattr(step, "shortest", 1) for step in steps)
 
     def run(m: np.ndarray, rate: float) -> np.ndarray:
         for step in steps:
@@ -187,11 +198,11 @@ def notch(x: Column, fs: Column, freq: float = C.NOTCH_HZ, q: float = C.NOTCH_Q)
 
 
 def detrend(x: Column, fs: Column, seconds: float = C.BASELINE_SECONDS) -> Column:
-    return condition(x, fs, [detrend_kernel(seconds)], 1)
+    return condition(x, fs, [detrend_kernel(seconds)])
 
 
 def fill_gaps(x: Column, method: str = "interpolate") -> Column:
-    return condition(x, F.lit(1.0), [fill_kernel(method)], 1)
+    return condition(x, F.lit(1.0), [fill_kernel(method)])
 
 
 # --- spectra ------------------------------------------------------------------------
@@ -274,9 +285,9 @@ def r_peaks(x: Column, fs: Column) -> Column:
     return _array_udf(_r_peaks, x, fs).cast("array<int>")
 
 
-def _entropy(m: np.ndarray, dim: int, r_scale: float) -> np.ndarray:
-    if m.shape[1] > 500:
-        m = m[:, :: m.shape[1] // 300]
+def _entropy(m: np.ndarray, dim: int, r_scale: float, decimate: tuple[int, int] | None = None) -> np.ndarray:
+    if decimate and m.shape[1] > decimate[0]:
+        m = m[:, :: m.shape[1] // decimate[1]]
     n = m.shape[1]
     if n < 20:
         return np.zeros(len(m))
@@ -297,13 +308,17 @@ def _entropy(m: np.ndarray, dim: int, r_scale: float) -> np.ndarray:
     return np.where(ok, -np.log(np.where(ok, phi[1], 1.0) / np.where(ok, phi[0], 1.0)), 0.5)
 
 
-def sample_entropy(x: Column, dim: int = 2, r_scale: float = 0.2) -> Column:
-    """Negative log of the chance that runs alike for ``dim`` samples stay alike for one more."""
+def sample_entropy(x: Column, dim: int = 2, r_scale: float = 0.2, decimate: tuple[int, int] | None = None) -> Column:
+    """Negative log of the chance that runs alike for ``dim`` samples stay alike for one more.
+
+    All samples count. ``decimate=(500, 300)`` keeps, of windows longer than 500 samples, each
+    (length // 300)-th only: an approximation to ask for where the full pairing is too slow.
+    """
 
     @pandas_udf("double")
     def apply(x: pd.Series) -> pd.Series:
         ones = pd.Series(np.ones(len(x)))
-        return pd.Series(_batched(x.reset_index(drop=True), ones, lambda m, _: _entropy(m, dim, r_scale)), dtype="float64")
+        return pd.Series(_batched(x.reset_index(drop=True), ones, lambda m, _: _entropy(m, dim, r_scale, decimate)), dtype="float64")
 
     return apply(x)
 

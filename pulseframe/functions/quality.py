@@ -75,12 +75,14 @@ def _finite(x: Column) -> Column:
 
 
 def request_error(
-    signal: Column, fs: Column, ppg: Column, spo2: Column, features: Column | None = None, feature_list: Column | None = None
+    signal: Column, fs: Column, ppg: Column, spo2: Column, features: Column | None = None, feature_list: Column | None = None,
+    ppg_form: Column | None = None, spo2_form: Column | None = None,
 ) -> Column:
     """First rule a prediction request breaks, or NULL.
 
     ``signal``/``ppg``/``spo2`` are arrays of doubles; a null element is a value that was not
-    numeric. ``features`` is a map of doubles, ``feature_list`` an array.
+    numeric. ``features`` is a map of doubles, ``feature_list`` an array. ``ppg_form`` and
+    ``spo2_form`` tell whether the channel, where it was sent, was a list.
     """
     has_features = F.lit(False)
     for f in (features, feature_list):
@@ -91,36 +93,32 @@ def request_error(
     valid = F.filter(signal, lambda x: ~F.isnan(x))
     low, high = F.array_min(valid), F.array_max(valid)
     rules = [
-        (~has_features & ~has_signal, "Payload must contain either 'signal' (array of floats) or 'features' (dict/array)."),
-        (has_signal & (n < C.REQUEST_MIN_SAMPLES),
-         F.format_string(f"Signal is too short (%d samples). Minimum is {C.REQUEST_MIN_SAMPLES}.", n)),
-        (has_signal & (n > C.REQUEST_MAX_SAMPLES),
-         f"Signal exceeds maximum allowed length ({C.REQUEST_MAX_SAMPLES} samples)."),
-        (has_signal & F.exists(signal, lambda x: x.isNull()), "Signal elements must be numeric floating-point values."),
-        (has_signal & F.exists(signal, lambda x: F.abs(x) == float("inf")), "Signal contains invalid infinite (Inf) values."),
-        (has_signal & (F.size(valid) == 0), "Signal consists entirely of NaN values."),
-        (has_signal & ((low < -C.REQUEST_MV_LIMIT) | (high > C.REQUEST_MV_LIMIT)),
-         message("Signal amplitude [%.2f, %.2f] mV exceeds physical ECG range.", low, high)),
-        (fs.isNull(), "Sampling frequency 'fs' must be a numeric float."),
-        ((fs < C.REQUEST_FS_RANGE[0]) | (fs > C.REQUEST_FS_RANGE[1]),
-         F.concat(F.lit("Sampling frequency "), fs.cast("string"),
-                  F.lit(" Hz is outside allowable medical device range [20, 2000] Hz."))),
+        (~has_features & ~has_signal, C.REQUEST_NO_PAYLOAD),
+        (has_signal & (n < C.REQUEST_MIN_SAMPLES), F.format_string(C.REQUEST_SHORT, n)),
+        (has_signal & (n > C.REQUEST_MAX_SAMPLES), C.REQUEST_LONG),
+        (has_signal & F.exists(signal, lambda x: x.isNull()), C.REQUEST_NOT_NUMERIC),
+        (has_signal & F.exists(signal, lambda x: F.abs(x) == float("inf")), C.REQUEST_INFINITE),
+        (has_signal & (F.size(valid) == 0), C.REQUEST_ALL_NAN),
+        (has_signal & ((low < -C.REQUEST_MV_LIMIT) | (high > C.REQUEST_MV_LIMIT)), message(C.REQUEST_AMPLITUDE, low, high)),
+        (fs.isNull(), C.REQUEST_FS_TYPE),
+        ((fs < C.REQUEST_FS_RANGE[0]) | (fs > C.REQUEST_FS_RANGE[1]), F.format_string(C.REQUEST_FS, fs.cast("string"))),
     ]
     if features is not None:
+        bad = F.get(F.filter(F.map_entries(features), lambda e: e["value"].isNull() | ~_finite(e["value"])), F.lit(0))
         rules += [
-            (F.exists(F.map_values(features), lambda x: x.isNull()), "Feature values must be numeric."),
-            (~F.forall(F.map_values(features), _finite), "Features contain a non-finite value."),
+            (bad.isNotNull() & bad["value"].isNull(), F.format_string(C.REQUEST_FEATURE_TYPE, bad["key"])),
+            (bad.isNotNull(), F.format_string(C.REQUEST_FEATURE_FINITE, bad["key"])),
         ]
     if feature_list is not None:
         rules += [
-            (F.exists(feature_list, lambda x: x.isNull()), "Features list must contain only numeric floats."),
-            (~F.forall(feature_list, _finite), "Features vector contains NaN or infinite values."),
+            (F.exists(feature_list, lambda x: x.isNull()), C.REQUEST_LIST_TYPE),
+            (~F.forall(feature_list, _finite), C.REQUEST_LIST_FINITE),
         ]
     spo2_valid = F.filter(spo2, lambda x: ~F.isnan(x))
+    no_list = lambda form: F.lit(False) if form is None else ~form
     rules += [
-        (F.size(ppg) > C.REQUEST_MAX_SAMPLES, "Invalid ppg_signal format or length."),
-        (F.size(spo2) > C.REQUEST_MAX_SAMPLES, "Invalid spo2_signal format or length."),
-        ((F.array_min(spo2_valid) < C.REQUEST_SPO2_RANGE[0]) | (F.array_max(spo2_valid) > C.REQUEST_SPO2_RANGE[1]),
-         "SpO2 values outside physiological range [40%, 100%]."),
+        (no_list(ppg_form) | (F.size(ppg) > C.REQUEST_MAX_SAMPLES), C.REQUEST_PPG),
+        (no_list(spo2_form) | (F.size(spo2) > C.REQUEST_MAX_SAMPLES), C.REQUEST_SPO2_FORM),
+        ((F.array_min(spo2_valid) < C.REQUEST_SPO2_RANGE[0]) | (F.array_max(spo2_valid) > C.REQUEST_SPO2_RANGE[1]), C.REQUEST_SPO2),
     ]
     return first_failure(rules)

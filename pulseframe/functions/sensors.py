@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def present(x: Column) -> Column:
+    """NaN counts as missing."""
+    return F.when(~F.isnan(x), x)
+
+
 def adc_to_mv(adc: Column, leads_off: Column) -> Column:
     """12-bit reading at 3.3 V, centred on 1.65 V, amplifier gain 1100."""
     volts = adc / 4095.0 * 3.3

@@ -5,48 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.functions.sensors import present
 from pulseframe.operators.lookup import lookup
 from pulseframe.operators.quantiles import exact_quantiles
-from pulseframe.operators.series import last_valid, neighbourhood, next_valid, scan
+from pulseframe.operators.series import last_valid, neighbourhood, next_valid, scan, solid
 
 
 def impute_linear(df: DataFrame, key: list[str], order: list[str], chunk: Column, value: str, pos: str, out: str) -> DataFrame:
-    """Fill gaps on the straight line between the valid neighbours; ends take the nearest one.
+    """Fill gaps (NULL or NaN) on the straight line between the valid neighbours; ends take the nearest one.
 
     A key without any valid sample becomes zeros.
     """
-    at = F.col(pos)
-    valid = F.when(F.col(value).isNotNull(), F.struct(at.alias("i"), F.col(value).alias("v")))
+    at, known = F.col(pos), present(F.col(value))
+    valid = F.when(known.isNotNull(), F.struct(at.alias("i"), known.alias("v")))
     filled = scan(df, key, order, chunk, {"_prev": last_valid(valid, at), "_next": next_valid(valid, at)})
     p, q = F.col("_prev"), F.col("_next")
     line = p["v"] + (q["v"] - p["v"]) * (at - p["i"]) / (q["i"] - p["i"])
     return filled.withColumn(
         out,
-        F.when(F.col(value).isNotNull(), F.col(value))
+        F.when(known.isNotNull(), known)
         .when(p.isNotNull() & q.isNotNull(), line)
         .otherwise(F.coalesce(p["v"], q["v"], F.lit(0.0))),
     ).drop("_prev", "_next")
 
 
-def impute_median(df: DataFrame, key: list[str], value: str, out: str, width: float = 1.0) -> DataFrame:
-    medians = exact_quantiles(df, key, value, {"_median": 0.5}, width, count="_valid")
-    filled = lookup(df, medians, key, "_valid", ["_median"])
-    return filled.withColumn(out, F.coalesce(F.col(value), F.col("_median"), F.lit(0.0))).drop("_median")
+def _of_keys(df: DataFrame, key: list[str], value: str, stats: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``columns`` of its key's ``stats``, spread by the key's rows, missing ones included."""
+    rows, own = solid(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows"), F.stddev_pop(present(F.col(value))).alias("_std")), key)
+    found = rows.join(solid(stats, key)[0].drop(*key), own, "left").drop(*own)
+    return lookup(df, found, key, "_rows", [*columns, "_std"])
+
+
+def impute_median(df: DataFrame, key: list[str], value: str, out: str) -> DataFrame:
+    """Missing (NULL or NaN) becomes the key's median; zero where the key has no value."""
+    medians = exact_quantiles(df, key, value, {"_median": 0.5})
+    filled = _of_keys(df, key, value, medians, ["_median"])
+    return filled.withColumn(out, F.coalesce(present(F.col(value)), F.col("_median"), F.lit(0.0))).drop("_median", "_std")
 
 
 def impute_zero(value: Column) -> Column:
-    return F.coalesce(value, F.lit(0.0))
+    return F.coalesce(present(value), F.lit(0.0))
 
 
-def robust_scale(df: DataFrame, key: list[str], value: str, out: str, width: float = 1.0) -> DataFrame:
-    """(x - median) / IQR, or over the standard deviation when the IQR vanishes."""
-    q = exact_quantiles(df, key, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, width, count="_valid")
-    spread = df.groupBy(*key).agg(F.stddev_pop(value).alias("_std"))
-    stats = q.join(spread, key)
+def robust_scale(df: DataFrame, key: list[str], value: str, out: str) -> DataFrame:
+    """(x - median) / IQR, or over the standard deviation when the IQR vanishes; missing (NULL or NaN) becomes NULL."""
+    quartiles = {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}
+    q = exact_quantiles(df, key, value, quartiles)
     iqr = F.col("_q3") - F.col("_q1")
-    centred = F.col(value) - F.col("_q2")
+    centred = present(F.col(value)) - F.col("_q2")
     return (
-        lookup(df, stats, key, "_valid", ["_q1", "_q2", "_q3", "_std"])
+        _of_keys(df, key, value, q, list(quartiles))
         .withColumn(out, F.when(iqr < 1e-6, centred / (F.col("_std") + 1e-6)).otherwise(centred / iqr))
         .drop("_q1", "_q2", "_q3", "_std")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulseframe import constants as C
 from pulseframe.functions import arrays as A
 from pulseframe.functions.binding import let
+from pulseframe.functions.sensors import present
 from pulseframe.operators.series import last_valid, neighbourhood, previous, scan
 
 
@@ -106,7 +107,8 @@ def morphology(x: Column, entropy: Column | None = None) -> Column:
 
 
 def oximetry(df: DataFrame, key: list[str], spo2: Column, ppg: Column, threshold: float = C.DESATURATION) -> DataFrame:
-    """Saturation statistics and perfusion index per key, with the defaults for no data."""
+    """Saturation statistics and perfusion index per key, with the defaults for no data; NaN is missing."""
+    spo2, ppg = present(spo2), present(ppg)
     g = df.groupBy(*key).agg(
         F.avg(spo2).alias("_m"), F.min(spo2).alias("_lo"), F.stddev_pop(spo2).alias("_sd"),
         F.avg((spo2 < threshold).cast("double")).alias("_des"),

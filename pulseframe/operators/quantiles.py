@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.operators.series import key_total, running_sum, scan, value_chunk
+from pulseframe.functions.sensors import present
+from pulseframe.operators.lookup import lookup
+from pulseframe.operators.series import key_total, running_sum, scan
 
+SLICES = 64
 
-def exact_quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str, float], width: float = 1.0, count: str | None = None) -> DataFrame:
-    """Linear-interpolation quantiles of the non-null values, one row per key.
+
+def exact_quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str, float], count: str | None = None, slices: int = SLICES) -> DataFrame:
+    """Linear-interpolation quantiles of the values that are not missing (NULL or NaN), one row per key.
 
     ``count`` adds the number of values.
 
     Equal values are merged first (sensor samples are quantised, so this is most of them);
-    ranks then come from a chunked running count over value slices of ``width``.
+    ranks then come from a chunked running count over value slices. The slices' edges are
+    approximate quantiles of the key's own distinct values (a sketch, merged map-side), so a
+    slice holds about a ``slices``-th of them whatever the unit and spread of the signal.
     """
-    merged = df.where(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count(F.lit(1)).alias("_c"))
+    known = df.select(*key, present(F.col(value).cast("double")).alias("_v")).where("_v IS NOT NULL")
+    merged = known.groupBy(*key, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    sketch = F.percentile_approx("_v", [i / slices for i in range(1, slices)], 10 * slices)
+    edges = merged.groupBy(*key).agg(sketch.alias("_edges"), F.count(F.lit(1)).alias("_distinct"))
+    placed = lookup(merged, edges, key, "_distinct", ["_edges"])
+    slice_ = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
     ranked = scan(
-        merged, key, [value], value_chunk(value, width),
+        placed.select(*key, "_v", "_c", slice_.alias("_slice")), key, ["_v"], F.col("_slice"),
         {"_end": running_sum(F.col("_c")), "_n": key_total(F.sum("_c"))},
     )
     start = F.col("_end") - F.col("_c")
@@ -32,7 +43,7 @@ def exact_quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str,
     for h in holds:
         any_hit = any_hit | F.col(h)
     picked = hit.where(any_hit).groupBy(*key).agg(
-        F.max("_n").alias("_n"), *[F.max(F.when(F.col(h), F.col(value))).alias(h) for h in holds]
+        F.max("_n").alias("_n"), *[F.max(F.when(F.col(h), F.col("_v"))).alias(h) for h in holds]
     )
     out = []
     for name, p in probs.items():

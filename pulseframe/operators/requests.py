@@ -23,7 +23,7 @@ def score(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
     Invalid requests hand NULL to the kernels, which skip them.
     """
     parsed = df.select(*keep, request(F.col(payload)).alias("q")).select(*keep, "q.*")
-    error = quality.request_error(*[F.col(c) for c in ("signal", "fs", "ppg", "spo2", "features", "feature_list")])
+    error = quality.request_error(*[F.col(c) for c in ("signal", "fs", "ppg", "spo2", "features", "feature_list", "ppg_form", "spo2_form")])
     checked = parsed.withColumn("_error", error)
     checked = checked.withColumn("_x", F.when(F.col("_error").isNull(), F.col("signal"))).drop("signal")
     cleaned = ecg.clean_ecg(checked, "_x", "fs", "_clean").withColumn("_peaks", dsp.r_peaks(F.col("_clean"), F.col("fs")))

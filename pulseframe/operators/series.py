@@ -106,15 +106,35 @@ def previous(expr: Column, order: Column) -> Part:
     )
 
 
+def solid(df: DataFrame, columns: list[str], prefix: str = "_g") -> tuple[DataFrame, list[str]]:
+    """``df`` with never-NULL stand-ins for ``columns``, and their names.
+
+    An equi-join or a shuffle on the stand-ins keeps rows with NULL keys, which a join on the
+    columns would lose; unlike ``<=>`` it leaves the join keys plain columns, so a partitioning
+    on them is used again. A bit mask tells a NULL from the default that stands for it.
+    """
+    mask = F.lit(0)
+    added = {}
+    for i, c in enumerate(columns):
+        kind = df.schema[c].dataType
+        zero = F.lit("1970-01-01") if kind.typeName() in ("date", "timestamp", "timestamp_ntz") else F.lit("") if kind.typeName() in ("string", "binary") else F.lit(0)
+        added[f"{prefix}{i}"] = F.coalesce(F.col(c), zero.cast(kind))
+        mask = mask + F.when(F.col(c).isNull(), 1 << i).otherwise(0)
+    return df.withColumns({**added, f"{prefix}n": mask}), [*added, f"{prefix}n"]
+
+
 def scan(df: DataFrame, key: list[str], order: list[str], chunk: Column, parts: dict[str, Part]) -> DataFrame:
-    """Add one column per part. ``chunk`` must grow with ``order`` inside a key."""
-    rows = df.withColumn(CHUNK, chunk)
-    sums = rows.groupBy(*key, CHUNK).agg(*[p.summary.alias(f"_s_{n}") for n, p in parts.items()])
-    across = Window.partitionBy(*key).orderBy(CHUNK)
-    sums = sums.select(*key, CHUNK, *[p.across(F.col(f"_s_{n}"), across).alias(f"_a_{n}") for n, p in parts.items()])
-    within = Window.partitionBy(*key, CHUNK).orderBy(*order)
+    """Add one column per part. ``chunk`` must grow with ``order`` inside a key.
+
+    Every row stays: NULL keys are one key, and rows with a NULL order come first in theirs.
+    """
+    rows, own = solid(df.withColumn(CHUNK, chunk), [*key, CHUNK])
+    sums = rows.groupBy(*own).agg(F.first(CHUNK).alias(CHUNK), *[F.first(c).alias(f"_k_{c}") for c in key], *[p.summary.alias(f"_s_{n}") for n, p in parts.items()])
+    across = Window.partitionBy(*[f"_k_{c}" for c in key]).orderBy(CHUNK)
+    sums = sums.select(*own, *[p.across(F.col(f"_s_{n}"), across).alias(f"_a_{n}") for n, p in parts.items()])
+    within = Window.partitionBy(*own).orderBy(*order)
     local = rows.select("*", *[p.within(within).alias(f"_w_{n}") for n, p in parts.items() if p.within])
-    joined = local.join(sums, [*key, CHUNK])
+    joined = local.join(sums, own)
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[

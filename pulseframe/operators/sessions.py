@@ -33,14 +33,15 @@ def requested_rate(df: DataFrame, client: str, ts: str, horizon_seconds: float,
     """Requests of the client in the trailing horizon (this one included) and whether they exceed the limit.
 
     A row is copied to its own time slot and the next; counting inside (client, slot) sees the
-    whole horizon, and a busy client is spread over its slots.
+    whole horizon, and a busy client is spread over its slots. A request without a time is
+    counted for nobody and has NULL for both.
     """
     h = int(horizon_seconds * 1_000_000)
     at = F.unix_micros(ts)
     slot = F.floor(at / F.lit(h))
-    copies = df.withColumn("_at", at).withColumn("_own", slot).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
+    copies = df.withColumn("_at", at).withColumn("_own", slot).withColumn("_slot", F.explode(F.when(slot.isNull(), F.array(slot)).otherwise(F.array(slot, slot + 1))))
     w = Window.partitionBy(client, "_slot").orderBy("_at").rangeBetween(-(h - 1), 0)
-    counted = copies.withColumn("requested", F.count(F.lit(1)).over(w)).where(F.col("_own") == F.col("_slot"))
+    counted = copies.withColumn("requested", F.when(F.col("_at").isNotNull(), F.count(F.lit(1)).over(w))).where(F.col("_own").eqNullSafe(F.col("_slot")))
     return counted.withColumn("over_limit", F.col("requested") > limit).drop("_at", "_own", "_slot")
 
 
@@ -60,12 +61,13 @@ def admitted(df: DataFrame, client: str, order: list[str], horizon_seconds: floa
     A decision depends on earlier decisions, so it is made in sequence; a pause of a whole
     horizon empties the history, which makes the runs between pauses independent. Runs are
     spread over the cluster and streamed in order with at most ``limit`` times in memory.
+    A request without a time is not decided: both results are NULL.
     """
     h = int(horizon_seconds * 1_000_000)
     ts = order[0]
     at = F.struct(*order)
     keep = df.columns
-    timed = df.withColumn("_at", F.unix_micros(ts))
+    timed = df.where(F.col(ts).isNotNull()).withColumn("_at", F.unix_micros(ts))
     first = scan(timed, [client], order, time_chunk(ts), {"_prev": previous(F.col("_at"), at)})
     fresh = F.when(F.col("_at") - F.col("_prev") < h, 0).otherwise(1)
     runs = scan(first.withColumn("_new", fresh), [client], order, time_chunk(ts), {"_run": running_sum(F.col("_new"))})
@@ -76,7 +78,7 @@ def admitted(df: DataFrame, client: str, order: list[str], horizon_seconds: floa
         current, history = None, deque()
         for b in batches:
             allowed, left = [], []
-            for who, run, now in zip(b[client], b["_run"], b["_at"]):
+            for who, run, now in zip(b[client].astype(object).where(b[client].notna(), None), b["_run"], b["_at"]):
                 if (who, run) != current:
                     current, history = (who, run), deque()
                 ok, remaining = admit(history, now, h, limit)
@@ -84,7 +86,9 @@ def admitted(df: DataFrame, client: str, order: list[str], horizon_seconds: floa
                 left.append(remaining)
             yield b[keep].assign(allowed=allowed, remaining=left)
 
-    return ready.mapInPandas(decide, f"{fields}, allowed boolean, remaining long")
+    decided = ready.mapInPandas(decide, f"{fields}, allowed boolean, remaining long")
+    untimed = df.where(F.col(ts).isNull()).select("*", F.lit(None).cast("boolean").alias("allowed"), F.lit(None).cast("long").alias("remaining"))
+    return decided.union(untimed)
 
 
 def latest_state(df: DataFrame, key: str, order: list[str | Column], fields: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.operators.series import CHUNK, time_chunk
+from pulseframe.operators.series import CHUNK, solid, time_chunk
 
 
 def sliding(df: DataFrame, n: int, step: int | None = None, pos: str = "idx", total: str = "total") -> DataFrame:
@@ -71,11 +71,9 @@ def align_secondary(
         F.sum(F.when(F.col("_main"), 0).otherwise(F.col("_n"))).over(whole).alias("len_second"),
     )
     local = Window.partitionBy(*key, CHUNK, "_main").orderBy(*order)
-    placed = (
-        grouped.withColumn("_rn", F.row_number().over(local))
-        .join(summary, [*key, CHUNK, "_main"])
-        .withColumn("_pos", F.col("_rn") - 1 + F.col("_before"))
-    )
+    numbered, own = solid(grouped.withColumn("_rn", F.row_number().over(local)), [*key, CHUNK, "_main"])
+    summary = solid(summary, [*key, CHUNK, "_main"])[0].drop(*key, CHUNK, "_main")
+    placed = numbered.join(summary, own).drop(*own).withColumn("_pos", F.col("_rn") - 1 + F.col("_before"))
     l1, l2 = F.col("len_main"), F.col("len_second")
 
     def bounds(w: Column) -> tuple[Column, Column]:

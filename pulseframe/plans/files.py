@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pulseframe import constants as C
-from pulseframe.functions import dsp
+from pulseframe.functions import dsp, quality
 from pulseframe.operators import requests
 from pulseframe.plans.deidentify import SALT, _pseudonym_sql
 from pulseframe.plans.registry import EMB, SIG, query, with_
@@ -19,6 +19,7 @@ from pulseframe.session import scratch
 from pulseframe.sources import manifest as manifests
 from pulseframe.sources import payloads, sensor_csv, wfdb
 from pulseframe.sources.files import locate
+from pulseframe.sources.tables import table
 
 SEGMENT = 4096  # samples per derived record, so that no record outgrows a row
 CODES = {"view": 1, "click": 5, "purchase": 8, "signup": 9, "error": 14}
@@ -193,6 +194,21 @@ def request_parse(spark, folder):
                     n("q.feature_list").alias("n_list"), F.coalesce(F.exists("q.signal", lambda v: v.isNull()), F.lit(False)).alias("has_bad_value"))
 
 
+@query("request_channels", """
+SELECT vec_id, CASE vec_id % 8 WHEN 0 THEN 'Invalid ppg_signal format or length.' WHEN 1 THEN 'Invalid spo2_signal format or length.' WHEN 2 THEN 'Invalid spo2_signal format or length.'
+  WHEN 5 THEN 'Feature ''b'' must be numeric.' WHEN 6 THEN 'SpO2 values outside physiological range [40%, 100%].' WHEN 7 THEN 'Features list must contain only numeric floats.' END AS error FROM embeddings""")
+def request_channels(spark, folder):
+    """Channels that are text, a number, null or absent, and broken features, on bodies that are fine otherwise."""
+    extra = [
+        '"features": {"a": 1}, "ppg_signal": "abc"', '"features": {"a": 1}, "spo2_signal": "abc"', '"features": {"a": 1}, "spo2_signal": 97', '"features": {"a": 1}, "ppg_signal": null',
+        '"features": {"a": 1}', '"features": {"a": 1, "b": "x", "c": "y"}', '"features": {"a": 1}, "spo2_signal": [30, 99]', '"features": [1, "x"]',
+    ]
+    body = F.concat(F.lit("{"), F.element_at(F.array(*[F.lit(e) for e in extra]), (F.col("vec_id") % 8 + 1).cast("int")), F.lit("}"))
+    q = table(spark, folder, "embeddings", "vec_id").select("vec_id", payloads.request(body).alias("q")).select("vec_id", "q.*")
+    names = ("signal", "fs", "ppg", "spo2", "features", "feature_list", "ppg_form", "spo2_form")
+    return q.select("vec_id", quality.request_error(*[F.col(c) for c in names]).alias("error"))
+
+
 def _scoring_sql() -> str:
     n, fs = 128, 100.0
     chain = ",\n".join(v.strip() for v in (

@@ -131,13 +131,15 @@ def hrv_rule_triage(spark, folder):
     return df.select("event_id", triage.hrv_rule(hr, F.col("user_id") % 40).alias("p")).select("event_id", "p.*")
 
 
-@query("triage_tiers", with_(SCORED) + """
+@query("triage_tiers", """
+WITH scored AS (SELECT doc_id, (n_chars % 1000) / 1000.0::DOUBLE AS p, CASE WHEN (n_chars % 1000) / 1000.0::DOUBLE > 0.5 THEN 1 ELSE 0 END AS yhat FROM documents)
 SELECT doc_id, p, yhat AS predicted_class, CASE yhat WHEN 1 THEN 'Arrhythmia / Cardiac Abnormality' ELSE 'Normal Sinus Rhythm' END AS class_label,
   round(greatest(p, 1 - p), 4) AS confidence, CASE WHEN p >= 0.70 THEN 'CRITICAL' WHEN p >= 0.35 THEN 'MONITOR' ELSE 'LOW_RISK' END AS risk_tier
 FROM scored""")
 def triage_tiers(spark, folder):
     p = F.col("p")
-    return scored(spark, folder).select(
+    docs = table(spark, folder, "documents", "doc_id", "n_chars")
+    return docs.select("doc_id", ((F.col("n_chars") % 1000) / 1000.0).alias("p")).select(
         "doc_id", "p", triage.predicted_class(p).alias("predicted_class"),
         triage.class_label(triage.predicted_class(p)).alias("class_label"),
         F.round(triage.confidence(p), 4).alias("confidence"), triage.risk_tier(p).alias("risk_tier"),

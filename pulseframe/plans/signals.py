@@ -163,7 +163,7 @@ nb AS (SELECT user_id, idx, env, lag(env) OVER w AS l, lead(env) OVER w AS r FRO
 SELECT user_id, idx, round(env, 6) AS env FROM nb JOIN th USING (user_id) WHERE env > l AND env > r AND env >= th""")
 def peak_candidates(spark, folder):
     env = features.energy_envelope(signal(spark, folder), KEY, "idx", "v", 5).select("user_id", "idx", "env")
-    p90 = exact_quantiles(env, KEY, "env", {"p90": 0.9}, width=100.0, count="n")
+    p90 = exact_quantiles(env, KEY, "env", {"p90": 0.9}, count="n")
     peaks = lookup(features.local_maxima(env, KEY, "idx", "env"), p90, KEY, "n", ["p90"])
     return peaks.where(F.col("env") >= F.greatest(F.col("p90") * 0.30, F.lit(1e-4))).select("user_id", "idx", r(F.col("env")).alias("env"))
 

@@ -26,8 +26,17 @@ def _numbers(value: Column, path: str) -> Column:
     return F.transform(items, lambda x: x.try_cast("double"))
 
 
+def _is_list(value: Column, path: str) -> Column:
+    """False where something is sent under ``path`` that is not a list; absent and null are fine."""
+    text = F.get_json_object(value, path)
+    return text.isNull() | F.trim(text).startswith("[")
+
+
 def request(value: Column) -> Column:
-    """Struct of a prediction request: signal form, feature map or feature list."""
+    """Struct of a prediction request: signal form, feature map or feature list.
+
+    ``ppg_form`` and ``spo2_form`` are false for a channel that was sent but is not a list.
+    """
     feats = F.get_json_object(value, "$.features")
     mapped = F.when(F.trim(feats).startswith("{"), F.from_json(feats, "map<string,string>"))
     fs = F.get_json_object(value, "$.fs")
@@ -37,4 +46,5 @@ def request(value: Column) -> Column:
         F.transform_values(mapped, lambda _, v: v.try_cast("double")).alias("features"),
         _numbers(value, "$.features").alias("feature_list"),
         _numbers(value, "$.ppg_signal").alias("ppg"), _numbers(value, "$.spo2_signal").alias("spo2"),
+        _is_list(value, "$.ppg_signal").alias("ppg_form"), _is_list(value, "$.spo2_signal").alias("spo2_form"),
     )

@@ -108,7 +108,7 @@ def test_request_messages(spark):
         ('{"signal": [%s], "fs": 5}' % ",".join(["1"] * 100), "Sampling frequency 5.0 Hz"),
         ('{"signal": [%s], "fs": "x"}' % ",".join(["1"] * 100), "Sampling frequency 'fs' must be"),
         ('{"signal": [%s], "spo2_signal": [30]}' % ",".join(["1"] * 100), "SpO2 values outside"),
-        ('{"features": {"a": "b"}}', "Feature values must be numeric."), ('{"features": [1, 2.5]}', None),
+        ('{"features": {"a": "b"}}', "Feature 'a' must be numeric."), ('{"features": [1, 2.5]}', None),
     ]
     df = spark.createDataFrame(rows, "v string, want string").select(payloads.request(F.col("v")).alias("q"), "want").select("q.*", "want")
     out = df.select(quality.request_error(*[F.col(c) for c in ("signal", "fs", "ppg", "spo2", "features", "feature_list")]), "want").collect()

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def test_neighbourhood_blocks(df, rows, block):
 
 
 def test_exact_quantiles(df, rows):
-    got = exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.9}, width=5.0).toPandas().set_index("k").sort_index()
+    got = exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.9}).toPandas().set_index("k").sort_index()
     want = rows.groupby("k")["v"].quantile([0.25, 0.5, 0.9]).unstack()
     for c, p in (("a", 0.25), ("b", 0.5), ("c", 0.9)):
         assert (got[c] - want[p]).abs().max() < 1e-9
@@ -178,3 +179,19 @@ def test_sessions_and_quota(spark):
     assert sum(r["n"] for r in runs) == 400
     breaks = sum(1 + sum(b - a >= 45 for (a, _), (b, _) in zip(q, q[1:])) for q in by_client.values())
     assert len(runs) == breaks
+
+
+def test_quantile_slices_follow_the_signal(spark):
+    """A +-5 mV signal of many distinct values is cut into even slices."""
+    from pyspark.sql import functions as F
+
+    from pulseframe.operators.quantiles import exact_quantiles
+
+    df = spark.range(40_000).select(F.lit(1).alias("k"), (F.sin(F.col("id") * 0.7) * 5).alias("v"))
+    got = exact_quantiles(df, ["k"], "v", {"m": 0.5, "hi": 0.99}, count="n").first()
+    values = np.sort(np.array([r["v"] for r in df.collect()]))
+    assert got["n"] == 40_000
+    assert got["m"] == pytest.approx(np.quantile(values, 0.5)) and got["hi"] == pytest.approx(np.quantile(values, 0.99))
+    edges = df.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 640).alias("e")).first()["e"]
+    sizes = np.histogram(values, [-np.inf, *edges, np.inf])[0]
+    assert sizes.max() < 40_000 / 64 * 2
