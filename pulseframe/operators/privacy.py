@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,27 +30,43 @@ def patient_pseudonym(df: DataFrame, salt: str) -> Column:
 def sanitize(
     df: DataFrame, salt: str, id_columns: set[str] = frozenset(), not_id_columns: set[str] = frozenset(), strict: bool = False
 ) -> DataFrame:
-    """Drop direct identifiers, pseudonymise ids, scrub text, shift timestamps, keep the rest.
+    """Drop direct identifiers, pseudonymise ids, scrub text, shift timestamps and dates, keep the rest.
 
-    MAP<STRING, STRING> columns follow the same policy entry by entry.
+    Structs follow the same policy field by field, arrays element by element, and
+    MAP<STRING, STRING> entry by entry.
     """
     df = df.withColumn("patient_pseudonym", patient_pseudonym(df, salt))
-    out: list[Column] = [F.col("patient_pseudonym")]
-    for field in df.schema.fields:
-        name, low, col = field.name, field.name.lower().strip(), F.col(f"`{field.name}`")
-        if name == "patient_pseudonym" or low in C.FORBIDDEN_KEYS:
-            continue
-        if _is_id(name, id_columns, not_id_columns):
-            out.append(P.pseudonym(col, salt).alias(f"{name}_pseudonym"))
-        elif isinstance(field.dataType, T.StringType):
-            out.append(P.scrub(col, strict).alias(name))
-        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            out.append(P.shift_timestamp(col.cast("timestamp"), F.col("patient_pseudonym")).alias(name))
-        elif field.dataType == T.MapType(T.StringType(), T.StringType()):
-            out.append(sanitize_map(col, salt, strict).alias(name))
-        else:
-            out.append(col)
-    return df.select(*out)
+    who = F.col("patient_pseudonym")
+
+    def clean(col: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return P.scrub(col, strict)
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return P.shift_timestamp(col.cast("timestamp"), who)
+        if isinstance(kind, T.DateType):
+            return P.shift_timestamp(col.cast("timestamp"), who).cast("date")
+        if kind == T.MapType(T.StringType(), T.StringType()):
+            return sanitize_map(col, salt, strict)
+        if isinstance(kind, T.MapType):
+            return F.transform_values(col, lambda _, v: clean(v, kind.valueType))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(col, lambda x: clean(x, kind.elementType))
+        if isinstance(kind, T.StructType):
+            return F.when(col.isNotNull(), F.struct(*fields(kind, lambda n: col[n])))
+        return col
+
+    def fields(kind: T.StructType, get: Callable[[str], Column]) -> list[Column]:
+        out = []
+        for f in kind.fields:
+            if f.name.lower().strip() in C.FORBIDDEN_KEYS or f.name == "patient_pseudonym":
+                continue
+            if _is_id(f.name, id_columns, not_id_columns):
+                out.append(P.pseudonym(get(f.name), salt).alias(f"{f.name}_pseudonym"))
+            else:
+                out.append(clean(get(f.name), f.dataType).alias(f.name))
+        return out
+
+    return df.select(who, *fields(df.schema, lambda n: F.col(f"`{n}`")))
 
 
 def sanitize_map(entries: Column, salt: str, strict: bool = False) -> Column:

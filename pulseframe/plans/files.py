@@ -104,7 +104,7 @@ def wfdb_beats(spark, folder):
 
 
 @query("wfdb_records", _REC + f"""
-SELECT record_id, {_pseudonym_sql('record_id')} AS patient_pseudonym, 360.0::DOUBLE AS fs, count(*) AS frames, 2 AS n_channels, (20 + user_id % 60)::INT AS age,
+SELECT record_id, {_pseudonym_sql('record_id')} AS patient_pseudonym, 360.0::DOUBLE AS fs, count(*) AS frames, 2 AS n_channels, count(*) AS n_beats, (20 + user_id % 60)::INT AS age,
   CASE WHEN user_id % 2 = 0 THEN 'M' ELSE 'F' END AS sex, 'Aldomet, call [REDACTED_PHONE]' AS medications, 'WFDB_212' AS source_format
 FROM rec GROUP BY record_id, user_id HAVING arg_min(event_type, i) <> 'error'""")
 def wfdb_records(spark, folder):

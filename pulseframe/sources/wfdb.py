@@ -1,13 +1,15 @@
 """WFDB records: headers, format-212 signals, beat annotations.
 
-Headers are parsed with column expressions. A signal file is cut into byte ranges before it
-is read, so one long recording is decoded by many tasks; an annotation file (two bytes per
-beat, variable-length entries) is streamed through one task.
+Headers are parsed with column expressions. A signal file is cut into ranges of some 64 MB
+before it is read, so one long recording is decoded by many tasks, each opens its file once
+per range, and samples are scaled where they are decoded: gains travel to the ranges, samples
+to nobody. An annotation file (two bytes per beat, variable-length entries) is streamed
+through one task in whole arrays.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,9 @@ from pulseframe.sources.files import listing, locate, pieces, stem
 # Fixed values of the format
 FRAME_BYTES = 3
 DEFAULT_BASELINE = 1024
+DEFAULT_CHANNELS = [("MLII", 200.0, 1024), ("V5", 200.0, 1024)]  # where the header names fewer than two
+RANGE_FRAMES = 22_000_000
+PIECE_BLOCKS = 1024
 SKIP, AUX, END = 59, 63, 0
 
 
@@ -69,75 +74,112 @@ def decode_212(data: bytes) -> np.ndarray:
     return np.where(both >= 2048, both - 4096, both)
 
 
-def _read_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        rows = []
-        for path, block, start, frames in zip(b["path"], b["block_idx"], b["start"], b["frames"]):
-            fs, inner = locate(path)
-            with fs.open_input_file(inner) as f:
-                f.seek(start * FRAME_BYTES)
-                samples = decode_212(f.read(frames * FRAME_BYTES))
-            rows += [(path, block, start, ch, samples[:, ch]) for ch in (0, 1)]
-        yield pd.DataFrame(rows, columns=["path", "block_idx", "start", "channel", "raw"])
+def frame_pieces(path: str, start: int, frames: int, block: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first frame, samples) of a range, some blocks at a time, from one open file."""
+    fs, inner = locate(path)
+    with fs.open_input_file(inner) as f:
+        f.seek(start * FRAME_BYTES)
+        for at in range(start, start + frames, block * PIECE_BLOCKS):
+            n = min(block * PIECE_BLOCKS, start + frames - at)
+            yield at, decode_212(f.read(n * FRAME_BYTES))
 
 
-def read_raw(spark: SparkSession, folder: str, block: int = 1800, max_samples: int | None = None) -> DataFrame:
-    """Blocks of raw samples: record_id, channel, block_idx, start, raw ARRAY<INT>."""
+def ranges(spark: SparkSession, folder: str, block: int, max_samples: int | None = None) -> DataFrame:
+    """path, record_id, start, frames: whole blocks, up to about ``RANGE_FRAMES`` frames each."""
     frames = F.floor(F.col("length") / FRAME_BYTES)
     if max_samples:
         frames = F.least(frames, F.lit(max_samples))
+    step = max(1, RANGE_FRAMES // block) * block
     files = listing(spark, folder, "*.dat").withColumn("total", frames).where("total > 0")
-    blocks = files.select(
-        "path", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / block))).alias("block_idx"))
-    ranges = blocks.select(
-        "path", "block_idx", (F.col("block_idx") * block).alias("start"),
-        F.least(F.lit(block), F.col("total") - F.col("block_idx") * block).alias("frames"),
-    ).repartition("path", "block_idx")
-    raw = ranges.mapInPandas(_read_ranges, "path string, block_idx long, start long, channel int, raw array<int>")
-    return raw.withColumn("record_id", stem("path")).drop("path")
+    cut = files.select("path", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / step))).alias("range_idx"))
+    start = F.col("range_idx") * step
+    return cut.select("path", stem("path").alias("record_id"), start.alias("start"), F.least(F.lit(step), F.col("total") - start).alias("frames"))
+
+
+def _blocks(parts: DataFrame, columns: str, block: int, row: Callable[[pd.Series, int, np.ndarray], tuple]) -> DataFrame:
+    """Decode ranges into one row per (channel, block)."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for part in b.itertuples(index=False):
+                for first, samples in frame_pieces(part.path, part.start, part.frames, block):
+                    rows = []
+                    for at in range(0, len(samples), block):
+                        start = first + at
+                        rows += [(part.record_id, start // block, start, *row(part, ch, samples[at : at + block, ch])) for ch in (0, 1)]
+                    yield pd.DataFrame(rows, columns=names)
+
+    return parts.repartition("path", "start").mapInPandas(decode, columns)
+
+
+def read_raw(spark: SparkSession, folder: str, block: int = 1800, max_samples: int | None = None) -> DataFrame:
+    """Blocks of raw samples: record_id, channel, block_idx, start, raw ARRAY<INT>."""
+    columns = "record_id string, block_idx long, start long, channel int, raw array<int>"
+    return _blocks(ranges(spark, folder, block, max_samples), columns, block, lambda _, ch, x: (ch, x))
 
 
 def read_signals(spark: SparkSession, folder: str, block: int = 1800, max_samples: int | None = None) -> DataFrame:
-    """Blocks in physical units, one row per (record, channel, block); needs the headers."""
-    gains = read_headers(spark, folder).select("record_id", "fs", F.posexplode("channels").alias("channel", "c"))
-    joined = read_raw(spark, folder, block, max_samples).join(gains, ["record_id", "channel"])
-    return joined.select(
-        "record_id", F.col("c.desc").alias("channel"), "fs", "block_idx", "start",
-        F.zip_with("raw", F.array_repeat("c", F.size("raw")), lambda x, c: (x - c["baseline"]) / c["gain"]).alias("samples"),
-    )
+    """Blocks in physical units, one row per (record, channel, block); records without a header are left out."""
+    def channel(i: int) -> Column:
+        name, gain, baseline = DEFAULT_CHANNELS[i]
+        c = F.get("channels", F.lit(i))
+        return F.struct(
+            F.coalesce(c["desc"], F.lit(name)).alias("name"), F.coalesce(c["gain"], F.lit(gain)).alias("gain"), F.coalesce(c["baseline"], F.lit(baseline)).alias("baseline"))
 
+    gains = read_headers(spark, folder).where("fs IS NOT NULL").select("record_id", "fs", *[channel(i)[f].alias(f"{f}{i}") for i in (0, 1) for f in ("name", "gain", "baseline")])
+    parts = ranges(spark, folder, block, max_samples).join(gains, "record_id")
+    columns = "record_id string, block_idx long, start long, channel string, fs double, samples array<double>"
 
-def annotations(data: Iterator[bytes], max_samples: int | None = None, long_first: str = "high") -> Iterator[tuple[int, int]]:
-    """(sample, code) of each beat in a stream of annotation bytes.
+    def scaled(part: pd.Series, ch: int, x: np.ndarray) -> tuple:
+        name, gain, baseline = (part.name0, part.gain0, part.baseline0) if ch == 0 else (part.name1, part.gain1, part.baseline1)
+        return name, part.fs, (x - baseline) / gain
 
-    The long skip stores its high half first in the published layout; ``long_first='low'``
-    reads it as one little-endian number.
+    return _blocks(parts, columns, block, scaled)
+
+
+def annotations(data: Iterator[bytes], max_samples: int | None = None, long_first: str = "high") -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs (samples, codes) of beats in a stream of annotation bytes.
+
+    Between the rare special words (skip, note, end) positions are running sums. The long skip
+    stores its high half first in the published layout; ``long_first='low'`` reads it as one
+    little-endian number.
     """
-    stream = (byte for piece in data for byte in piece)
-
-    def word() -> int | None:
-        low, high = next(stream, None), next(stream, None)
-        return None if high is None else low | high << 8
-
-    at = 0
-    while (w := word()) is not None:
-        code, delta = w >> 10, w & 0x3FF
-        if code == END:
-            return
-        if code == SKIP:
-            a, b = word(), word()
-            if b is None:
-                return
-            jump = (a << 16 | b) if long_first == "high" else (b << 16 | a)
-            at += jump - (1 << 32) if jump >= 1 << 31 else jump
-        elif code == AUX:
-            for _ in range((delta + 1) // 2):
-                word()
-        else:
-            at += delta
-            if max_samples and at >= max_samples:
+    rest, at, over = b"", 0, 0  # over: words of a note that reach into the next piece
+    for piece in data:
+        rest += piece
+        words = np.frombuffer(rest[: len(rest) // 2 * 2], "<u2").astype(np.int64)
+        code, delta = words >> 10, words & 0x3FF
+        special = np.flatnonzero((code == END) | (code == SKIP) | (code == AUX))
+        i = min(over, len(words))
+        over -= i
+        while i < len(words):
+            k = np.searchsorted(special, i)
+            k = int(special[k]) if k < len(special) else len(words)
+            if k > i:
+                times = at + np.cumsum(delta[i:k])
+                if max_samples and (late := np.flatnonzero(times >= max_samples)).size:
+                    if late[0]:
+                        yield times[: late[0]], code[i : i + late[0]]
+                    return
+                yield times, code[i:k]
+                at, i = int(times[-1]), k
+            if k == len(words):
+                break
+            if code[k] == END:
                 return
-            yield at, code
+            if code[k] == SKIP:
+                if k + 2 >= len(words):
+                    break  # its two words are in the next piece
+                a, b = int(words[k + 1]), int(words[k + 2])
+                jump = (a << 16 | b) if long_first == "high" else (b << 16 | a)
+                at += jump - (1 << 32) if jump >= 1 << 31 else jump
+                i = k + 3
+            else:
+                i = k + 1 + (int(delta[k]) + 1) // 2
+                if i > len(words):
+                    i, over = len(words), i - len(words)
+        rest = rest[2 * i :]
 
 
 def read_beats(spark: SparkSession, folder: str, max_samples: int | None = None, long_first: str = "high") -> DataFrame:
@@ -146,13 +188,8 @@ def read_beats(spark: SparkSession, folder: str, max_samples: int | None = None,
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path in b["path"]:
-                rows: list[tuple[str, int, int]] = []
                 for at, code in annotations(pieces(path), max_samples, long_first):
-                    rows.append((path, at, code))
-                    if len(rows) == 100_000:
-                        yield pd.DataFrame(rows, columns=["path", "sample_idx", "code"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["path", "sample_idx", "code"]).astype({"sample_idx": "int64", "code": "int32"})
+                    yield pd.DataFrame({"path": path, "sample_idx": at, "code": code.astype(np.int32)})
 
     files = listing(spark, folder, "*.atr").repartition("path")
     beats = files.select("path").mapInPandas(parse, "path string, sample_idx long, code int")
@@ -160,14 +197,17 @@ def read_beats(spark: SparkSession, folder: str, max_samples: int | None = None,
 
 
 def read_records(spark: SparkSession, folder: str, salt: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects): complete records de-identified; rejects say what is wrong."""
+    """(records, rejects): complete records de-identified, with their number of annotations (NULL
+    without an annotation file); rejects say what is wrong."""
     heads = read_headers(spark, folder)
     data = listing(spark, folder, "*.dat").select(
         stem("path").alias("record_id"), F.floor(F.col("length") / FRAME_BYTES).alias("frames"))
-    both = heads.join(data, "record_id", "full_outer")
+    noted = listing(spark, folder, "*.atr").select(stem("path").alias("record_id"), F.lit(0).alias("n"))
+    beats = noted.unionByName(read_beats(spark, folder).select("record_id", F.lit(1).alias("n"))).groupBy("record_id").agg(F.sum("n").alias("n_beats"))
+    both = heads.join(data, "record_id", "full_outer").join(beats, "record_id", "left")
     ok = F.col("fs").isNotNull() & F.col("frames").isNotNull()
     records = both.where(ok).select(
-        "record_id", pseudonym(F.col("record_id"), salt).alias("patient_pseudonym"), "fs", "frames", "n_channels", "age", "sex",
+        "record_id", pseudonym(F.col("record_id"), salt).alias("patient_pseudonym"), "fs", "frames", "n_channels", "n_beats", "age", "sex",
         scrub(F.col("medications")).alias("medications"), F.lit("WFDB_212").alias("source_format"))
     rejects = both.where(~ok).select(
         "record_id",

@@ -1,6 +1,7 @@
 """De-identification, rules, metrics and sources on small golden inputs."""
 
 import hashlib
+import random
 import hmac
 from datetime import datetime
 
@@ -178,14 +179,58 @@ def test_ranges_and_schema(spark):
         validation.require_columns(df, ["K ", "missing"])
 
 
+def beats(data, **options):
+    return [(int(t), int(c)) for times, codes in wfdb.annotations(data, **options) for t, c in zip(times, codes)]
+
+
 def test_wfdb_bytes():
     assert wfdb.decode_212(bytes.fromhex("E333F3")).tolist() == [[995, 1011]]
     assert wfdb.decode_212(bytes.fromhex("FB8F00")).tolist() == [[-5, -2048]]
-    assert list(wfdb.annotations([bytes.fromhex("4D042C150000")])) == [(77, 1), (377, 5)]
+    assert beats([bytes.fromhex("4D042C150000")]) == [(77, 1), (377, 5)]
     skip = bytes.fromhex("00EC" "0100" "0200" "0504" "03FC" "61626300" "0A04" "0000")
-    assert list(wfdb.annotations([skip[:5], skip[5:]])) == [(65538 + 5, 1), (65538 + 15, 1)]
-    assert list(wfdb.annotations([skip], long_first="low"))[0] == (0x20001 + 5, 1)
-    assert list(wfdb.annotations([bytes.fromhex("4D042C150000")], max_samples=100)) == [(77, 1)]
+    assert beats([skip[:5], skip[5:]]) == [(65538 + 5, 1), (65538 + 15, 1)]
+    assert beats([skip], long_first="low")[0] == (0x20001 + 5, 1)
+    assert beats([bytes.fromhex("4D042C150000")], max_samples=100) == [(77, 1)]
+
+
+def test_annotations_in_any_pieces():
+    rnd = random.Random(3)
+    words, want, at = [], [], 0
+    for _ in range(400):
+        kind = rnd.random()
+        if kind < 0.1:
+            jump = rnd.randrange(-50, 200_000)
+            words += [59 << 10, (jump >> 16) & 0xFFFF, jump & 0xFFFF]
+            at += jump
+        elif kind < 0.2:
+            n = rnd.randrange(0, 9)
+            words += [63 << 10 | n] + [rnd.randrange(1 << 16) for _ in range((n + 1) // 2)]
+        else:
+            code, delta = rnd.randrange(1, 50), rnd.randrange(1024)
+            words.append(code << 10 | delta)
+            at += delta
+            want.append((at, code))
+    data = b"".join(w.to_bytes(2, "little") for w in [*words, 0, 1 << 10 | 7])
+    for size in (1, 2, 3, 7, 64, 10_000):
+        assert beats([data[i : i + size] for i in range(0, len(data), size)]) == want
+
+
+def test_one_channel_header_and_one_open_per_range(spark, tmp_path, monkeypatch):
+    (tmp_path / "r1.hea").write_text("r1 1 360 10\nr1.dat 212 100(5)/mV 11 0 0 0 0 II\n")
+    (tmp_path / "r1.dat").write_bytes(bytes.fromhex("E333F3") * 10)
+    s = wfdb.read_signals(spark, str(tmp_path), block=4).orderBy("channel", "block_idx").collect()
+    assert [r["channel"] for r in s] == ["II"] * 3 + ["V5"] * 3
+    assert s[0]["samples"][0] == pytest.approx(9.90) and s[3]["samples"][0] == pytest.approx((1011 - 1024) / 200)
+    opened = []
+    real = wfdb.locate
+
+    def counted(path):
+        opened.append(path)
+        return real(path)
+
+    monkeypatch.setattr(wfdb, "locate", counted)
+    assert sum(len(x) for _, x in wfdb.frame_pieces(str(tmp_path / "r1.dat"), 2, 7, 2)) == 7
+    assert len(opened) == 1
 
 
 def test_wfdb_folder(spark, tmp_path):
