@@ -104,6 +104,44 @@ def stream_triage(spark, folder):
                                    "triage_risk_tier", F.size("signal").alias("n_samples"))
 
 
+_STATE_SQL = f"""WITH p AS (SELECT {_TELEMETRY_FIELDS}, ts, value FROM events),
+l AS (SELECT device_id, arg_max(event_id, (ts, event_id)) AS event_id FROM p GROUP BY 1),
+d AS (SELECT p.*, CASE WHEN leads_off THEN 0 WHEN n_samples = 0 THEN 0 ELSE 100 + event_id % 120 END AS n FROM p JOIN l USING (device_id, event_id))
+SELECT {_pseudonym_sql('device_id')} AS device_pseudonym, event_id, CASE WHEN leads_off THEN 'ALERT_LEADS_OFF' ELSE 'SUCCESS' END AS status, leads_off, bpm, spo2, temperature_c,
+  CASE WHEN leads_off THEN 'Leads Disconnected' WHEN bpm < 50 OR bpm > 115 THEN 'Arrhythmia / Abnormal' ELSE 'Normal Sinus Rhythm' END AS clinical_condition,
+  CASE WHEN NOT leads_off THEN CASE WHEN bpm < 50 OR bpm > 115 THEN 0.91 ELSE 0.05 END END::DOUBLE AS pathology_probability,
+  CASE WHEN leads_off THEN 'MONITOR' WHEN bpm < 50 OR bpm > 115 THEN 'CRITICAL' ELSE 'LOW_RISK' END AS triage_risk_tier,
+  CASE WHEN leads_off THEN 50 ELSE least(n, 150) END::INT AS n_samples, CASE WHEN leads_off THEN 0.0 WHEN n > 0 THEN (1 + greatest(n - 150, 0))::DOUBLE END AS oldest_sample
+FROM d"""
+
+
+def _long_packets(df):
+    """Packets of 100 to 219 samples, numbered from 1, so that the kept tail shows."""
+    numbered = F.transform(F.sequence(F.lit(1), (100 + F.col("event_id") % 120).cast("int")), lambda i: i.cast("double"))
+    return df.withColumn("signal", F.when(F.size("signal") > 0, numbered).otherwise(F.col("signal")))
+
+
+def _state_columns(df):
+    fields = [c for c in device.STATE if c not in ("signal", "calibrated_confidence")]
+    return df.select("device_pseudonym", "event_id", *fields, F.size("signal").alias("n_samples"), F.get("signal", F.lit(0)).alias("oldest_sample"))
+
+
+@query("device_state", _STATE_SQL)
+def device_state(spark, folder):
+    """Everything the latest-state table holds per device: vitals, prediction and the last samples."""
+    packets = _long_packets(parsed_packets(events(spark, folder, "event_id", "ts", "user_id", "event_type", "value", "props")))
+    responses = device.snapshot(device.respond(packets, SALT))
+    return _state_columns(sessions.latest_state(responses, "device_pseudonym", ORDER, ["event_id", *device.STATE]))
+
+
+@query("stream_state", _STATE_SQL)
+def stream_state(spark, folder):
+    packets = _long_packets(parsed_packets(device.table_stream(spark, folder, "events")))
+    responses = device.snapshot(device.respond(packets, SALT))
+    df = device.latest(responses, "device_pseudonym", ORDER, device.STATE)
+    return _state_columns(device.drain_updates(df, lambda u: sessions.latest_state(u, "device_pseudonym", ["batch_id", *ORDER], ["event_id", *device.STATE])))
+
+
 @query("stream_alerts", f"""WITH {_PACKET_SQL}
 SELECT event_id, {_LEVEL_SQL} AS level, CASE WHEN event_type = 'error' THEN 'Check Electrode Pads' ELSE 'Physician Alert Dispatch' END AS action
 FROM packets WHERE {_LEVEL_SQL} <> 'NORMAL'""")

@@ -81,10 +81,21 @@ def respond(packets: DataFrame, salt: str) -> DataFrame:
         F.when(~off, F.round("_p.confidence_score", 4)).alias("calibrated_confidence"),
         F.when(~off, F.round("_p.pathology_probability", 4)).alias("pathology_probability"),
         tier.alias("triage_risk_tier"), triage.alert_level(tier, off).alias("level"),
-        F.when(off, flat).otherwise(A.tail(F.col("signal"), C.LATEST_SAMPLES)).alias("signal"),
+        F.when(off, flat).otherwise(F.col("signal")).alias("signal"),
     )
 
 
+STATE = [
+    "status", "leads_off", "bpm", "spo2", "temperature_c", "clinical_condition", "calibrated_confidence", "pathology_probability",
+    "triage_risk_tier", "signal",
+]
+
+
+def snapshot(responses: DataFrame) -> DataFrame:
+    """Responses as the latest-state table keeps them: of the signal only its last samples."""
+    return responses.withColumn("signal", A.tail(F.col("signal"), C.LATEST_SAMPLES))
+
+
 def rhythm(packets: DataFrame) -> DataFrame:
     """Add ``rmssd_ms`` from the cleaned packet signal, without a quality gate.
 
