@@ -14,6 +14,10 @@ leading bits, so memory is bounded when fingerprints are uneven too. Links leave
 spanning forest of what it has seen. Components then come from alternating large-star and
 small-star rounds over the links, each round written to the shared folder.
 
+That is ``near_duplicates``, exact at its radius. ``similar`` finds texts whose shingle sets are
+alike to a given degree: they differ in many more bits, so the same ball hashing runs in lanes
+of a longer signature, and pairs that meet are verified on the whole of it.
+
 Scale: exact copies and equal fingerprints collapse before anything is emitted (a group that
 holds a third of all rows is one fingerprint); no pair list of a group exists anywhere.
 
@@ -29,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
-from math import ceil, comb, log2
+from math import acos, ceil, comb, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -45,6 +49,7 @@ VARIANTS_PER_TASK = 16_000_000
 SLICE = 2_000_000  # variants that a task sorts at once
 SPLIT_BITS = 6
 UNEVEN = 8  # a share above this many times the planned one is split further
+SMALL_SHARE = 10_000  # fingerprints that are never worth a split
 
 
 def fingerprint(text: str | None, size: int = 5) -> int:
@@ -129,55 +134,93 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
-def meet(fps: np.ndarray, prefix: int, bits: int, half: int) -> tuple[np.ndarray, np.ndarray]:
+def _runs(value: np.ndarray, left: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices (owners in order of variant, first owner of each one's variant, start flag), variants met by one owner left out."""
+    room = max(1, (len(value) - 1).bit_length())
+    for key, owner in _variants(value, np.arange(len(value)), left, width):
+        if width + room <= 64:  # variant and owner in one word sort fastest
+            both = np.sort(key << np.uint64(room) | owner.astype(np.uint64))
+            key, owner = both >> np.uint64(room), (both & np.uint64((1 << room) - 1)).astype(np.int64)
+        else:
+            order = np.lexsort((owner, key))
+            key, owner = key[order], owner[order]
+        same = key[1:] == key[:-1]
+        kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        start = np.concatenate([[True], ~same])[kept]
+        owner = owner[kept]
+        if len(owner):
+            yield owner, np.repeat(owner[start], np.diff(np.append(np.flatnonzero(start), len(owner)))), start
+
+
+def meet(fps: np.ndarray, prefix: int, bits: int, half: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links (forest) of fingerprints that meet on a variant with these ``bits`` leading bits."""
-    low = np.uint64(64 - bits)
-    left = half - np.bitwise_count((fps >> low) ^ np.uint64(prefix)).astype(np.int64) if bits else np.full(len(fps), half)
+    value, left, low = _within(fps, prefix, bits, half, width)
     a, b = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    for key, owner in _variants(fps & np.uint64((1 << int(low)) - 1), np.arange(len(fps)), left, int(low)):
-        order = np.argsort(key)
-        key, owner = key[order], owner[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.concatenate([start, [len(key)]]))
-        mine = np.repeat(np.minimum.reduceat(owner, start), size)
-        far = owner != mine
+    for owner, first, _ in _runs(value, left, low):
+        far = owner != first
         if far.any():
-            x, y = fps[owner[far]], fps[mine[far]]
+            x, y = fps[owner[far]], fps[first[far]]
             near = np.bitwise_count(x ^ y) <= 2 * half  # holds by the triangle inequality
             a, b = _forest(np.concatenate([a, x[near]]), np.concatenate([b, y[near]]))
     return a, b
 
 
-def _prefixes(fp: Column, width: int, flips: int) -> Column:
-    """The leading ``width`` bits that variants of ``fp`` can have."""
+def candidates(blocks: np.ndarray, prefix: int, bits: int, half: int, width: int) -> np.ndarray:
+    """Pairs of rows whose blocks meet: each with the first one at a meeting point, and with the one before it."""
+    value, left, low = _within(blocks, prefix, bits, half, width)
+    found = np.zeros((0, 2), np.int64)
+    for owner, first, start in _runs(value, left, low):
+        star, chain = np.stack([first, owner], 1)[owner != first], np.stack([owner[:-1], owner[1:]], 1)[~start[1:]]
+        found = np.unique(np.concatenate([found, star, chain]), axis=0)
+    return found
+
+
+def _within(fps: np.ndarray, prefix: int, bits: int, half: int, width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The bits below the prefix, the flips left for them, and their number."""
+    low = width - bits
+    left = half - np.bitwise_count((fps >> np.uint64(low)) ^ np.uint64(prefix)).astype(np.int64) if bits else np.full(len(fps), half)
+    return fps & np.uint64((1 << low) - 1), left, low
+
+
+def _prefixes(fp: Column, total: int, width: int, flips: int) -> Column:
+    """The leading ``width`` of ``total`` bits that variants of ``fp`` can have."""
     masks = F.array(*[F.lit(int(m)).cast("long") for m in _masks(width, flips)])
-    return F.transform(masks, lambda m: F.shiftrightunsigned(fp, 64 - width).bitwiseXOR(m))
+    return F.transform(masks, lambda m: F.shiftrightunsigned(fp, total - width).bitwiseXOR(m))
 
 
-def links(fps: DataFrame, radius: int = 4, variants_per_task: int = VARIANTS_PER_TASK) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints ``fp`` within ``radius`` bits (even)."""
-    half = radius // 2
-    n = fps.count()
-    bits = min(24, max(SPLIT_BITS, ceil(log2(max(1, n * _ball(64, half) / variants_per_task)))))
+def shares(fps: DataFrame, half: int, width: int, variants_per_task: int) -> DataFrame:
+    """(lane, bits, prefix, fp, ...): each fingerprint once per share that some of its variants fall in.
+
+    ``fps`` has ``lane`` (fingerprints of different lanes never meet) and ``fp``.
+    """
+    n = fps.groupBy("lane").count().agg(F.max("count")).first()[0] or 0
+    bits = min(width - 8, 24, max(SPLIT_BITS if width == 64 else 3, ceil(log2(max(1, n * _ball(width, half) / variants_per_task)))))
     planned = max(1, n * _ball(bits, half) >> bits)
-    entries = fps.select(F.lit(bits).alias("bits"), F.explode(_prefixes(F.col("fp"), bits, half)).alias("prefix"), "fp")
-    while bits + SPLIT_BITS <= 60:  # shares that crowded fingerprints overfill are split by further bits
-        hot = entries.where(F.col("bits") == bits).groupBy("prefix").count().where(F.col("count") > UNEVEN * planned + 10_000)
-        hot = written(hot.select("prefix", F.lit(bits).alias("bits"), F.lit(True).alias("hot")), "hot")
+    entries = fps.select("*", F.lit(bits).alias("bits"), F.explode(_prefixes(F.col("fp"), width, bits, half)).alias("prefix"))
+    while bits + SPLIT_BITS <= width - 4:  # shares that crowded fingerprints overfill are split by further bits
+        hot = entries.where(F.col("bits") == bits).groupBy("lane", "prefix").count().where(F.col("count") > UNEVEN * planned + SMALL_SHARE)
+        hot = written(hot.select("lane", "prefix", F.lit(bits).alias("bits"), F.lit(True).alias("hot")), "hot")
         if hot.isEmpty():
             break
-        marked = entries.join(hot, ["bits", "prefix"], "left")
+        marked = entries.join(hot, ["lane", "bits", "prefix"], "left")
         wider = bits + SPLIT_BITS
-        near = F.filter(_prefixes(F.col("fp"), wider, half), lambda p: F.shiftright(p, SPLIT_BITS) == F.col("prefix"))
+        near = F.filter(_prefixes(F.col("fp"), width, wider, half), lambda p: F.shiftright(p, SPLIT_BITS) == F.col("prefix"))
         keys = F.when(F.col("hot"), near).otherwise(F.array("prefix"))
-        entries = marked.select(F.when(F.col("hot"), wider).otherwise(F.col("bits")).alias("bits"), F.explode(keys).alias("prefix"), "fp")
+        entries = marked.select(*fps.columns, F.when(F.col("hot"), wider).otherwise(F.col("bits")).alias("bits"), F.explode(keys).alias("prefix"))
         bits = wider
+    return entries
+
+
+def links(fps: DataFrame, radius: int = 4, variants_per_task: int = VARIANTS_PER_TASK) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints ``fp`` within ``radius`` bits (even)."""
+    half = radius // 2
 
     def joined(key: tuple, group: pa.Table) -> pa.Table:
         values = group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         a, b = meet(values, key[1].as_py(), key[0].as_py(), half)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
+    entries = shares(fps.select(F.lit(0).alias("lane"), "fp"), half, 64, variants_per_task)
     return entries.groupBy("bits", "prefix").applyInArrow(joined, "a long, b long")
 
 
@@ -212,13 +255,94 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return rows.join(named, "fp", "left").select(*kept, "fp", "component_id", "fp_root")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: the one of the smallest id (NULL ids last)."""
-    columns = docs.columns
-    row = F.xxhash64(*columns)
-    narrow = near_duplicates(docs.select(F.col(doc_id).alias("_id"), row.alias("_row"), F.col(text).alias("_text")), "_text", "_id", size, radius)
+# --- signatures of many bits, for a similarity of word shingles ----------------------
+SIGNATURE_BITS = 512
+LANES = 12
+LANE_BITS = 40
+SIMILARITY = 0.8
+
+
+def bits_apart(similarity: float, bits: int = SIGNATURE_BITS) -> int:
+    """Differing bits that sets of this Jaccard similarity keep within in 98 of 100 cases."""
+    p = acos(2 * similarity / (1 + similarity)) / pi
+    return ceil(bits * p + 2 * sqrt(bits * p * (1 - p)))
+
+
+def signature(text: str | None, size: int = 5) -> np.ndarray:
+    """``SIGNATURE_BITS`` SimHash bits (0/1) over the distinct word shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.zeros(SIGNATURE_BITS, np.uint8)
+    shingles = zip(*[words[i:] for i in range(size)]) if len(words) >= size else [words]
+    digest = xxhash.xxh64_intdigest
+    hashes = np.unique(np.array([digest(b" ".join(s), SEED) for s in shingles], dtype=np.uint64))
+    ones = np.zeros(SIGNATURE_BITS, np.int64)
+    for i in range(0, len(hashes), 4096):
+        part = hashes[i : i + 4096, None] + np.arange(1, SIGNATURE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        part = (part ^ (part >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        part = (part ^ (part >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        part ^= part >> np.uint64(31)
+        bits = np.unpackbits(part.view(np.uint8), axis=1)
+        for j in range(0, len(bits), 255):  # sums of 255 bits fit a byte
+            ones += bits[j : j + 255].sum(0, dtype=np.uint8)
+    return (2 * ones > len(hashes)).astype(np.uint8)
+
+
+def with_signature(docs: DataFrame, text: str, size: int) -> DataFrame:
+    """``docs`` with ``sig`` (longs) and ``lanes`` (the ``LANES`` blocks of ``LANE_BITS`` bits)."""
+    weights = 1 << np.arange(LANE_BITS, dtype=np.int64)
+
+    @F.pandas_udf("sig array<long>, lanes array<long>")
+    def sign(texts: pd.Series) -> pd.DataFrame:
+        bits = [signature(t, size) for t in texts]
+        return pd.DataFrame({
+            "sig": [np.packbits(b).view("<i8") for b in bits],
+            "lanes": [b[: LANES * LANE_BITS].reshape(LANES, LANE_BITS) @ weights for b in bits],
+        })
+
+    return docs.withColumn("_s", sign(F.col(text))).select("*", "_s.*").drop("_s")
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = SIMILARITY, variants_per_task: int = VARIANTS_PER_TASK) -> DataFrame:
+    """``docs`` without their text, each with ``component_id`` and ``root`` of its near-duplicates.
+
+    A fingerprint of 64 bits within 4 bits finds texts that are almost the same; shingle sets of
+    similarity 0.8 differ in a seventh of their bits. So a signature of 512 bits is cut into 12
+    lanes of 40 bits, ball hashing within 4 bits runs in each lane (a pair of similarity 0.8
+    meets in a lane with chance 0.26, in one of 12 with 0.97), and pairs that meet are verified
+    on the whole signature. Two texts with nothing in common meet in a lane with chance 9e-8:
+    for far more than 10^8 different texts take wider and more lanes.
+    """
+    half, limit = 2, bits_apart(similarity)
+    kept = [c for c in docs.columns if c not in (text, "component_id", "root", "sig", "lanes", "node")]
+    rows = with_signature(docs.select(*kept, text), text, size)
+    rows = written(rows.select(*kept, F.xxhash64("sig").alias("node"), "sig", "lanes"), "signatures")
+    nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig"), F.first("lanes").alias("lanes"), F.min(doc_id).alias("first_id")), "nodes")
+
+    def meets(key: tuple, group: pa.Table) -> pa.Table:
+        ids = group.column("node").to_numpy()
+        pairs = candidates(group.column("fp").to_numpy().astype(np.int64).view(np.uint64), key[2].as_py(), key[1].as_py(), half, LANE_BITS)
+        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
+
+    lanes = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
+    met = shares(lanes, half, LANE_BITS, variants_per_task).groupBy("lane", "bits", "prefix").applyInArrow(meets, "a long, b long")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+    apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    roots = components(pairs.where(apart <= limit).select("a", "b"))
+    rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = rooted.join(first, "root").select("node", "root", "component_id")
+    return rows.join(named, "node", "left").select(*kept, "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one of the smallest id (NULL ids last)."""
+    row = F.xxhash64(*docs.columns)
+    narrow = similar(docs.select(F.col(doc_id).alias("_id"), row.alias("_row"), F.col(text).alias("_text")), "_text", "_id", size, similarity)
     order = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
-    stay = narrow.groupBy("fp_root").agg(F.min(order).alias("m")).select(F.col("m.r").alias("_row"), F.col("m.i").alias("_stay"))
+    stay = narrow.groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.r").alias("_row"), F.col("m.i").alias("_stay"))
     whole = docs.select(F.struct("*").alias("doc"), F.col(doc_id).alias("_id"), row.alias("_row"))
     whole = whole.groupBy("_row", "_id").agg(F.first("doc").alias("doc"))  # rows equal in all columns are one
     return whole.join(stay, (whole["_row"] == stay["_row"]) & whole["_id"].eqNullSafe(stay["_stay"]), "left_semi").select("doc.*")

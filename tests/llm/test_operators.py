@@ -127,6 +127,7 @@ def test_links_of_crowded_fingerprints(spark, per_task, monkeypatch):
     fps = sorted(fps)
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     monkeypatch.setattr(simhash, "UNEVEN", 0)
+    monkeypatch.setattr(simhash, "SMALL_SHARE", 40)
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     got = {r["node"]: r["root"] for r in rows(simhash.components(simhash.links(df, 4, per_task)))}
     root = brute_components(fps, 4)
@@ -147,6 +148,42 @@ def test_meeting_slices(monkeypatch):
     assert [x.tolist() for x in whole] == [x.tolist() for x in sliced]
 
 
+def jaccard(a, b):
+    def grams(t):
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_are_found(spark):
+    """Copies with a tenth of their shingles changed are grouped, texts with half of them are not."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    docs, group = [], []
+
+    def edited(text, share):
+        w = text.split()
+        for i in r.sample(range(len(w)), max(1, int(len(w) * share))):
+            w[i] = r.choice(vocabulary)
+        return " ".join(w)
+
+    for g in range(60):
+        base = " ".join(r.choice(vocabulary) for _ in range(r.randint(100, 400)))
+        for text in (base, *(edited(base, 0.018) for _ in range(g % 4)), base):
+            docs.append((len(docs), text))
+            group.append(g)
+        docs.append((len(docs), edited(base, 0.15)))
+        group.append(-1 - g)
+    got = {x["doc_id"]: x["root"] for x in rows(simhash.similar(spark.createDataFrame(docs, "doc_id long, text string"), variants_per_task=200_000))}
+    near = [(i, j) for i in range(len(docs)) for j in range(i) if abs(i - j) < 8 and jaccard(docs[i][1], docs[j][1]) >= 0.8]
+    assert len(near) > 100
+    assert sum(got[i] == got[j] for i, j in near) >= 0.97 * len(near)
+    far = [(i, j) for i in range(len(docs)) for j in range(i) if got[i] == got[j] and group[i] != group[j]]
+    assert not far
+
+
 def test_simhash_odd_rows(spark, odd):
     got = rows(simhash.near_duplicates(odd))
     assert len(got) == len(ODD)
