@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pulseframe.llm.licenses import TEMPLATES
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_url_filters"] = r"""
@@ -51,3 +53,77 @@ per AS (
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN per USING (n)"""
+
+
+def _filled(level: str, parents: list[str], source: str, weight: str) -> str:
+    """One level of budgets: children share what their parent has, the full ones first."""
+    path = ", ".join([*parents, level])
+    family = f"PARTITION BY {', '.join(parents)}" if parents else ""
+    return f"""
+c_{level} AS (SELECT {path}, sum(tokens * 4)::DOUBLE AS cap, any_value(given) AS given, {weight} AS w FROM {source} GROUP BY {path}),
+o_{level} AS (SELECT *, coalesce(sum(cap) OVER ({family} ORDER BY cap / w, {path} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+   sum(w) OVER ({family} ORDER BY cap / w, {path} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM c_{level}),
+f_{level} AS (SELECT *, cap / w * open <= given - used AS is_full FROM o_{level}),
+s_{level} AS (SELECT {path}, CASE WHEN is_full THEN cap ELSE w * (given - coalesce(sum(CASE WHEN is_full THEN cap END) OVER ({family}), 0))
+   / sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ({family}) END AS given FROM f_{level}),
+b_{level} AS (SELECT l.* EXCLUDE (given), s.given FROM {source} l JOIN s_{level} s USING ({path}))"""
+
+
+ORACLES["op5_mixing"] = f"""
+WITH docs AS (
+  SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens,
+         CASE WHEN regexp_matches(source, '[0-9]{{1,9}}$') THEN 'domain' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::BIGINT % 4) ELSE 'other' END AS domain
+  FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
+start AS (SELECT *, (sum(tokens) OVER ())::DOUBLE AS given FROM leaf),{_filled('domain', [], 'start', "CASE domain WHEN 'domain0' THEN 3.0 WHEN 'other' THEN 1.0 ELSE 2.0 END::DOUBLE")},{
+  _filled('lang', ['domain'], 'b_domain', "CASE lang WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE")},{
+  _filled('source', ['domain', 'lang'], 'b_lang', '1.0::DOUBLE')},
+plan AS (SELECT *, floor(given + 1e-6)::BIGINT AS budget FROM b_source),
+whole AS (SELECT *, CASE WHEN tokens > 0 THEN least(budget // tokens, 4) ELSE 1 END AS epochs FROM plan),
+left_over AS (SELECT *, CASE WHEN epochs < 4 THEN budget - epochs * tokens ELSE 0 END AS rest FROM whole),
+seeded AS (SELECT d.*, epochs, rest, substr(md5('17:' || (epochs + 1) || ':' || doc_id), 1, 15) AS h FROM docs d JOIN left_over USING (domain, lang, source)),
+cut AS (SELECT *, rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest AS more FROM seeded)
+SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, epochs + 1 + more::INT))::INT AS epoch FROM cut"""
+
+ORACLES["op10_license_scans"] = """
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines,
+         array_to_string([source, lang, (doc_id // 1000)::VARCHAR][1:(doc_id // 3) % 3 + 1] || [doc_id::VARCHAR], '/') AS path FROM documents),
+place AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM docs),
+line AS (SELECT n, dir, len(lines) AS size, unnest(range(len(lines))) AS i, trim(unnest(lines)) AS text FROM place),
+notice AS (SELECT * FROM line WHERE regexp_matches(text, '(?i)licen[cs]e|permission is hereby granted|redistribution and use|spdx-')),
+model(license, text) AS (VALUES """ + ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES) + r"""),
+corpus AS (SELECT 'n' AS kind, NULL AS license, text FROM (SELECT DISTINCT text FROM notice) UNION ALL SELECT 't', license, text FROM model),
+term AS (SELECT kind, license, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM corpus),
+tf AS (SELECT kind, license, text, term, count(*) AS tf FROM term GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM corpus)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tf GROUP BY term),
+vec AS (SELECT *, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY kind, license, text)) AS norm FROM tf JOIN idf USING (term)),
+cos AS (SELECT a.text, b.license, sum(a.w / a.norm * b.w / b.norm) AS cosine FROM vec a JOIN vec b USING (term) WHERE a.kind = 'n' AND b.kind = 't' GROUP BY a.text, b.license, b.text),
+known AS (SELECT text, license, round(cosine, 6) AS cosine FROM cos WHERE cosine >= 0.7 QUALIFY row_number() OVER (PARTITION BY text ORDER BY round(cosine, 6) DESC, license) = 1),
+found AS (SELECT n, dir, size, i, license, cosine FROM notice JOIN known USING (text)),
+head AS (SELECT n, any_value(dir) AS dir, arg_min(license, (-cosine, i, license)) AS license, max(cosine) AS cosine, bool_or(size <= 10 AND (i = 0 OR i = size - 1)) AS is_file FROM found GROUP BY n),
+owner AS (SELECT dir AS above, arg_min(license, (-cosine, license)) AS license FROM head WHERE is_file GROUP BY dir),
+up AS (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM place)),
+near AS (SELECT dir, arg_max(above, depth) AS origin, arg_max(license, depth) AS license
+         FROM (SELECT dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') AS above FROM up) JOIN owner USING (above) GROUP BY dir)
+SELECT doc_id, path, coalesce(h.license, d.license) AS license, h.cosine, CASE WHEN h.is_file THEN 'file' WHEN h.license IS NOT NULL THEN 'header' WHEN d.license IS NOT NULL THEN 'directory' END AS scope,
+       CASE WHEN h.license IS NULL THEN d.origin END AS origin
+FROM place p LEFT JOIN head h USING (n) LEFT JOIN near d ON d.dir = p.dir"""
+
+ORACLES["op4_line_dedup"] = r"""
+WITH line AS (
+  SELECT doc_id, i, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w
+  FROM (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
+sums AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM line),
+pair AS (SELECT b.doc_id AS d, b.i AS i, a.doc_id AS e, a.i AS k FROM line a JOIN line b ON a.x = b.x AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))),
+island AS (SELECT *, i - row_number() OVER (PARTITION BY d, e, i - k ORDER BY i) AS g FROM pair),
+run AS (SELECT d, i, max(i) OVER (PARTITION BY d, e, i - k, g) AS last FROM island),
+longest AS (SELECT d AS doc_id, i, max(last) AS last FROM run GROUP BY d, i),
+enough AS (SELECT l.doc_id, l.i, l.last FROM longest l JOIN sums s USING (doc_id, i) JOIN sums t ON t.doc_id = l.doc_id AND t.i = l.last WHERE t.upto - s.upto + s.w >= 50),
+reach AS (SELECT s.*, coalesce(max(e.last) OVER (PARTITION BY s.doc_id ORDER BY s.i) >= s.i, false) AS gone FROM sums s LEFT JOIN enough e USING (doc_id, i)),
+stretch AS (SELECT doc_id, min(i) AS first, count(*) AS size FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM reach WHERE gone) GROUP BY doc_id, g),
+cut AS (SELECT doc_id, string_agg(first || ':' || size, ',' ORDER BY first) AS removed FROM stretch GROUP BY doc_id),
+kept AS (SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS removed_lines, coalesce(sum(w) FILTER (gone), 0)::BIGINT AS removed_words
+         FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN k.text END AS text, removed_lines, removed_words, coalesce(removed, '') AS removed
+FROM documents d JOIN kept k USING (doc_id) LEFT JOIN cut USING (doc_id)"""
