@@ -83,6 +83,7 @@ REQUEST_LIST_FINITE = "Features vector contains NaN or infinite values."
 REQUEST_PPG = "Invalid ppg_signal format or length."
 REQUEST_SPO2_FORM = "Invalid spo2_signal format or length."
 REQUEST_SPO2 = "SpO2 values outside physiological range [40%, 100%]."
+REQUEST_REJECTED = "Signal rejected due to severe motion artifact or sensor detachment."
 REQUEST_MIN_SAMPLES = 100
 REQUEST_MAX_SAMPLES = 50000
 REQUEST_FS_RANGE = (20.0, 2000.0)

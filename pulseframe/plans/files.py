@@ -219,21 +219,22 @@ def _scoring_sql() -> str:
 k AS (SELECT *, concat_ws('; ', CASE WHEN kurt < 2 THEN '{C.REASON_LOW_KURTOSIS}' WHEN kurt > 60 THEN '{C.REASON_HIGH_KURTOSIS}' END,
    CASE WHEN baseline > 0.60 THEN printf('{C.REASON_BASELINE}', baseline * 100) END, CASE WHEN emg > 0.35 THEN printf('{C.REASON_EMG}', emg * 100) END) AS reasons,
    round(0.5 * (CASE WHEN kurt >= 2 THEN least((kurt - 2) / 8, 1.0) ELSE 0.0 END) + 0.5 * greatest(0.0, 1.0 - (baseline * 1.2 + emg * 1.5)), 4) AS score FROM k0)""",
-        """d AS (SELECT vec_id, 1.0::DOUBLE AS score, CASE vec_id % 5 WHEN 0 THEN 70.5 ELSE round(x[5], 6) END AS hr, CASE vec_id % 5 WHEN 0 THEN vec_id % 40 ELSE round(x[3], 6) END AS rmssd,
-             CASE vec_id % 5 WHEN 0 THEN 0.0 ELSE round(x[2], 6) END AS sdnn, CASE vec_id % 5 WHEN 0 THEN 98.0 ELSE round(x[22], 6) END AS spo2 FROM emb WHERE vec_id % 5 < 2
+        """d AS (SELECT vec_id, 1.0::DOUBLE AS score, CASE vec_id % 5 WHEN 0 THEN 70.5 END AS hr, CASE vec_id % 5 WHEN 0 THEN vec_id % 40 END AS rmssd,
+             NULL::DOUBLE AS sdnn, NULL::DOUBLE AS spo2 FROM emb WHERE vec_id % 5 < 2
              UNION ALL SELECT vec_id, score, mean_hr_bpm, rmssd_ms, sdnn_ms, 97.75 FROM k JOIN hv USING (vec_id) WHERE reasons = '')""",
-        "t AS (SELECT *, hr < 45 OR hr > 120 OR rmssd < 15 AS bad FROM d)"))
+        "t AS (SELECT *, coalesce(hr, 72) < 45 OR coalesce(hr, 72) > 120 OR coalesce(rmssd, 35) < 15 AS bad FROM d)"))
     none = ", ".join(f"NULL::{t} AS {c}" for c, t in (
         ("class_code", "INT"), ("clinical_condition", "VARCHAR"), ("calibrated_confidence", "DOUBLE"), ("pathology_probability", "DOUBLE"),
         ("triage_risk_tier", "VARCHAR"), ("heart_rate_bpm", "DOUBLE"), ("rmssd_ms", "DOUBLE"), ("sdnn_ms", "DOUBLE"), ("spo2_percent", "DOUBLE")))
     return f"""WITH RECURSIVE {chain}
-SELECT vec_id, 'INVALID' AS status, 'Signal is too short (65 samples). Minimum is 100.' AS message, NULL::DOUBLE AS quality_score, {none} FROM emb WHERE vec_id % 5 = 2
-UNION ALL SELECT vec_id, 'REJECTED_LOW_QUALITY', reasons, score, {none} FROM k WHERE reasons <> ''
-UNION ALL SELECT vec_id, 'SUCCESS', NULL, score, bad::INT, CASE WHEN bad THEN '{C.CLASS_LABELS[1]}' ELSE '{C.CLASS_LABELS[0]}' END, 0.88, CASE WHEN bad THEN 0.85 ELSE 0.12 END,
-   CASE WHEN bad THEN 'CRITICAL' ELSE 'LOW_RISK' END, round(hr, 1) + 0.0, round(rmssd, 1) + 0.0, round(sdnn, 1) + 0.0, round(spo2, 1) + 0.0 FROM t"""
+SELECT vec_id, 'INVALID' AS status, 'Signal is too short (65 samples). Minimum is 100.' AS message, NULL AS rejection_reason, NULL::DOUBLE AS kurtosis, NULL::DOUBLE AS quality_score, {none} FROM emb WHERE vec_id % 5 = 2
+UNION ALL SELECT vec_id, 'REJECTED_LOW_QUALITY', '{C.REQUEST_REJECTED}', reasons, round(kurt, 6), score, {none} FROM k WHERE reasons <> ''
+UNION ALL SELECT vec_id, 'SUCCESS', NULL, NULL, NULL, score, bad::INT, CASE WHEN bad THEN '{C.CLASS_LABELS[1]}' ELSE '{C.CLASS_LABELS[0]}' END, 0.88, CASE WHEN bad THEN 0.85 ELSE 0.12 END,
+   CASE WHEN bad THEN 'CRITICAL' ELSE 'LOW_RISK' END, round(coalesce(hr, 0), 1) + 0.0, round(coalesce(rmssd, 0), 1) + 0.0, round(coalesce(sdnn, 0), 1) + 0.0, round(coalesce(spo2, 98), 1) + 0.0 FROM t"""
 
 
 @query("request_scoring", _scoring_sql())
 def request_scoring(spark, folder):
     """Every request ends as INVALID, REJECTED_LOW_QUALITY or SUCCESS."""
-    return requests.score(request_payloads(spark, folder), "payload", ["vec_id"])
+    out = requests.score(request_payloads(spark, folder), "payload", ["vec_id"])
+    return out.withColumn("kurtosis", r(F.col("metrics")["kurtosis_sqi"])).drop("metrics")

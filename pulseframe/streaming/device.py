@@ -20,6 +20,8 @@ from pulseframe.functions import dsp, triage
 from pulseframe.functions.privacy import pseudonym
 from pulseframe.operators import ecg
 from pulseframe.operators.beats import variability
+from pulseframe.operators.model import RiskModel
+from pulseframe.operators.requests import with_model
 from pulseframe.operators.sessions import admit
 from pulseframe.session import configure, scratch
 
@@ -67,14 +69,29 @@ def drain_updates(df: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> Dat
     return merge(spark.read.parquet(f"{out}/data"))
 
 
-def respond(packets: DataFrame, salt: str) -> DataFrame:
-    """Triage of each packet: leads-off branch, else the vitals rule."""
+def model_features(packets: DataFrame) -> DataFrame:
+    """Add the 26 features of the cleaned packet signal, without a quality gate; the saturation is the packet's reading.
+
+    No signal counts as a flat line; a signal too short to be filtered gives NULLs.
+    """
+    signal = F.when(F.size("signal") == 0, F.array_repeat(F.lit(0.0), 100)).otherwise(F.col("signal"))
+    ready = packets.withColumn("_x", signal).withColumn("_spo2", F.array_repeat(F.col("spo2"), 20))
+    return ecg.extract(ecg.clean_ecg(ready, "_x", "fs", "_clean"), "_clean", "fs", None, "_spo2").drop("_x", "_spo2", "_clean")
+
+
+def respond(packets: DataFrame, salt: str, model: RiskModel | None = None) -> DataFrame:
+    """Triage of each packet: leads-off branch, else the fitted ``model``, else the vitals rule.
+
+    A packet whose signal gives no features falls back to the rule.
+    """
     off = F.col("leads_off")
     rule = triage.vitals_rule(F.col("bpm"), F.col("spo2"))
     flat = F.array_repeat(F.lit(0.0), 50)
     tier = F.when(off, "MONITOR").otherwise(F.col("_p.risk_tier"))
     keep = [c for c in packets.columns if c not in ("signal", "device_id")]
-    return packets.withColumn("_p", rule).select(
+    ruled = packets.withColumn("_p", rule)
+    judged = with_model(model_features(ruled), model, "_p") if model else ruled
+    return judged.select(
         *keep, pseudonym(F.col("device_id"), salt).alias("device_pseudonym"),
         F.when(off, C.LEADS_OFF_STATUS).otherwise("SUCCESS").alias("status"),
         F.when(off, C.LEADS_OFF_LABEL).otherwise(F.col("_p.class_label")).alias("clinical_condition"),

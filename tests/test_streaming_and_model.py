@@ -3,6 +3,8 @@
 import json
 from datetime import datetime, timedelta
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.operators import model
@@ -57,7 +59,8 @@ def test_leads_off_and_recovery(spark):
     out = device.respond(df, "fixture-salt")
     r = out.collect()
     assert [x["triage_risk_tier"] for x in r] == ["MONITOR", "CRITICAL", "LOW_RISK"]
-    assert [len(x["signal"]) for x in r] == [50, 150, 0]
+    assert [len(x["signal"]) for x in r] == [50, 300, 0]
+    assert [len(x["signal"]) for x in device.snapshot(out).collect()] == [50, 150, 0]
     assert [x["level"] for x in device.alerts(out).collect()] == ["LEADS_OFF", "CRITICAL"]
 
 
@@ -94,3 +97,32 @@ def test_cross_validation_and_search(spark):
     search = model.tune(cohort(spark), ["f0", "f1"], "y", "patient", [PARAMS, dict(PARAMS)], k=2)
     assert model.best_params(search) == json.loads(json.dumps(PARAMS))
     assert search.first()["candidate"] == 0  # a tie keeps the first candidate
+
+
+def test_requests_and_packets_use_the_model(spark):
+    """The same features give the model's own answer; a request that lacks one gets the rule's."""
+    from pulseframe import constants as C
+    from pulseframe.operators import requests
+
+    x = (F.col("id") * 37 % 101) / 100.0
+    df = spark.range(240).select((F.col("id") % 12).alias("patient"), (x > 0.6).cast("int").alias("y"), *[(x if i == 0 else (F.col("id") * (i + 3) % 89 / 89.0)).alias(c) for i, c in enumerate(C.FEATURES)])
+    fitted = model.train(df, C.FEATURES, "y", "patient", PARAMS)
+    some = df.limit(6).withColumn("i", F.monotonically_increasing_id())
+    want = {r["i"]: r for r in fitted.score(some).collect()}
+    named = F.to_json(F.struct(F.struct(*C.FEATURES).alias("features")))
+    listed = F.to_json(F.struct(F.array(*C.FEATURES).alias("features")))
+    sent = some.select("i", named.alias("body"), F.lit("map").alias("form")).union(some.select("i", listed, F.lit("list")))
+    sent = sent.union(spark.createDataFrame([(99, '{"features": {"rmssd_ms": 3}}', "part")], sent.schema))
+    for r in requests.score(sent, "body", ["i", "form"], fitted).collect():
+        if r["form"] == "part":
+            assert (r["class_code"], r["pathology_probability"]) == (1, 0.85)
+        else:
+            assert r["pathology_probability"] == pytest.approx(want[r["i"]]["pathology_probability"], abs=1e-4)
+            assert r["triage_risk_tier"] == want[r["i"]]["risk_tier"]
+    wave = [float(np.sin(i / 3)) for i in range(300)]
+    packets = spark.createDataFrame([("d", False, 130.0, 98.0, 125.0, wave), ("d", True, 130.0, 98.0, 125.0, wave), ("d", False, 130.0, 98.0, 125.0, [1.0, 2.0])],
+                                    "device_id string, leads_off boolean, bpm double, spo2 double, fs double, signal array<double>")
+    got = device.respond(packets, "fixture-salt", fitted).collect()
+    direct = fitted.score(device.model_features(packets.limit(1))).first()
+    assert got[0]["pathology_probability"] == pytest.approx(direct["pathology_probability"], abs=1e-4) and got[0]["triage_risk_tier"] == direct["risk_tier"]
+    assert got[1]["status"] == C.LEADS_OFF_STATUS and got[2]["pathology_probability"] == 0.91
