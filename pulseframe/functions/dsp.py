@@ -197,10 +197,6 @@ def notch(x: Column, fs: Column, freq: float = C.NOTCH_HZ, q: float = C.NOTCH_Q)
     return condition(x, fs, [notch_kernel(freq, q)])
 
 
-def detrend(x: Column, fs: Column, seconds: float = C.BASELINE_SECONDS) -> Column:
-    return condition(x, fs, [detrend_kernel(seconds)])
-
-
 def fill_gaps(x: Column, method: str = "interpolate") -> Column:
     return condition(x, F.lit(1.0), [fill_kernel(method)])
 

@@ -185,11 +185,12 @@ def primary_lead(spark, folder):
 
 
 @query("adc_to_mv", """
-SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag = 'R' THEN 0.0
+SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_returnflag = 'R' OR l_linenumber = 7 THEN 0.0
   ELSE (((l_partkey % 4096) / 4095.0::DOUBLE * 3.3::DOUBLE) - 1.65::DOUBLE) * 1000.0::DOUBLE / 1100.0::DOUBLE END, 6) + 0.0 AS mv FROM lineitem""")
 def adc_to_mv(spark, folder):
     df = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    mv = sensors.adc_to_mv(F.col("l_partkey") % 4096, F.col("l_returnflag") == "R")
+    off = sensors.leads_off((F.col("l_returnflag") == "R").cast("int"), (F.col("l_linenumber") == 7).cast("int"))
+    mv = sensors.adc_to_mv(F.col("l_partkey") % 4096, off)
     return df.select("l_orderkey", "l_linenumber", "l_partkey", r(mv).alias("mv"))
 
 

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseframe.functions import triage
+from pulseframe.functions import arrays, triage
 from pulseframe.operators import conditioning, features, metrics, sessions, windows
 from pulseframe.operators.series import indexed, time_chunk
 from pulseframe.plans.registry import query
-from pulseframe.plans.roles import ORDER, events, r, stamp
+from pulseframe.plans.roles import ORDER, embeddings, events, r, stamp
 from pulseframe.plans.streams import HORIZON, LIMIT
 from pulseframe.session import scratch
 from pulseframe.sources import manifest, sinks
@@ -116,6 +116,18 @@ def sparse_metrics(spark, folder):
     return metrics.clinical_metrics(rows, ["grp"], "y", "yhat", "p").select("grp", "n", "tp", "fp", "tn", "fn")
 
 
+@query("array_slices", """
+WITH x AS (SELECT vec_id, list_transform(embedding, lambda a: a::DOUBLE) AS x FROM embeddings),
+w AS (SELECT vec_id, x, x[1:25] AS y, unnest(range(0, 7)) AS w FROM x),
+s AS (SELECT *, y[least(24, w * 8 * 25 // 64) + 1:least(25, (w * 8 + 16) * 25 // 64)] AS z FROM w)
+SELECT vec_id, w::INT AS w_idx, (w * 8)::INT AS start, (w * 8 + 16)::INT AS "end", round(list_max(x[w * 8 + 1:w * 8 + 16]), 6) AS top, len(z)::INT AS n_second, round(list_max(z), 6) AS top_second FROM s""")
+def array_slices(spark, folder):
+    """Windows of a whole recording held as an array, each with its part of a slower channel (25 samples to 64)."""
+    cut = embeddings(spark, folder).select("vec_id", F.slice("x", 1, 25).alias("y"), F.size("x").alias("n"), F.inline(arrays.windows(F.col("x"), 16, 8)))
+    second = arrays.proportional_slice(F.col("y"), F.col("start"), F.col("end"), F.col("n"))
+    return cut.select("vec_id", "w_idx", "start", "end", r(F.array_max("samples")).alias("top"), F.size(second).alias("n_second"), r(F.array_max(second)).alias("top_second"))
+
+
 @query("age_cohorts", """
 SELECT c_custkey, CASE WHEN age IS NULL THEN 'UNKNOWN' WHEN age >= 65 THEN 'Senior (>=65)' ELSE 'Non-Senior (<65)' END AS cohort
 FROM (SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey % 90 END AS age FROM customer)""")
