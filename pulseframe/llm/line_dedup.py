@@ -150,7 +150,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
     per_doc = written(per_doc, "removed")
     rows = docs.select(F.struct(*kept).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
-    rows = rows.join(per_doc, rows["id"].eqNullSafe(per_doc["_doc"]) & (rows["text_key"] == per_doc["_key"]), "left")
+    # always by shuffle: the table of stretches grows with the corpus, so no plan rests on its being small
+    rows = rows.join(per_doc.hint("merge"), rows["id"].eqNullSafe(per_doc["_doc"]) & (rows["text_key"] == per_doc["_key"]), "left")
     cut = F.when(F.col("_gone").isNull(), F.col("row")[text]).otherwise(_without(F.col("row")[text], F.col("_gone")))
     return rows.select(
         *[cut.alias(c) if c == text else F.col("row")[c].alias(c) for c in kept],
