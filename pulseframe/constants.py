@@ -135,6 +135,7 @@ N_FOLDS = 5
 TEST_SIZE = 0.20
 VAL_SIZE = 0.15
 CV_PARAMS = {"stepSize": 0.08, "maxIter": 120, "maxDepth": 5}
+FINAL_PARAMS = {"stepSize": 0.08, "maxIter": 150, "maxDepth": 5}
 SEARCH_GRID = [
     {"stepSize": 0.05, "maxIter": 100, "maxDepth": 4},
     {"stepSize": 0.08, "maxIter": 120, "maxDepth": 5},

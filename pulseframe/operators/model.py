@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial, reduce
+from typing import TypeVar
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,6 +21,7 @@ from pulseframe.functions import triage
 from pulseframe.operators import metrics, splits
 from pulseframe.sources.sinks import materialise
 
+T = TypeVar("T")
 _TEMP = ["features", "_g_raw", "_g_prob", "_g_pred", "_margin", "_c_raw", "_c_prob", "_c_pred"]
 
 
@@ -26,6 +31,15 @@ def _trees(features: list[str], label: str, params: dict, seed: int) -> Pipeline
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error"), trees])
 
 
+FITS_AT_ONCE = 4
+
+
+def _together(fits: list[Callable[[], T]]) -> list[T]:
+    """Independent fits, a few at a time: each is a long chain of small jobs that leaves most cores idle."""
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(lambda fit: fit(), fits))
+
+
 def _probability(model: PipelineModel, df: DataFrame, column: str, out: str) -> DataFrame:
     scored = model.transform(df).withColumn(out, vector_to_array(column)[1])
     return scored.drop(*_TEMP)
@@ -50,12 +64,12 @@ def _folded(df: DataFrame, features: list[str], label: str, patient: str, k: int
 def _fold_metrics(
     data: DataFrame, features: list[str], label: str, k: int, params: dict, seed: int, weight_power: int
 ) -> DataFrame:
-    scored = None
-    for i in range(k):
+    def fit(i: int) -> DataFrame:
         train = splits.with_weights(data.where(F.col("fold") != i), label, power=weight_power)
         model = _trees(features, label, params, seed + i).fit(train)
-        held = _probability(model, data.where(F.col("fold") == i), "_g_prob", "p").select("fold", label, "p")
-        scored = held if scored is None else scored.unionByName(held)
+        return _probability(model, data.where(F.col("fold") == i), "_g_prob", "p").select("fold", label, "p")
+
+    scored = reduce(DataFrame.unionByName, _together([partial(fit, i) for i in range(k)]))
     scored = scored.withColumn("yhat", triage.predicted_class(F.col("p")))
     return metrics.clinical_metrics(scored, ["fold"], label, "yhat", "p", empty_specificity=1.0)
 
@@ -66,12 +80,12 @@ def tune(
 ) -> DataFrame:
     """Mean AUC per candidate, best first; equal candidates keep their order."""
     data = _folded(df, features, label, patient, k, seed)
-    table = None
-    for i, params in enumerate(grid):
-        folds = _fold_metrics(data, features, label, k, params, seed, weight_power)
-        row = folds.agg(F.avg("auc_roc").alias("mean_auc")).select(
-            F.lit(i).alias("candidate"), F.lit(json.dumps(params, sort_keys=True)).alias("params"), "mean_auc")
-        table = row if table is None else table.unionByName(row)
+    def candidate(i: int) -> DataFrame:
+        folds = _fold_metrics(data, features, label, k, grid[i], seed, weight_power)
+        return folds.agg(F.avg("auc_roc").alias("mean_auc")).select(
+            F.lit(i).alias("candidate"), F.lit(json.dumps(grid[i], sort_keys=True)).alias("params"), "mean_auc")
+
+    table = reduce(DataFrame.unionByName, _together([partial(candidate, i) for i in range(len(grid))]))
     return table.orderBy(F.desc("mean_auc"), "candidate")
 
 
@@ -117,21 +131,21 @@ class RiskModel:
 
 
 def train(
-    df: DataFrame, features: list[str], label: str, patient: str, params: dict = C.CV_PARAMS, seed: int = C.SEED,
-    k: int = C.CALIBRATION_FOLDS, weight_power: int = 1,
+    df: DataFrame, features: list[str], label: str, patient: str, params: dict = C.FINAL_PARAMS, seed: int = C.SEED,
+    k: int = C.CALIBRATION_FOLDS, weight_power: int = 1, calibrate: bool | None = None,
 ) -> RiskModel:
     """Trees per patient-grouped fold, each with a sigmoid fitted on its held-out margins.
 
     The sigmoid's targets are the smoothed class frequencies, so every held-out row enters
-    twice, as a positive and a negative of matching weight. Below 50 rows: plain trees.
+    twice, as a positive and a negative of matching weight. ``calibrate=False`` fits plain trees
+    on all rows; by default (None) that happens below 50 rows, too few to hold any out.
     """
     weighted = splits.with_weights(df.select(patient, label, *features), label, power=weight_power)
     assigned = splits.folds(df, patient, label, k, seed)
     data = materialise(splits.attach(weighted, assigned, patient, "fold"), "train")
-    if data.count() < C.CALIBRATION_MIN_ROWS:
+    if calibrate is False or (calibrate is None and data.count() < C.CALIBRATION_MIN_ROWS):
         return RiskModel(features, [_trees(features, label, params, seed).fit(data)], calibrated=False)
-    parts = []
-    for i in range(k):
+    def part(i: int) -> PipelineModel:
         trees = _trees(features, label, params, seed).fit(data.where(F.col("fold") != i))
         slicer = VectorSlicer(inputCol="_g_raw", outputCol="_margin", indices=[1])
         held = slicer.transform(trees.transform(data.where(F.col("fold") == i)))
@@ -144,5 +158,7 @@ def train(
         sigmoid = LogisticRegression(
             featuresCol="_margin", labelCol="_y", weightCol="_w", rawPredictionCol="_c_raw", probabilityCol="_c_prob",
             predictionCol="_c_pred", regParam=0.0, standardization=False, maxIter=100).fit(doubled)
-        parts.append(PipelineModel(stages=[*trees.stages, slicer, sigmoid]))
+        return PipelineModel(stages=[*trees.stages, slicer, sigmoid])
+
+    parts = _together([partial(part, i) for i in range(k)])
     return RiskModel(features, parts, calibrated=True)

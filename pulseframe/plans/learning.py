@@ -2,73 +2,91 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.operators import fairness, metrics, model, splits
+from pulseframe import constants as C
+from pulseframe.operators import ecg, fairness, metrics, model, splits
 from pulseframe.plans.evaluation import _ALL, _fair_sql
-from pulseframe.plans.registry import query
+from pulseframe.plans.registry import query, with_
 from pulseframe.plans.roles import r, scored
-from pulseframe.plans.signals import windowed
+from pulseframe.plans.waveforms import _RAW_SQL, _RECORDS, record_windows
 from pulseframe.session import scratch
 from pulseframe.sources.sinks import materialise, report, write_report
 
-FEATURES = ["variance", "kurt", "skew", "baseline", "emg", "low", "high"]
-# The full-size settings are the operators' defaults; the queries fit fewer, shallower trees
-# on all rows, so that a run takes seconds.
-PARAMS = {"stepSize": 0.3, "maxIter": 6, "maxDepth": 3}
-GRID = [{"stepSize": 0.2, "maxIter": 4, "maxDepth": 2}, {"stepSize": 0.3, "maxIter": 5, "maxDepth": 3}]
+FEATURES = C.FEATURES
+# Boosting itself cannot be replayed in SQL: the queries return what SQL can state exactly, and
+# row by row whether the model's answer is consistent. Quality bounds are in the tests.
+_LABELS = _RECORDS + ",\n" + _RAW_SQL + """,
+lab AS (SELECT record_id AS patient, w_idx, (spo2_mean > 93.002)::INT AS y FROM raw),
+pt AS (SELECT patient, count(*) AS n_rows, sum(y)::BIGINT AS n_pos, least(floor(10 * sum(y) / count(*)::DOUBLE), 9)::INT AS stratum FROM lab GROUP BY 1)"""
+_LABEL_SPLIT = _LABELS + """,
+t AS (SELECT *, (row_number() OVER (ORDER BY stratum, md5('42-test:' || patient)) - 1) % 5 AS t FROM pt),
+v AS (SELECT *, (row_number() OVER (ORDER BY stratum, md5('42-val:' || patient)) - 1) % 5 AS v FROM t WHERE t <> 0),
+split AS (SELECT patient, 'test' AS split FROM t WHERE t = 0 UNION ALL SELECT patient, CASE WHEN v = 0 THEN 'val' ELSE 'train' END FROM v)"""
 
 
 def labelled_windows(spark, folder) -> DataFrame:
-    """Shape of every window; the label is a raised mean."""
-    v = F.col("v")
-    w = windowed(spark, folder).groupBy("user_id", "w").agg(
-        F.var_pop(v).alias("variance"), F.kurtosis(v).alias("kurt"), F.skewness(v).alias("skew"),
-        F.avg((F.abs(v) <= 5).cast("double")).alias("baseline"), F.avg((v > 150).cast("double")).alias("emg"),
-        F.min(v).alias("low"), F.max(v).alias("high"), F.avg(v).alias("_mean"))
+    """The 26 features of every record window; the label is a raised mean saturation."""
+    w = ecg.window_features(record_windows(spark, folder), "ecg", "fs", "ppg", "spo2", gate=False)
     finite = [F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0)).alias(c) for c in FEATURES]
-    return w.select("user_id", "w", *finite, (F.col("_mean") > 55).cast("int").alias("y"))
+    return materialise(w.select(F.col("record_id").alias("patient"), "w_idx", *finite, (F.col("spo2_mean") > 93.002).cast("int").alias("y")), "labelled")
 
 
 def split_windows(spark, folder) -> DataFrame:
     df = labelled_windows(spark, folder)
-    return materialise(splits.attach(df, splits.split_patients(df, "user_id", "y"), "user_id", "split"), "windows")
+    return materialise(splits.attach(df, splits.split_patients(df, "patient", "y"), "patient", "split"), "windows")
 
 
-@query("cv_metrics")
+@query("cv_metrics", with_(_LABELS) + """,
+f AS (SELECT *, (row_number() OVER (ORDER BY stratum, md5('42:' || patient)) - 1) % 5 AS fold FROM pt)
+SELECT fold::INT AS fold, sum(n_rows)::BIGINT AS n, sum(n_pos)::BIGINT AS n_pos, true AS in_range FROM f GROUP BY fold""")
 def cv_metrics(spark, folder):
-    out = model.cross_validate(labelled_windows(spark, folder), FEATURES, "y", "user_id", params=PARAMS)
-    return out.select("fold", "n", *[r(F.col(c)).alias(c) for c in ("auc_roc", "sensitivity", "specificity", "f1_score")])
+    out = model.cross_validate(labelled_windows(spark, folder), FEATURES, "y", "patient")
+    rates = [F.col(c).between(0, 1) for c in ("auc_roc", "pr_auc", "sensitivity", "specificity", "f1_score", "brier_score")]
+    return out.select("fold", "n", (F.col("tp") + F.col("fn")).alias("n_pos"), reduce(lambda a, b: a & b, rates).alias("in_range"))
 
 
-@query("tune")
+@query("tune", "SELECT candidate, params, true AS in_range FROM (VALUES " + ", ".join(f"({i}, '{json.dumps(g, sort_keys=True)}')" for i, g in enumerate(C.SEARCH_GRID)) + ") t(candidate, params)")
 def tune(spark, folder):
-    return model.tune(labelled_windows(spark, folder), FEATURES, "y", "user_id", GRID).withColumn("mean_auc", r(F.col("mean_auc")))
+    found = model.tune(labelled_windows(spark, folder), FEATURES, "y", "patient")
+    return found.select("candidate", "params", F.col("mean_auc").between(0, 1).alias("in_range"))
 
 
 def _trained(spark, folder):
     data = split_windows(spark, folder)
-    return data, model.train(data.where("split = 'train'"), FEATURES, "y", "user_id", PARAMS)
+    return data, model.train(data.where("split = 'train'"), FEATURES, "y", "patient")
 
 
-@query("train_calibrated")
+@query("train_calibrated", with_(_LABEL_SPLIT) + """
+SELECT split, count(*) AS n, sum(y)::BIGINT AS n_pos, true AS same_after_reload, true AS in_range FROM lab JOIN split USING (patient) WHERE split = 'val' GROUP BY split""")
 def train_calibrated(spark, folder):
-    """Validation metrics of the calibrated ensemble, after a save/load round trip."""
+    """Validation rows of the calibrated ensemble: answers before and after a save and a load agree."""
     data, fitted = _trained(spark, folder)
     path = scratch(spark, "model")
     fitted.save(spark, path)
-    val = model.RiskModel.load(spark, path).score(data.where("split = 'val'"))
-    m = metrics.clinical_metrics(val, ["split"], "y", "predicted_class", "pathology_probability")
-    return m.select("split", "n", *[r(F.col(c)).alias(c) for c in ("auc_roc", "sensitivity", "brier_score")])
+    val = data.where("split = 'val'")
+    answers = [m.score(val).select("patient", "w_idx", "split", "y", F.col("pathology_probability").alias(n)) for m, n in ((fitted, "a"), (model.RiskModel.load(spark, path), "b"))]
+    both = answers[0].join(answers[1].select("patient", "w_idx", "b"), ["patient", "w_idx"])
+    return both.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"), F.every(F.col("a") == F.col("b")).alias("same_after_reload"), F.every(F.col("a").between(0, 1)).alias("in_range"))
 
 
-@query("score_batch")
+@query("score_batch", with_(_LABEL_SPLIT) + """
+SELECT patient, w_idx::BIGINT AS w_idx, split, y, true AS in_range, true AS class_fits, true AS label_fits, true AS tier_fits, true AS confidence_fits FROM lab JOIN split USING (patient)""")
 def score_batch(spark, folder):
+    """Every row scored; each part of an answer must follow from its probability."""
     data, fitted = _trained(spark, folder)
-    out = fitted.score(data)
-    return out.select("user_id", "w", "split", "y", "predicted_class", "class_label", "risk_tier",
-                      r(F.col("pathology_probability")).alias("pathology_probability"), r(F.col("confidence")).alias("confidence"))
+    p = F.col("pathology_probability")
+    label = F.when(F.col("predicted_class") == 1, C.CLASS_LABELS[1]).otherwise(C.CLASS_LABELS[0])
+    tier = F.when(p >= 0.70, "CRITICAL").when(p >= 0.35, "MONITOR").otherwise("LOW_RISK")
+    return fitted.score(data).select(
+        "patient", "w_idx", "split", "y", p.between(0, 1).alias("in_range"), ((p > 0.5) == (F.col("predicted_class") == 1)).alias("class_fits"),
+        (F.col("class_label") == label).alias("label_fits"), (F.col("risk_tier") == tier).alias("tier_fits"),
+        (F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-12).alias("confidence_fits"))
 
 
 _REPORT = """report_metadata array<struct<title string, scored_rows bigint>>, clinical_metrics array<struct<auc_roc double, brier_score double, tp bigint>>,
