@@ -23,6 +23,7 @@ id column of the input is carried.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,7 +43,11 @@ from pulseframe.llm.common import written
 SIZE = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
+# Texts in which commas, points or ASCII capitals may not be set apart or lowered before the
+# tokenizer sees them: a mark next to another mark, special tokens, a letter whose lower case
+# holds a mark.
+APART = re.compile(r"[.,](?=[^\s\w]|_)|(?<=[^\s\w])[.,]|(?<=_)[.,]|<\||\u0130")
 SLICES = 64
 
 
@@ -52,7 +57,8 @@ class WordIds(dict):
     Valid for tokenizers that normalise to lower-case NFC, drop white space, never join what it
     separates, and take a run of letters as one word of byte-level pieces. Shortcuts keep whole
     tokenizer calls few: capitals of ASCII are lowered first, a mark after a letter is a token of
-    its own, and a word of letters alone goes straight to the merge model.
+    its own, a word of letters alone goes straight to the merge model, and where a text allows it
+    (``APART``) its commas and points are parted from their words.
     """
 
     def __init__(self, path: str):
@@ -66,6 +72,8 @@ class WordIds(dict):
         low = chunk.lower()
         if low != chunk and b"<|" not in chunk:
             ids = self[low]
+        elif chunk.isalpha():  # ASCII letters
+            ids = array("I", [p.id for p in self.model.tokenize(chunk.decode())]).tobytes()
         else:
             word = chunk.decode()
             plain = "".join([c.lower() for c in normalize("NFC", word)])
@@ -80,9 +88,14 @@ class WordIds(dict):
         return ids
 
     def text(self, text: str | None) -> bytes:
+        if not text:
+            return b""
         if len(self) > CACHE_WORDS:
             self.clear()
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        chunks = text.encode()
+        if not APART.search(text):
+            chunks = chunks.lower().replace(b",", b" , ").replace(b".", b" . ")
+        return b"".join(map(self.__getitem__, chunks.split()))
 
 
 @cache
