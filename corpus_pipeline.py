@@ -17,8 +17,7 @@ from pulseframe.llm.common import read, written
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned decision list rejects."""
     rules = quality.learn(quality.labelled(docs, read(spark, sf_dir, "labels")))
-    rows = docs.select(F.struct("*").alias("doc"), quality.statistics(F.col("text")).alias("stats"))
-    return rows.where(quality.passes(rules)).select("doc.*")
+    return docs.where(quality.kept_texts(F.col("text"), rules))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

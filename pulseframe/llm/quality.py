@@ -40,7 +40,6 @@ CUTS = 48
 MIN_PRECISION = 0.95
 MIN_COVER = 5
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_lines", "n_marks", "n_capitals"]
 MARKS = "!?"
 FEATURES = {
     "n_words": lambda c: c("n_words"),
@@ -94,9 +93,8 @@ def statistics(text: Column) -> Column:
     return let(words_of(text), lambda words: let(lines, lambda has: of(words, has)))
 
 
-def base_failed(stats: str = "stats") -> Column:
-    c = lambda n: F.col(f"{stats}.{n}")
-    return (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEATED * c("n_words"))
+def base_failed(stats: Column) -> Column:
+    return (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEATED * stats["n_words"])
 
 
 @dataclass(frozen=True)
@@ -108,8 +106,8 @@ class Condition:
     def holds(self, row: dict) -> bool:
         return row[self.feature] >= self.cut if self.above else row[self.feature] <= self.cut
 
-    def column(self, stats: str) -> Column:
-        value = FEATURES[self.feature](lambda n: F.col(f"{stats}.{n}")).cast("double")
+    def column(self, stats: Column) -> Column:
+        value = FEATURES[self.feature](lambda n: stats[n]).cast("double")
         return value >= F.lit(self.cut) if self.above else value <= F.lit(self.cut)
 
 
@@ -187,13 +185,16 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).cast("int").alias("bad"))
     chosen = chosen.distinct().orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "bad").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = rows.select("_id", "bad", statistics(F.col("_text")).alias("stats")).where(~base_failed())
-    value = lambda n: F.col(f"stats.{n}")
-    rows = rows.select("bad", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(3)).alias("part"), *[f(value).cast("double").alias(k) for k, f in FEATURES.items()])
-    return sorted((r.asDict() for r in rows.collect()), key=lambda r: tuple(r.values()))
+    features = let(statistics(F.col("_text")), lambda s: F.struct(
+        base_failed(s).alias("failed"), *[f(lambda n: s[n]).cast("double").alias(k) for k, f in FEATURES.items()],
+    ))
+    rows = rows.select("bad", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(3)).alias("part"), features.alias("f"))
+    found = [{"bad": r["bad"], "part": r["part"], **r["f"].asDict()} for r in rows.collect()]
+    passed = [{k: v for k, v in r.items() if k != "failed"} for r in found if not r["failed"]]
+    return sorted(passed, key=lambda r: tuple(r.values()))
 
 
-def passes(rules: list[Rule], stats: str = "stats") -> Column:
+def passes(rules: list[Rule], stats: Column) -> Column:
     """False for a text that fails the base rule or fits a rule of the list, in order."""
     verdict = F.when(base_failed(stats), F.lit(False))
     for rule in rules:
@@ -204,9 +205,15 @@ def passes(rules: list[Rule], stats: str = "stats") -> Column:
     return verdict.otherwise(F.lit(True))
 
 
+def kept_texts(text: Column, rules: list[Rule]) -> Column:
+    """Whether a text passes, as one expression that computes its statistics once."""
+    return let(statistics(text), lambda stats: passes(rules, stats))
+
+
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``docs`` with the statistics, ``base_failed`` and ``kept``."""
     results = [*STATS, "base_failed", "kept"]
     others = [c for c in docs.columns if c not in results]
-    rows = docs.select(F.struct(*others).alias("doc"), statistics(F.col(text)).alias("stats"))
-    return rows.select("doc.*", *[F.col(f"stats.{s}").alias(s) for s in STATS], base_failed().alias("base_failed"), passes(rules).alias("kept"))
+    verdict = let(statistics(F.col(text)), lambda s: F.struct(*[s[n].alias(n) for n in STATS], base_failed(s).alias("base_failed"), passes(rules, s).alias("kept")))
+    rows = docs.select(F.struct(*others).alias("doc"), verdict.alias("verdict"))
+    return rows.select("doc.*", *[F.col(f"verdict.{r}").alias(r) for r in results])
