@@ -219,7 +219,7 @@ def _scoring_sql() -> str:
 k AS (SELECT *, concat_ws('; ', CASE WHEN kurt < 2 THEN '{C.REASON_LOW_KURTOSIS}' WHEN kurt > 60 THEN '{C.REASON_HIGH_KURTOSIS}' END,
    CASE WHEN baseline > 0.60 THEN printf('{C.REASON_BASELINE}', baseline * 100) END, CASE WHEN emg > 0.35 THEN printf('{C.REASON_EMG}', emg * 100) END) AS reasons,
    round(0.5 * (CASE WHEN kurt >= 2 THEN least((kurt - 2) / 8, 1.0) ELSE 0.0 END) + 0.5 * greatest(0.0, 1.0 - (baseline * 1.2 + emg * 1.5)), 4) AS score FROM k0)""",
-        """d AS (SELECT vec_id, 1.0::DOUBLE AS score, CASE vec_id % 5 WHEN 0 THEN 70.5 END AS hr, CASE vec_id % 5 WHEN 0 THEN vec_id % 40 END AS rmssd,
+        """d AS (SELECT vec_id, 1.0::DOUBLE AS score, CASE vec_id % 5 WHEN 0 THEN 70.5 END::DOUBLE AS hr, CASE vec_id % 5 WHEN 0 THEN vec_id % 40 END::DOUBLE AS rmssd,
              NULL::DOUBLE AS sdnn, NULL::DOUBLE AS spo2 FROM emb WHERE vec_id % 5 < 2
              UNION ALL SELECT vec_id, score, mean_hr_bpm, rmssd_ms, sdnn_ms, 97.75 FROM k JOIN hv USING (vec_id) WHERE reasons = '')""",
         "t AS (SELECT *, coalesce(hr, 72) < 45 OR coalesce(hr, 72) > 120 OR coalesce(rmssd, 35) < 15 AS bad FROM d)"))
