@@ -57,12 +57,12 @@ def _count(text: Column, char: str) -> Column:
 
 
 def rule_table(rules: DataFrame) -> DataFrame:
-    """Rules filed by expression. The written form of a rule leaves out a bare ``/`` path's slash doubling: ``net/``."""
+    """Rules with their shape (labels, slashes) and the digest of the expression they are filed under."""
     host, path = lower_ascii(F.coalesce(F.col("host"), F.lit(""))), F.coalesce(F.col("path"), F.lit(""))
     slashes = _count(path, "/")
-    head = F.when(slashes > 0, F.concat(F.substring_index(path, "/", -1), F.lit(""))).otherwise(path)
-    key = F.substring(path, F.lit(1), F.length(path) - F.length(head))
-    digest = F.sha2(F.concat(host, F.lit("\n"), F.when(slashes > 0, key).otherwise("")), 256)
+    rest = F.substring_index(path, "/", -1)  # what follows the last slash
+    filed = F.when(slashes > 0, F.substring(path, F.lit(1), F.length(path) - F.length(rest))).otherwise("")
+    digest = F.sha2(F.concat(host, F.lit("\n"), filed), 256)
     return rules.select(
         host.alias("r_host"), path.alias("r_path"), F.col("verdict").alias("r_verdict"),
         (_count(host, ".") + 1).alias("r_labels"), slashes.alias("r_slashes"), digest.alias("r_digest"),
