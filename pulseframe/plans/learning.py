@@ -24,9 +24,9 @@ _LABELS = _RECORDS + ",\n" + _RAW_SQL + """,
 lab AS (SELECT record_id AS patient, w_idx, (spo2_mean > 93.002)::INT AS y FROM raw),
 pt AS (SELECT patient, count(*) AS n_rows, sum(y)::BIGINT AS n_pos, least(floor(10 * sum(y) / count(*)::DOUBLE), 9)::INT AS stratum FROM lab GROUP BY 1)"""
 _LABEL_SPLIT = _LABELS + """,
-t AS (SELECT *, (row_number() OVER (ORDER BY stratum, md5('42-test:' || patient)) - 1) % 5 AS t FROM pt),
-v AS (SELECT *, (row_number() OVER (ORDER BY stratum, md5('42-val:' || patient)) - 1) % 5 AS v FROM t WHERE t <> 0),
-split AS (SELECT patient, 'test' AS split FROM t WHERE t = 0 UNION ALL SELECT patient, CASE WHEN v = 0 THEN 'val' ELSE 'train' END FROM v)"""
+tst AS (SELECT *, (row_number() OVER (ORDER BY stratum, md5('42-test:' || patient)) - 1) % 5 AS f FROM pt),
+vld AS (SELECT *, (row_number() OVER (ORDER BY stratum, md5('42-val:' || patient)) - 1) % 5 AS v FROM tst WHERE f <> 0),
+split AS (SELECT patient, 'test' AS split FROM tst WHERE f = 0 UNION ALL SELECT patient, CASE WHEN v = 0 THEN 'val' ELSE 'train' END FROM vld)"""
 
 
 def labelled_windows(spark, folder) -> DataFrame:
