@@ -224,9 +224,24 @@ def links(fps: DataFrame, radius: int = 4, variants_per_task: int = VARIANTS_PER
     return entries.groupBy("bits", "prefix").applyInArrow(joined, "a long, b long")
 
 
+def _hooked(edges: DataFrame) -> DataFrame:
+    """Fewer links of the same components: each node's to its least neighbour, and those between such neighbours.
+
+    In a dense group almost all nodes share a few least neighbours, so what is left of its
+    links is about one a node.
+    """
+    ends = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = written(ends.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    for side in ("u", "v"):
+        edges = edges.join(least.select(F.col("u").alias(side), F.col("m").alias(f"m_{side}")), side)
+    between = edges.select(F.greatest("m_u", "m_v").alias("u"), F.least("m_u", "m_v").alias("v"))
+    return between.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that has a link (a, b); the root is the smallest node reachable."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = _hooked(written(edges, "links"))
     state = None
     while True:
         edges = written(edges, "links")
