@@ -16,7 +16,8 @@ small-star rounds over the links, each round written to the shared folder.
 
 That is ``near_duplicates``, exact at its radius. ``similar`` finds texts whose shingle sets are
 alike to a given degree: they differ in many more bits, so the same ball hashing runs in lanes
-of a longer signature, and pairs that meet are verified on the whole of it.
+of a longer signature, and pairs that meet are filtered on the whole of it and confirmed by the
+exact similarity of their shingle sets.
 
 Scale: exact copies and equal fingerprints collapse before anything is emitted (a group that
 holds a third of all rows is one fingerprint); no pair list of a group exists anywhere.
@@ -283,14 +284,18 @@ def bits_apart(similarity: float, bits: int = SIGNATURE_BITS) -> int:
     return ceil(bits * p + 2 * sqrt(bits * p * (1 - p)))
 
 
-def signature(text: str | None, size: int = 5) -> np.ndarray:
-    """``SIGNATURE_BITS`` SimHash bits (0/1) over the distinct word shingles."""
+def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
+    """The distinct hashes of the word shingles, in order; NULL and blank texts have none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not words:
-        return np.zeros(SIGNATURE_BITS, np.uint8)
+        return np.zeros(0, np.uint64)
     shingles = zip(*[words[i:] for i in range(size)]) if len(words) >= size else [words]
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(b" ".join(s), SEED) for s in shingles], dtype=np.uint64))
+    return np.unique(np.array([digest(b" ".join(s), SEED) for s in shingles], dtype=np.uint64))
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """``SIGNATURE_BITS`` SimHash bits (0/1) over distinct shingle hashes."""
     ones = np.zeros(SIGNATURE_BITS, np.int64)
     for i in range(0, len(hashes), 4096):
         part = hashes[i : i + 4096, None] + np.arange(1, SIGNATURE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -304,13 +309,15 @@ def signature(text: str | None, size: int = 5) -> np.ndarray:
 
 
 def with_signature(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """``docs`` with ``sig`` (longs) and ``lanes`` (the ``LANES`` blocks of ``LANE_BITS`` bits)."""
+    """``docs`` with ``node`` (hash of the shingle set), ``sig`` (longs) and ``lanes`` (the ``LANES`` blocks of ``LANE_BITS`` bits)."""
     weights = 1 << np.arange(LANE_BITS, dtype=np.int64)
 
-    @F.pandas_udf("sig array<long>, lanes array<long>")
+    @F.pandas_udf("node long, sig array<long>, lanes array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
-        bits = [signature(t, size) for t in texts]
+        sets = [shingle_hashes(t, size) for t in texts]
+        bits = [signature(s) for s in sets]
         return pd.DataFrame({
+            "node": np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64),
             "sig": [np.packbits(b).view("<i8") for b in bits],
             "lanes": [b[: LANES * LANE_BITS].reshape(LANES, LANE_BITS) @ weights for b in bits],
         })
@@ -318,21 +325,47 @@ def with_signature(docs: DataFrame, text: str, size: int) -> DataFrame:
     return docs.withColumn("_s", sign(F.col(text))).select("*", "_s.*").drop("_s")
 
 
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose shingle sets have at least this Jaccard similarity.
+
+    ``nodes`` has (node, sig, text_key), ``texts`` (text_key, text). The signature is only a
+    filter: texts are fetched and their sets compared for the pairs that it leaves.
+    """
+    for side in ("a", "b"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
+    apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = written(pairs.where(apart <= bits_apart(similarity)).select("a", "b"), "near-pairs")
+
+    @F.pandas_udf("array<long>")
+    def grams(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(t, size).view(np.int64) for t in texts])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = ends.join(nodes.select("node", "text_key"), "node")
+    sets = wanted.join(texts.groupBy("text_key").agg(F.first("text").alias("text")), "text_key")
+    sets = written(sets.select("node", grams("text").alias("grams")), "shingles")
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}")), side)
+    pairs = pairs.select("a", "b", F.size("grams_a").alias("n_a"), F.size("grams_b").alias("n_b"), F.size(F.array_intersect("grams_a", "grams_b")).alias("n"))
+    return pairs.where(F.try_divide("n", F.col("n_a") + F.col("n_b") - F.col("n")) >= similarity).select("a", "b")
+
+
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = SIMILARITY, variants_per_task: int = VARIANTS_PER_TASK) -> DataFrame:
     """``docs`` without their text, each with ``component_id`` and ``root`` of its near-duplicates.
 
     A fingerprint of 64 bits within 4 bits finds texts that are almost the same; shingle sets of
     similarity 0.8 differ in a seventh of their bits. So a signature of 512 bits is cut into 12
     lanes of 40 bits, ball hashing within 4 bits runs in each lane (a pair of similarity 0.8
-    meets in a lane with chance 0.26, in one of 12 with 0.97), and pairs that meet are verified
-    on the whole signature. Two texts with nothing in common meet in a lane with chance 9e-8:
+    meets in a lane with chance 0.26, in one of 12 with 0.97), and pairs that meet are filtered
+    on the whole signature and confirmed on their shingle sets (``alike``). Two texts with nothing in common meet in a lane with chance 9e-8:
     for far more than 10^8 different texts take wider and more lanes.
     """
-    half, limit = 2, bits_apart(similarity)
-    kept = [c for c in docs.columns if c not in (text, "component_id", "root", "sig", "lanes", "node")]
+    half = 2
+    kept = [c for c in docs.columns if c not in (text, "component_id", "root", "sig", "lanes", "node", "text_key")]
     rows = with_signature(docs.select(*kept, text), text, size)
-    rows = written(rows.select(*kept, F.xxhash64("sig").alias("node"), "sig", "lanes"), "signatures")
-    nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig"), F.first("lanes").alias("lanes"), F.min(doc_id).alias("first_id")), "nodes")
+    rows = written(rows.select(*kept, "node", "sig", "lanes", F.xxhash64(text).alias("text_key")), "signatures")
+    nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig"), F.first("lanes").alias("lanes"), F.min("text_key").alias("text_key"), F.min(doc_id).alias("first_id")), "nodes")
+    texts = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
     def meets(key: tuple, group: pa.Table) -> pa.Table:
         ids = group.column("node").to_numpy()
@@ -342,10 +375,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     lanes = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
     met = shares(lanes, half, LANE_BITS, variants_per_task).groupBy("lane", "bits", "prefix").applyInArrow(meets, "a long, b long")
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
-    apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    roots = components(pairs.where(apart <= limit).select("a", "b"))
+    roots = components(alike(pairs, nodes, texts, size, similarity))
     rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(first, "root").select("node", "root", "component_id")

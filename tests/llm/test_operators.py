@@ -184,6 +184,28 @@ def test_similar_texts_are_found(spark):
     assert not far
 
 
+def test_pairs_below_the_similarity_stay_apart(spark):
+    """Alone in their groups, pairs of similarity 0.66 to 0.79 are not linked, those from 0.8 on are."""
+    r = random.Random(21)
+    docs, near, far = [], [], []
+    for g in range(120):
+        base = [f"g{g}w{i}" for i in range(r.randint(150, 250))]
+        other = list(base)
+        for i in r.sample(range(len(base) // 10), r.randint(3, 9)):
+            other[10 * i] = f"new{g}x{i}"
+        pair = (len(docs), len(docs) + 1)
+        docs += [(pair[0], " ".join(base)), (pair[1], " ".join(other))]
+        like = jaccard(docs[pair[0]][1], docs[pair[1]][1])
+        if like >= 0.8:
+            near.append(pair)
+        elif like >= 0.66:
+            far.append(pair)
+    got = {x["doc_id"]: x["root"] for x in rows(simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")))}
+    assert len(near) > 20 and len(far) > 20
+    assert not [p for p in far if got[p[0]] == got[p[1]]]
+    assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+
+
 def test_simhash_odd_rows(spark, odd):
     got = rows(simhash.near_duplicates(odd))
     assert len(got) == len(ODD)
