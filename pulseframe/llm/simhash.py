@@ -176,6 +176,43 @@ def candidates(blocks: np.ndarray, prefix: int, bits: int, half: int, width: int
     return found
 
 
+def unlinked(blocks: np.ndarray, group: np.ndarray, prefix: int, bits: int, half: int, width: int, sigs: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of different groups whose blocks meet, and the rows at crowded meeting points.
+
+    Pairs at crowded points are left out without ``sigs``; with them only these are made, and
+    of these the ones within ``limit`` bits.
+    """
+    value, left, low = _within(blocks, prefix, bits, half, width)
+    found, crowd, seen = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), set()
+    for owner, _, start in _runs(value, left, low):
+        at = np.flatnonzero(start)
+        size, g = np.diff(np.append(at, len(owner))), group[owner]
+        mixed = np.minimum.reduceat(g, at) != np.maximum.reduceat(g, at)
+        if sigs is None:
+            few = np.repeat(mixed & (size <= CROWD), size)
+            o, point = owner[few], np.cumsum(start)[few]
+            pairs = [np.zeros((0, 2), np.int64)]
+            for d in range(1, CROWD):
+                near = (point[d:] == point[:-d]) & (group[o[d:]] != group[o[:-d]])
+                pairs.append(np.stack([o[:-d][near], o[d:][near]], 1))
+            found = np.unique(np.concatenate([found, *pairs]), axis=0)
+            crowd = np.union1d(crowd, owner[np.repeat(mixed & (size > CROWD), size)])
+            continue
+        for i in np.flatnonzero(mixed & (size > CROWD)):
+            rows = owner[at[i] : at[i] + size[i]]
+            if (mark := xxhash.xxh3_128_digest(rows.tobytes())) in seen:  # the same rows meet on many variants
+                continue
+            seen.add(mark)
+            names, counts = np.unique(group[rows], return_counts=True)
+            # each pair of two groups has a row outside the largest one
+            for x in rows[group[rows] != names[counts.argmax()]]:
+                other = rows[group[rows] != group[x]]
+                near = other[np.bitwise_count(sigs[other] ^ sigs[x]).sum(1, dtype=np.int64) <= limit]
+                found = np.concatenate([found, np.stack([np.minimum(near, x), np.maximum(near, x)], 1)])
+        found = np.unique(found, axis=0)
+    return found, crowd
+
+
 def _within(fps: np.ndarray, prefix: int, bits: int, half: int, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The bits below the prefix, the flips left for them, and their number."""
     low = width - bits
@@ -276,6 +313,8 @@ SIGNATURE_BITS = 512
 LANES = 12
 LANE_BITS = 40
 SIMILARITY = 0.8
+FIRST_LANES = 6  # that link dense families before all lanes are searched
+CROWD = 16  # rows of a meeting point that are paired without a look at their signatures
 
 
 def bits_apart(similarity: float, bits: int = SIGNATURE_BITS) -> int:
@@ -325,6 +364,34 @@ def with_signature(docs: DataFrame, text: str, size: int) -> DataFrame:
     return docs.withColumn("_s", sign(F.col(text))).select("*", "_s.*").drop("_s")
 
 
+def met(nodes: DataFrame, lanes: int, variants_per_task: int, similarity: float, pairing: str = "first") -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, group, sig, lanes) that meet in one of the first ``lanes``.
+
+    ``first``: each node with the first one at a meeting point and the one before it. ``rest``:
+    all pairs of different groups, but of a point of more than ``CROWD`` nodes only these, each
+    as (node, NULL). ``crowded``: the pairs of different groups at such points that are within
+    the signature's distance.
+    """
+    half, whole = 2, pairing == "crowded"
+
+    def meets(key: tuple, group: pa.Table) -> pa.Table:
+        ids, blocks = group.column("node").to_numpy(), group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+        place, crowd = (key[2].as_py(), key[1].as_py(), half, LANE_BITS), np.zeros(0, np.int64)
+        if pairing == "first":
+            pairs = candidates(blocks, *place)
+        else:
+            sigs = group.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1) if whole else None
+            pairs, crowd = unlinked(blocks, group.column("group").to_numpy(), *place, sigs, bits_apart(similarity))
+            crowd = crowd[:0] if whole else crowd
+        a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
+        partner = pa.array(np.concatenate([np.maximum(a, b), ids[crowd]]), mask=np.arange(len(a) + len(crowd)) >= len(a))
+        return pa.table({"a": np.concatenate([np.minimum(a, b), ids[crowd]]), "b": partner})
+
+    columns = {"first": [], "rest": ["group"], "crowded": ["group", "sig"]}[pairing]
+    entries = nodes.select("node", *columns, F.posexplode(F.slice("lanes", 1, lanes)).alias("lane", "fp"))
+    return shares(entries, half, LANE_BITS, variants_per_task).groupBy("lane", "bits", "prefix").applyInArrow(meets, "a long, b long")
+
+
 def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose shingle sets have at least this Jaccard similarity.
 
@@ -357,25 +424,25 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     similarity 0.8 differ in a seventh of their bits. So a signature of 512 bits is cut into 12
     lanes of 40 bits, ball hashing within 4 bits runs in each lane (a pair of similarity 0.8
     meets in a lane with chance 0.26, in one of 12 with 0.97), and pairs that meet are filtered
-    on the whole signature and confirmed on their shingle sets (``alike``). Two texts with nothing in common meet in a lane with chance 9e-8:
+    on the whole signature and confirmed on their shingle sets (``alike``). A few lanes with star links come first and group
+    dense families; then every pair of different groups that meets in any lane is tested, at
+    crowded points on the signatures in the task, so no meeting pair is left untested unless
+    its texts are in one group. Two texts with nothing in common meet in a lane with chance 9e-8:
     for far more than 10^8 different texts take wider and more lanes.
     """
-    half = 2
     kept = [c for c in docs.columns if c not in (text, "component_id", "root", "sig", "lanes", "node", "text_key")]
     rows = with_signature(docs.select(*kept, text), text, size)
     rows = written(rows.select(*kept, "node", "sig", "lanes", F.xxhash64(text).alias("text_key")), "signatures")
     nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig"), F.first("lanes").alias("lanes"), F.min("text_key").alias("text_key"), F.min(doc_id).alias("first_id")), "nodes")
     texts = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
-    def meets(key: tuple, group: pa.Table) -> pa.Table:
-        ids = group.column("node").to_numpy()
-        pairs = candidates(group.column("fp").to_numpy().astype(np.int64).view(np.uint64), key[2].as_py(), key[1].as_py(), half, LANE_BITS)
-        return pa.table({"a": ids[pairs[:, 0]], "b": ids[pairs[:, 1]]})
-
-    lanes = nodes.select("node", F.posexplode("lanes").alias("lane", "fp"))
-    met = shares(lanes, half, LANE_BITS, variants_per_task).groupBy("lane", "bits", "prefix").applyInArrow(meets, "a long, b long")
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = components(alike(pairs, nodes, texts, size, similarity))
+    star = met(nodes, FIRST_LANES, variants_per_task, similarity).distinct()
+    roots = written(components(alike(star, nodes, texts, size, similarity)), "first-roots")
+    grouped = written(nodes.join(roots, "node", "left").select("node", "sig", "lanes", F.coalesce("root", "node").alias("group")), "groups")
+    rest = written(met(grouped, LANES, variants_per_task, similarity, "rest").distinct(), "rest")
+    crowded = written(grouped.join(rest.where("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi"), "crowded")
+    pairs = rest.where("b IS NOT NULL").union(met(crowded, LANES, variants_per_task, similarity, "crowded")).distinct()
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(alike(pairs, nodes, texts, size, similarity)))
     rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(first, "root").select("node", "root", "component_id")

@@ -206,6 +206,52 @@ def test_pairs_below_the_similarity_stay_apart(spark):
     assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
 
 
+def test_all_pairs_of_a_mixed_crowd_are_tested():
+    """At a crowded meeting point every pair of different groups within the limit is found."""
+    r = np.random.default_rng(4)
+    n, limit = 300, 60
+    centre = int(r.integers(0, 2**40))
+    blocks = np.array([centre ^ sum(1 << int(b) for b in r.choice(40, r.integers(0, 3), False)) for _ in range(n)], dtype=np.uint64)
+    sigs = r.integers(0, 2**63, (n, 8)).astype(np.uint64)
+    for i in range(1, n, 3):  # true partners that are neither first nor neighbours
+        sigs[i] = sigs[(i * 7 + 100) % n] ^ np.uint64(1 << (i % 60))
+    group = r.integers(0, 200, n)
+    apart = np.bitwise_count(sigs[:, None] ^ sigs[None]).sum(2, dtype=np.int64)
+    block_apart = np.bitwise_count(blocks[:, None] ^ blocks[None])
+    meet = {(i, j) for i, j in zip(*np.nonzero(np.triu(block_apart <= 4, 1))) if group[i] != group[j]}
+    want = {(i, j) for i, j in meet if apart[i, j] <= limit}
+    few, crowd = simhash.unlinked(blocks, group, 0, 0, 2, 40)
+    exact, _ = simhash.unlinked(blocks[crowd], group[crowd], 0, 0, 2, 40, sigs[crowd], limit)
+    got = {tuple(x) for x in few.tolist()} | {tuple(x) for x in crowd[exact].tolist()}
+    assert len(want) > 50 and want <= got <= meet
+    star = {tuple(sorted(x)) for x in simhash.candidates(blocks, 0, 0, 2, 40).tolist()}
+    assert not want <= star
+
+
+@pytest.mark.parametrize("crowd", [2, 16])
+def test_crowds_of_half_alike_texts(spark, monkeypatch, crowd):
+    """In a family of pages of one template, every pair of similarity 0.8 is grouped as by brute force."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "FIRST_LANES", 1)
+    r = random.Random(6)
+    template, docs = [f"t{i}" for i in range(300)], []
+    for g in range(60):
+        page = list(template)
+        for i in r.sample(range(30), 11):
+            page[10 * i] = f"p{g}x{i}"
+        docs += [page, [f"q{g}" if i == 155 else w for i, w in enumerate(page)]]
+    docs = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {x["doc_id"]: x["root"] for x in rows(simhash.similar(spark.createDataFrame(docs, "doc_id long, text string"), variants_per_task=200_000))}
+    like = {(i, j): jaccard(docs[i][1], docs[j][1]) for i in range(len(docs)) for j in range(i)}
+    linked = [p for p, x in like.items() if x >= 0.8]
+    assert len(linked) >= 60 and all(got[i] == got[j] for i, j in linked)
+    root = list(range(len(docs)))
+    for i, j in sorted(linked):
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    assert len(set(root)) == len(set(got.values()))
+
+
 def test_simhash_odd_rows(spark, odd):
     got = rows(simhash.near_duplicates(odd))
     assert len(got) == len(ODD)
