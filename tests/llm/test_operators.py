@@ -252,6 +252,25 @@ def test_crowds_of_half_alike_texts(spark, monkeypatch, crowd):
     assert len(set(root)) == len(set(got.values()))
 
 
+def test_pairs_at_the_border_are_found():
+    """Of pairs whose sets are 0.80 to 0.85 alike, lanes and signature filter leave all but a few in a thousand."""
+    r = np.random.default_rng(12)
+    weights = 1 << np.arange(simhash.LANE_BITS, dtype=np.int64)
+    limit, met, at_border = simhash.bits_apart(0.8), 0, 0
+    for _ in range(3000):
+        n = int(r.integers(60, 400))
+        most = n // 9  # n - k of n + k shingles are shared
+        k = int(r.integers(int(np.ceil(n * 0.15 / 1.85)), most + 1))
+        hashes = r.integers(0, 2**63, n + k).astype(np.uint64)
+        assert 0.8 <= (n - k) / (n + k) <= 0.85
+        a, b = simhash.signature(np.sort(hashes[:n])), simhash.signature(np.sort(hashes[k:]))
+        lanes = [x[: simhash.LANES * simhash.LANE_BITS].reshape(simhash.LANES, simhash.LANE_BITS) @ weights for x in (a, b)]
+        met += bool((np.bitwise_count(lanes[0] ^ lanes[1]) <= 4).any() and (a ^ b).sum() <= limit)
+        at_border += 1
+    print("found", met, "of", at_border)
+    assert met >= 0.995 * at_border
+
+
 def test_simhash_odd_rows(spark, odd):
     got = rows(simhash.near_duplicates(odd))
     assert len(got) == len(ODD)
