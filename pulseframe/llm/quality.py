@@ -181,14 +181,15 @@ def learn(rows: list[dict], min_precision: float = MIN_PRECISION, max_rules: int
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", sample: int = SAMPLE_ROWS, seed: int = 7) -> list[dict]:
-    """Features of a bounded sample of the labelled documents, in hash order."""
+    """Features of a bounded sample of the labelled documents, in hash order; an id counts once per label, with its least features."""
     chosen = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), (1 - F.col("quality")).cast("int").alias("bad"))
     chosen = chosen.distinct().orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "bad").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
     features = let(statistics(F.col("_text")), lambda s: F.struct(
         base_failed(s).alias("failed"), *[f(lambda n: s[n]).cast("double").alias(k) for k, f in FEATURES.items()],
     ))
-    rows = rows.select("bad", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(3)).alias("part"), features.alias("f"))
+    rows = rows.select("_id", "bad", features.alias("f")).groupBy("_id", "bad").agg(F.min("f").alias("f"))
+    rows = rows.select("bad", F.pmod(F.xxhash64("_id", F.lit(seed + 1)), F.lit(3)).alias("part"), "f")
     found = [{"bad": r["bad"], "part": r["part"], **r["f"].asDict()} for r in rows.collect()]
     passed = [{k: v for k, v in r.items() if k != "failed"} for r in found if not r["failed"]]
     return sorted(passed, key=lambda r: tuple(r.values()))

@@ -271,6 +271,14 @@ def test_pairs_at_the_border_are_found():
     assert met >= 0.995 * at_border
 
 
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"word{i}x{k} and" for k in range(60 + i))) for i in [1] * 500 + [2, 3]], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (1, 1)], "doc_id long, quality int")
+    got = quality.labelled(docs, labels)
+    once = quality.labelled(docs.dropDuplicates(), labels)
+    assert got == once and len(got) == 4
+
+
 def test_simhash_odd_rows(spark, odd):
     got = rows(simhash.near_duplicates(odd))
     assert len(got) == len(ODD)
