@@ -127,3 +127,66 @@ kept AS (SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT g
          FROM reach GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN k.text END AS text, removed_lines, removed_words, coalesce(removed, '') AS removed
 FROM documents d JOIN kept k USING (doc_id) LEFT JOIN cut USING (doc_id)"""
+
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii({0}[i])::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)".format("CAST(doc_id AS VARCHAR)")
+
+ORACLES["op12_periodic_runs"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_CRC} AS h FROM documents),
+sized AS (SELECT *, len(w)::BIGINT AS n, h // 10 AS g FROM docs),
+spot AS (SELECT *, g % n AS a FROM sized),
+step AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM spot),
+word AS (
+  SELECT r, n, i, w[CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS x
+  FROM (SELECT *, unnest(range(n)) AS i FROM step)),
+pair AS (SELECT s.r, s.i, t.i - s.i AS q FROM word s JOIN word t ON s.r = t.r AND s.x = t.x AND t.i > s.i AND 4 * (t.i - s.i) <= s.n),
+island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM pair),
+stretch AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM island GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT r, s, l, min(q) AS q FROM stretch GROUP BY r, s, l),
+per AS (
+  SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS said,
+         arg_min(struct_pack(s := s, l := l, q := q), (-l / q, s, q)) AS best FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM run),
+left_over AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period,
+       (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM docs LEFT JOIN per USING (r) LEFT JOIN left_over USING (r)"""
+
+
+def _tree(name: str, leaves: str, key: str) -> str:
+    """All nodes of trees by ``key``, and what stands left and right of each in its run."""
+    return f"""
+{name} AS (
+  SELECT {key} AS tree, 0 AS lvl, i, h, n FROM {leaves}
+  UNION ALL SELECT tree, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, lvl, i // 3),
+{name}_step AS (
+  SELECT tree, lvl, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rt
+  FROM {name} WHERE n > 1 WINDOW w AS (PARTITION BY tree, lvl, i // 3 ORDER BY i))"""
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(parts) + ")"
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE leaf AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf('text')} AS h,
+         CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS bad FROM documents),
+source_no AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k FROM (SELECT DISTINCT source FROM leaf)),
+placed AS (
+  SELECT l.*, k, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY k) AS n
+  FROM leaf l JOIN source_no s ON l.source IS NOT DISTINCT FROM s.source),{_tree('node', 'placed', 'k')},
+sub AS (SELECT 0 AS one, tree AS i, h, count(*) OVER () AS n FROM node WHERE n = 1),{_tree('upper', 'sub', 'one')},
+fold AS (
+  SELECT r, k AS tree, 0 AS lvl, i, bad AS x, '' AS proof FROM placed
+  UNION ALL SELECT r, tree, lvl + 1, i // 3, sha256(l || x || rt), proof || l || rt FROM fold JOIN node_step USING (tree, lvl, i)),
+low AS (SELECT r, tree AS k, arg_max(x, lvl) AS x, arg_max(proof, lvl) AS proof FROM fold GROUP BY r, tree),
+rise AS (
+  SELECT r, 0 AS tree, 0 AS lvl, k AS i, x, proof FROM low
+  UNION ALL SELECT r, tree, lvl + 1, i // 3, sha256(l || x || rt), proof || l || rt FROM rise JOIN upper_step USING (tree, lvl, i)),
+whole AS (SELECT r, arg_max(x, lvl) AS folded_root, arg_max(proof, lvl) AS proof FROM rise GROUP BY r),
+top AS (SELECT h AS root FROM upper WHERE n = 1)
+SELECT doc_id, p.h AS leaf, sub.h AS subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN whole USING (r) JOIN sub ON sub.i = p.k CROSS JOIN top"""
