@@ -13,7 +13,7 @@ Scale: tokens never leave the task that made them; what is shuffled is a few num
 Ranks inside a length are built from counts per hash slice, so a length that a third of all
 pieces share is ranked in many tasks. The slots sent to all tasks number at most two patterns
 per length times the lengths in a pattern, 2 * size * sqrt(2 * size): a bound by ``size``, not
-by the corpus. A word cache per worker is emptied when it holds ``CACHE_WORDS`` entries.
+by the corpus. A word cache per worker is emptied when it holds ``CACHE_WORDS`` short chunks.
 (Checked to give the tokenizer's own ids on whole texts; little-endian machines only.)
 
 Defined results: a NULL or blank text is its end id alone; repeated rows are packed each; ids
@@ -28,12 +28,11 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
@@ -44,10 +43,12 @@ SIZE = 4096
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 CACHE_WORDS = 300_000
-# Texts in which commas, points or ASCII capitals may not be set apart or lowered before the
-# tokenizer sees them: a mark next to another mark, special tokens, a letter whose lower case
-# holds a mark.
-APART = re.compile(r"[.,](?=[^\s\w]|_)|(?<=[^\s\w])[.,]|(?<=_)[.,]|<\||\u0130")
+CACHE_BYTES = 48  # longest chunk that is remembered
+# Chunks that need no whole tokenizer call: Latin letters up to U+024F, which NFC leaves alone
+# (without the one whose lower case ends in a mark), and one mark after them. All others go to
+# the tokenizer as they are.
+LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F"
+PLAIN = re.compile(f"([{LATIN}]+)([.,!?;:]?)")
 SLICES = 64
 
 
@@ -55,10 +56,9 @@ class WordIds(dict):
     """Little-endian ids of a white-space-free chunk of UTF-8, by the tokenizer, remembered.
 
     Valid for tokenizers that normalise to lower-case NFC, drop white space, never join what it
-    separates, and take a run of letters as one word of byte-level pieces. Shortcuts keep whole
-    tokenizer calls few: capitals of ASCII are lowered first, a mark after a letter is a token of
-    its own, a word of letters alone goes straight to the merge model, and where a text allows it
-    (``APART``) its commas and points are parted from their words.
+    separates, and take a run of letters as one word of byte-level pieces and a mark after it as
+    another. Words of Latin letters go straight to the merge model. Chunks of more than
+    ``CACHE_BYTES`` are not remembered, so the memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -69,33 +69,23 @@ class WordIds(dict):
         self.bytes = str.maketrans({b: chr(256 + i) for i, b in enumerate(hidden)})
 
     def __missing__(self, chunk: bytes) -> bytes:
-        low = chunk.lower()
-        if low != chunk and b"<|" not in chunk:
-            ids = self[low]
-        elif chunk.isalpha():  # ASCII letters
-            ids = array("I", [p.id for p in self.model.tokenize(chunk.decode())]).tobytes()
+        word = chunk.decode()
+        plain = PLAIN.fullmatch(word)
+        if plain and plain[2]:
+            ids = self[plain[1].encode()] + self[plain[2].encode()]
+        elif plain:
+            pieces = self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.bytes))
+            ids = array("I", [p.id for p in pieces]).tobytes()
         else:
-            word = chunk.decode()
-            plain = "".join([c.lower() for c in normalize("NFC", word)])
-            if len(word) > 1 and word[-1] in ".,!?" and word[-2].lower().isalpha():
-                ids = self[chunk[:-1]] + self[chunk[-1:]]
-            elif plain.isalpha():
-                pieces = self.model.tokenize(plain.encode().decode("latin-1").translate(self.bytes))
-                ids = array("I", [p.id for p in pieces]).tobytes()
-            else:
-                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        self[chunk] = ids
+            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= CACHE_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[chunk] = ids
         return ids
 
     def text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        chunks = text.encode()
-        if not APART.search(text):
-            chunks = chunks.lower().replace(b",", b" , ").replace(b".", b" . ")
-        return b"".join(map(self.__getitem__, chunks.split()))
+        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
 
 
 @cache
@@ -194,13 +184,17 @@ def slots(patterns: dict[Pattern, int]) -> dict[int, np.ndarray]:
     return {length: np.array(r, dtype=np.int64) for length, r in rows.items()}
 
 
+def slice_of(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id, "start", "ids_crc32", "line"), F.lit(SLICES * 16))
+
+
 def ranked(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """``rank`` (from 0) of each piece among those of its length."""
-    keyed = rows.withColumn("slice", F.pmod(F.xxhash64(doc_id, "start", "ids_crc32"), F.lit(SLICES * 16)))
+    """``rank`` (from 0) of each piece among those of its length; ``line`` tells equal rows apart."""
+    keyed = rows.withColumn("slice", slice_of(doc_id))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = keyed.groupBy("length", "slice").count()
     counts = counts.select("length", "slice", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("length", "slice").orderBy(doc_id, "start", "ids_crc32")
+    within = Window.partitionBy("length", "slice").orderBy(doc_id, "start", "ids_crc32", "line")
     numbered = keyed.withColumn("n", F.row_number().over(within)).join(counts, ["length", "slice"])
     return numbered.select(*rows.columns, (F.col("before") + F.col("n") - 1).alias("rank"))
 
@@ -208,11 +202,11 @@ def ranked(rows: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SIZE, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``."""
     spark = docs.sparkSession
-    cut = written(pieces(docs, text, doc_id, size, end_id, path), "pieces")
+    cut = written(pieces(docs, text, doc_id, size, end_id, path).withColumn("line", F.monotonically_increasing_id()), "pieces")
     histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     table = spark.sparkContext.broadcast(slots(shortest_pack_first(histogram, size)))
-    rows, names = ranked(cut, doc_id), cut.columns
-    schema = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
+    rows, names = ranked(cut, doc_id), [c for c in cut.columns if c != "line"]
+    schema = StructType([*[cut.schema[c] for c in names], StructField("sequence_id", LongType()), StructField("offset", LongType())])
     columns = schema.names
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,9 @@
 """Secret scanning with an incremental ledger of content-addressed blobs.
 
 Every version of every path is addressed by the SHA-256 of its content. The ledger holds,
-per blob, the rule versions that have scanned it and what they found; a run scans only the
-(blob, rule version) pairs the ledger does not have and joins the findings of all blobs back
-to all paths that ever held them. All work is built-in expressions: a pattern's matches come
+per blob, the rule versions that have scanned it and what each version found; a run scans only
+the (blob, rule version) pairs the ledger does not have and joins the findings of the versions
+asked for back to all paths that ever held the blob, so a changed rule replaces its findings. All work is built-in expressions: a pattern's matches come
 from ``regexp_extract_all``, the gaps between them from ``split`` with the same pattern, and
 running sums of both lengths give the positions.
 
@@ -64,7 +64,8 @@ RULES = [
     Rule("cloud_key", CLOUD_KEY, literal="AIza"),
 ]
 FOUND = "array<struct<kind:string,gap:int,size:int,ok:boolean,k:int>>"
-LEDGER = "blob_id string, rule_keys array<string>, findings array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+FINDING = "struct<start:bigint,rank:int,end:bigint,kind:string,version:int>"
+LEDGER = f"blob_id string, rule_keys array<string>, findings array<{FINDING}>"
 
 
 def _matches(text: Column, rule: Rule) -> Column:
@@ -101,10 +102,11 @@ def scan(unseen: DataFrame, rules: list[Rule], seen: str | None = None) -> DataF
     hits = unseen.select("blob_id", done.alias("rule_keys"), F.explode_outer(F.concat(*[wanted(r) for r in rules])).alias("m"))
     order = Window.partitionBy("blob_id", "m.kind").orderBy("m.k")
     end = F.sum(F.col("m.gap").cast("long") + F.col("m.size")).over(order)
-    rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])[F.col("m.kind")]
+    of_kind = lambda values: F.create_map(*[x for r, v in zip(rules, values) for x in (F.lit(r.kind), F.lit(v))])[F.col("m.kind")]
+    rank, version = of_kind(range(len(rules))), of_kind([r.version for r in rules])
     placed = hits.select("blob_id", "rule_keys", "m", end.alias("end"))
     finding = F.when(F.col("m.ok"), F.struct(
-        (F.col("end") - F.col("m.size")).alias("start"), rank.alias("rank"), F.col("end"), F.col("m.kind").alias("kind"),
+        (F.col("end") - F.col("m.size")).alias("start"), rank.alias("rank"), F.col("end"), F.col("m.kind").alias("kind"), version.alias("version"),
     ))
     return placed.groupBy("blob_id").agg(F.first("rule_keys").alias("rule_keys"), F.collect_list(finding).alias("findings"))
 
@@ -137,13 +139,21 @@ def update(versions: DataFrame, ledger: str, text: str = "text", rules: list[Rul
 def findings(versions: DataFrame, text: str = "text", rules: list[Rule] = RULES, ledger: str | None = None) -> DataFrame:
     """``versions`` without their text, each with ``blob_id`` and its sorted ``findings`` under ``rules``."""
     ledger = ledger or scratch(versions.sparkSession, "ledger")
-    kinds = [r.kind for r in rules]
+    if len({r.kind for r in rules}) < len(rules):
+        raise ValueError("a kind may have one rule")
     whole = update(versions, ledger, text, rules)
-    per_blob = whole.groupBy("blob_id").agg(F.flatten(F.collect_list("findings")).alias("findings"))
-    per_blob = per_blob.select("blob_id", F.sort_array(F.filter("findings", lambda f: f["kind"].isin(kinds))).alias("findings"))
+    asked = {r.kind: (i, r.version) for i, r in enumerate(rules)}
+    rank = F.create_map(*[x for kind, (i, _) in asked.items() for x in (F.lit(kind), F.lit(i))])
+    ours = F.lit(False)
+    for kind, (_, version) in asked.items():
+        ours = ours | ((F.col("f.kind") == kind) & (F.col("f.version") == version))
+    found = whole.select("blob_id", F.explode("findings").alias("f")).where(ours)
+    # as a set: two runs at the same time may both have scanned a blob; ranks are those of the rules asked for now
+    found = found.select("blob_id", F.struct("f.start", rank[F.col("f.kind")].alias("rank"), "f.end", "f.kind", "f.version").alias("f"))
+    per_blob = found.groupBy("blob_id").agg(F.sort_array(F.collect_set("f")).alias("findings"))
     kept = [c for c in versions.columns if c not in (text, "blob_id", "findings")]
     paths = versions.select(*kept, F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob_id"))
-    return paths.join(per_blob, "blob_id", "left").select(*kept, "blob_id", F.coalesce("findings", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")).alias("findings"))
+    return paths.join(per_blob, "blob_id", "left").select(*kept, "blob_id", F.coalesce("findings", F.array().cast(f"array<{FINDING}>")).alias("findings"))
 
 
 def joined(found: Column) -> Column:

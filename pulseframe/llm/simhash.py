@@ -232,7 +232,7 @@ def shares(fps: DataFrame, half: int, width: int, variants_per_task: int) -> Dat
     ``fps`` has ``lane`` (fingerprints of different lanes never meet) and ``fp``.
     """
     n = fps.groupBy("lane").count().agg(F.max("count")).first()[0] or 0
-    bits = min(width - 8, 24, max(SPLIT_BITS if width == 64 else 3, ceil(log2(max(1, n * _ball(width, half) / variants_per_task)))))
+    bits = min(width - 8, 24, max(SPLIT_BITS if width == 64 else 0, ceil(log2(max(1, n * _ball(width, half) / variants_per_task)))))
     planned = max(1, n * _ball(bits, half) >> bits)
     entries = fps.select("*", F.lit(bits).alias("bits"), F.explode(_prefixes(F.col("fp"), width, bits, half)).alias("prefix"))
     while bits + SPLIT_BITS <= width - 4:  # shares that crowded fingerprints overfill are split by further bits
@@ -313,7 +313,10 @@ SIGNATURE_BITS = 1024
 LANES = 25
 LANE_BITS = 40
 SIMILARITY = 0.8
+LANE_VARIANTS = 256_000_000  # variants of a lane in one task; fewer, larger shares mean fewer copies of a node
 FIRST_LANES = 6  # that link dense families before all lanes are searched
+RELATED = 0.6  # similarity of the texts of a family, of which all pairs are compared
+TILE = 2_000_000  # shingles of a block of a family; two blocks meet in a task
 CROWD = 16  # rows of a meeting point that are paired without a look at their signatures
 
 
@@ -392,43 +395,107 @@ def met(nodes: DataFrame, lanes: int, variants_per_task: int, similarity: float,
     return shares(entries, half, LANE_BITS, variants_per_task).groupBy("lane", "bits", "prefix").applyInArrow(meets, "a long, b long")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose shingle sets have at least this Jaccard similarity.
-
-    ``nodes`` has (node, sig, text_key), ``texts`` (text_key, text). The signature is only a
-    filter: texts are fetched and their sets compared for the pairs that it leaves.
-    """
+def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) whose signatures are as close as those of sets of this similarity."""
     for side in ("a", "b"):
         pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("sig").alias(f"sig_{side}")), side)
     apart = F.aggregate(F.zip_with("sig_a", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = written(pairs.where(apart <= bits_apart(similarity)).select("a", "b"), "near-pairs")
+    return pairs.where(apart <= bits_apart(similarity)).select("a", "b")
+
 
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, grams) of the nodes in ``wanted``; of ``texts`` (text_key, text) only theirs are gathered."""
     @F.pandas_udf("array<long>")
     def grams(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, size).view(np.int64) for t in texts])
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(nodes.select("node", "text_key"), "node")
-    sets = wanted.join(texts.groupBy("text_key").agg(F.first("text").alias("text")), "text_key")
-    sets = written(sets.select("node", grams("text").alias("grams")), "shingles")
+    wanted = nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "text_key")
+    found = texts.join(wanted.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
+    return wanted.join(found, "text_key").select("node", grams("text").alias("grams"))
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose shingle sets have at least this Jaccard similarity.
+
+    ``nodes`` has (node, sig, text_key), ``texts`` (text_key, text). The signature is only a
+    filter: texts are fetched and their sets compared for the pairs that it leaves.
+    """
+    pairs = written(near(pairs, nodes, similarity), "near-pairs")
+    sets = written(shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, texts, size), "shingles")
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("grams").alias(f"grams_{side}")), side)
     pairs = pairs.select("a", "b", F.size("grams_a").alias("n_a"), F.size("grams_b").alias("n_b"), F.size(F.array_intersect("grams_a", "grams_b")).alias("n"))
     return pairs.where(F.try_divide("n", F.col("n_a") + F.col("n_b") - F.col("n")) >= similarity).select("a", "b")
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = SIMILARITY, variants_per_task: int = VARIANTS_PER_TASK) -> DataFrame:
+def verified_forest(sigs: np.ndarray, grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, limit: int, similarity: float) -> np.ndarray:
+    """Links (i, j) that connect all rows of ``left`` and ``right`` whose sets are alike; pairs that others connect are passed over."""
+    root = np.arange(len(grams))
+    sizes = np.array([len(g) for g in grams])
+    out = []
+    inside = left is right
+    for x in left:
+        right = left[left > x] if inside else right
+        close = right[np.bitwise_count(sigs[right] ^ sigs[x]).sum(1, dtype=np.int64) <= limit]
+        # sets of too different sizes cannot be alike
+        close = close[np.minimum(sizes[close], sizes[x]) >= similarity * np.maximum(sizes[close], sizes[x])]
+        for y in close:
+            if root[x] == root[y]:
+                continue
+            both = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
+            if both >= similarity * (sizes[x] + sizes[y] - both):
+                root[root == root[y]] = root[x]
+                out.append((x, y))
+    return np.array(out, dtype=np.int64).reshape(-1, 2)
+
+
+def within_families(families: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float, tile: int) -> DataFrame:
+    """Links (a, b) between nodes of one family (node, family) whose shingle sets are alike: all its pairs are tested.
+
+    A family is cut into blocks of some ``tile`` shingles; every two blocks meet in one task,
+    which compares signatures, then sets, and gives a forest: at most a link a node and block.
+    """
+    sets = written(shingle_sets(families, nodes, texts, size), "family-shingles")
+    held = families.join(nodes.select("node", "sig"), "node").join(sets, "node")
+    blocks = families.join(sets, "node").groupBy("family").agg(F.ceil(F.sum(F.size("grams")) / tile).alias("blocks"))
+    held = held.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.greatest("blocks", F.lit(1))))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("blocks", F.lit(1)) - 1))
+    held = held.select("family", "node", "sig", "grams", "block", other.alias("other"))
+
+    def link(key: tuple, group: pa.Table) -> pa.Table:
+        order = group.column("node").to_numpy().argsort()
+        group = group.take(pa.array(order))
+        node, block = group.column("node").to_numpy(), group.column("block").to_numpy()
+        sigs = group.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        grams = [g.values.to_numpy().view(np.uint64) for g in group.column("grams")]
+        limit = bits_apart(similarity)
+        low, high = key[1].as_py(), key[2].as_py()  # the same twice where a block meets itself
+        place = np.arange(len(node))
+        left = place[block == low]
+        found = verified_forest(sigs, grams, left, left if low == high else place[block == high], limit, similarity)
+        return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
+
+    tiles = held.groupBy("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return tiles.applyInArrow(link, "a long, b long")
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = 5, similarity: float = SIMILARITY, variants_per_task: int = LANE_VARIANTS, tile: int = TILE) -> DataFrame:
     """``docs`` without their text, each with ``component_id`` and ``root`` of its near-duplicates.
 
     A fingerprint of 64 bits within 4 bits finds texts that are almost the same; shingle sets of
     similarity 0.8 differ in a seventh of their bits. So a signature of 1024 bits has 25
     lanes of 40 bits, ball hashing within 4 bits runs in each lane (a pair of similarity 0.8
     meets in a lane with chance 0.26, in one of 25 with 0.999), and pairs that meet are filtered
-    on the whole signature and confirmed on their shingle sets (``alike``). A few lanes with star links come first and group
-    dense families; then every pair of different groups that meets in any lane is tested, at
-    crowded points on the signatures in the task, so no meeting pair is left untested unless
-    its texts are in one group. Two texts with nothing in common meet in a lane with chance 9e-8:
-    for far more than 10^8 different texts take wider and more lanes.
+    on the whole signature and confirmed on their shingle sets.
+
+    Texts that are only half alike meet too, in a large family nearly each with each. So a few
+    lanes with star links come first and form families of related texts (signatures as close
+    as at similarity ``RELATED``); all pairs of a family are tested where its blocks meet
+    (``within_families``), and what leaves a task are links, about one a text. Then every pair
+    of different families that meets in any lane is tested (``alike``), at crowded points on
+    the signatures in the task, so no meeting pair is left untested. Two texts with nothing in
+    common meet in a lane with chance 9e-8: for far more than 10^8 different texts take wider
+    and more lanes.
     """
     kept = [c for c in docs.columns if c not in (text, "component_id", "root", "sig", "lanes", "node", "text_key")]
     rows = with_signature(docs.select(*kept, text), text, size)
@@ -436,13 +503,15 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
     nodes = written(rows.groupBy("node").agg(F.first("sig").alias("sig"), F.first("lanes").alias("lanes"), F.min("text_key").alias("text_key"), F.min(doc_id).alias("first_id")), "nodes")
     texts = docs.select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
 
-    star = met(nodes, FIRST_LANES, variants_per_task, similarity).distinct()
-    roots = written(components(alike(star, nodes, texts, size, similarity)), "first-roots")
-    grouped = written(nodes.join(roots, "node", "left").select("node", "sig", "lanes", F.coalesce("root", "node").alias("group")), "groups")
+    star = written(near(met(nodes, FIRST_LANES, variants_per_task, similarity).distinct(), nodes, RELATED), "related")
+    found = components(star)
+    families = written(found.select("node", F.col("root").alias("family")).union(found.select("root", "root").distinct()), "families")
+    links = written(within_families(families, nodes, texts, size, similarity, tile), "family-links")
+    grouped = written(nodes.join(families, "node", "left").select("node", "sig", "lanes", F.coalesce("family", "node").alias("group")), "groups")
     rest = written(met(grouped, LANES, variants_per_task, similarity, "rest").distinct(), "rest")
     crowded = written(grouped.join(rest.where("b IS NULL").select(F.col("a").alias("node")), "node", "left_semi"), "crowded")
     pairs = rest.where("b IS NOT NULL").union(met(crowded, LANES, variants_per_task, similarity, "crowded")).distinct()
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(alike(pairs, nodes, texts, size, similarity)))
+    roots = components(links.union(alike(pairs, nodes, texts, size, similarity)))
     rooted = nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(first, "root").select("node", "root", "component_id")

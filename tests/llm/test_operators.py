@@ -331,6 +331,23 @@ def test_secret_ledger_is_incremental(spark, tmp_path):
     assert {(r["path"], r["version"]): len(r["findings"]) for r in rows(got)} == {("a", 1): 1, ("b", 1): 1, ("a", 2): 1, ("c", 1): 1}
 
 
+def test_a_changed_rule_replaces_its_findings(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    docs = spark.createDataFrame([(1, "foo1 and foo22222 x"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    spans = lambda rules: {r["doc_id"]: r["s"] for r in rows(secrets.findings(docs, rules=rules, ledger=ledger).select("doc_id", secrets.joined(F.col("findings")).alias("s")))}
+    loose, strict, bar = secrets.Rule("foo", "foo[0-9]+"), secrets.Rule("foo", "foo[0-9]{3,}", version=2), secrets.Rule("bar", "and")
+    assert spans([loose]) == {1: "foo:0:4,foo:9:17", 2: "", 3: ""}
+    assert spans([strict, bar]) == {1: "bar:5:8,foo:9:17", 2: "", 3: ""}
+    assert spans([bar, loose]) == {1: "foo:0:4,bar:5:8,foo:9:17", 2: "", 3: ""}  # the old version is still in the ledger
+    scanned = [k for r in rows(spark.read.parquet(ledger)) for k in r["rule_keys"]]
+    assert sorted(scanned) == sorted(["foo@1", "foo@2", "bar@1"] * 3)  # every pair of a blob and a version once
+    spark.read.parquet(ledger).write.parquet(str(tmp_path / "other"))
+    spark.read.parquet(str(tmp_path / "other")).write.mode("append").parquet(ledger)  # as two runs at the same time leave it
+    assert spans([strict]) == {1: "foo:9:17", 2: "", 3: ""}
+    with pytest.raises(ValueError):
+        secrets.findings(docs, rules=[loose, strict], ledger=ledger)
+
+
 # 4. Lines
 
 def brute_lines(docs, min_words):
@@ -485,6 +502,32 @@ def test_packing_odd_rows(spark, odd):
     assert packing.pack(odd.limit(0)).count() == 0
 
 
+def test_ids_are_the_tokenizers():
+    """Every code point next to letters and marks, and random mixes of what is special to the tokenizer."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tokenizer, own = Tokenizer.from_file(path), packing.WordIds(path)
+
+    def same(texts):
+        for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(own.text(t), "<u4").tolist() == e.ids, t
+
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 8192):
+        same([f"a{c}, b{c}. {c}," for c in points[i : i + 8192]])
+    r = random.Random(5)
+    pool = [*"abcXYZ ,.!?;:'\"-_/#0123 \n\t<|>éüßñ«»’“”İıſ", "\x1c", "\x85", "\xa0", "\u0301", "\u09df", "\u095c", "\ufb1d", "<|endoftext|>", "'s", "'LL", "中", "🙂", "\u200d"]
+    same(["".join(r.choice(pool) for _ in range(r.randint(1, 14))) for _ in range(30_000)])
+    same(["中" * 5000, "ab" * 20_000, "x" * 100 + "," + "ü" * 100 + "."])
+    assert max(map(len, own)) <= packing.CACHE_BYTES
+
+
+def test_equal_rows_are_ranked_in_many_slices(spark):
+    rows_ = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"), F.col("id").alias("line"))
+    assert rows_.groupBy(packing.slice_of("doc_id")).count().agg(F.max("count")).first()[0] < 200
+    ranks = packing.ranked(rows_).select(F.min("rank"), F.max("rank"), F.countDistinct("rank")).first()
+    assert tuple(ranks) == (0, 99_999, 100_000)
+
+
 def test_pattern_counts():
     r = random.Random(1)
     for n in (1, 5, 300, 3000):
