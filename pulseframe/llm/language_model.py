@@ -38,9 +38,11 @@ import json
 import os
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import lru_cache
+from itertools import count
 from math import ceil
 
 import numpy as np
@@ -56,45 +58,89 @@ from pulseframe.session import scratch
 ORDER = 2
 SHARD_BYTES = 12_000_000  # of text whose n-grams one shard holds, some two million tokens
 HOT = 500_000  # tokens of a word whose n-grams are spread over all shards
-WORD_SHARDS = 8  # shards of n-grams for each shard of words
-COMBINED = 4_000_000  # tokens that a task combines before it sends
+WORD_SHARDS = 4  # shards of n-grams for each shard of words
+COMBINED = 3_000_000  # tokens that a task combines before it sends
 STEP = 1_000_000  # tokens scored at once
-PIECE = 4_000_000  # bytes of a text split into words at once
-CACHED = 300_000  # words of up to LONGEST bytes whose hashes a worker remembers
-LONGEST = 40
-BATCH = 100_000  # rows of an Arrow batch
+PIECE = 2_000_000  # bytes of a text split into words at once
+BATCH = 50_000  # rows of an Arrow batch
 SEED = 42
-END = xxhash.xxh64_intdigest(b"", SEED)  # no word is empty, and none holds a blank
-BEGIN = xxhash.xxh64_intdigest(b" ", SEED)
+END, BEGIN = b"", b" "  # no word is empty, and none holds a blank
 GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-class _Hashes(dict):
-    """XXH64 of words, remembered within bounds."""
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, SEED)
 
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word, SEED)
-        if len(word) <= LONGEST:
-            if len(self) >= CACHED:
-                self.clear()
-            self[word] = value
-        return value
 
+BEGIN_HASH = word_hash(BEGIN)
 
-_hashes = _Hashes()
 
-
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text and its end."""
+def _pieces(text: str | None) -> Iterator[list[bytes]]:
+    """The words of a text in parts, the end after the last."""
     data = text.encode("utf-8", "surrogatepass").lower() if text else b""
-    parts, at = [], 0
+    at = 0
     while at < len(data):
         gap = GAP.search(data, at + PIECE)
         end = gap.start() if gap else len(data)
-        words = data[at:end].split()
-        parts.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+        yield data[at:end].split()
         at = end
-    return np.concatenate([*parts, np.array([END], np.uint64)])
+    yield [END]
+
+
+@dataclass
+class Chunk:
+    """Some tokens in order: their numbers, places in their text and rows, and the hash of each number (the last one the begin's).
+
+    The first ``carried`` tokens belong to the chunk before and are there as history only.
+    """
+
+    ids: np.ndarray
+    depth: np.ndarray
+    row: np.ndarray
+    hashes: np.ndarray
+    carried: int
+
+
+class Chunks:
+    """Cuts the tokens of texts, also of very long ones, into chunks of some ``limit`` tokens."""
+
+    def __init__(self, limit: int, order: int):
+        self.limit, self.order = limit, order
+        self.carry: tuple[list[bytes], int, int] = ([], 0, 0)  # words, place of the first, row
+        self._open()
+
+    def _open(self) -> None:
+        self.number = defaultdict(count().__next__)
+        words, depth, row = self.carry
+        self.size = len(words)
+        self.parts = [(self._ids(words), depth, row)] if words else []
+        self.carried = len(words)
+
+    def _ids(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def add(self, row: int, text: str | None) -> Iterator[Chunk]:
+        depth, last = 0, []
+        for words in _pieces(text):
+            self.parts.append((self._ids(words), depth, row))
+            self.size += len(words)
+            depth += len(words)
+            last = [*last, *words][-(self.order - 1) :] if self.order > 1 else []
+            if self.size >= self.limit:
+                self.carry = ([], 0, 0) if words == [END] else (last, depth - len(last), row)
+                yield self.close()
+        self.carry = ([], 0, 0)
+
+    def close(self) -> Chunk:
+        """What is left as a chunk."""
+        ids = np.concatenate([p[0] for p in self.parts])
+        sizes = [len(p[0]) for p in self.parts]
+        depth = np.concatenate([np.arange(d, d + n) for n, (_, d, _) in zip(sizes, self.parts)])
+        row = np.repeat([p[2] for p in self.parts], sizes)
+        hashes = np.fromiter(map(word_hash, [*self.number, BEGIN]), np.uint64, len(self.number) + 1)
+        done = Chunk(ids, depth, row, hashes, self.carried)
+        self._open()
+        return done
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -111,19 +157,6 @@ def key_of(words: list[np.ndarray]) -> np.ndarray:
     return key
 
 
-def _history(h: np.ndarray, depth: np.ndarray, k: int, part: slice, begun: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The places in ``part`` that have a k-gram and its words; ``begun``: only those that start with the begin.
-
-    ``depth`` is the place of each token in its text.
-    """
-    at = np.arange(*part.indices(len(h)))
-    at = at[depth[at] == k - 2 if begun else depth[at] >= k - 2]
-    words = [h[at - j] for j in range(k - 1, -1, -1)]
-    if k > 1:
-        words[0] = np.where(depth[at] == k - 2, np.uint64(BEGIN), words[0])
-    return at, words
-
-
 def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts ``key``, and where in it each value starts."""
     order = np.argsort(key)
@@ -131,6 +164,44 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
+def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the distinct pairs in their order, the place of one of each, and how often each occurs."""
+    n = len(a)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    low, at = int(b.max()).bit_length(), max(1, (n - 1).bit_length())
+    if int(a.max()).bit_length() + low + at <= 63:  # pair and place in one word sort fastest
+        both = np.sort(a << (low + at) | b << at | np.arange(n))
+        place, pair = both & ((1 << at) - 1), both >> at
+        new = pair[1:] != pair[:-1]
+    else:
+        place = np.lexsort((b, a))
+        new = (a[place][1:] != a[place][:-1]) | (b[place][1:] != b[place][:-1])
+    start = np.flatnonzero(np.concatenate([[True], new]))
+    sizes = np.diff(np.append(start, n))
+    ids = np.empty(n, np.int64)
+    ids[place] = np.repeat(np.arange(len(start)), sizes)
+    return ids, place[start], sizes
+
+
+def _grams(chunk: Chunk, k: int, begun: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The places of the chunk that have a k-gram and the numbers of its words; ``begun``: only those that start with the begin."""
+    at = np.arange(chunk.carried, len(chunk.ids))
+    at = at[chunk.depth[at] == k - 2 if begun else chunk.depth[at] >= k - 2]
+    words = [chunk.ids[at - j] for j in range(k - 1, -1, -1)]
+    if k > 1:
+        words[0] = np.where(chunk.depth[at] == k - 2, len(chunk.hashes) - 1, words[0])
+    return at, words
+
+
+def _numbered(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_pairs`` of (all words but the last, the last): distinct n-grams by their first words."""
+    prefix = words[0]
+    for w in words[1:-1]:
+        prefix = _pairs(prefix, w)[0]
+    return _pairs(prefix if len(words) > 1 else np.zeros(len(prefix), np.int64), words[-1])
+
+
 # --- sorted arrays in the shared folder ---------------------------------------------
 
 def _mounted(path: str) -> str:
@@ -219,7 +290,7 @@ class Model:
         if counts is None:
             names, which = np.unique(first, return_inverse=True)
             counts = self.words.find(names)[which, 0]
-        return np.where((counts >= self.hot) | (first == np.uint64(BEGIN)), table.place(key), table.place(_mixed(first)))
+        return np.where((counts >= self.hot) | (first == np.uint64(BEGIN_HASH)), table.place(key), table.place(_mixed(first)))
 
     def save(self) -> None:
         with open(f"{self.folder}/model.json", "w") as f:
@@ -239,51 +310,50 @@ def _names(k: int) -> list[str]:
 
 
 def _rows_schema(k: int) -> str:
-    return ", ".join(f"{c} long" for c in ["shard", *_names(k), "n"])
+    """Successors of the same words share a row."""
+    return ", ".join([f"{c} long" for c in ["shard", *_names(k - 1)]] + [f"w{k} array<long>", "n array<long>"])
 
 
-def _batches(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(columns[0]), BATCH):
-        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + BATCH].view(np.int64)) for c in columns], names)
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _combined(model: Model, words: list[np.ndarray], n: np.ndarray | None) -> list[np.ndarray]:
-    """(shard, words, n): equal n-grams summed, by first word (what shares it then compresses well)."""
+def _successors(model: Model, words: list[np.ndarray], n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of distinct n-grams (hashes) that stand in order of all words but the last; a hot first word has a row in each shard."""
     key = key_of(words)
-    order, start = _groups(key)
-    first = order[start]
-    sums = np.diff(np.append(start, len(order))) if n is None else np.add.reduceat(n[order], start)
-    by = np.argsort(words[0][first], kind="stable")
-    first, sums = first[by], sums[by].astype(np.int64)
-    own = [w[first] for w in words]
-    return [model.place(own, key[first]), *own, sums]
+    shard = model.place(words, key)
+    order = np.lexsort((shard, key_of(words[:-1]))) if len(words) > 1 else np.argsort(shard, kind="stable")
+    words, n, shard = [w[order] for w in words], n[order], shard[order]
+    new = np.ones(len(n), bool)
+    new[1:] = shard[1:] != shard[:-1]
+    for w in words[:-1]:
+        new[1:] |= w[1:] != w[:-1]
+    start = np.append(np.flatnonzero(new), len(n))
+    for i in range(0, len(start) - 1, BATCH):
+        at = start[i : i + BATCH + 1]
+        part = slice(at[0], at[-1])
+        fixed = [pa.array(c[at[:-1]].view(np.int64)) for c in (shard, *words[:-1])]
+        yield pa.RecordBatch.from_arrays([*fixed, _lists(words[-1][part], at - at[0]), _lists(n[part], at - at[0])], ["shard", *_names(len(words)), "n"])
 
 
 def _gram_rows(docs: DataFrame, text: str, model: Model, k: int, begun: bool = False) -> DataFrame:
-    """(shard, w1..wk, n): the k-grams of all texts; ``begun``: those that start with the begin."""
-    names = ["shard", *_names(k), "n"]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            h = np.concatenate(held)
-            depth = np.concatenate([np.arange(len(x)) for x in held])
-            _, words = _history(h, depth, k, slice(None), begun)
-            if len(words[0]):
-                yield from _batches(_combined(model, words, None), names)
-
+    """(shard, w1..wk-1, wk array, n array): the k-grams of all texts; ``begun``: those that start with the begin."""
+    def send(chunk: Chunk) -> Iterator[pa.RecordBatch]:
+        _, words = _grams(chunk, k, begun)
+        if len(words[0]):
+            _, first, n = _numbered(words)
+            yield from _successors(model, [chunk.hashes[w[first]] for w in words], n)
+
+    def count_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = Chunks(COMBINED, k)
         for batch in batches:
             for value in batch.column(0):
-                held.append(tokens(value.as_py()))
-                size += len(held[-1])
-                if size >= COMBINED:
-                    yield from sent()
-                    held, size = [], 0
-        if held:
-            yield from sent()
+                for chunk in chunks.add(0, value.as_py()):
+                    yield from send(chunk)
+        if chunks.parts:
+            yield from send(chunks.close())
 
-    return docs.select(text).mapInArrow(count, _rows_schema(k))
+    return docs.select(text).mapInArrow(count_, _rows_schema(k))
 
 
 def _dealt(rows: DataFrame, model: Model, k: int, keyed: Table | None = None) -> DataFrame:
@@ -312,8 +382,11 @@ def _merged(rows: DataFrame, model: Model, table: Table, k: int) -> DataFrame:
     names = ["kind", *_names(k - 1), "a", "b", "c", "d"]
 
     def merge(key: tuple, group: pa.Table) -> pa.Table:
-        words = [group.column(c).to_numpy().view(np.uint64) for c in _names(k)]
-        hashes, n = key_of(words), group.column("n").to_numpy()
+        last, n = (group.column(c).combine_chunks() for c in (f"w{k}", "n"))
+        sizes = np.diff(last.offsets.to_numpy())
+        words = [np.repeat(group.column(c).to_numpy().view(np.uint64), sizes) for c in _names(k - 1)]
+        words.append(last.flatten().to_numpy().view(np.uint64))
+        hashes, n = key_of(words), n.flatten().to_numpy()
         order, start = _groups(hashes)
         first, n = order[start], np.add.reduceat(n[order], start)
         table.save(key[0].as_py(), hashes[first], n)
@@ -387,7 +460,7 @@ def fit(docs: DataFrame, text: str = "text", order: int = ORDER, shard_bytes: in
         contexts = merged.where(F.col("kind") == CONTEXT).select(*_names(k - 1), *"abcd")
         run(_stored(_dealt(contexts, model, k - 1, model.contexts(k)), model.contexts(k), k - 1), model.contexts(k), "contexts")
         lower = merged.where(F.col("kind") == LOWER).select(*_names(k - 1), F.col("a").alias("n"))
-        rows = _dealt(lower, model, k - 1)
+        rows = _dealt(lower, model, k - 1).withColumns({f"w{k - 1}": F.array(f"w{k - 1}"), "n": F.array("n")})
         if k > 2:
             rows = rows.unionByName(_gram_rows(docs, text, model, k - 1, begun=True))
     n_words = total[1] + total[2] + total[3]
@@ -411,68 +484,53 @@ def _shares(model: Model, k: int, counts: np.ndarray, context: np.ndarray, lower
     return np.where(context[:, 0] > 0, own + rest * lower, lower)
 
 
-def probabilities(model: Model, h: np.ndarray, depth: np.ndarray, part: slice) -> tuple[np.ndarray, np.ndarray]:
-    """(count, probability) of the tokens in ``part``; ``depth`` is each token's place in its text."""
-    known, which = np.unique(h[part], return_inverse=True)
-    counts = model.words.find(known)[which, 0]
+def probabilities(model: Model, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """(count, probability) of the chunk's own tokens."""
+    at = np.arange(chunk.carried, len(chunk.ids))
+    counts = model.words.find(chunk.hashes)[:, 0]
+    own = counts[chunk.ids[at]]
     if not model.n_tokens:
-        return counts, np.ones(len(counts))
-    begin = part.start
-    p = _shares(model, 1, model.grams(1).find(known)[which, 0], np.broadcast_to(np.array(model.total), (len(counts), 4)), np.full(len(counts), 1 / (model.n_words + 1)))
+        return own, np.ones(len(own))
+    empty = np.broadcast_to(np.array(model.total), (len(at), 4))
+    p = _shares(model, 1, model.grams(1).find(chunk.hashes)[:, 0][chunk.ids[at]], empty, np.full(len(at), 1 / (model.n_words + 1)))
     for k in range(2, model.order + 1):
-        at, words = _history(h, depth, k, part)
-        key, first, which = np.unique(key_of(words), return_index=True, return_inverse=True)
-        grams = model.grams(k).find(key, model.place([w[first] for w in words], key))[which, 0]
-        context, which = np.unique(key_of(words[:-1]), return_inverse=True)
-        p[at - begin] = _shares(model, k, grams, model.contexts(k).find(context)[which], p[at - begin])
-    return counts, p
+        at, words = _grams(chunk, k)
+        which, first, _ = _numbered(words)
+        grams = [chunk.hashes[w[first]] for w in words]
+        key = key_of(grams)
+        found = model.grams(k).find(key, model.place(grams, key, counts[words[0][first]]))[which, 0]
+        context, first, _ = _numbered(words[:-1])
+        held = model.contexts(k).find(key_of([chunk.hashes[w[first]] for w in words[:-1]]))[context]
+        p[at - chunk.carried] = _shares(model, k, found, held, p[at - chunk.carried])
+    return own, p
 
 
 SCORES = [("n_tokens", LongType()), ("n_known", LongType()), ("base_score", DoubleType()), ("score", DoubleType()), ("perplexity", DoubleType())]
 
 
-def _scored(model: Model, held: list[np.ndarray]) -> list[np.ndarray]:
-    h = np.concatenate(held)
-    sizes = np.array([len(x) for x in held])
-    depth = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    known, base, score = np.empty(len(h), bool), np.empty(len(h)), np.empty(len(h))
-    for i in range(0, len(h), STEP):
-        part = slice(i, min(i + STEP, len(h)))
-        counts, p = probabilities(model, h, depth, part)
-        known[part], score[part] = counts > 0, np.log10(p)
-        base[part] = np.log10((counts + 1) / (model.n_tokens + model.n_words + 1))
-    start = np.cumsum(sizes) - sizes
-    base, score = np.add.reduceat(base, start), np.add.reduceat(score, start)
-    return [sizes, np.add.reduceat(known.astype(np.int64), start), base, score, 10 ** (-score / sizes)]
-
-
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` without their text, each with its tokens, how many the model knows, the add-one unigram and the model's log10 probability."""
     names = [n for n, _ in SCORES]
     kept = [f for f in docs.schema.fields if f.name not in (text, *names)]
     schema = StructType([*kept, *[StructField(n, t) for n, t in SCORES]])
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, pending, size = [], [], 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            values, at = _scored(model, held), 0
-            for columns, n in pending:
-                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(v[at : at + n]) for v in values]], schema.names)
-                at += n
+    def add(chunk: Chunk, sums: np.ndarray) -> None:
+        counts, p = probabilities(model, chunk)
+        row = chunk.row[chunk.carried :]
+        base = np.log10((counts + 1) / (model.n_tokens + model.n_words + 1))
+        for total, value in zip(sums, (None, counts > 0, base, np.log10(p))):
+            total += np.bincount(row, value, minlength=len(total))
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begun = 0
+            sums, chunks = np.zeros((4, batch.num_rows)), Chunks(STEP, model.order)
             for r, value in enumerate(batch.column(0)):
-                held.append(tokens(value.as_py()))
-                size += len(held[-1])
-                if size >= STEP or r + 1 == batch.num_rows:
-                    pending.append(([c.slice(begun, r + 1 - begun) for c in batch.columns[1:]], r + 1 - begun))
-                    begun = r + 1
-                if size >= STEP:
-                    yield from sent()
-                    held, pending, size = [], [], 0
-        if held:
-            yield from sent()
+                for chunk in chunks.add(r, value.as_py()):
+                    add(chunk, sums)
+            if chunks.parts:
+                add(chunks.close(), sums)
+            n, known, base, total = sums
+            whole = [pa.array(v.astype(np.int64)) for v in (n, known)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *whole, *[pa.array(v) for v in (base, total, 10 ** (-total / np.maximum(n, 1)))]], schema.names)
 
     return docs.select(text, *[f.name for f in kept]).mapInArrow(measure, schema)

@@ -101,16 +101,48 @@ def test_language_model_sums_to_one(spark):
     texts = made_texts()[:40]
     model = language_model.fit(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
     known = sorted({w for t in texts for w in words(t)})
-    ends = [language_model.tokens(w)[0] for w in known] + [language_model.END, language_model.tokens("unseen")[0]]
+    ends = [*known, "", "unseen"]  # the empty word is the end
     for before in ([], ["w1"], ["w2", "w1"], ["w1", "unseen"], ["unseen", "unseen"]):
         total = 0.0
-        h = [language_model.tokens(w)[0] for w in before]
         for e in ends:
-            seq = np.array([*h, e], np.uint64)
-            total += language_model.probabilities(model, seq, np.arange(len(seq)), slice(len(seq) - 1, len(seq)))[1][0]
+            chunks = language_model.Chunks(10**6, 3)
+            list(chunks.add(0, " ".join([*before, e])))
+            _, p = language_model.probabilities(model, chunks.close())
+            total += p[len(before)]
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_long_texts_are_cut_into_chunks(spark, monkeypatch):
+    """A chunk that ends inside a text leaves its last words to the next as history."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{r.randrange(9)}" for _ in range(r.choice([0, 1, 5, 700]))) for _ in range(12)] + [None]
+    model = language_model.fit(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+
+    def scores():
+        chunks, out = language_model.Chunks(language_model.STEP, 3), np.zeros(len(texts))
+        done = [c for i, t in enumerate(texts) for c in chunks.add(i, t)]
+        for c in [*done, chunks.close()] if chunks.parts else done:
+            out += np.bincount(c.row[c.carried :], np.log10(language_model.probabilities(model, c)[1]), minlength=len(texts))
+        return len(done), out
+
+    whole = scores()
+    monkeypatch.setattr(language_model, "STEP", 40)
+    monkeypatch.setattr(language_model, "PIECE", 30)
+    cut = scores()
+    assert whole[0] == 0 and cut[0] > 50 and np.allclose(whole[1], cut[1], rtol=1e-12)
+
+
+def test_pairs_are_numbered_either_way():
+    r = np.random.default_rng(2)
+    for high in (5, 2**31, 2**45):
+        a, b = r.integers(0, high, 500), r.integers(0, 6, 500)
+        a[::2] = a[1::2]
+        ids, first, n = language_model._pairs(a, b)
+        want = sorted(set(zip(a.tolist(), b.tolist())))
+        assert [(int(a[i]), int(b[i])) for i in first] == want and [want[i] for i in ids] == list(zip(a.tolist(), b.tolist()))
+        assert n.tolist() == [Counter(zip(a.tolist(), b.tolist()))[w] for w in want]
+
+
 def test_language_model_query(spark):
     docs = documents(spark)
     held = {d["doc_id"]: crc(d["doc_id"]) % 7 == 2 for d in docs}
