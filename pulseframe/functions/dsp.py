@@ -8,6 +8,7 @@ the JVM.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -133,6 +134,32 @@ def running_median(m: np.ndarray, kernel: int) -> np.ndarray:
     return np.stack([np.median(np.lib.stride_tricks.sliding_window_view(row, kernel), axis=1) for row in padded])
 
 
+def series_median(x: np.ndarray, kernel: int) -> np.ndarray:
+    """Median of the ``kernel`` samples around each one, zeros beyond the ends, by a sorted window that moves.
+
+    A step takes the oldest sample out and puts the newest in, so it costs the logarithm of the
+    width, and one window is all that is held.
+    """
+    half = kernel // 2
+    padded = np.concatenate([np.zeros(half), x, np.zeros(half)]).tolist()
+    window = sorted(padded[:kernel])
+    out = np.empty(len(x))
+    for i in range(len(x)):
+        out[i] = window[half]
+        if i + 1 < len(x):
+            del window[bisect_left(window, padded[i])]
+            insort(window, padded[i + kernel])
+    return out
+
+
+def slope_energy(x: np.ndarray, length: int) -> np.ndarray:
+    """Moving mean of the squared first difference, one shorter than ``x``; a missing sample counts as no slope."""
+    if len(x) < 2:
+        return np.zeros(0)
+    start = (length - 1) // 2
+    return np.convolve(np.nan_to_num(np.diff(x) ** 2), np.ones(length) / length)[start : start + len(x) - 1]
+
+
 def baseline_width(fs: float, seconds: float = C.BASELINE_SECONDS) -> int:
     k = int(seconds * fs)
     return min(k + 1 if k % 2 == 0 else k, C.BASELINE_MAX_KERNEL)
@@ -249,28 +276,43 @@ def band_powers(peaks: Column, fs: Column) -> Column:
 
 
 # --- beats and irregularity ---------------------------------------------------------
-def pick_peaks(env: np.ndarray, height: float, distance: int) -> np.ndarray:
-    """Local maxima (middle of a plateau) of at least ``height``; the higher of two close ones stays."""
+def maxima(env: np.ndarray) -> np.ndarray:
+    """Places of the local maxima, of a plateau its middle; the ends do not count."""
+    if not len(env):
+        return np.zeros(0, np.int64)
     start = np.flatnonzero(np.r_[True, env[1:] != env[:-1]])
     level, end = env[start], np.r_[start[1:], len(env)] - 1
     inner = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    at = (start[inner] + end[inner]) // 2
+    return (start[inner] + end[inner]) // 2
+
+
+def spaced(at: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the ascending places ``at`` stay when the highest (of equal ones the last) goes first and clears its surroundings."""
+    keep, open_ = np.zeros(len(at), bool), np.ones(len(at), bool)
+    for i in np.argsort(height, kind="stable")[::-1]:
+        if open_[i]:
+            keep[i] = True
+            open_[np.searchsorted(at, at[i] - distance, "right") : np.searchsorted(at, at[i] + distance, "left")] = False
+    return keep
+
+
+def pick_peaks(env: np.ndarray, height: float, distance: int) -> np.ndarray:
+    """Local maxima (middle of a plateau) of at least ``height``; the higher of two close ones stays."""
+    at = maxima(env)
     at = at[env[at] >= height]
-    taken = np.zeros(len(env), dtype=bool)
-    keep = []
-    for p in at[np.argsort(env[at], kind="stable")[::-1]]:
-        if not taken[p]:
-            keep.append(p)
-            taken[max(0, p - distance + 1) : p + distance] = True
-    return np.sort(np.array(keep, dtype=np.int64))
+    return at[spaced(at, env[at], distance)]
+
+
+def beat_geometry(fs: float) -> tuple[int, int, int]:
+    """Samples of the envelope's mean, of the search around a peak, and between two beats."""
+    return max(int(0.15 * fs), 3), int(0.08 * fs), max(int(fs * 60.0 / 220.0), 1)
 
 
 def _r_peaks(m: np.ndarray, fs: float) -> list[np.ndarray]:
-    length = max(int(0.15 * fs), 3)
-    reach, distance = int(0.08 * fs), max(int(fs * 60.0 / 220.0), 1)
+    length, reach, distance = beat_geometry(fs)
     out = []
     for x in m:
-        env = np.convolve(np.diff(x) ** 2, np.ones(length) / length, mode="same")
+        env = slope_energy(x, length)
         found = pick_peaks(env, max(float(np.percentile(env, 90)) * 0.30, 1e-4), distance)
         out.append(np.unique([max(0, p - reach) + np.argmax(x[max(0, p - reach) : p + reach + 1]) for p in found]).astype(np.float64))
     return out

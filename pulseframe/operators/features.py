@@ -2,40 +2,94 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField
 
 from pulseframe import constants as C
 from pulseframe.functions import arrays as A
+from pulseframe.functions import dsp
 from pulseframe.functions.binding import let
 from pulseframe.functions.sensors import present
-from pulseframe.operators.series import last_valid, neighbourhood, previous, scan
+from pulseframe.operators.lookup import lookup
+from pulseframe.operators.quantiles import exact_quantiles
+from pulseframe.operators.series import last_valid, neighbourhood, previous, running_sum, scan, slabs
+from pulseframe.sources.sinks import materialise
 
 
-def energy_envelope(df: DataFrame, key: list[str], pos: str, value: str, length: int, out: str = "env") -> DataFrame:
+def energy_envelope(df: DataFrame, key: list[str], pos: str, value: str, length: int, out: str = "env", block: int = 1 << 16) -> DataFrame:
     """Moving mean of the squared first difference (zero beyond the ends).
 
     The difference series is one shorter than the signal; row ``i`` carries the difference
-    between samples ``i`` and ``i + 1``.
+    between samples ``i`` and ``i + 1``. Rows whose next sample is missing have no envelope.
     """
-    ahead, back = (length - 1) // 2, length // 2
-
-    def slope2(k: int):
-        def at(w):
-            lo = F.lag(value, -k).over(w) if k < 0 else F.lead(value, k).over(w) if k > 0 else F.col(value)
-            hi = F.lead(value, k + 1).over(w) if k + 1 > 0 else F.lag(value, -k - 1).over(w) if k + 1 < 0 else F.col(value)
-            d = hi - lo
-            return F.coalesce(d * d, F.lit(0.0))
-
-        return at
-
-    cols = {f"_d{i}": slope2(k) for i, k in enumerate(range(-back, ahead + 1))}
-    cols["_next"] = lambda w: F.lead(value).over(w)
-    near = neighbourhood(df, key, pos, length + 1, cols)
-    acc = F.col("_d0")
-    for i in range(1, length):
-        acc = acc + F.col(f"_d{i}")
-    return near.where(F.col("_next").isNotNull()).withColumn(out, acc / length).drop(*cols)
+    def envelope(x: np.ndarray, _first: int) -> list[pa.Array]:
+        env = np.append(dsp.slope_energy(x, length), 0.0)
+        return [pa.array(env, mask=np.isnan(np.append(x[1:], np.nan)))]
+
+    return slabs(df, key, pos, value, length + 1, [StructField(out, DoubleType())], envelope, block).where(F.col(out).isNotNull())
+
+
+PLATEAU = 1024  # equal envelope values in a row whose middle is still found
+
+
+def long_r_peaks(df: DataFrame, key: list[str], pos: str, value: str, fs: float, block: int = 1 << 16) -> DataFrame:
+    """(key, peak): the beats of whole recordings, as ``dsp.r_peaks`` finds them in one array.
+
+    One pass over slabs with a halo gives every sample's envelope, and at its local maxima the
+    highest sample nearby; the height comes from the recording's exact 90th percentile; of
+    maxima too close together the higher stays, across slab edges too (``spaced_peaks``). The
+    middle of a plateau is exact for up to ``PLATEAU`` equal values.
+    """
+    length, reach, distance = dsp.beat_geometry(fs)
+
+    def candidates(x: np.ndarray, first: int) -> list[pa.Array]:
+        env = dsp.slope_energy(x, length)
+        places = np.full(len(x), -1, np.int64)
+        for p in dsp.maxima(env):
+            low = max(0, p - reach)
+            near = x[low : p + reach + 1]
+            if not np.isnan(near).all():
+                places[p] = first + low + np.nanargmax(near)
+        return [pa.array(np.append(env, 0.0), mask=np.arange(len(x)) == len(x) - 1), pa.array(places, mask=places < 0)]
+
+    columns = [StructField("_env", DoubleType()), StructField("peak", LongType())]
+    halo = length + reach + PLATEAU
+    env = slabs(df.select(*key, pos, value), key, pos, value, halo, columns, candidates, max(block, halo)).where("_env IS NOT NULL")
+    env = materialise(env.select(*key, pos, "_env", "peak"), "envelope")
+    height = exact_quantiles(env, key, "_env", {"_p90": 0.9}, count="_n")
+    maxima = lookup(env.where("peak IS NOT NULL"), height, key, "_n", ["_p90"])
+    high = maxima.where(F.col("_env") >= F.greatest(F.col("_p90") * 0.30, F.lit(1e-4))).drop("_p90")
+    return spaced_peaks(high, key, pos, "_env", distance).select(*key, "peak").distinct()
+
+
+def spaced_peaks(peaks: DataFrame, key: list[str], pos: str, height: str, distance: int) -> DataFrame:
+    """The rows that stay when, from the highest down, each clears all others closer than ``distance``; of equal ones the later goes first.
+
+    A row that is the highest within its distance stays whatever happens elsewhere, and clears
+    its surroundings; that settles most rows with two looks at neighbours. What is left falls
+    into runs without such a gap, decided one by one.
+    """
+    near = lambda w: w.rangeBetween(-(distance - 1), distance - 1)
+    rank = F.struct(height, pos)
+    judged = neighbourhood(peaks, key, pos, distance, {"_top": lambda w: F.max(rank).over(near(w))})
+    judged = materialise(judged.withColumn("_first", rank == F.col("_top")).drop("_top"), "champions")
+    judged = materialise(neighbourhood(judged, key, pos, distance, {"_cleared": lambda w: F.max("_first").over(near(w))}), "cleared")
+    rest, at = judged.where(~F.col("_cleared")), F.struct(pos)
+    chunk = F.floor(F.col(pos) / (1 << 16))
+    rest = scan(rest, key, [pos], chunk, {"_before": previous(F.col(pos), at)})
+    gap = F.when(F.col(pos) - F.col("_before") < distance, 0).otherwise(1)
+    rest = scan(rest.withColumn("_new", gap), key, [pos], chunk, {"_run": running_sum(F.col("_new"))})
+    given = peaks.columns
+
+    def decide(group: pa.Table) -> pa.Table:
+        group = group.sort_by(pos)
+        return group.filter(pa.array(dsp.spaced(group.column(pos).to_numpy(), group.column(height).to_numpy(), distance))).select(given)
+
+    kept = rest.groupBy(*key, "_run").applyInArrow(decide, peaks.schema)
+    return judged.where("_first").select(*peaks.columns).union(kept)
 
 
 def local_maxima(df: DataFrame, key: list[str], pos: str, value: str) -> DataFrame:

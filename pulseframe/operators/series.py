@@ -13,8 +13,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 CHUNK = "_chunk"
 BLOCK = "_block"
@@ -166,11 +169,49 @@ def neighbourhood(
     neighbouring block so that each block sees its surroundings. Groups hold at most
     ``block + 2 * halo`` rows.
     """
+    copies = _with_halo(df, pos, halo, block)
+    w = Window.partitionBy(*key, BLOCK).orderBy(pos)
+    out = copies.select("*", *[fn(w).alias(name) for name, fn in columns.items()])
+    return out.where(F.col("_own") == F.col(BLOCK)).drop("_own", BLOCK)
+
+
+def _with_halo(df: DataFrame, pos: str, halo: int, block: int) -> DataFrame:
+    """Rows with their own block, and a copy in the neighbouring block of each that is within ``halo`` of it."""
     own = F.floor(F.col(pos) / block)
     offset = F.col(pos) % block
     first = own - F.when((offset < halo) & (own > 0), 1).otherwise(0)
     last = own + F.when(offset >= block - halo, 1).otherwise(0)
-    copies = df.select("*", own.alias("_own"), F.explode(F.sequence(first, last)).alias(BLOCK))
-    w = Window.partitionBy(*key, BLOCK).orderBy(pos)
-    out = copies.select("*", *[fn(w).alias(name) for name, fn in columns.items()])
-    return out.where(F.col("_own") == F.col(BLOCK)).drop("_own", BLOCK)
+    return df.select("*", own.alias("_own"), F.explode(F.sequence(first, last)).alias(BLOCK))
+
+
+def slabs(
+    df: DataFrame,
+    key: list[str],
+    pos: str,
+    value: str,
+    halo: int,
+    outputs: list[StructField],
+    kernel: Callable[[np.ndarray, int], list[pa.Array]],
+    block: int = 1 << 16,
+) -> DataFrame:
+    """``df`` with columns that a numpy ``kernel`` makes from stretches of a series, for work no window expression has.
+
+    Positions of a key are 0, 1, 2, ... without gaps. The kernel gets the samples of a block
+    with up to ``halo`` more on both sides, missing ones (NULL or NaN) as NaN, and the
+    position of the first of them; it gives one array per output, as long as what it got.
+    A task holds one block.
+    """
+    if halo > block:
+        raise ValueError(f"a halo of {halo} needs blocks of at least as many samples")
+    schema = StructType([*df.schema.fields, *outputs])
+    given = df.columns
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by(pos)
+        x = group.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        made = kernel(np.where(np.isnan(x), np.nan, x), group.column(pos)[0].as_py())
+        own = pa.array(group.column("_own").to_numpy() == group.column(BLOCK).to_numpy())
+        columns = [*[group.column(c) for c in given], *made]
+        return pa.table(columns, names=schema.names).filter(own)
+
+    return _with_halo(df, pos, halo, block).groupBy(*key, BLOCK).applyInArrow(run, schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe import constants as C
 from pulseframe.functions import quality, triage
 from pulseframe.operators import conditioning, features, windows
 from pulseframe.operators.beats import hrv_from_times
@@ -13,6 +14,7 @@ from pulseframe.operators.quantiles import exact_quantiles
 from pulseframe.operators.series import indexed, time_chunk
 from pulseframe.plans.registry import EMB, SIG, WIN, query, with_
 from pulseframe.plans.roles import ORDER, embeddings, events, missing, r, signal, stamp
+from pulseframe.sources.sinks import materialise
 
 KEY = ["user_id"]
 N, STEP = 20, 10
@@ -135,25 +137,22 @@ def robust_scale(spark, folder):
 
 
 @query("median_detrend", with_(SIG) + """,
-n5 AS (SELECT user_id, idx, v, list_sort([coalesce(lag(v, 2) OVER w, 0.0), coalesce(lag(v, 1) OVER w, 0.0), v,
-              coalesce(lead(v, 1) OVER w, 0.0), coalesce(lead(v, 2) OVER w, 0.0)])[3] AS base
-       FROM sig WINDOW w AS (PARTITION BY user_id ORDER BY idx))
-SELECT user_id, idx, round(v - base, 6) + 0.0 AS detrended FROM n5""")
+near AS (SELECT user_id, idx, v, list(v) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING) AS l FROM sig)
+SELECT user_id, idx, round(v - list_sort(l || list_transform(range(101 - len(l)), lambda i: 0.0::DOUBLE))[51], 6) + 0.0 AS detrended FROM near""")
 def median_detrend(spark, folder):
-    out = conditioning.median_detrend(signal(spark, folder), KEY, "idx", "v", 5, "out")
+    out = conditioning.median_detrend(signal(spark, folder).select("user_id", "idx", "v"), KEY, "idx", "v", C.BASELINE_MAX_KERNEL, "out")
     return out.select("user_id", "idx", r(F.col("out")).alias("detrended"))
 
 
+WIDTH = 54  # 0.15 s at 360 Hz
 ENV_SQL = SIG + """,
 sq AS (SELECT user_id, idx, pow(lead(v) OVER w - v, 2) AS d FROM sig WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
-env AS (SELECT user_id, idx, (coalesce(lag(d, 2) OVER w, 0) + coalesce(lag(d, 1) OVER w, 0) + d
-               + coalesce(lead(d, 1) OVER w, 0) + coalesce(lead(d, 2) OVER w, 0)) / 5 AS env
-        FROM sq WHERE d IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY idx))"""
+env AS (SELECT user_id, idx, sum(d) OVER (PARTITION BY user_id ORDER BY idx ROWS BETWEEN 27 PRECEDING AND 26 FOLLOWING) / 54 AS env FROM sq WHERE d IS NOT NULL)"""
 
 
 @query("energy_envelope", with_(ENV_SQL) + "SELECT user_id, idx, round(env, 6) AS env FROM env")
 def energy_envelope(spark, folder):
-    out = features.energy_envelope(signal(spark, folder), KEY, "idx", "v", 5)
+    out = features.energy_envelope(signal(spark, folder).select("user_id", "idx", "v"), KEY, "idx", "v", WIDTH)
     return out.select("user_id", "idx", r(F.col("env")).alias("env"))
 
 
@@ -162,7 +161,8 @@ th AS (SELECT user_id, greatest(quantile_cont(env, 0.9) * 0.30, 1e-4) AS th FROM
 nb AS (SELECT user_id, idx, env, lag(env) OVER w AS l, lead(env) OVER w AS r FROM env WINDOW w AS (PARTITION BY user_id ORDER BY idx))
 SELECT user_id, idx, round(env, 6) AS env FROM nb JOIN th USING (user_id) WHERE env > l AND env > r AND env >= th""")
 def peak_candidates(spark, folder):
-    env = features.energy_envelope(signal(spark, folder), KEY, "idx", "v", 5).select("user_id", "idx", "env")
+    env = features.energy_envelope(signal(spark, folder).select("user_id", "idx", "v"), KEY, "idx", "v", WIDTH)
+    env = materialise(env.select("user_id", "idx", "env"), "envelope")
     p90 = exact_quantiles(env, KEY, "env", {"p90": 0.9}, count="n")
     peaks = lookup(features.local_maxima(env, KEY, "idx", "env"), p90, KEY, "n", ["p90"])
     return peaks.where(F.col("env") >= F.greatest(F.col("p90") * 0.30, F.lit(1e-4))).select("user_id", "idx", r(F.col("env")).alias("env"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulseframe import constants as C
 from pulseframe.functions import arrays as A
 from pulseframe.functions import dsp
-from pulseframe.operators import ecg, windows
+from pulseframe.operators import ecg, features, windows
 from pulseframe.operators.series import indexed
 from pulseframe.plans.registry import EMB, query, with_
 from pulseframe.plans.roles import embeddings, r
@@ -18,15 +18,20 @@ FS = 125.0  # embeddings and lineitem play channels of the wearable device
 PACKET = 250
 
 
-def record_windows(spark: SparkSession, folder: str) -> DataFrame:
+def record_samples(spark: SparkSession, folder: str) -> DataFrame:
     """lineitem as multi-channel records: supplier = record, price/quantity/discount = ECG/PPG/SpO2."""
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount"]
     rows = table(spark, folder, "lineitem", "l_suppkey", *order)
     day = F.datediff("l_shipdate", F.lit("1970-01-01").cast("date"))
-    idx = indexed(rows, ["l_suppkey"], order, day).select(
+    return indexed(rows, ["l_suppkey"], order, day).select(
         F.col("l_suppkey").alias("record_id"), "idx", (F.col("l_extendedprice") / 10000.0).alias("ecg"),
         F.col("l_quantity").alias("ppg"), (88.0 + F.col("l_discount") * 100).alias("spo2"),
     )
+
+
+def record_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Two-second windows of the records, one second apart."""
+    idx = record_samples(spark, folder)
     half = PACKET // 2
     channels = ["ecg", "ppg", "spo2"]
     w = windows.from_blocks(windows.blocks(idx, ["record_id"], half, channels), ["record_id"], half, channels)
@@ -134,16 +139,16 @@ def entropy_sql(source: str, name: str, n: int) -> str:
 {name} AS (SELECT vec_id, CASE WHEN p2 > 0 AND p3 > 0 THEN -ln(p3 / p2) ELSE 0.5 END AS sampen FROM {name}_c)"""
 
 
-def peaks_sql(source: str, name: str, n: int, fs: float) -> str:
-    """Greedy beat choice: candidates from the highest down, each kept unless too close to a kept one."""
+def peaks_sql(source: str, name: str, n: int | str, fs: float) -> str:
+    """Greedy beat choice: candidates from the highest down, each kept unless too close to a kept one. ``n`` samples each."""
     length, reach, apart = max(int(0.15 * fs), 3), int(0.08 * fs), int(fs * 60 / 220)
     back, ahead = length // 2, (length - 1) // 2
     return f"""
 {name}_d AS (SELECT vec_id, x, list_transform(range(1, {n}), lambda i: pow(x[i + 1] - x[i], 2)) AS sq FROM {source}),
-{name}_v AS (SELECT vec_id, x, list_transform(range(1, {n}), lambda i: list_sum(sq[greatest(i - {back}, 1):least(i + {ahead}, {n - 1})]) / {length}) AS env FROM {name}_d),
+{name}_v AS (SELECT vec_id, x, list_transform(range(1, {n}), lambda i: list_sum(sq[greatest(i - {back}, 1):least(i + {ahead}, {n} - 1)]) / {length}) AS env FROM {name}_d),
 {name}_h AS (SELECT *, greatest(list_aggregate(env, 'quantile_cont', 0.9) * 0.30, 1e-4) AS th FROM {name}_v),
 {name}_c AS (SELECT vec_id, i, row_number() OVER (PARTITION BY vec_id ORDER BY env[i] DESC, i DESC) AS k
-  FROM {name}_h, LATERAL (SELECT unnest(range(2, {n - 1})) AS i) u WHERE env[i] > env[i - 1] AND env[i] > env[i + 1] AND env[i] >= th),
+  FROM {name}_h, LATERAL (SELECT unnest(range(2, {n} - 1)) AS i) u WHERE env[i] > env[i - 1] AND env[i] > env[i + 1] AND env[i] >= th),
 {name}_k AS (SELECT vec_id, 1 AS k, [i] AS kept FROM {name}_c WHERE k = 1
   UNION ALL SELECT p.vec_id, p.k + 1, CASE WHEN len(list_filter(kept, lambda q: abs(q - c.i) < {apart})) = 0 THEN list_append(kept, c.i) ELSE kept END
   FROM {name}_k p JOIN {name}_c c ON c.vec_id = p.vec_id AND c.k = p.k + 1),
@@ -191,6 +196,15 @@ def r_peaks(spark, folder):
     return df.select("vec_id", F.explode(dsp.r_peaks(F.col("x"), F.col("fs"))).alias("peak"))
 
 
+RATE = 360.0  # at which beats of whole records are looked for: means over 54 samples, 98 samples between beats
+
+
+@query("long_r_peaks", "WITH RECURSIVE " + _RECORDS + ",\nrec AS (SELECT record_id AS vec_id, list(ecg ORDER BY idx) AS x FROM s GROUP BY 1)," + peaks_sql("rec", "pk", "len(x)", RATE) + """
+SELECT vec_id AS record_id, peak::BIGINT AS peak FROM pk""")
+def long_r_peaks(spark, folder):
+    return features.long_r_peaks(record_samples(spark, folder).select("record_id", "idx", "ecg"), ["record_id"], "idx", "ecg", RATE)
+
+
 _RAW_SQL = """raw AS (SELECT record_id * 100000 + w_idx AS vec_id, any_value(record_id) AS record_id, any_value(w_idx) AS w_idx, list(ecg ORDER BY idx) AS x,
        avg(spo2) AS spo2_mean, min(spo2) AS spo2_min, stddev_pop(spo2) AS spo2_std, avg(CASE WHEN spo2 < 90 THEN 1.0 ELSE 0.0 END) AS spo2_desat_ratio,
        (max(ppg) - min(ppg)) / abs(avg(ppg)) * 100 AS ppg_perfusion_index FROM w GROUP BY record_id, w_idx)"""
