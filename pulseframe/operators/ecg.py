@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pulseframe import constants as C
@@ -36,6 +38,17 @@ def assess(df: DataFrame, x: str, fs: str, out: str = "sqi") -> DataFrame:
     return ratios.withColumn(out, let(A.moments(F.col(x)), lambda m: let(F.col("_r"), lambda q: verdict(m, q)))).drop("_r")
 
 
+def gated(df: DataFrame, acceptable: Column, name: str = "gate") -> tuple[DataFrame, Observation]:
+    """The acceptable rows, and counters of both kinds that are filled by whatever action runs over them.
+
+    ``observation.get`` waits for the first one and has ``accepted`` and ``rejected``: no second pass.
+    """
+    counters = Observation(f"{name}-{uuid.uuid4().hex}")
+    ok = F.coalesce(acceptable, F.lit(False))
+    seen = df.withColumn("_ok", ok).observe(counters, F.count_if("_ok").alias("accepted"), F.count_if(~F.col("_ok")).alias("rejected"))
+    return seen.where("_ok").drop("_ok"), counters
+
+
 def oximetry_struct(spo2: Column | None, ppg: Column | None) -> Column:
     """Saturation and perfusion features of array columns, with defaults for missing channels."""
     none = [F.lit(d) for d in C.OXI_DEFAULTS]

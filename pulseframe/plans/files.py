@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pulseframe import constants as C
-from pulseframe.functions import dsp, quality
-from pulseframe.operators import requests
+from pulseframe.functions import arrays as A
+from pulseframe.functions import dsp, quality, triage
+from pulseframe.operators import fairness, requests
 from pulseframe.plans.deidentify import SALT, _pseudonym_sql
 from pulseframe.plans.registry import EMB, SIG, query, with_
 from pulseframe.plans.roles import embeddings, events, r, signal
@@ -35,13 +36,13 @@ def encode_beats(deltas: list[int], codes: list[int]) -> bytes:
     return b"".join(int(w).to_bytes(2, "little") for w in words)
 
 
-def _write(folder: str):
+def _write(folder: str, gap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, inner = locate(folder)
         fs.create_dir(inner, recursive=True)
         for b in batches:
             for row in b.itertuples(index=False):
-                files = {"hea": row.header.encode(), "atr": encode_beats([300] * len(row.codes), list(row.codes))}
+                files = {"hea": row.header.encode(), "atr": encode_beats([gap] * len(row.codes), list(row.codes))}
                 if row.has_data:
                     files["dat"] = encode_212(np.stack([np.asarray(row.a), np.asarray(row.b)], axis=1).astype(np.int64))
                 for ext, content in files.items():
@@ -52,8 +53,8 @@ def _write(folder: str):
     return run
 
 
-def wfdb_folder(spark, folder: str, broken: bool = False) -> str:
-    """Write every device's samples as WFDB records of up to ``SEGMENT`` frames.
+def wfdb_folder(spark, folder: str, broken: bool = False, gap: int = 300) -> str:
+    """Write every device's samples as WFDB records of up to ``SEGMENT`` frames, with a beat every ``gap`` samples.
 
     ``broken`` leaves out the signal file of records that begin with a lost sample.
     """
@@ -70,7 +71,7 @@ def wfdb_folder(spark, folder: str, broken: bool = False) -> str:
         "record_id", F.size("s"), "record_id", "record_id", (20 + u % 60).cast("int"), F.when(u % 2 == 0, "M").otherwise("F"))
     recs.select(
         "record_id", header.alias("header"), (~F.lit(broken) | (F.col("s.code")[0] != CODES["error"])).alias("has_data"), F.col("s.a").alias("a"), F.col("s.b").alias("b"), F.col("s.code").alias("codes"),
-    ).mapInPandas(_write(out), "record_id string").write.format("noop").mode("overwrite").save()
+    ).mapInPandas(_write(out, gap), "record_id string").write.format("noop").mode("overwrite").save()
     return out
 
 
@@ -111,6 +112,56 @@ def wfdb_records(spark, folder):
     return wfdb.read_records(spark, wfdb_folder(spark, folder, broken=True), SALT)[0]
 
 
+@query("record_blocks", _REC.rstrip() + f""",
+n AS (SELECT record_id, user_id, count(*) AS frames, arg_min(event_type, i) = 'error' AS broken FROM rec GROUP BY 1, 2),
+bt AS (SELECT record_id, least((i + 1) // 16, (frames - 1) // 16) AS blk, i + 1 AS s, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 5 WHEN 'purchase' THEN 8 WHEN 'signup' THEN 9 ELSE 14 END AS code FROM rec JOIN n USING (record_id)),
+bb AS (SELECT record_id, blk, count(*) AS n_beats, min(s) AS first_beat, max(s) AS last_beat, sum(code) AS codes FROM bt GROUP BY 1, 2),
+sg AS (SELECT record_id, i // 16 AS blk, count(*) AS n, round(avg((a - 1024) / 200.0::DOUBLE), 6) AS mean_mlii, round(max((b - 1024) / 100.0::DOUBLE), 6) AS top_v5 FROM rec GROUP BY 1, 2)
+SELECT record_id, {_pseudonym_sql('record_id')} AS patient_pseudonym, blk::BIGINT AS block_idx, (blk * 16)::BIGINT AS start, sg.n::INT AS n, mean_mlii, top_v5, coalesce(n_beats, 0)::INT AS n_beats, first_beat, last_beat, codes::BIGINT AS codes,
+  (20 + user_id % 60)::INT AS age, CASE WHEN user_id % 2 = 0 THEN 'M' ELSE 'F' END AS sex
+FROM sg JOIN n USING (record_id) LEFT JOIN bb USING (record_id, blk) WHERE NOT broken""")
+def record_blocks(spark, folder):
+    """Signals, beats and headers of all complete records, block by block."""
+    b = wfdb.read_blocks(spark, wfdb_folder(spark, folder, broken=True, gap=1), SALT, block=16)
+    at = F.col("beats.sample_idx")
+    return b.select(
+        "record_id", "patient_pseudonym", "block_idx", "start", "n", r(A.mean(F.col("signals")["MLII"])).alias("mean_mlii"), r(F.array_max(F.col("signals")["V5"])).alias("top_v5"),
+        F.size("beats").alias("n_beats"), F.array_min(at).alias("first_beat"), F.array_max(at).alias("last_beat"),
+        F.when(F.size("beats") > 0, F.aggregate("beats.code", F.lit(0).cast("long"), lambda s, c: s + c)).alias("codes"), "age", "sex")
+
+
+_COHORTS = """pk AS (SELECT user_id, idx // 25 AS packet, avg(v) AS m, bool_or(event_type = 'error')::INT AS y FROM sig GROUP BY 1, 2),
+h AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'M' ELSE 'F' END AS sex, CASE WHEN 20 + user_id % 60 >= 65 THEN 'Senior (>=65)' ELSE 'Non-Senior (<65)' END AS age_cohort FROM events),
+c AS (SELECT y, (m > 50)::INT AS yhat, sex, age_cohort FROM pk JOIN h USING (user_id)),
+a AS (SELECT 'sex' AS attribute, sex AS grp, y, yhat FROM c UNION ALL SELECT 'age_cohort', age_cohort, y, yhat FROM c UNION ALL SELECT 'sex * age_cohort', sex || ' / ' || age_cohort, y, yhat FROM c)"""
+
+
+def cohort_windows(spark, folder):
+    """Packets of 25 samples with a lost one as truth and their mean as answer, and the demographics of their record's header."""
+    rows = signal(spark, folder).withColumn("record_id", F.concat_ws("_", "user_id", F.floor(F.col("idx") / SEGMENT)))
+    packets_ = rows.groupBy("record_id", F.floor(F.col("idx") / 25).alias("packet")).agg(F.avg("v").alias("m"), F.max((F.col("event_type") == "error").cast("int")).alias("y"))
+    heads = wfdb.read_headers(spark, wfdb_folder(spark, folder)).select("record_id", "sex", triage.age_cohort(F.col("age")).alias("age_cohort"))
+    return packets_.join(heads, "record_id").withColumn("yhat", (F.col("m") > 50).cast("int"))
+
+
+@query("fairness_cohorts", with_(SIG, _COHORTS) + """
+SELECT attribute, grp, count(*) AS sample_count, round_even(avg(yhat), 4) AS selection_rate, round_even(coalesce(avg(yhat) FILTER (y = 1), 0.0), 4) AS true_positive_rate,
+  round_even(coalesce(avg(yhat) FILTER (y = 0), 0.0), 4) AS false_positive_rate FROM a GROUP BY 1, 2""")
+def fairness_cohorts(spark, folder):
+    """Sex, age cohort and their crossing from one aggregate over windows and record headers."""
+    rates = fairness.cohort_rates(cohort_windows(spark, folder), ["sex", "age_cohort"], "y", "yhat")
+    return fairness.subgroup_report(rates).drop("tpr_defined", "specificity")
+
+
+@query("fairness_cohort_audit", with_(SIG, _COHORTS) + """,
+g AS (SELECT attribute, grp, avg(yhat) AS sel, coalesce(avg(yhat) FILTER (y = 1), 0.0) AS tpr, coalesce(avg(yhat) FILTER (y = 0), 0.0) AS fpr FROM a GROUP BY 1, 2),
+au AS (SELECT attribute, CASE WHEN max(sel) > 1e-6 THEN min(sel) / max(sel) ELSE 1.0 END AS di, max(tpr) - min(tpr) AS td, max(fpr) - min(fpr) AS fd FROM g GROUP BY 1)
+SELECT attribute, round_even(di, 4) AS disparate_impact, round_even(td, 4) AS tpr_disparity, round_even(fd, 4) AS fpr_disparity, di >= 0.80 AND td <= 0.15 AS is_fair_80_percent_rule FROM au""")
+def fairness_cohort_audit(spark, folder):
+    rates = fairness.cohort_rates(cohort_windows(spark, folder), ["sex", "age_cohort"], "y", "yhat")
+    return fairness.audit(rates).drop("all_tpr_defined")
+
+
 @query("ingest_rejects", _REC + "SELECT record_id, 'WFDB binary data file not found' AS reason FROM rec WHERE i = 0 AND event_type = 'error'")
 def ingest_rejects(spark, folder):
     return wfdb.read_records(spark, wfdb_folder(spark, folder, broken=True), SALT)[1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseframe import constants as C
 from pulseframe.functions import quality, triage
-from pulseframe.operators import conditioning, features, windows
+from pulseframe.operators import conditioning, ecg, features, windows
 from pulseframe.operators.beats import hrv_from_times
 from pulseframe.operators.lookup import lookup
 from pulseframe.operators.quantiles import exact_quantiles
@@ -208,6 +208,16 @@ def sqi_gate_counts(spark, folder):
     return verdicts(spark, folder).groupBy("user_id").agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
 
 
+@query("sqi_gate_observed", with_(STATS_SQL) + """
+SELECT count(*) FILTER (reasons = '') AS accepted, count(*) FILTER (reasons <> '') AS rejected, count(*) FILTER (reasons = '') AS written FROM verdict""")
+def sqi_gate_observed(spark, folder):
+    """Accepted windows are written; the counters come from the same pass."""
+    accepted, counters = ecg.gated(verdicts(spark, folder), F.col("verdict.is_acceptable"))
+    kept = materialise(accepted.select("user_id", "w"), "accepted")
+    seen = counters.get
+    return kept.groupBy().agg(F.lit(seen["accepted"]).cast("long").alias("accepted"), F.lit(seen["rejected"]).cast("long").alias("rejected"), F.count(F.lit(1)).alias("written"))
+
+
 def hrv_sql(source: str, keys: str) -> str:
     """HRV over beats given as (keys, ts, event_id), intervals in minutes."""
     return f"""

@@ -60,10 +60,38 @@ def quota_admitted(spark, folder):
     return sessions.admitted(df, "user_id", ORDER, HORIZON, LIMIT).select("user_id", "event_id", "allowed", "remaining")
 
 
+FAR = "2199-01-01"
+
+
 @query("stream_quota", _QUOTA_SQL)
 def stream_quota(spark, folder):
-    df = device.table_stream(spark, folder, "events").select("user_id", "event_id", F.unix_micros("ts").alias("at"))
-    return device.drain(device.quota(df, "user_id", "at", "event_id", HORIZON, LIMIT))
+    """The admitted quota as keyed state over micro-batches in order of arrival."""
+    rows = events(spark, folder, "user_id", "event_id", "ts").withColumn("at", F.unix_micros("ts"))
+    stream = device.in_arrival_order(rows, "ts", 6, {"ts": FAR})
+    out = device.drain(device.quota(stream, "user_id", "at", "event_id", "ts", HORIZON, LIMIT), conf=device.ROCKS)
+    return out.select("user_id", "event_id", "allowed", "remaining")
+
+
+_DELAY = 2 * 86400  # seconds by which every 19th packet arrives later
+_ALLOWED = 3600
+_LATE_VIEWS = f"""a AS (SELECT *, epoch_us(ts) AS t, epoch_us(ts) + CASE WHEN event_id % 19 = 0 THEN {_DELAY * 1_000_000} ELSE 0 END AS came FROM events),
+span AS (SELECT min(came) AS lo, (max(came) - min(came) + 6) // 6 AS step FROM a),
+b AS (SELECT a.*, (came - lo) // step AS part FROM a, span),
+m AS (SELECT part, max(came) AS last FROM b GROUP BY part),
+c AS (SELECT b.*, (SELECT max(last) // 1000 FROM m WHERE m.part < b.part) AS clock FROM b),
+d AS (SELECT *, coalesce((t // 60000000 + 1) * 60000 + {_ALLOWED * 1000} <= clock, false) AS late FROM c)"""
+
+
+@query("stream_late", _QUOTA_SQL.replace("WITH RECURSIVE s AS", "WITH RECURSIVE " + _LATE_VIEWS + ",\ns AS").replace("ts, event_id) AS i FROM events)", "ts, event_id) AS i FROM d WHERE NOT late)") + """
+UNION ALL SELECT user_id, event_id, NULL, NULL FROM d WHERE late""")
+def stream_late(spark, folder):
+    """Packets that arrive behind the clock come out of the same operator as late, with no decision."""
+    rows = events(spark, folder, "user_id", "event_id", "ts").withColumn("at", F.unix_micros("ts"))
+    behind = F.when(F.col("event_id") % 19 == 0, _DELAY * 1_000_000).otherwise(0)
+    rows = rows.withColumn("arrival", F.timestamp_micros(F.col("at") + behind)).drop("ts")
+    stream = device.in_arrival_order(rows, "arrival", 6, {"arrival": FAR})
+    out = device.drain(device.quota(stream, "user_id", "at", "event_id", "arrival", HORIZON, LIMIT, allowed_seconds=_ALLOWED), conf=device.ROCKS)
+    return out.select("user_id", "event_id", "allowed", "remaining")
 
 
 @query("wear_sessions", """

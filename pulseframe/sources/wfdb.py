@@ -213,3 +213,24 @@ def read_records(spark: SparkSession, folder: str, salt: str) -> tuple[DataFrame
         "record_id",
         F.when(F.col("record_name").isNull(), "WFDB header file not found").when(F.col("fs").isNull(), "WFDB header not readable").otherwise("WFDB binary data file not found").alias("reason"))
     return records, rejects
+
+
+def read_blocks(spark: SparkSession, folder: str, salt: str, block: int = 1800, max_samples: int | None = None) -> DataFrame:
+    """Whole records in pieces: one row per (record, block) with all channels, the annotations that fall in it, and the de-identified header.
+
+    Signals and annotations meet on (record, block), so a long recording is joined in as many
+    tasks as it has blocks. An annotation behind the last sample stays with the last block.
+    Incomplete records are left out (see ``read_records``).
+    """
+    records, _ = read_records(spark, folder, salt)
+    parts = read_signals(spark, folder, block, max_samples).groupBy("record_id", "block_idx", "start").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("channel", "samples")))).alias("signals"), F.max(F.size("samples")).alias("n"))
+    ends = listing(spark, folder, "*.dat").select(stem("path").alias("record_id"), F.floor(F.col("length") / FRAME_BYTES).alias("total"))
+    total = F.least("total", F.lit(max_samples)) if max_samples else F.col("total")
+    last = F.floor((total - 1) / block)
+    beats = read_beats(spark, folder, max_samples).join(ends, "record_id")
+    beats = beats.withColumn("block_idx", F.greatest(F.least(F.floor(F.col("sample_idx") / block), last), F.lit(0)))
+    noted = beats.groupBy("record_id", "block_idx").agg(F.sort_array(F.collect_list(F.struct("sample_idx", "code"))).alias("beats"))
+    joined = parts.join(noted, ["record_id", "block_idx"], "left").join(records.drop("frames"), "record_id")
+    none = F.array().cast("array<struct<sample_idx:bigint,code:int>>")
+    return joined.withColumn("beats", F.coalesce("beats", none))

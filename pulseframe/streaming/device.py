@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from pulseframe import constants as C
 from pulseframe.functions import arrays as A
@@ -38,15 +38,27 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless})
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over everything available into a parquet table and read it back."""
+def drain(df: DataFrame, mode: str = "append", conf: dict[str, str] | None = None, progress: list | None = None) -> DataFrame:
+    """Run a stream over everything available into a parquet table and read it back.
+
+    ``conf`` holds while the stream starts; ``progress`` receives what Spark reports of its batches.
+    """
     spark = df.sparkSession
     out = scratch(spark, "stream")
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
     query = (
         df.writeStream.format("parquet").outputMode(mode).option("path", f"{out}/data")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    if progress is not None:
+        progress += query.recentProgress
     return spark.read.schema(df.schema).parquet(f"{out}/data")
 
 
@@ -157,24 +169,99 @@ def wear_sessions(df: DataFrame, ts: str, key: str, gap: str, late: str) -> Data
     )
 
 
-def quota(df: DataFrame, client: str, at_micros: str, row_id: str, horizon_seconds: float, limit: int) -> DataFrame:
-    """Admitted-only quota as a stream: state per client is at most ``limit`` times.
+class Quota(StatefulProcessor):
+    """Admitted-only quota of one client, decided in event-time order.
 
-    Decisions follow time order inside a micro-batch; across micro-batches, arrival order.
+    Requests wait in buckets of ``bucket`` milliseconds until the clock (the watermark of
+    arrival times) has passed the bucket's end by ``allowed``; a timer then decides the bucket
+    and forgets it. A request that comes after that is late: it is given back as such and
+    takes no part. The admitted times of one horizon are kept, and forgotten when the clock
+    has passed it, so a silent client leaves no state. At most a bucket of one client is held
+    at once. Requests without an id only carry the clock.
     """
-    h = int(horizon_seconds * 1_000_000)
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        history = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values([at_micros, row_id])
-        made = [admit(history, int(t), h, limit) for t in rows[at_micros]]
-        state.update((list(history),))
-        yield pd.DataFrame({
-            client: key[0], row_id: rows[row_id].to_numpy(),
-            "allowed": [ok for ok, _ in made], "remaining": [left for _, left in made],
-        })
 
+    def __init__(self, names: tuple[str, str], horizon: int, limit: int, bucket: int, allowed: int):
+        self.names, self.horizon, self.limit, self.bucket, self.allowed = names, horizon, limit, bucket, allowed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", "at array<long>, id array<long>")
+        self.history = handle.getListState("history", "at long")
+
+    def due(self, bucket: int) -> int:
+        return (bucket + 1) * self.bucket + self.allowed
+
+    def frame(self, key: tuple, ids: list, allowed: list, remaining: list) -> pd.DataFrame:
+        late = [a is None for a in allowed]
+        return pd.DataFrame({self.names[0]: [key[0]] * len(ids), self.names[1]: ids, "allowed": pd.Series(allowed, dtype="object"), "remaining": pd.array(remaining, dtype="Int64"), "late": late})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        clock = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            frame = frame[frame[self.names[1]].notna()]
+            late = []
+            for bucket, part in frame.groupby(frame["at"] // (self.bucket * 1000)):
+                ids, at = part[self.names[1]].astype("int64").tolist(), part["at"].tolist()
+                if self.due(int(bucket)) <= clock:
+                    late += ids
+                    continue
+                place = (int(bucket),)
+                if self.waiting.containsKey(place):
+                    held = self.waiting.getValue(place)
+                    at, ids = [*held[0], *at], [*held[1], *ids]
+                else:
+                    self.handle.registerTimer(self.due(int(bucket)))
+                self.waiting.updateValue(place, (at, ids))
+            if late:
+                yield self.frame(key, late, [None] * len(late), [None] * len(late))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        place = ((expiredTimerInfo.getExpiryTimeInMs() - self.allowed) // self.bucket - 1,)
+        history = deque(t for (t,) in self.history.get())
+        if self.waiting.containsKey(place):  # else the end of a horizon
+            at, ids = self.waiting.getValue(place)
+            self.waiting.removeKey(place)
+            order = sorted(zip(at, ids))
+            made = [admit(history, t, self.horizon * 1000, self.limit) for t, _ in order]
+            yield self.frame(key, [i for _, i in order], [ok for ok, _ in made], [left for _, left in made])
+        if not history:
+            return
+        over = self.due(history[-1] // 1000 // self.bucket + -(-self.horizon // self.bucket))
+        if over <= timerValues.getCurrentWatermarkInMs() and not any(True for _ in self.waiting.keys()):
+            self.history.clear()
+        else:
+            self.history.put([(t,) for t in history])
+            self.handle.registerTimer(over)
+
+    def close(self) -> None:
+        pass
+
+
+def quota(df: DataFrame, client: str, at_micros: str, row_id: str, arrival: str, horizon_seconds: float, limit: int, bucket_seconds: int = 60, allowed_seconds: int = 0, disorder: str = "0 seconds") -> DataFrame:
+    """(client, row_id, allowed, remaining, late) of every request of a stream, by keyed state and timers (``Quota``).
+
+    ``arrival`` is the time at which the source took the row; rows come in its order but for
+    ``disorder``. Needs the RocksDB state store.
+    """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(client, at_micros, row_id).groupBy(client).applyInPandasWithState(
-        decide, f"{client} {types[client]}, {row_id} {types[row_id]}, allowed boolean, remaining long",
-        "history array<long>", "append", GroupStateTimeout.NoTimeout)
+    rows = df.select(client, row_id, F.col(at_micros).alias("at"), arrival).withWatermark(arrival, disorder)
+    processor = Quota((client, row_id), int(horizon_seconds * 1000), limit, bucket_seconds * 1000, allowed_seconds * 1000)
+    out = f"{client} {types[client]}, {row_id} long, allowed boolean, remaining long, late boolean"
+    return rows.groupBy(client).transformWithStateInPandas(processor, out, "append", "EventTime")
+
+
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def in_arrival_order(df: DataFrame, arrival: str, batches: int, closing: dict[str, object]) -> DataFrame:
+    """``df`` as a stream of at least ``batches`` micro-batches in order of arrival, then a row without values that moves the clock past all others."""
+    spark = df.sparkSession
+    folder = scratch(spark, "arrivals")
+    span = df.agg(F.min(F.unix_micros(arrival)).alias("lo"), F.max(F.unix_micros(arrival)).alias("hi")).first()
+    step = max(1, -(-(span["hi"] - span["lo"] + 1) // batches)) if span["hi"] is not None else 1
+    number = F.floor((F.unix_micros(arrival) - (span["lo"] or 0)) / step).cast("int")
+    for i in range(batches):
+        df.where(number == i).coalesce(1).write.parquet(f"{folder}/part={i:06d}")
+    last = spark.range(1).select(*[F.lit(closing.get(f.name)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    last.coalesce(1).write.parquet(f"{folder}/part={batches:06d}")
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)

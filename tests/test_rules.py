@@ -282,3 +282,26 @@ def test_feature_sink(spark, tmp_path):
     df = spark.range(9).withColumn("split", F.when(F.col("id") < 5, "train").otherwise("test"))
     sinks.write_features(df, str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).where("split = 'test'").count() == 4
+
+
+def test_cohorts_are_the_single_attributes_and_their_crossing(spark):
+    from pulseframe.operators import fairness
+
+    rows = [("F", "old", 1, 1), ("F", "old", 0, 1), ("F", None, 1, 0), ("M", "old", 0, 0), ("M", "young", 1, 1), (None, "young", 0, 1)]
+    df = spark.createDataFrame(rows, "sex string, age string, y int, yhat int")
+    crossed = df.selectExpr("*", "concat(coalesce(sex, 'UNKNOWN'), ' / ', coalesce(age, 'UNKNOWN')) AS `sex * age`")
+    names = {"sex": "sex", "age": "age", "sex * age": "sex * age"}
+    want = sorted(map(tuple, fairness.subgroup_rates(crossed, names, "y", "yhat").collect()))
+    assert sorted(map(tuple, fairness.cohort_rates(df, ["sex", "age"], "y", "yhat").collect())) == want
+    alone = fairness.cohort_rates(df, ["sex"], "y", "yhat").collect()
+    assert {r["attribute"] for r in alone} == {"sex"}
+    assert fairness.cohort_rates(df.limit(0), ["sex", "age"], "y", "yhat").count() == 0
+
+
+def test_gate_counts_come_with_the_output(spark):
+    from pulseframe.operators import ecg
+
+    df = spark.range(10).withColumn("ok", F.when(F.col("id") < 8, F.col("id") % 4 != 0))
+    kept, counters = ecg.gated(df, F.col("ok"))
+    assert [r["id"] for r in kept.orderBy("id").collect()] == [1, 2, 3, 5, 6, 7]
+    assert counters.get == {"accepted": 6, "rejected": 4}  # an unknown verdict is a rejection

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.operators import model
+from pulseframe.session import scratch
 from pulseframe.streaming import device
 
 T0 = datetime(2026, 1, 1)
@@ -46,11 +47,42 @@ def test_stream_sessions(spark, tmp_path):
     assert sorted(r["n"] for r in out.collect()) == [1, 2]
 
 
-def test_quota_state_survives_batches(spark, tmp_path):
-    s = feed(spark, tmp_path, [[("a", 1, 0, 1.0), ("a", 2, 0, 1.0)], [("a", 3, 0, 1.0), ("b", 4, 0, 1.0)], [("a", 5, 2, 1.0)]])
-    q = device.quota(s.withColumn("at", F.unix_micros("ts")), "device", "at", "id", 60, 2)
-    got = {r["id"]: (r["allowed"], r["remaining"]) for r in device.drain(q).collect()}
-    assert got[3] == (False, 0) and got[4] == (True, 1) and got[5] == (True, 1)
+def quota_feed(spark, batches, closing=True):
+    """(client, id, event minute, arrival minute) in files of one micro-batch each; at the end a row that only moves the clock."""
+    schema = "device string, id long, at long, arrival timestamp"
+    rows = [(d, n, int((T0 + timedelta(minutes=m) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000, T0 + timedelta(minutes=a), i) for i, batch in enumerate(batches) for d, n, m, a in batch]
+    df = spark.createDataFrame(rows, schema + ", part int")
+    folder = scratch(spark, "quota")
+    for i in range(len(batches)):
+        df.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    if closing:
+        spark.createDataFrame([(None, None, None, datetime(2199, 1, 1))], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_quota_is_decided_in_event_time_and_leaves_no_state(spark):
+    """Rows of a minute wait for each other over micro-batches; what comes too late is told apart; silent clients are forgotten."""
+    stream = quota_feed(spark, [
+        [("a", 1, 2, 2), ("b", 4, 0, 2)],
+        [("a", 2, 0, 4), ("a", 3, 1, 4)],  # before row 1, and still in time
+        [("a", 5, 30, 30)],
+        [("a", 6, 3, 31), ("a", 7, 31, 31), ("a", 7, 31, 31)],  # row 6 is behind the clock
+    ])
+    progress = []
+    out = device.drain(device.quota(stream, "device", "at", "id", "arrival", 600, 2, allowed_seconds=300), conf=device.ROCKS, progress=progress)
+    got = sorted((r["id"], r["allowed"], r["remaining"], r["late"]) for r in out.collect())
+    assert got == [(1, False, 0, False), (2, True, 1, False), (3, True, 0, False), (4, True, 1, False), (5, True, 1, False), (6, None, None, True), (7, False, 0, False), (7, True, 0, False)]
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in map(lambda p: json.loads(p.json) if hasattr(p, "json") else p, progress) if p["stateOperators"]]
+    assert max(states) > 0 and states[-1] == 0
+
+
+def test_in_arrival_order_makes_batches(spark):
+    df = spark.range(100).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    progress = []
+    out = device.drain(device.in_arrival_order(df, "ts", 4, {"ts": "2199-01-01"}), progress=progress)
+    assert sorted(r["id"] for r in out.where("id IS NOT NULL").collect()) == list(range(100))
+    assert len(progress) >= 5
+    assert device.drain(device.in_arrival_order(df.limit(0), "ts", 4, {"ts": "2199-01-01"})).count() == 1
 
 
 def test_leads_off_and_recovery(spark):
