@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pulseframe.llm.licenses import TEMPLATES
+from pulseframe.llm.licenses import AROUND, CUE, CUE_WORD, LONG_SENTENCE, TEMPLATES
 
 ORACLES: dict[str, str] = {}
 
@@ -85,23 +85,39 @@ seeded AS (SELECT d.*, epochs, rest, substr(md5('17:' || (epochs + 1) || ':' ||
 cut AS (SELECT *, rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY h) <= rest AS more FROM seeded)
 SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, epochs + 1 + more::INT))::INT AS epoch FROM cut"""
 
-ORACLES["op10_license_scans"] = """
+_CUE, _CUE_WORD = CUE.replace("'", "''"), CUE_WORD
+_QUOTED = [(k, t.replace("'", "''")) for k, t in TEMPLATES]
+ORACLES["op10_license_scans"] = rf"""
 WITH docs AS (
-  SELECT row_number() OVER () AS n, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines,
-         array_to_string([source, lang, (doc_id // 1000)::VARCHAR][1:(doc_id // 3) % 3 + 1] || [doc_id::VARCHAR], '/') AS path FROM documents),
+  SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t,
+         array_to_string([source, lang, (doc_id // 1000)::VARCHAR][1:(doc_id // 3) % 3 + 1] || [CASE WHEN doc_id % 4 = 0 THEN 'LICENSE' ELSE doc_id::VARCHAR END], '/') AS path FROM documents),
 place AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM docs),
-line AS (SELECT n, dir, len(lines) AS size, unnest(range(len(lines))) AS i, trim(unnest(lines)) AS text FROM place),
-notice AS (SELECT * FROM line WHERE regexp_matches(text, '(?i)licen[cs]e|permission is hereby granted|redistribution and use|spdx-')),
-model(license, text) AS (VALUES """ + ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES) + r"""),
-corpus AS (SELECT 'n' AS kind, NULL AS license, text FROM (SELECT DISTINCT text FROM notice) UNION ALL SELECT 't', license, text FROM model),
+cue AS (
+  SELECT n, dir, path, t, regexp_replace(t, '(^|\n)[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)?[ \t]*', '\1', 'g') AS clean
+  FROM place WHERE regexp_matches(t, '{_CUE}')),
+blk AS (SELECT *, list_filter(list_transform(string_split_regex(clean, '\n[ \t\r]*\n'), lambda p: trim(regexp_replace(p, '[\n\r\t ]+', ' ', 'g'))), lambda p: regexp_matches(p, '{_CUE}')) AS blocks FROM cue),
+sen AS (SELECT *, list_filter(flatten(list_transform(blocks, lambda p: string_split(regexp_replace(p, '([.!?;:]) ', '\1' || chr(10), 'g'), chr(10)))), lambda s: regexp_matches(s, '{_CUE}')) AS sentences FROM blk),
+lng AS (SELECT n, k, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT n, generate_subscripts(sentences, 1) AS k, string_split(unnest(sentences), ' ') AS w FROM sen) WHERE len(w) > {LONG_SENTENCE}),
+win AS (SELECT n, list(array_to_string(w[greatest(i - b, 1):i + a], ' ')) AS windows FROM lng, (VALUES {', '.join(map(str, AROUND))}) v(b, a) WHERE regexp_matches(w[i], '{_CUE_WORD}') GROUP BY n),
+lst AS (
+  SELECT s.n, dir, path, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '{_CUE}')) || blocks || sentences AS first, coalesce(windows, []) AS second,
+         trim(regexp_replace(clean, '[\n\r\t ]+', ' ', 'g')) AS all_text FROM sen s LEFT JOIN win USING (n)),
+line AS (
+  SELECT n, dir, path, generate_subscripts(first, 1) AS i, unnest(first) AS text, false AS whole FROM lst
+  UNION ALL SELECT n, dir, path, len(first) + 1, unnest(second), false FROM lst
+  UNION ALL SELECT n, dir, path, len(first) + 2, all_text, true FROM lst),
+model(license, text) AS (VALUES {", ".join(f"('{k}', '{t}')" for k, t in _QUOTED)}),
+corpus AS (SELECT 'n' AS kind, NULL AS license, text FROM (SELECT DISTINCT text FROM line) UNION ALL SELECT 't', license, text FROM model),
 term AS (SELECT kind, license, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+(?:\.[0-9]+)*')) AS term FROM corpus),
 tf AS (SELECT kind, license, text, term, count(*) AS tf FROM term GROUP BY ALL),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM corpus)) / (1.0::DOUBLE + count(*))) + 1 AS idf FROM tf GROUP BY term),
 vec AS (SELECT *, tf * idf AS w, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY kind, license, text)) AS norm FROM tf JOIN idf USING (term)),
 cos AS (SELECT a.text, b.license, sum(a.w / a.norm * b.w / b.norm) AS cosine FROM vec a JOIN vec b USING (term) WHERE a.kind = 'n' AND b.kind = 't' GROUP BY a.text, b.license, b.text),
 known AS (SELECT text, license, round(cosine, 6) AS cosine FROM cos WHERE cosine >= 0.7 QUALIFY row_number() OVER (PARTITION BY text ORDER BY round(cosine, 6) DESC, license) = 1),
-found AS (SELECT n, dir, size, i, license, cosine FROM notice JOIN known USING (text)),
-head AS (SELECT n, any_value(dir) AS dir, arg_min(license, (-cosine, i, license)) AS license, max(cosine) AS cosine, bool_or(size <= 10 AND (i = 0 OR i = size - 1)) AS is_file FROM found GROUP BY n),
+found AS (SELECT n, dir, path, i, whole, license, cosine FROM line JOIN known USING (text)),
+head AS (
+  SELECT n, any_value(dir) AS dir, arg_min(license, (-cosine, i, license)) AS license, max(cosine) AS cosine,
+         bool_or(whole OR regexp_matches(regexp_extract(path, '([^/]*)$', 1), '(?i)^(?:licen[cs]e|copying|unlicense)(?:[._-].*)?$')) AS is_file FROM found GROUP BY n),
 owner AS (SELECT dir AS above, arg_min(license, (-cosine, license)) AS license FROM head WHERE is_file GROUP BY dir),
 up AS (SELECT dir, unnest(range(1, len(string_split(dir, '/')) + 1)) AS depth FROM (SELECT DISTINCT dir FROM place)),
 near AS (SELECT dir, arg_max(above, depth) AS origin, arg_max(license, depth) AS license
