@@ -7,15 +7,16 @@ counts is the longest one with an earlier copy, so a run that two documents shar
 whole, also inside longer runs that other documents share.
 
 Method. Only lines that occur twice can be in such a run, so the sequences are cut down to
-stretches of such lines with enough words. Prefix doubling names the blocks of 1, 2, 4, ...
-lines from each place (equal names = equal blocks; the names are hashes and stand for the
-ranks of a suffix array, whose classes are what is needed here, not their order). The
-longest-common-prefix intervals are then refined from the longest blocks down: an interval
-holds places that share their first m lines; testing the next block splits it by name. All
-but the first place of a part have an earlier copy of m + block lines and go on in that part;
-the first places of all parts go on in the old interval. A part keeps its first place as a
-partner, so no interval ever loses the place that others must find, and there are at most two
-rows per place.
+stretches of such lines with enough words. Prefix doubling ranks the blocks of 1, 2, 4, ...
+lines from each place as a suffix array's construction does: a block's key is the rank of its
+first half and that of its second, a range sort of the distinct keys gives the new ranks, and
+equal ranks are equal blocks. Blocks that occur once are dropped, as no longer one repeats
+either. The longest-common-prefix intervals are then refined from the longest blocks down: an
+interval holds places that share their first m lines; the rank of the next block splits it.
+All but the first place of a part have an earlier copy of m + block lines and go on in that
+part; the first places of all parts go on in the old interval. A part keeps its first place as
+a partner, so no interval ever loses the place that others must find, and there are at most
+two rows per place.
 
 Scale: one pass over the text makes rows of a few numbers; counting lines and splitting
 intervals are aggregates with map-side combine, so a line that fills a third of all rows costs
@@ -26,9 +27,8 @@ text only. Texts meet the deleted stretches in one join.
 Defined results: NULL texts stay NULL, empty and unrepeated texts stay as they are; lines are
 split at ``\\n`` and compared exactly; a text that loses all its lines becomes empty; rows
 that repeat id and text are one document and get the same result; NULL ids sort last; an
-empty table gives no rows; other columns pass, results replace columns of their name. Line
-and block names are 64-bit hashes: two different lines of a million million share one with a
-chance of 3e-8 per pair of equal-looking runs.
+empty table gives no rows; other columns pass, results replace columns of their name. Lines
+are told apart by two 64-bit hashes, blocks exactly.
 """
 
 from __future__ import annotations
@@ -46,11 +46,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def lines_of(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(doc, key, pos, x, w): a row per line with its ID and number of words."""
+    """(doc, key, pos, x, y, w): a row per line with its ID (two hashes) and number of words."""
     content = F.coalesce(F.col(text), F.lit(""))
     split = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(content).alias("key"), F.split(content, "\n", -1).alias("lines"))
     rows = split.select("doc", "key", F.posexplode("lines").alias("pos", "line"))
-    return rows.select("doc", "key", "pos", F.xxhash64("line").alias("x"), F.regexp_count("line", F.lit(WORD)).alias("w"))
+    return rows.select("doc", "key", "pos", F.xxhash64("line").alias("x"), F.xxhash64(F.lit(1), "line").alias("y"), F.regexp_count("line", F.lit(WORD)).alias("w"))
 
 
 def places(lines: DataFrame, min_words: int) -> DataFrame:
@@ -59,8 +59,8 @@ def places(lines: DataFrame, min_words: int) -> DataFrame:
     ``left`` is the number of lines from here to the end of the stretch, ``sum_w`` the words
     from its start up to here. Places of one stretch have consecutive ids.
     """
-    repeated = lines.groupBy("x").count().where("count > 1").select("x")
-    active = lines.join(repeated, "x", "left_semi").dropDuplicates(["doc", "key", "pos"])
+    repeated = lines.groupBy("x", "y").count().where("count > 1").select("x", "y")
+    active = lines.join(repeated, ["x", "y"], "left_semi").dropDuplicates(["doc", "key", "pos"])
     text = Window.partitionBy("doc", "key").orderBy("pos")
     stretch = Window.partitionBy("doc", "key", "stretch")
     rows = active.withColumn("stretch", F.col("pos") - F.row_number().over(text))
@@ -69,17 +69,25 @@ def places(lines: DataFrame, min_words: int) -> DataFrame:
     rows = rows.withColumns({"sum_w": F.sum("w").over(along), "left": (F.col("all_n") - F.row_number().over(along) + 1).cast("long")})
     order = [F.col("doc").asc_nulls_last(), F.col("key")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "pos")
-    return rows.select(F.monotonically_increasing_id().alias("id"), "doc", "key", "stretch", "pos", "x", "w", "sum_w", "left")
+    return rows.select(F.monotonically_increasing_id().alias("id"), "doc", "key", "stretch", "pos", "x", "y", "w", "sum_w", "left")
 
 
-def _names(at: DataFrame, levels: int) -> DataFrame:
-    """``n0`` .. ``n<levels>``: the name of the block of 2^j lines from each place, NULL past the stretch."""
-    along = Window.partitionBy("doc", "key", "stretch").orderBy("id")
-    rows = at.select("id", "doc", "key", "stretch", "left", F.col("x").alias("n0"))
+def _ranked(blocks: DataFrame) -> DataFrame:
+    """(id, left, rank) of the ``blocks`` (id, left, a, b) whose key (a, b) occurs twice; ranks follow the order of the keys."""
+    keys = blocks.groupBy("a", "b").count().where("count > 1").select("a", "b")
+    keys = keys.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id())
+    return written(blocks.join(written(keys, "ranks"), ["a", "b"]).select("id", "left", "rank"), "ranked")
+
+
+def block_ranks(at: DataFrame, levels: int) -> list[DataFrame]:
+    """Per j (id, left, rank): the rank of the block of 2^j lines from each place, where it repeats and does not pass the stretch's end."""
+    ranks = [_ranked(at.select("id", "left", F.col("x").alias("a"), F.col("y").alias("b")))]
     for j in range(1, levels + 1):
-        second = F.lead(f"n{j - 1}", 1 << (j - 1)).over(along)
-        rows = rows.withColumn(f"n{j}", F.when(F.col("left") >= (1 << j), F.xxhash64(f"n{j - 1}", second)))
-    return rows.select("id", *[f"n{j}" for j in range(levels + 1)])
+        half = 1 << (j - 1)
+        second = ranks[-1].select((F.col("id") - half).alias("id"), F.col("rank").alias("b"))
+        first = ranks[-1].where(F.col("left") >= 2 * half).select("id", "left", F.col("rank").alias("a"))
+        ranks.append(_ranked(first.join(second, "id")))
+    return ranks
 
 
 def earlier_runs(at: DataFrame) -> DataFrame | None:
@@ -88,14 +96,14 @@ def earlier_runs(at: DataFrame) -> DataFrame | None:
     if longest is None:
         return None
     levels = floor(log2(longest))
-    names = written(_names(at, levels), "names")
+    ranks = block_ranks(at, levels)
     entries = at.select("id", "left", F.lit(0).cast("long").alias("f"), F.lit(0).cast("long").alias("m"), F.lit(True).alias("seeks"))
     for j in range(levels, -1, -1):
         size = 1 << j
         test, rest = entries.where(F.col("left") - F.col("m") >= size), entries.where(F.col("left") - F.col("m") < size)
-        block = names.select(F.col("id").alias("at"), F.col(f"n{j}").alias("name"))
-        named = test.withColumn("at", F.col("id") + F.col("m")).join(block, "at")
-        parts = named.groupBy("f", "name").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("f", "name", "first")
+        block = ranks[j].select(F.col("id").alias("at"), F.col("rank").alias("name"))
+        named = test.withColumn("at", F.col("id") + F.col("m")).join(block, "at", "left")
+        parts = named.where("name IS NOT NULL").groupBy("f", "name").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("f", "name", "first")
         split = named.join(parts, ["f", "name"], "left")
         stay = F.struct("id", "left", "f", "m", "seeks")
         part, deeper = F.xxhash64("f", "name", F.lit(j)).alias("f"), (F.col("m") + size).alias("m")
