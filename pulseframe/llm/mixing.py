@@ -102,13 +102,13 @@ def mix(
     keys = [f"_k{i}" for i in range(len(names))]
     columns = [c for c in docs.columns if c != "epoch"]
     tokens = tokens_of(F.col(text)) if tokens is None else tokens
-    numbers = {**{k: levels[n] for k, n in zip(keys, names)}, "_tokens": tokens, "_id": F.col(doc_id), "_row": F.xxhash64(*columns)}
+    numbers = {**{k: levels[n] for k, n in zip(keys, names)}, "_tokens": tokens, "_id": F.col(doc_id), "_row": F.lpad(F.hex(F.xxhash64(*columns)), 16, "0")}
     narrow = written(docs.select(*[v.alias(k) for k, v in numbers.items()]), "token-counts")
 
     leaves = narrow.groupBy(*keys).agg(F.sum("_tokens").alias("tokens"))
-    whole = F.lit(float(total)) if total is not None else F.sum("tokens").over(Window.partitionBy(F.lit(0))) * F.lit(float(share))
-    leaves = leaves.withColumn("_whole", whole)
-    plan = budgets(leaves.drop("_whole") if total is not None else leaves.select(*keys, "tokens", "_whole"), keys, F.col("_whole") if total is None else float(total), dict(zip(keys, [(weights or {}).get(n, {}) for n in names])), default_weight, max_epochs)
+    if total is None:
+        total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * float(share)
+    plan = budgets(leaves, keys, float(total), dict(zip(keys, [(weights or {}).get(n, {}) for n in names])), default_weight, max_epochs)
     full = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens")), F.lit(max_epochs))).otherwise(F.lit(1))
     plan = plan.withColumn("full", full.cast("int")).withColumn("rest", F.when(F.col("full") < max_epochs, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(F.lit(0)).cast("long"))
     plan = written(plan.select(*[F.col(k).alias(f"p{k}") for k in keys], "tokens", "budget", "full", "rest"), "budgets")
@@ -122,8 +122,19 @@ def mix(
     cut = sums.withColumn("upto", upto).where("upto > rest AND upto - n <= rest")
     cut = cut.groupBy(*[F.col(k).alias(f"c{k}") for k in keys]).agg(F.min("slice").alias("c_slice"), F.min_by(F.col("upto") - F.col("n"), F.col("slice")).alias("c_before"))
     at_cut = placed.join(cut, _null_safe(placed, cut, [(k, f"c{k}") for k in keys]) & (placed["slice"] == cut["c_slice"]))
-    running = F.sum("_tokens").over(Window.partitionBy(*keys).orderBy("h", "_row")) + F.col("c_before")
-    last = at_cut.withColumn("running", running).where("running <= rest").groupBy(*[F.col(k).alias(f"l{k}") for k in keys]).agg(F.max(F.struct("h", "_row")).alias("last"))
+    # one id may fill the slice: its rows are cut by the first digits of their own hash, then by the rest; equal rows are one
+    salt = F.substring("_row", 1, SLICE_DIGITS).alias("salt")
+    salted = at_cut.groupBy(*keys, "h", salt, "rest", "c_before").agg(F.sum("_tokens").alias("n"))
+    running = F.sum("n").over(Window.partitionBy(*keys).orderBy("h", "salt")) + F.col("c_before")
+    salted = written(salted.withColumn("running", running), "cut-salts")
+    whole = salted.where("running <= rest").groupBy(*keys).agg(F.max(F.struct("h", F.concat("salt", F.lit("~")).alias("_row"))).alias("last"))
+    edge = salted.where("running > rest AND running - n <= rest").select(*[F.col(k).alias(f"e{k}") for k in keys], F.col("h").alias("e_h"), F.col("salt").alias("e_salt"), (F.col("running") - F.col("n")).alias("e_before"))
+    edge = edge.groupBy(*[f"e{k}" for k in keys]).agg(F.min(F.struct("e_h", "e_salt", "e_before")).alias("e")).select(*[f"e{k}" for k in keys], "e.*")
+    tail = at_cut.join(edge, _null_safe(at_cut, edge, [(k, f"e{k}") for k in keys]) & (at_cut["h"] == edge["e_h"]) & (F.substring(at_cut["_row"], 1, SLICE_DIGITS) == edge["e_salt"]))
+    tail = tail.groupBy(*keys, "h", "_row", "rest", "e_before").agg(F.sum("_tokens").alias("n"))
+    running = F.sum("n").over(Window.partitionBy(*keys).orderBy("_row")) + F.col("e_before")
+    tail = tail.withColumn("running", running).where("running <= rest").groupBy(*keys).agg(F.max(F.struct("h", "_row")).alias("last"))
+    last = whole.unionByName(tail).groupBy(*[F.col(k).alias(f"l{k}") for k in keys]).agg(F.max("last").alias("last"))
     ends = plan.join(cut, _null_safe(plan, cut, [(f"p{k}", f"c{k}") for k in keys]), "left")
     ends = ends.join(last, _null_safe(ends, last, [(f"p{k}", f"l{k}") for k in keys]), "left")
     ends = written(ends.select(*[f"p{k}" for k in keys], "full", "rest", "c_slice", F.col("last.h").alias("l_h"), F.col("last._row").alias("l_row")), "leaf-cuts")

@@ -459,6 +459,25 @@ def test_mixture_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0), mixing.document_levels()).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.9, 1.3])
+def test_mixing_cuts_inside_one_id(spark, share):
+    """An id that holds most rows of a leaf, and rows that are equal in all columns, are cut exactly to the budget."""
+    docs = [(7, "a", " ".join(["w"] * (3 + i % 5)) + f" {i}") for i in range(600)] + [(i, "a", "x y z") for i in range(100, 250)]
+    docs += [(9, "b", "same row of six words here")] * 200
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string").repartition(4)
+    taken = Counter((r["doc_id"], r["text"]) for r in rows(mixing.mix(df, {"source": F.col("source")}, share=share)))
+    have = Counter((d, t) for d, _, t in docs)
+    tokens = {s: sum(n * len(t.split()) for (d, t), n in c.items() if (d == 9) == (s == "b")) for c in (taken,) for s in "ab"}
+    whole = {s: sum(len(t.split()) for d, x, t in docs if x == s) for s in "ab"}
+    budget = share * sum(whole.values()) / 2
+    small = min(budget, 4 * whole["b"])  # what the smaller leaf leaves goes to the other
+    want = {"a": min(2 * budget - small, 4 * whole["a"]), "b": small}
+    assert tokens["a"] <= want["a"] + 1e-6 and tokens["a"] > want["a"] - 9
+    assert tokens["b"] <= want["b"] + 1e-6 and tokens["b"] % (200 * 6) == 0  # equal rows stand or fall together
+    full = int(want["a"] // whole["a"])
+    assert all(full * n <= taken[k] <= (full + 1) * n for k, n in have.items() if k[0] != 9)
+
+
 # 6. Packing
 
 def check_packing(got, docs, size):
