@@ -475,7 +475,9 @@ def within_families(families: DataFrame, nodes: DataFrame, texts: DataFrame, siz
         found = verified_forest(sigs, grams, left, left if low == high else place[block == high], limit, similarity)
         return pa.table({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
-    tiles = held.groupBy("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    held = held.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other")
+    # dealt anew: the joins above have dealt by family, which would bring all its tiles to one task
+    tiles = held.repartition("family", "low", "high").groupBy("family", "low", "high")
     return tiles.applyInArrow(link, "a long, b long")
 
 
