@@ -53,25 +53,32 @@ def cross_validate(
 
     ``weight_power=2`` weights classes twice, as balanced trees fed balanced weights do.
     """
-    return _fold_metrics(_folded(df, features, label, patient, k, seed), features, label, k, params, seed, weight_power)
+    scored = out_of_fold(df, features, label, patient, [params], k, seed, weight_power)
+    return metrics.clinical_metrics(scored, ["fold"], label, "yhat", "p", empty_specificity=1.0)
 
 
-def _folded(df: DataFrame, features: list[str], label: str, patient: str, k: int, seed: int) -> DataFrame:
-    assigned = splits.folds(df, patient, label, k, seed)
-    return materialise(splits.attach(df.select(patient, label, *features), assigned, patient, "fold"), "folds")
+def out_of_fold(
+    df: DataFrame, features: list[str], label: str, patient: str, grid: list[dict], k: int = C.N_FOLDS, seed: int = C.SEED,
+    weight_power: int = 1, keep: list[str] | None = None,
+) -> DataFrame:
+    """One long table (candidate, fold, patient, keep, label, p, yhat): every row's probability by trees that have not seen its patient.
 
+    All fits, of all candidates and folds, share one pool. The table is written once, so
+    metrics, rankings and reports read the same predictions.
+    """
+    assigned = splits.folds(df, patient, label, k, seed)
+    rows = [patient, *(keep or []), label]
+    data = materialise(splits.attach(df.select(*dict.fromkeys([*rows, *features])), assigned, patient, "fold"), "folds")
 
-def _fold_metrics(
-    data: DataFrame, features: list[str], label: str, k: int, params: dict, seed: int, weight_power: int
-) -> DataFrame:
-    def fit(i: int) -> DataFrame:
+    def fit(candidate: int, i: int) -> DataFrame:
         train = splits.with_weights(data.where(F.col("fold") != i), label, power=weight_power)
-        model = _trees(features, label, params, seed + i).fit(train)
-        return _probability(model, data.where(F.col("fold") == i), "_g_prob", "p").select("fold", label, "p")
+        model = _trees(features, label, grid[candidate], seed + i).fit(train)
+        held = _probability(model, data.where(F.col("fold") == i), "_g_prob", "p")
+        return held.select(F.lit(candidate).alias("candidate"), "fold", *rows, "p")
 
-    scored = reduce(DataFrame.unionByName, _together([partial(fit, i) for i in range(k)]))
-    scored = scored.withColumn("yhat", triage.predicted_class(F.col("p")))
-    return metrics.clinical_metrics(scored, ["fold"], label, "yhat", "p", empty_specificity=1.0)
+    parts = _together([partial(fit, c, i) for c in range(len(grid)) for i in range(k)])
+    scored = reduce(DataFrame.unionByName, parts)
+    return materialise(scored.withColumn("yhat", triage.predicted_class(F.col("p"))), "out-of-fold")
 
 
 def tune(
@@ -79,14 +86,15 @@ def tune(
     seed: int = C.SEED, weight_power: int = 1,
 ) -> DataFrame:
     """Mean AUC per candidate, best first; equal candidates keep their order."""
-    data = _folded(df, features, label, patient, k, seed)
-    def candidate(i: int) -> DataFrame:
-        folds = _fold_metrics(data, features, label, k, grid[i], seed, weight_power)
-        return folds.agg(F.avg("auc_roc").alias("mean_auc")).select(
-            F.lit(i).alias("candidate"), F.lit(json.dumps(grid[i], sort_keys=True)).alias("params"), "mean_auc")
-
-    table = reduce(DataFrame.unionByName, _together([partial(candidate, i) for i in range(len(grid))]))
-    return table.orderBy(F.desc("mean_auc"), "candidate")
+    scored = out_of_fold(df, features, label, patient, grid, k, seed, weight_power)
+    return ranking(metrics.roc_auc(scored, ["candidate", "fold"], label, "p"), grid)
+
+
+def ranking(per_fold: DataFrame, grid: list[dict]) -> DataFrame:
+    """(candidate, params, mean_auc), best first, from (candidate, fold, auc_roc)."""
+    names = F.create_map(*[x for i, g in enumerate(grid) for x in (F.lit(i), F.lit(json.dumps(g, sort_keys=True)))])
+    table = per_fold.groupBy("candidate").agg(F.avg("auc_roc").alias("mean_auc"))
+    return table.select("candidate", names[F.col("candidate")].alias("params"), "mean_auc").orderBy(F.desc("mean_auc"), "candidate")
 
 
 def best_params(search: DataFrame) -> dict:

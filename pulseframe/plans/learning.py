@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe import constants as C
@@ -18,8 +15,9 @@ from pulseframe.session import scratch
 from pulseframe.sources.sinks import materialise, report, write_report
 
 FEATURES = C.FEATURES
-# Boosting itself cannot be replayed in SQL: the queries return what SQL can state exactly, and
-# row by row whether the model's answer is consistent. Quality bounds are in the tests.
+# Boosting cannot be replayed in SQL. cv_folds, train_calibrated and score_consistency return what
+# SQL can state of it; cv_metrics, tune, cv_predictions, validation_metrics and score_batch return
+# the values themselves and have no SQL: the tests recompute them from the predictions.
 _LABELS = _RECORDS + ",\n" + _RAW_SQL + """,
 lab AS (SELECT record_id AS patient, w_idx, (spo2_mean > 93.002)::INT AS y FROM raw),
 pt AS (SELECT patient, count(*) AS n_rows, sum(y)::BIGINT AS n_pos, least(floor(10 * sum(y) / count(*)::DOUBLE), 9)::INT AS stratum FROM lab GROUP BY 1)"""
@@ -41,19 +39,38 @@ def split_windows(spark, folder) -> DataFrame:
     return materialise(splits.attach(df, splits.split_patients(df, "patient", "y"), "patient", "split"), "windows")
 
 
-@query("cv_metrics", with_(_LABELS) + """,
+@query("cv_folds", with_(_LABELS) + """,
 f AS (SELECT *, (row_number() OVER (ORDER BY stratum, md5('42:' || patient)) - 1) % 5 AS fold FROM pt)
-SELECT fold::INT AS fold, sum(n_rows)::BIGINT AS n, sum(n_pos)::BIGINT AS n_pos, true AS in_range FROM f GROUP BY fold""")
+SELECT fold::INT AS fold, sum(n_rows)::BIGINT AS n, sum(n_pos)::BIGINT AS n_pos FROM f GROUP BY fold""")
+def cv_folds(spark, folder):
+    """Rows and positives of the folds that cross-validation uses."""
+    df = labelled_windows(spark, folder)
+    rows = splits.attach(df, splits.folds(df, "patient", "y", C.N_FOLDS, C.SEED), "patient", "fold")
+    return rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"))
+
+
+def _predictions(spark, folder) -> DataFrame:
+    return model.out_of_fold(labelled_windows(spark, folder), FEATURES, "y", "patient", [C.CV_PARAMS], keep=["w_idx"])
+
+
+@query("cv_predictions")
+def cv_predictions(spark, folder):
+    """Every window with the probability given by trees that have not seen its patient."""
+    return _predictions(spark, folder).select("fold", "patient", "w_idx", "y", "p", "yhat")
+
+
+@query("cv_metrics")
 def cv_metrics(spark, folder):
     out = model.cross_validate(labelled_windows(spark, folder), FEATURES, "y", "patient")
-    rates = [F.col(c).between(0, 1) for c in ("auc_roc", "pr_auc", "sensitivity", "specificity", "f1_score", "brier_score")]
-    return out.select("fold", "n", (F.col("tp") + F.col("fn")).alias("n_pos"), reduce(lambda a, b: a & b, rates).alias("in_range"))
+    rates = ["auc_roc", "pr_auc", "sensitivity", "specificity", "f1_score", "brier_score"]
+    return out.select("fold", "n", (F.col("tp") + F.col("fn")).alias("n_pos"), *rates)
 
 
-@query("tune", "SELECT candidate, params, true AS in_range FROM (VALUES " + ", ".join(f"({i}, '{json.dumps(g, sort_keys=True)}')" for i, g in enumerate(C.SEARCH_GRID)) + ") t(candidate, params)")
+@query("tune")
 def tune(spark, folder):
+    """The search grid by mean AUC over patient-grouped folds, best first."""
     found = model.tune(labelled_windows(spark, folder), FEATURES, "y", "patient")
-    return found.select("candidate", "params", F.col("mean_auc").between(0, 1).alias("in_range"))
+    return found.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_auc"), "candidate")))  # one row a candidate
 
 
 def _trained(spark, folder):
@@ -75,18 +92,31 @@ def train_calibrated(spark, folder):
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"), F.every(F.col("a") == F.col("b")).alias("same_after_reload"), F.every(F.col("a").between(0, 1)).alias("in_range"))
 
 
-@query("score_batch", with_(_LABEL_SPLIT) + """
-SELECT patient, w_idx::BIGINT AS w_idx, split, y, true AS in_range, true AS class_fits, true AS label_fits, true AS tier_fits, true AS confidence_fits FROM lab JOIN split USING (patient)""")
+@query("validation_metrics")
+def validation_metrics(spark, folder):
+    """AUC, sensitivity and the rest of the final fit, per split."""
+    data, fitted = _trained(spark, folder)
+    out = metrics.clinical_metrics(fitted.score(data), ["split"], "y", "predicted_class", "pathology_probability")
+    return out.select("split", "n", "auc_roc", "pr_auc", "sensitivity", "specificity", "f1_score", "brier_score")
+
+
+@query("score_batch")
 def score_batch(spark, folder):
-    """Every row scored; each part of an answer must follow from its probability."""
+    """Every row with its probability, class, confidence and tier."""
+    data, fitted = _trained(spark, folder)
+    return fitted.score(data).select("patient", "w_idx", "split", "y", "pathology_probability", "predicted_class", "confidence", "class_label", "risk_tier")
+
+
+@query("score_consistency", with_(_LABEL_SPLIT) + """
+SELECT split, count(*) AS n, sum(y)::BIGINT AS n_pos, 0::BIGINT AS inconsistent FROM lab JOIN split USING (patient) GROUP BY split""")
+def score_consistency(spark, folder):
+    """Rows of each split, and how many answers do not follow from their probability."""
     data, fitted = _trained(spark, folder)
     p = F.col("pathology_probability")
     label = F.when(F.col("predicted_class") == 1, C.CLASS_LABELS[1]).otherwise(C.CLASS_LABELS[0])
     tier = F.when(p >= 0.70, "CRITICAL").when(p >= 0.35, "MONITOR").otherwise("LOW_RISK")
-    return fitted.score(data).select(
-        "patient", "w_idx", "split", "y", p.between(0, 1).alias("in_range"), ((p > 0.5) == (F.col("predicted_class") == 1)).alias("class_fits"),
-        (F.col("class_label") == label).alias("label_fits"), (F.col("risk_tier") == tier).alias("tier_fits"),
-        (F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-12).alias("confidence_fits"))
+    fits = p.between(0, 1) & ((p > 0.5) == (F.col("predicted_class") == 1)) & (F.col("class_label") == label) & (F.col("risk_tier") == tier) & (F.abs(F.col("confidence") - F.greatest(p, 1 - p)) < 1e-12)
+    return fitted.score(data).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"), F.count_if(~F.coalesce(fits, F.lit(False))).alias("inconsistent"))
 
 
 _REPORT = """report_metadata array<struct<title string, scored_rows bigint>>, clinical_metrics array<struct<auc_roc double, brier_score double, tp bigint>>,

@@ -126,6 +126,19 @@ def test_small_cohort_is_uncalibrated(spark):
 def test_cross_validation_and_search(spark):
     folds = model.cross_validate(cohort(spark), ["f0", "f1"], "y", "patient", 3, PARAMS).collect()
     assert len(folds) == 3 and all(r["auc_roc"] > 0.9 for r in folds)
+    table = model.out_of_fold(cohort(spark).withColumn("row", F.monotonically_increasing_id()), ["f0", "f1"], "y", "patient", [PARAMS, {**PARAMS, "maxIter": 1}], 3, keep=["row"])
+    got = table.collect()
+    assert len(got) == 480 and len({(r["candidate"], r["row"]) for r in got}) == 480
+    for c in (0, 1):
+        for f in range(3):  # no patient is in two folds, and the metrics are those of the predictions
+            part = [r for r in got if (r["candidate"], r["fold"]) == (c, f)]
+            assert not {r["patient"] for r in part} & {r["patient"] for r in got if r["fold"] != f}
+            pos, neg = ([r["p"] for r in part if r["y"] == y] for y in (1, 0))
+            auc = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+            found = {(r["candidate"], r["fold"]): r["auc_roc"] for r in model.metrics.roc_auc(table, ["candidate", "fold"], "y", "p").collect()}
+            assert found[c, f] == pytest.approx(auc)
+            if c == 0:
+                assert {r["fold"]: r["auc_roc"] for r in folds}[f] == pytest.approx(auc)
     search = model.tune(cohort(spark), ["f0", "f1"], "y", "patient", [PARAMS, dict(PARAMS)], k=2)
     assert model.best_params(search) == json.loads(json.dumps(PARAMS))
     assert search.first()["candidate"] == 0  # a tie keeps the first candidate
