@@ -323,6 +323,46 @@ def r_peaks(x: Column, fs: Column) -> Column:
     return _array_udf(_r_peaks, x, fs).cast("array<int>")
 
 
+LONG_ENTROPY = 600  # samples from which near pairs are looked up instead of comparing all lags
+PAIRS = 1 << 17
+
+
+def near_templates(x: np.ndarray, dim: int, r: float) -> tuple[int, int]:
+    """Pairs of runs of ``dim`` samples, and of one more, that differ by at most ``r`` everywhere.
+
+    Runs lie in a grid: strips of width ``r`` by their first sample, in a strip by their second.
+    A run meets those of its own and the next strip whose second sample is near, ``PAIRS`` at
+    a time, and is compared with them in all its samples.
+    """
+    n = len(x) - dim + 1
+    second = x[min(1, dim - 1) :][:n]
+    low = second.min()
+    apart = second.max() - low + 4 * r  # between strips
+    key = np.floor((x[:n] - x[:n].min()) / (r * (1 + 1e-9))) * apart + (second - low)
+    order = np.argsort(key, kind="stable")
+    key, values = key[order], [x[k : k + n][order] for k in range(dim)]
+    reach = r + 1e-9 * r + 4e-16 * key[-1]
+    begin = np.concatenate([np.arange(1, n + 1), np.searchsorted(key, key + (apart - reach))])
+    stop = np.concatenate([np.searchsorted(key, key + reach, "right"), np.searchsorted(key, key + (apart + reach), "right")])
+    begin[n:] = np.maximum(begin[n:], stop[:n])  # nobody meets anybody twice
+    partners = np.maximum(stop - begin, 0)
+    upto, same, longer, at = np.cumsum(partners), 0, 0, 0
+    while at < 2 * n:
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] - partners[at] + PAIRS, "right")))
+        some = partners[at:end]
+        i = np.repeat((np.arange(at, end) % n).astype(np.int32), some)
+        j = np.repeat((begin[at:end] - (np.cumsum(some) - some)).astype(np.int32), some) + np.arange(len(i), dtype=np.int32)
+        near = np.abs(values[0][i] - values[0][j]) <= r
+        for v in values[1:]:
+            near &= np.abs(v[i] - v[j]) <= r
+        a, b = order[i[near]], order[j[near]]
+        same += len(a)
+        inside = (a < n - 1) & (b < n - 1)
+        longer += int((np.abs(x[a[inside] + dim] - x[b[inside] + dim]) <= r).sum())
+        at = end
+    return same, longer
+
+
 def _entropy(m: np.ndarray, dim: int, r_scale: float, decimate: tuple[int, int] | None = None) -> np.ndarray:
     if decimate and m.shape[1] > decimate[0]:
         m = m[:, :: m.shape[1] // decimate[1]]
@@ -331,7 +371,9 @@ def _entropy(m: np.ndarray, dim: int, r_scale: float, decimate: tuple[int, int]
         return np.zeros(len(m))
     r = r_scale * (m.std(axis=1, keepdims=True) + 1e-8)
     hits = np.zeros((2, len(m)))
-    for lag in range(1, n - dim + 1):
+    if n >= LONG_ENTROPY:
+        hits = 2.0 * np.array([near_templates(x, dim, float(t)) for x, t in zip(m, r[:, 0])]).T.reshape(2, len(m))
+    for lag in range(1, n - dim + 1) if n < LONG_ENTROPY else ():
         near = np.abs(m[:, lag:] - m[:, :-lag]) <= r
         for k in (0, 1):
             span = n - lag - (dim + k) + 1
