@@ -42,6 +42,7 @@ def gated(df: DataFrame, acceptable: Column, name: str = "gate") -> tuple[DataFr
     """The acceptable rows, and counters of both kinds that are filled by whatever action runs over them.
 
     ``observation.get`` waits for the first one and has ``accepted`` and ``rejected``: no second pass.
+    For plans of built-in expressions: Spark cannot ship an observation with Python kernels.
     """
     counters = Observation(f"{name}-{uuid.uuid4().hex}")
     ok = F.coalesce(acceptable, F.lit(False))
