@@ -56,10 +56,10 @@ from pulseframe.llm.common import written
 from pulseframe.session import scratch
 
 ORDER = 2
-SHARD_BYTES = 12_000_000  # of text whose n-grams one shard holds, some two million tokens
+SHARD_BYTES = 9_000_000  # of text whose n-grams one shard holds, some 1.5 million tokens
 HOT = 500_000  # tokens of a word whose n-grams are spread over all shards
 WORD_SHARDS = 4  # shards of n-grams for each shard of words
-COMBINED = 3_000_000  # tokens that a task combines before it sends
+COMBINED = 2_000_000  # tokens that a task combines before it sends
 STEP = 1_000_000  # tokens scored at once
 PIECE = 2_000_000  # bytes of a text split into words at once
 BATCH = 50_000  # rows of an Arrow batch
