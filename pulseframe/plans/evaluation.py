@@ -46,9 +46,9 @@ def leakage_check(spark, folder):
     df = labelled_events(spark, folder)
     isolated = splits.attach(df, splits.split_patients(df, "user_id", "y"), "user_id", "split")
     k = F.col("event_id") % 3
-    leaky = df.withColumn("split", F.when(k == 0, "train").when(k == 1, "val").otherwise("test"))
-    return splits.leakage(isolated, "user_id").select(F.lit("patient").alias("scheme"), "*").unionByName(
-        splits.leakage(leaky, "user_id").select(F.lit("row").alias("scheme"), "*"))
+    leaky = F.when(k == 0, "train").when(k == 1, "val").otherwise("test")
+    schemes = F.array(F.struct(F.lit("patient").alias("scheme"), F.col("split")), F.struct(F.lit("row").alias("scheme"), leaky.alias("split")))
+    return splits.leakage(isolated.select("user_id", F.inline(schemes)), "user_id", by=["scheme"])
 
 
 @query("class_weights", """

@@ -305,3 +305,24 @@ def test_gate_counts_come_with_the_output(spark):
     kept, counters = ecg.gated(df, F.col("ok"))
     assert [r["id"] for r in kept.orderBy("id").collect()] == [1, 2, 3, 5, 6, 7]
     assert counters.get == {"accepted": 6, "rejected": 4}  # an unknown verdict is a rejection
+
+
+def test_class_weights_are_part_of_the_expression(spark, monkeypatch):
+    from pulseframe.operators import splits
+
+    df = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (5, None)], "id long, y int")
+    got = {r["id"]: r["weight"] for r in splits.with_weights(df, "y").collect()}
+    assert got == {1: pytest.approx(4 / 6), 2: pytest.approx(4 / 6), 3: pytest.approx(4 / 6), 4: 2.0}  # a row without a class has none
+    assert {r["weight"] for r in splits.with_weights(df, "y", power=2).where("y = 1").collect()} == {4.0}
+    assert splits.with_weights(df.limit(0), "y").count() == 0
+    monkeypatch.setattr(splits, "MAX_CLASSES", 1)
+    with pytest.raises(ValueError):
+        splits.with_weights(df, "y")
+
+
+def test_leakage_by_scheme(spark):
+    from pulseframe.operators import splits
+
+    rows = [("a", 1, "train"), ("a", 1, "test"), ("a", 2, "val"), ("b", 1, "train"), ("b", 2, "val")]
+    got = {r["s"]: r for r in splits.leakage(spark.createDataFrame(rows, "s string, p int, split string"), "p", by=["s"]).collect()}
+    assert (got["a"]["train_test_overlap"], got["b"]["train_test_overlap"], got["b"]["val_patients"]) == (1, 0, 1)
