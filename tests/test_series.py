@@ -195,3 +195,21 @@ def test_quantile_slices_follow_the_signal(spark):
     edges = df.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 640).alias("e")).first()["e"]
     sizes = np.histogram(values, [-np.inf, *edges, np.inf])[0]
     assert sizes.max() < 40_000 / 64 * 2
+
+
+def test_scratch_of_a_block_is_removed(spark, tmp_path):
+    import os
+
+    from pulseframe import session
+    from pulseframe.sources.sinks import materialise
+
+    local = lambda df: df.inputFiles()[0].removeprefix("file://")
+    before = materialise(spark.range(3), "before")
+    kept = str(tmp_path / "kept")
+    with session.cleared(spark):
+        inside = materialise(before.where("id > 0"), "inside")
+        place = local(inside)
+        inside.write.parquet(kept)
+        assert os.path.exists(place)
+    assert not os.path.exists(os.path.dirname(place)) and spark.read.parquet(kept).count() == 2
+    assert before.count() == 3 and os.path.exists(local(materialise(spark.range(1), "after")))
