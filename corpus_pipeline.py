@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.llm import line_dedup, mixing, packing, quality, simhash
-from pulseframe.llm.common import read, written
+from pulseframe.llm.common import read
+from pulseframe.session import cleared, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +57,9 @@ ORACLE_SQL = None  # fingerprints and tokenizers are not in SQL
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        path = scratch(spark, "stage")
+        with cleared(spark):  # what the stage has written for itself
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
