@@ -171,3 +171,87 @@ def test_requests_and_packets_use_the_model(spark):
     direct = fitted.score(device.model_features(packets.limit(1))).first()
     assert got[0]["pathology_probability"] == pytest.approx(direct["pathology_probability"], abs=1e-4) and got[0]["triage_risk_tier"] == direct["risk_tier"]
     assert got[1]["status"] == C.LEADS_OFF_STATUS and got[2]["pathology_probability"] == 0.91
+
+
+class Store:
+    """State of one client in memory; counts the calls."""
+
+    def __init__(self):
+        self.calls, self.lists, self.values, self.timers = 0, {}, {}, set()
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {"registerTimer": self.timers.add, "deleteTimer": self.timers.discard}[name](*args)
+
+        if name not in ("registerTimer", "deleteTimer"):
+            raise AttributeError(name)
+        return call
+
+    def getListState(self, name, _schema):
+        store, rows = self, self.lists.setdefault(name, [])
+
+        class State:
+            def get(self):
+                store.calls += 1
+                return iter(list(rows))
+
+            def appendList(self, more):
+                store.calls += 1
+                rows.extend(more)
+
+            def put(self, new):
+                store.calls += 1
+                rows[:] = new
+
+            def clear(self):
+                self.put([])
+
+        return State()
+
+    def getValueState(self, name, _schema):
+        store = self
+
+        class State:
+            def get(self):
+                store.calls += 1
+                return store.values.get(name)
+
+            def update(self, value):
+                store.calls += 1
+                store.values[name] = value
+
+            def clear(self):
+                store.calls += 1
+                store.values.pop(name, None)
+
+        return State()
+
+
+def test_a_client_costs_a_few_state_calls_however_many_requests_it_sends():
+    import pandas as pd
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    store = Store()
+    quota = device.Quota(("device", "id"), 600_000, 2, 60_000, 0)
+    quota.init(store)
+    rows = pd.DataFrame({"id": range(1000), "at": [i * 90_000_000 for i in range(1000)]})
+    assert not list(quota.handleInputRows(("a",), iter([rows]), At(0)))
+    (due,) = store.timers
+    out = list(quota.handleExpiredTimer(("a",), At(500 * 90_000), At(due)))
+    assert store.calls < 20 and sum(map(len, out)) == 500 and len(store.lists["waiting"]) == 500
+    store.timers.discard(due)
+    (due,) = store.timers
+    assert due == 500 * 90_000 + 60_000
+    out += list(quota.handleExpiredTimer(("a",), At(10**12), At(due)))
+    got = pd.concat(out)
+    assert got["id"].tolist() == list(range(1000)) and not store.lists["waiting"] and not store.lists["history"] and not store.values
+    from collections import deque
+
+    from pulseframe.operators.sessions import admit
+
+    history = deque()
+    assert list(zip(got["allowed"], got["remaining"])) == [admit(history, t, 600_000_000, 2) for t in rows["at"]]
