@@ -254,6 +254,17 @@ def test_wfdb_folder(spark, tmp_path):
         "r2": "WFDB binary data file not found", "r3": "WFDB header file not found", "r4": "WFDB header not readable"}
 
 
+def test_small_wfdb_files_spread_over_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"r{i}.hea").write_text(f"r{i} 2 360 10\nr{i}.dat 212 200 11 1024 995 0 0 MLII\n")
+        (tmp_path / f"r{i}.dat").write_bytes(bytes.fromhex("E333F3") * 10)
+        (tmp_path / f"r{i}.atr").write_bytes(bytes.fromhex("4D042C150000"))
+    s, b = wfdb.read_raw(spark, str(tmp_path), block=4), wfdb.read_beats(spark, str(tmp_path))
+    assert s.count() == 40 * 3 * 2 and s.groupBy("record_id", "channel").count().where("count <> 3").isEmpty()
+    assert sorted(tuple(r) for r in b.collect()) == sorted((f"r{i}", at, code) for i in range(40) for at, code in ((77, 1), (377, 5)))
+    assert min(df.select(F.spark_partition_id()).distinct().count() for df in (s, b)) > 4
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "s.csv").write_text("timestamp,a,b\n1,0.5,\n2,x,7\n")
     df = sensor_csv.read(spark, str(tmp_path / "s.csv"))
