@@ -13,7 +13,7 @@ Scale: tokens never leave the task that made them; what is shuffled is a few num
 Ranks inside a length are built from counts per hash slice, so a length that a third of all
 pieces share is ranked in many tasks. The slots sent to all tasks number at most two patterns
 per length times the lengths in a pattern, 2 * size * sqrt(2 * size): a bound by ``size``, not
-by the corpus. A word cache per worker is emptied when it holds ``CACHE_WORDS`` short chunks.
+by the corpus. A word cache per worker holds at most twice ``CACHE_WORDS`` short chunks.
 (Checked to give the tokenizer's own ids on whole texts; little-endian machines only.)
 
 Defined results: a NULL or blank text is its end id alone; repeated rows are packed each; ids
@@ -57,33 +57,44 @@ class WordIds(dict):
 
     Valid for tokenizers that normalise to lower-case NFC, drop white space, never join what it
     separates, and take a run of letters as one word of byte-level pieces and a mark after it as
-    another. Words of Latin letters go straight to the merge model. Chunks of more than
-    ``CACHE_BYTES`` are not remembered, so the memory is bounded.
+    another. Words of Latin letters go straight to the merge model, once for all their cases.
+    Chunks of more than ``CACHE_BYTES`` are not remembered, and of the others the last
+    ``CACHE_WORDS`` and as many before them, so the memory is bounded; what comes up again
+    moves to the front and is not made twice.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.before: dict[bytes, bytes] = {}
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
         hidden = [b for b in range(256) if b not in shown]
         self.bytes = str.maketrans({b: chr(256 + i) for i, b in enumerate(hidden)})
 
     def __missing__(self, chunk: bytes) -> bytes:
-        word = chunk.decode()
-        plain = PLAIN.fullmatch(word)
-        if plain and plain[2]:
-            ids = self[plain[1].encode()] + self[plain[2].encode()]
-        elif plain:
-            pieces = self.model.tokenize(word.lower().encode().decode("latin-1").translate(self.bytes))
-            ids = array("I", [p.id for p in pieces]).tobytes()
-        else:
-            ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        ids = self.before.get(chunk)
+        if ids is None:
+            ids = self.made(chunk)
         if len(chunk) <= CACHE_BYTES:
             if len(self) >= CACHE_WORDS:
+                self.before = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
 
+    def made(self, chunk: bytes) -> bytes:
+        word = chunk.decode()
+        plain = PLAIN.fullmatch(word)
+        if not plain:
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if plain[2]:
+            return self[plain[1].encode()] + self[plain[2].encode()]
+        small = word.lower()
+        if small != word and PLAIN.fullmatch(small):
+            return self[small.encode()]
+        pieces = self.model.tokenize(small.encode().decode("latin-1").translate(self.bytes))
+        return array("I", [p.id for p in pieces]).tobytes()
+
     def text(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
 

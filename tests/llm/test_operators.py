@@ -758,3 +758,20 @@ def test_license_cosine(spark):
             assert got[line] == (best[1], pytest.approx(-best[0], abs=2e-6))
         else:
             assert line not in got
+
+
+def test_words_that_come_up_again_are_tokenized_once(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 4)
+    words = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+    asked, model = [], words.model
+
+    class Counted:
+        def tokenize(self, text):
+            asked.append(text)
+            return model.tokenize(text)
+
+    words.model = Counted()
+    text = "the cat The dog the THE bird the, fish the tree THE cow the"
+    ids = np.frombuffer(words.text(text), "<u4").tolist()
+    assert ids == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert asked.count("the") == 1 and len(words) <= 4 and len(words.before) <= 4
