@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.functions import dsp
+from pulseframe.plans import waveforms
 from pulseframe.operators import conditioning, features
 from pulseframe.plans import QUERIES
 
@@ -111,3 +112,11 @@ def test_the_source_is_read_once_for_the_result(spark, name):
     """The quantiles read it once more, before; their own steps read what they have written."""
     df = QUERIES[name](spark, FOLDER)
     assert scans(df)[1] <= 2
+
+
+def test_records_are_cut_into_chunks_of_several_rows(spark, monkeypatch):
+    """The summary of a chunk is a row that is joined back, so chunks of one row double the work."""
+    seen, real = [], waveforms.indexed
+    monkeypatch.setattr(waveforms, "indexed", lambda rows, key, order, chunk: seen.append((rows.count(), rows.select(*key, chunk).distinct().count())) or real(rows, key, order, chunk))
+    rows = waveforms.record_samples(spark, "/root/testdata/sf0.001").count()
+    assert seen[0][0] == rows and 5 * seen[0][1] < rows
