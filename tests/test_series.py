@@ -213,3 +213,15 @@ def test_scratch_of_a_block_is_removed(spark, tmp_path):
         assert os.path.exists(place)
     assert not os.path.exists(os.path.dirname(place)) and spark.read.parquet(kept).count() == 2
     assert before.count() == 3 and os.path.exists(local(materialise(spark.range(1), "after")))
+
+
+def test_no_frame_reaches_to_the_end(df, rows):
+    """Such a frame is computed anew for every row: a key with many chunks, or a chunk with many rows, takes the square of them."""
+    valid = F.when(F.col("v").isNotNull(), F.struct("t", "id"))
+    filled = series.scan(df, ["k"], ["t", "id"], chunk(), {"next": series.next_valid(valid, F.struct("t", "id"))})
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().optimizedPlan().toString().lower()
+    strict = series.scan(df, ["k"], ["t", "id"], chunk(), {"next": series.next_valid(F.col("v"), F.struct("t", "id"), inclusive=False)})
+    e = expected(rows)
+    e["next"] = e.groupby("k")["v"].bfill().groupby(e["k"]).shift(-1)
+    got = strict.toPandas().set_index("id").sort_index()["next"]
+    pd.testing.assert_series_equal(got.astype(float), e.set_index("id").sort_index()["next"].astype(float), check_names=False)
