@@ -43,3 +43,41 @@ def test_lags_by_rank_equal_all_pairs(monkeypatch, step, lags):
             for dim in (1, 2, 3):
                 assert dsp.like_templates(x, dim, r) == brute(x, dim, r)
     assert dsp.like_templates(np.full(30, np.nan), 2, np.nan) == (0, 0)
+
+
+@pytest.mark.parametrize("words", [1, 300, 1 << 16])
+def test_stripes_of_bits_equal_all_pairs(monkeypatch, words):
+    """Lengths around whole words, many equal values, several stripes."""
+    monkeypatch.setattr(dsp, "LIKES", words)
+    rng = np.random.default_rng(5)
+    for n in (63, 64, 65, 128, 200):
+        for x in (rng.normal(size=n), rng.integers(0, 4, n) * 0.5, np.zeros(n)):
+            for dim in (1, 2, 3):
+                assert dsp.like_templates(x, dim, 0.2) == brute(x, dim, 0.2)
+
+
+def test_medians_of_all_rows_at_once():
+    x = np.random.default_rng(6).normal(size=(5, 300))
+    bad = x.copy()
+    bad[1, 40], bad[3, 7] = np.inf, np.nan
+    for m in (x, bad):
+        want = [[np.median(row[i : i + 101]) for i in range(300)] for row in np.pad(m, ((0, 0), (50, 50)))]
+        assert np.array_equal(dsp.running_median(m, 101), want, equal_nan=True)
+
+
+class Reached(Exception):
+    pass
+
+
+def test_chain_writes_no_samples(spark, monkeypatch):
+    """The samples of a window are 86 kB, its features 0.2 kB."""
+    written = []
+
+    def stop(*_):
+        raise Reached
+
+    monkeypatch.setattr(chain, "materialise", lambda df, name: written.append(df) or df)
+    monkeypatch.setattr(chain.splits, "split_patients", stop)
+    with pytest.raises(Reached):
+        chain.triage_chain(spark, FOLDER)
+    assert written and not any("array" in kind for df in written for _, kind in df.dtypes)
