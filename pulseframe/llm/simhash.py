@@ -15,9 +15,11 @@ spanning forest of what it has seen. Components then come from alternating large
 small-star rounds over the links, each round written to the shared folder.
 
 That is ``near_duplicates``, exact at its radius. ``similar`` finds texts whose shingle sets are
-alike to a given degree: they differ in many more bits, so the same ball hashing runs in lanes
-of a longer signature, and pairs that meet are filtered on the whole of it and confirmed by the
-exact similarity of their shingle sets.
+alike to a given degree: they differ in many more bits, so pairs as near as that are looked for in
+lanes of a longer signature, filtered on the whole of it and confirmed by the exact similarity
+of their shingle sets. A lane is short enough for a simpler way: of some parts of its bits all
+but four are equal in two blocks within 4 bits, so the blocks are sorted under a few dozen masks
+instead of by their hundreds of variants.
 
 Scale: exact copies and equal fingerprints collapse before anything is emitted (a group that
 holds a third of all rows is one fingerprint); no pair list of a group exists anywhere.
@@ -135,16 +137,20 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[root[far]]
 
 
+def _sorted(key: np.ndarray, owner: np.ndarray, width: int, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both in order of the key of ``width`` bits, then of the owner, a number of ``room`` bits."""
+    if width + room <= 64:  # key and owner in one word sort fastest
+        both = np.sort(key << np.uint64(room) | owner.astype(np.uint64))
+        return both >> np.uint64(room), (both & np.uint64((1 << room) - 1)).astype(np.int64)
+    order = np.lexsort((owner, key))
+    return key[order], owner[order]
+
+
 def _runs(value: np.ndarray, left: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Slices (owners in order of variant, first owner of each one's variant, start flag), variants met by one owner left out."""
     room = max(1, (len(value) - 1).bit_length())
     for key, owner in _variants(value, np.arange(len(value)), left, width):
-        if width + room <= 64:  # variant and owner in one word sort fastest
-            both = np.sort(key << np.uint64(room) | owner.astype(np.uint64))
-            key, owner = both >> np.uint64(room), (both & np.uint64((1 << room) - 1)).astype(np.int64)
-        else:
-            order = np.lexsort((owner, key))
-            key, owner = key[order], owner[order]
+        key, owner = _sorted(key, owner, width, room)
         same = key[1:] == key[:-1]
         kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
         start = np.concatenate([[True], ~same])[kept]
@@ -166,51 +172,137 @@ def meet(fps: np.ndarray, prefix: int, bits: int, half: int, width: int = 64) ->
     return a, b
 
 
-def candidates(blocks: np.ndarray, prefix: int, bits: int, half: int, width: int) -> np.ndarray:
-    """Pairs of rows whose blocks meet: each with the first one at a meeting point, and with the one before it."""
-    value, left, low = _within(blocks, prefix, bits, half, width)
-    found = np.zeros((0, 2), np.int64)
-    for owner, first, start in _runs(value, left, low):
-        star, chain = np.stack([first, owner], 1)[owner != first], np.stack([owner[:-1], owner[1:]], 1)[~start[1:]]
-        found = np.unique(np.concatenate([found, star, chain]), axis=0)
-    return found
+def _masks_of_parts(n: int, width: int, apart: int) -> list[int]:
+    """Masks of ``width`` bits, so that values within ``apart`` bits of each other are equal under one of them at least.
+
+    The bits are cut into parts of which ``apart`` can differ; each choice of the others is a
+    mask. More parts leave more bits in a mask: as many as keep ``n`` values apart.
+    """
+    parts = apart + 1
+    while parts < width and n >> (width * (parts - apart) // parts) > BUCKET:
+        parts += 1
+    edge = [width * i // parts for i in range(parts + 1)]
+    return [sum(c) for c in combinations([(1 << hi) - (1 << lo) for lo, hi in zip(edge, edge[1:])], parts - apart)]
+
+
+def _buckets(blocks: np.ndarray, half: int, width: int, part: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, start flag) by mask: rows that are equal under it follow each other, in order; rows alone are left out. ``part`` of ``parts`` takes its share of the masks."""
+    room = max(1, (len(blocks) - 1).bit_length())
+    if not len(blocks):
+        return
+    for mask in _masks_of_parts(len(blocks), width, 2 * half)[part::parts]:
+        key, row = _sorted(blocks & np.uint64(mask), np.arange(len(blocks)), width, room)
+        same = key[1:] == key[:-1]
+        kept = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        if kept.any():
+            yield row[kept], np.concatenate([[True], ~same])[kept]
+
+
+def _pairs_inside(row: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows of one bucket, by their distance in it."""
+    bucket = np.cumsum(start)
+    at, d = np.arange(len(row)), 0
+    while True:
+        d += 1
+        at = at[: np.searchsorted(at, len(row) - d)]
+        at = at[bucket[at] == bucket[at + d]]
+        if not len(at):
+            return
+        yield row[at], row[at + d]
+
+
+def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
+    """Each of the packed pairs once, in order."""
+    every = np.sort(np.concatenate([np.zeros(0, np.int64), *pairs]))
+    return every[np.concatenate([[True], every[1:] != every[:-1]])] if len(every) else every
 
 
-def unlinked(blocks: np.ndarray, group: np.ndarray, prefix: int, bits: int, half: int, width: int, sigs: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows of different groups whose blocks meet, and the rows at crowded meeting points.
+class _Pairs:
+    """Pairs of rows, each kept once; less than 2^31 rows."""
 
-    Pairs at crowded points are left out without ``sigs``; with them only these are made, and
-    of these the ones within ``limit`` bits.
+    def __init__(self) -> None:
+        self.parts, self.held = [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.parts.append(np.minimum(a, b) << 32 | np.maximum(a, b))
+            self.held += len(a)
+            if self.held > SLICE:
+                self.parts = [_distinct(self.parts)]
+                self.held = len(self.parts[0]) // 2  # merged again when it has grown by as much again
+
+    def all(self) -> np.ndarray:
+        every = _distinct(self.parts)
+        return np.stack([every >> 32, every & 0xFFFFFFFF], 1)
+
+
+def candidates(blocks: np.ndarray, part: int, parts: int, half: int, width: int) -> np.ndarray:
+    """Pairs of rows whose blocks are within ``2 * half`` bits: all of small buckets, of crowded ones each row with the first one and with the one before it."""
+    found = _Pairs()
+
+    def near(a: np.ndarray, b: np.ndarray) -> None:
+        close = np.bitwise_count(blocks[a] ^ blocks[b]) <= 2 * half
+        found.add(a[close], b[close])
+
+    for row, start in _buckets(blocks, half, width, part, max(1, parts)):
+        at = np.flatnonzero(start)
+        size = np.diff(np.append(at, len(row)))
+        few = np.repeat(size <= CROWD, size)
+        for a, b in _pairs_inside(row[few], start[few]):
+            near(a, b)
+        if not few.all():
+            crowd, begins = row[~few], start[~few]
+            first = np.repeat(crowd[begins], size[size > CROWD])
+            near(first[~begins], crowd[~begins])
+            near(crowd[:-1][~begins[1:]], crowd[1:][~begins[1:]])
+    return found.all()
+
+
+def unlinked(blocks: np.ndarray, group: np.ndarray, part: int, parts: int, half: int, width: int, sigs: np.ndarray | None = None, limit: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of different groups whose blocks are within ``2 * half`` bits, and the rows with a crowd of such partners.
+
+    Pairs of a crowd are left out without ``sigs``; with them no pair is left out that is within
+    ``limit`` bits.
     """
-    value, left, low = _within(blocks, prefix, bits, half, width)
-    found, crowd, seen = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), set()
-    for owner, _, start in _runs(value, left, low):
+    found, crowd, seen = _Pairs(), [np.zeros(0, np.int64)], set()
+
+    def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(sigs[a] ^ sigs[b]).sum(1, dtype=np.int64) <= limit
+
+    for row, start in _buckets(blocks, half, width, part, max(1, parts)):
         at = np.flatnonzero(start)
-        size, g = np.diff(np.append(at, len(owner))), group[owner]
-        mixed = np.minimum.reduceat(g, at) != np.maximum.reduceat(g, at)
-        if sigs is None:
-            few = np.repeat(mixed & (size <= CROWD), size)
-            o, point = owner[few], np.cumsum(start)[few]
-            pairs = [np.zeros((0, 2), np.int64)]
-            for d in range(1, CROWD):
-                near = (point[d:] == point[:-d]) & (group[o[d:]] != group[o[:-d]])
-                pairs.append(np.stack([o[:-d][near], o[d:][near]], 1))
-            found = np.unique(np.concatenate([found, *pairs]), axis=0)
-            crowd = np.union1d(crowd, owner[np.repeat(mixed & (size > CROWD), size)])
-            continue
-        for i in np.flatnonzero(mixed & (size > CROWD)):
-            rows = owner[at[i] : at[i] + size[i]]
-            if (mark := xxhash.xxh3_128_digest(rows.tobytes())) in seen:  # the same rows meet on many variants
+        size = np.diff(np.append(at, len(row)))
+        few = np.repeat(size <= CROWD, size)
+        for a, b in _pairs_inside(row[few], start[few]):
+            close = np.bitwise_count(blocks[a] ^ blocks[b]) <= 2 * half
+            a, b = a[close], b[close]
+            other = group[a] != group[b]
+            a, b = a[other], b[other]
+            if sigs is not None:
+                close = alike(a, b)
+                a, b = a[close], b[close]
+            found.add(a, b)
+        many = np.flatnonzero(size > CROWD)
+        for i in many:
+            rows = row[at[i] : at[i] + size[i]]
+            names, kind, counts = np.unique(group[rows], return_inverse=True, return_counts=True)
+            if len(names) == 1 or (mark := xxhash.xxh3_128_digest(rows.tobytes())) in seen:  # the same rows meet under many masks
                 continue
             seen.add(mark)
-            names, counts = np.unique(group[rows], return_counts=True)
+            values, largest = blocks[rows], counts.argmax()
             # each pair of two groups has a row outside the largest one
-            for x in rows[group[rows] != names[counts.argmax()]]:
-                other = rows[group[rows] != group[x]]
-                near = other[np.bitwise_count(sigs[other] ^ sigs[x]).sum(1, dtype=np.int64) <= limit]
-                found = np.concatenate([found, np.stack([np.minimum(near, x), np.maximum(near, x)], 1)])
-        found = np.unique(found, axis=0)
-    return found, crowd
+            for x in np.flatnonzero(kind != largest):
+                # of two rows outside it the one that comes first has the pair
+                other = np.flatnonzero((np.bitwise_count(values ^ values[x]) <= 2 * half) & (kind != kind[x]) & ((kind == largest) | (rows > rows[x])))
+                partners, own = rows[other], np.full(len(other), rows[x])
+                if sigs is not None:
+                    close = alike(partners, own)
+                    found.add(partners[close], own[close])
+                elif len(other) > CROWD:
+                    crowd.append(np.append(partners, rows[x]))
+                else:
+                    found.add(partners, own)
+    return found.all(), np.unique(np.concatenate(crowd))
 
 
 def _within(fps: np.ndarray, prefix: int, bits: int, half: int, width: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -313,11 +405,15 @@ SIGNATURE_BITS = 1024
 LANES = 25
 LANE_BITS = 40
 SIMILARITY = 0.8
-LANE_VARIANTS = 256_000_000  # variants of a lane in one task; fewer, larger shares mean fewer copies of a node
+LANE_VARIANTS = 2_500_000_000  # nodes of a lane in one task, times the variants a node stands for: 3 million nodes
+LANE_TASKS = 48  # tasks that the lanes are dealt to where a lane is not cut by its values
+FEW_NODES = 50_000  # that are one task a lane
+CUT_BITS = 8  # of a part of a lane that is cut by its values
+BUCKET = 2  # rows that are equal under a mask, on average
 FIRST_LANES = 6  # that link dense families before all lanes are searched
 RELATED = 0.6  # similarity of the texts of a family, of which all pairs are compared
 TILE = 2_000_000  # shingles of a block of a family; two blocks meet in a task
-CROWD = 16  # rows of a meeting point that are paired without a look at their signatures
+CROWD = 16  # rows of a bucket, or partners in it, that are paired without a look at their signatures
 
 
 def bits_apart(similarity: float, bits: int = SIGNATURE_BITS) -> int:
@@ -332,8 +428,10 @@ def shingle_hashes(text: str | None, size: int = 5) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     shingles = zip(*[words[i:] for i in range(size)]) if len(words) >= size else [words]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(s), SEED) for s in shingles], dtype=np.uint64))
+    digest = xxhash.xxh64_digest
+    every = np.frombuffer(b"".join([digest(s, SEED) for s in map(b" ".join, shingles)]), ">u8").astype(np.uint64)
+    every.sort()
+    return every[np.concatenate([[True], every[1:] != every[:-1]])]
 
 
 def signature(hashes: np.ndarray) -> np.ndarray:
@@ -367,32 +465,55 @@ def with_signature(docs: DataFrame, text: str, size: int) -> DataFrame:
     return docs.withColumn("_s", sign(F.col(text))).select("*", "_s.*").drop("_s")
 
 
+def dealt(nodes: DataFrame, lanes: int, per_task: int) -> DataFrame:
+    """(lane, part, parts, value, fp, ...): every block of the first ``lanes`` of ``nodes`` once per task (lane, part, value) it belongs to.
+
+    Blocks of a lane within 4 bits meet in one task at least. Up to ``per_task`` nodes a lane is
+    a task, or ``parts`` that share its masks (``value`` is NULL). With more a lane is cut: of its
+    five parts of ``CUT_BITS`` bits one is equal in such blocks, so a block goes to the tasks of
+    its five values, and blocks that meet there differ in the other bits only.
+    """
+    n = nodes.count()
+    rows = nodes.select("*", F.posexplode(F.slice("lanes", 1, lanes)).alias("lane", "fp")).drop("lanes")
+    if n <= per_task:
+        parts = 1 if n <= FEW_NODES else max(1, LANE_TASKS // lanes)
+        rows = rows.select("*", F.lit(parts).alias("parts"), F.lit(None).cast("int").alias("value"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+        return rows.repartition(4 * lanes * parts, "lane", "part", "value")  # few tasks of one size each: kept apart
+    parts = LANE_BITS // CUT_BITS
+    values = F.array(*[F.shiftright("fp", CUT_BITS * i).bitwiseAND(F.lit((1 << CUT_BITS) - 1)).cast("int") for i in range(parts)])
+    return rows.select("*", F.lit(parts).alias("parts"), F.posexplode(values).alias("part", "value"))
+
+
 def met(nodes: DataFrame, lanes: int, variants_per_task: int, similarity: float, pairing: str = "first") -> DataFrame:
-    """Pairs (a, b) of ``nodes`` (node, group, sig, lanes) that meet in one of the first ``lanes``.
+    """Pairs (a, b) of ``nodes`` (node, group, sig, lanes) that are within 4 bits in one of the first ``lanes``.
 
-    ``first``: each node with the first one at a meeting point and the one before it. ``rest``:
-    all pairs of different groups, but of a point of more than ``CROWD`` nodes only these, each
-    as (node, NULL). ``crowded``: the pairs of different groups at such points that are within
-    the signature's distance.
+    ``first``: all but those of a crowd, of which a node is paired with the first one and the one
+    before it. ``rest``: all pairs of different groups, but of more than ``CROWD`` partners in a
+    bucket only the nodes, each as (node, NULL). ``crowded``: the pairs of different groups that
+    are within the signature's distance too.
     """
     half, whole = 2, pairing == "crowded"
 
     def meets(key: tuple, group: pa.Table) -> pa.Table:
         ids, blocks = group.column("node").to_numpy(), group.column("fp").to_numpy().astype(np.int64).view(np.uint64)
-        place, crowd = (key[2].as_py(), key[1].as_py(), half, LANE_BITS), np.zeros(0, np.int64)
+        part, value, parts, width = key[1].as_py(), key[2].as_py(), group.column("parts")[0].as_py(), LANE_BITS
+        if value is not None:  # all are equal in these bits
+            low = np.uint64(part * CUT_BITS)
+            blocks = (blocks >> (low + np.uint64(CUT_BITS))) << low | blocks & ((np.uint64(1) << low) - np.uint64(1))
+            part, parts, width = 0, 1, LANE_BITS - CUT_BITS
+        crowd = np.zeros(0, np.int64)
         if pairing == "first":
-            pairs = candidates(blocks, *place)
+            pairs = candidates(blocks, part, parts, half, width)
         else:
             sigs = group.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1) if whole else None
-            pairs, crowd = unlinked(blocks, group.column("group").to_numpy(), *place, sigs, bits_apart(similarity))
-            crowd = crowd[:0] if whole else crowd
+            pairs, crowd = unlinked(blocks, group.column("group").to_numpy(), part, parts, half, width, sigs, bits_apart(similarity))
         a, b = ids[pairs[:, 0]], ids[pairs[:, 1]]
         partner = pa.array(np.concatenate([np.maximum(a, b), ids[crowd]]), mask=np.arange(len(a) + len(crowd)) >= len(a))
         return pa.table({"a": np.concatenate([np.minimum(a, b), ids[crowd]]), "b": partner})
 
     columns = {"first": [], "rest": ["group"], "crowded": ["group", "sig"]}[pairing]
-    entries = nodes.select("node", *columns, F.posexplode(F.slice("lanes", 1, lanes)).alias("lane", "fp"))
-    return shares(entries, half, LANE_BITS, variants_per_task).groupBy("lane", "bits", "prefix").applyInArrow(meets, "a long, b long")
+    entries = dealt(nodes.select("node", *columns, "lanes"), lanes, variants_per_task // _ball(LANE_BITS, half))
+    return entries.groupBy("lane", "part", "value").applyInArrow(meets, "a long, b long")
 
 
 def near(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -486,12 +607,12 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: i
 
     A fingerprint of 64 bits within 4 bits finds texts that are almost the same; shingle sets of
     similarity 0.8 differ in a seventh of their bits. So a signature of 1024 bits has 25
-    lanes of 40 bits, ball hashing within 4 bits runs in each lane (a pair of similarity 0.8
+    lanes of 40 bits, pairs within 4 bits are found in each lane (a pair of similarity 0.8
     meets in a lane with chance 0.26, in one of 25 with 0.999), and pairs that meet are filtered
     on the whole signature and confirmed on their shingle sets.
 
     Texts that are only half alike meet too, in a large family nearly each with each. So a few
-    lanes with star links come first and form families of related texts (signatures as close
+    lanes, with star links in a crowd, come first and form families of related texts (signatures as close
     as at similarity ``RELATED``); all pairs of a family are tested where its blocks meet
     (``within_families``), and what leaves a task are links, about one a text. Then every pair
     of different families that meets in any lane is tested (``alike``), at crowded points on

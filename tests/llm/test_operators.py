@@ -228,6 +228,40 @@ def test_all_pairs_of_a_mixed_crowd_are_tested():
     assert not want <= star
 
 
+def test_near_blocks_are_found_under_few_masks():
+    """All pairs within 4 bits come from sorting under some dozens of masks, not under hundreds of variants a block."""
+    r = np.random.default_rng(9)
+    blocks = r.integers(0, 2**40, 100_000).astype(np.uint64)
+    at = np.arange(0, 30_000, 3)
+    for i in at:  # partners in 0 to 5 bits
+        blocks[i + 1] = blocks[i] ^ np.uint64(sum(1 << int(b) for b in r.choice(40, i % 6, False)))
+    want = {(i, i + 1) for i in at.tolist() if i % 6 <= 4}
+    for n in (30_000, 100_000):
+        assert len(simhash._masks_of_parts(n, 40, 4)) <= 70
+        got = {tuple(x) for x in simhash.candidates(blocks[:n], 0, 1, 2, 40).tolist()}
+        assert want <= got and all(int(blocks[a] ^ blocks[b]).bit_count() <= 4 for a, b in got)
+        halves = [simhash.candidates(blocks[:n], i, 2, 2, 40).tolist() for i in (0, 1)]
+        assert got == {tuple(x) for half in halves for x in half}
+
+
+@pytest.mark.parametrize("per_task", [10**9, 821 * 200])
+@pytest.mark.parametrize("few", [10, 10**6])
+def test_near_blocks_meet_in_some_task(spark, monkeypatch, per_task, few):
+    """Whole lanes, lanes in several tasks and lanes cut by their values give the pairs of brute force."""
+    monkeypatch.setattr(simhash, "FEW_NODES", few)
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**40, 100)
+    blocks = np.concatenate([[b ^ sum(1 << int(x) for x in r.choice(40, k, False)) for k in (0, 0, 2, 3, 4, 5)] for b in base])
+    spare = r.integers(0, 2**40, len(blocks))
+    nodes = spark.createDataFrame([(i, i % 3, [int(b), int(s)]) for i, (b, s) in enumerate(zip(blocks, spare))], "node long, group long, lanes array<long>")
+    apart = np.bitwise_count(blocks[:, None] ^ blocks[None])
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(apart <= 4, 1)))}
+    got = {(x["a"], x["b"]) for x in rows(simhash.met(nodes, 2, per_task, 0.8).distinct())}
+    assert len(want) > 300 and got == want
+    rest = {(x["a"], x["b"]) for x in rows(simhash.met(nodes, 2, per_task, 0.8, "rest").distinct())}
+    assert rest == {(i, j) for i, j in want if i % 3 != j % 3}
+
+
 @pytest.mark.parametrize("crowd", [2, 16])
 def test_crowds_of_half_alike_texts(spark, monkeypatch, crowd):
     """In a family of pages of one template, every pair of similarity 0.8 is grouped as by brute force."""
