@@ -407,7 +407,7 @@ LANE_BITS = 40
 SIMILARITY = 0.8
 LANE_VARIANTS = 2_500_000_000  # nodes of a lane in one task, times the variants a node stands for: 3 million nodes
 LANE_TASKS = 48  # tasks that the lanes are dealt to where a lane is not cut by its values
-FEW_NODES = 50_000  # that are one task a lane
+FEW_NODES = 5_000  # that are one task a lane
 CUT_BITS = 8  # of a part of a lane that is cut by its values
 BUCKET = 2  # rows that are equal under a mask, on average
 FIRST_LANES = 6  # that link dense families before all lanes are searched

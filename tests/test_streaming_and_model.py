@@ -255,3 +255,37 @@ def test_a_client_costs_a_few_state_calls_however_many_requests_it_sends():
 
     history = deque()
     assert list(zip(got["allowed"], got["remaining"])) == [admit(history, t, 600_000_000, 2) for t in rows["at"]]
+
+
+def test_many_clients_of_a_bucket_share_their_state_calls():
+    """A thousand clients cost as few state calls as one, are decided as each alone, and leave nothing."""
+    from collections import deque
+
+    import pandas as pd
+
+    from pulseframe.operators.sessions import admit
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    store = Store()
+    quotas = device.Quotas(("device", "id"), 600_000, 2, 60_000, 0)
+    quotas.init(store)
+    times = [((i * 37) % 1000, i % 3 == 0, i * 1_000_000) for i in range(4000)]  # client, is it NULL, time
+    rows = pd.DataFrame({
+        "client": [0 if none else who for who, none, _ in times], "none": [int(none) for _, none, _ in times], "at": [t for _, _, t in times], "timed": True,
+        "id": [2**60 + i for i in range(4000)], "asked": True})
+    rows = pd.concat([rows, rows[:1].assign(asked=False), rows[:1].assign(id=7, at=0, timed=False)])  # a clock, and a request without a time
+    late = pd.concat(list(quotas.handleInputRows((3,), iter([rows]), At(0))))
+    assert late["id"].tolist() == [7] and late["late"].all() and late["allowed"].isna().all() and late["remaining"].isna().all()
+    out = []
+    for clock in (2_000_000, 10**12):
+        (due,) = store.timers
+        out += list(quotas.handleExpiredTimer((3,), At(clock), At(due)))
+        store.timers.discard(due)
+    assert store.calls < 30 and not store.lists.get("waiting") and not store.values and not store.timers
+    got = {i: (None if pd.isna(who) else who, ok, left) for frame in out for who, i, ok, left in zip(frame["device"], frame["id"], frame["allowed"], frame["remaining"])}
+    history = {}
+    want = {2**60 + i: (who := None if none else w, *admit(history.setdefault(who, deque()), t, 600_000_000, 2)) for i, (w, none, t) in enumerate(times)}
+    assert got == want and len(out) < 10
