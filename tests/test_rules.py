@@ -337,3 +337,27 @@ def test_leakage_by_scheme(spark):
     rows = [("a", 1, "train"), ("a", 1, "test"), ("a", 2, "val"), ("b", 1, "train"), ("b", 2, "val")]
     got = {r["s"]: r for r in splits.leakage(spark.createDataFrame(rows, "s string, p int, split string"), "p", by=["s"]).collect()}
     assert (got["a"]["train_test_overlap"], got["b"]["train_test_overlap"], got["b"]["val_patients"]) == (1, 0, 1)
+
+
+def test_the_driver_does_not_hold_the_names_of_all_files(spark, tmp_path):
+    """Records in sub-folders, or in one flat folder, are listed and read by tasks: no plan carries a file index of them."""
+    from pulseframe.sources.files import listing_by_tasks
+
+    for i in range(40):
+        place = tmp_path / f"{i % 4}"
+        place.mkdir(exist_ok=True)
+        (place / f"r{i}.hea").write_text(f"r{i} 2 360 2\nr{i}.dat 212 200 11 1024 0 0 0 MLII\n")
+        if i % 2:
+            (place / f"r{i}.dat").write_bytes(bytes(6))
+            (place / f"r{i}.atr").write_bytes(bytes([0x01, 0x04, 0, 0]))
+    (tmp_path / "0" / "empty.hea").write_text("")
+    (tmp_path / "0" / "_hidden.hea").write_text("x")
+    ok, bad = wfdb.read_records(spark, f"{tmp_path}/*", SALT)
+    assert ok.inputFiles() == [] and bad.inputFiles() == []
+    assert sorted((r["record_id"], r["frames"], r["n_beats"]) for r in ok.collect()) == sorted((f"r{i}", 2, 1) for i in range(1, 40, 2))
+    assert sorted(r["record_id"] for r in bad.collect()) == sorted(f"r{i}" for i in range(0, 40, 2))
+    blocks = wfdb.read_blocks(spark, f"{tmp_path}/*", SALT)
+    assert blocks.inputFiles() == [] and blocks.count() == 20
+    flat = listing_by_tasks(spark, f"file:{tmp_path}/1/", "*.dat")
+    assert sorted((r["path"].rsplit("/", 1)[1], r["length"]) for r in flat.collect()) == sorted((f"r{i}.dat", 6) for i in range(1, 40, 4))
+    assert wfdb.read_headers(spark, str(tmp_path)).count() == 0  # files of sub-folders are not those of the folder
