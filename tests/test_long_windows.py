@@ -81,3 +81,17 @@ def test_chain_writes_no_samples(spark, monkeypatch):
     with pytest.raises(Reached):
         chain.triage_chain(spark, FOLDER)
     assert written and not any("array" in kind for df in written for _, kind in df.dtypes)
+
+
+def test_batches_of_wide_windows_are_bounded_in_bytes(spark):
+    """A task holds some megabytes of ten-second windows at a time, not two thousand of them."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from pulseframe import session
+
+    session.configure(spark)
+    rows = spark.range(0, 1500, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(3600)), lambda k: k.cast("double")).alias("x"))
+    count = F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "int")
+    assert rows.select(F.max(count("x"))).first()[0] <= 2 * session.ARROW_BYTES // (8 * 3600)
+    assert rows.select(F.sum(F.size("x"))).first()[0] == 1500 * 3600
