@@ -289,3 +289,12 @@ def test_many_clients_of_a_bucket_share_their_state_calls():
     history = {}
     want = {2**60 + i: (who := None if none else w, *admit(history.setdefault(who, deque()), t, 600_000_000, 2)) for i, (w, none, t) in enumerate(times)}
     assert got == want and len(out) < 10
+
+
+def test_requests_without_a_client_leave_those_of_others_alone(spark):
+    schema = "device long, id long, at long, ts timestamp"
+    rows = [(None if i % 5 == 0 else i % 5, i, i * 1_000_000, datetime(2024, 1, 1, 0, 0, i)) for i in range(40)]
+    feed = device.in_arrival_order(spark.createDataFrame(rows, schema), "ts", 2, {"ts": "2199-01-01"})
+    got = device.drain(device.quota(feed, "device", "at", "id", "ts", 600, 2), conf=device.keyed_state(spark)).collect()
+    assert sorted((r["id"], r["device"]) for r in got) == [(i, who) for who, i, _, _ in rows]
+    assert sorted(r["id"] for r in got if r["allowed"]) == list(range(10))  # the first two of each, the NULL client among them
